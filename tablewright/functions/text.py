@@ -130,7 +130,7 @@ def double_text(c: Column) -> Column:
     size = F.abs(c)
     plain = F.rtrim(raw.cast("decimal(38,20)").cast("string"), F.lit("0"))
     whole = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    digits = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(-?)(\d)\z", "E${1}0$2")
+    digits = F.regexp_replace(F.regexp_replace(raw, r"\.0E", "E"), r"E(-?)(\d)\z", "E$10$2")
     power = F.regexp_replace(F.regexp_replace(digits, r"E-", "e-"), "E", "e+")
     return (
         F.when(F.isnan(c), F.lit("nan"))
