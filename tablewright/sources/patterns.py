@@ -8,6 +8,7 @@ from datetime import date, datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import slugify, strip
 from tablewright.operators.index import last_per_key
@@ -17,7 +18,15 @@ PATTERN_SCHEMA = (
     "question string, sql string, tables array<string>, description string, "
     "source string, created date, filename string"
 )
-HEADER = "question string, tables array<string>, description string, source string, created string"
+HEADER = T.StructType(
+    [
+        T.StructField("question", T.StringType()),
+        T.StructField("tables", T.ArrayType(T.StringType())),
+        T.StructField("description", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("created", T.StringType()),
+    ]
+)
 FENCE = "---"
 
 
@@ -45,8 +54,7 @@ def _header_row(text: str | None) -> tuple:
 @F.pandas_udf(HEADER)
 def _headers(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in series:
-        names = [part.split()[0] for part in HEADER.split(", ")]
-        yield pd.DataFrame([_header_row(t) for t in texts], columns=names)
+        yield pd.DataFrame([_header_row(t) for t in texts], columns=HEADER.names)
 
 
 def parse_pattern(text: Column) -> Column:
