@@ -45,7 +45,7 @@ def chart_value(df: DataFrame, name: str, points: int = DEFAULT_LIMIT) -> DataFr
     ordered = F.array_sort(F.collect_list(F.struct("place", *[c for c in rows.columns if c != "place"])))
     axes = [c for c in ("x", "y") if c in rows.columns]
     trace = F.struct(
-        *[F.transform("rows", lambda r, c=c: r[c]).alias(c) for c in axes],
+        *[F.col("rows")[c].alias(c) for c in axes],
         F.lit("bar").alias("type"),
         F.lit(name).alias("name"),
     )
