@@ -6,54 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 256
+SKETCH_ACCURACY = 10 * SLICES
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
     """Interpolated quantiles: ``group, n, quantiles array<double>`` in the order of ``points``.
 
-    Values are folded to counts, a sketch per group proposes slice edges, and the counts per slice
-    say in which slice each wanted rank lies. Only those slices are ordered, so even a group with
-    most of the rows never meets in one task; the sketch's error moves edges, not results.
+    A sketch per group proposes slice edges, counts per slice say in which slice each wanted rank
+    lies, and only those slices are ordered, with equal values folded to a count. So the rows
+    themselves are scanned and not shuffled, and a group with most of the rows never meets in one
+    task. The sketch's error moves edges, not results.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    shares = [i / SLICES for i in range(1, SLICES)]
-    edges = counted.groupBy("g").agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("v", shares, 10 * SLICES))).alias("edges")
-    )
-    sliced = _join_group(counted, edges).withColumn("slice", F.lit(0))
-    step = SLICES // 2
-    while step:
-        # Binary search for the number of edges below the value.
-        below = F.get("edges", F.col("slice") + (step - 1)) < F.col("v")
-        sliced = sliced.withColumn("slice", F.col("slice") + F.when(below, step).otherwise(0))
-        step //= 2
-    sliced = sliced.drop("edges")
-    sizes = sliced.groupBy("g", "slice").agg(F.sum("c").alias("size"))
-    # At most SLICES rows per group from here on.
-    by_slice = Window.partitionBy("g").orderBy("slice")
-    starts = sizes.select(
-        "g",
-        "slice",
-        (F.sum("size").over(by_slice) - F.col("size")).alias("start"),
-        F.sum("size").over(Window.partitionBy("g")).alias("n"),
-        "size",
+    rows = df.where(F.col(value).isNotNull()).select(
+        F.col(group).alias("g"), F.col(value).cast("double").alias("v")
     )
-    ranks = F.array(*[F.lit(p) * (F.col("n") - 1) for p in points])
-    both = F.array_distinct(F.flatten(F.transform(ranks, lambda r: F.array(F.floor(r), F.ceil(r)))))
-    here = F.filter(both, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size")))
-    wanted = starts.withColumn("ranks", here).where(F.size("ranks") > 0)
-    within = Window.partitionBy("g", "slice").orderBy("v")
-    ordered = (
-        _join_group(sliced, wanted.drop("size"), "slice")
-        .withColumn("last", F.col("start") + F.sum("c").over(within) - 1)
-        .withColumn("first", F.col("last") - F.col("c") + 1)
+    sliced = _with_slice(rows)
+    sizes = sliced.groupBy("g", "slice").agg(F.count("*").alias("size"))
+    # At most SLICES rows per group in these windows.
+    start = F.sum("size").over(Window.partitionBy("g").orderBy("slice")) - F.col("size")
+    sizes = sizes.withColumns({"start": start, "n": F.sum("size").over(Window.partitionBy("g"))})
+    targets = F.array(*[F.lit(p) * (F.col("n") - 1) for p in points])
+    ranks = F.array_distinct(F.flatten(F.transform(targets, lambda r: F.array(F.floor(r), F.ceil(r)))))
+    here = F.filter(ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size")))
+    wanted = sizes.withColumn("ranks", here).where(F.size("ranks") > 0).drop("size")
+    folded = (
+        _join_group(sliced, wanted, "slice")
+        .groupBy("g", "n", "slice", "start", "ranks", "v")
+        .agg(F.count("*").alias("c"))
     )
-    hits = F.filter("ranks", lambda r: (r >= F.col("first")) & (r <= F.col("last")))
-    values = ordered.select("g", "n", "v", F.explode(hits).alias("rank"))
+    through = F.sum("c").over(Window.partitionBy("g", "slice").orderBy("v"))
+    placed = folded.withColumn("next", F.col("start") + through)
+    hits = F.filter("ranks", lambda r: (r >= F.col("next") - F.col("c")) & (r < F.col("next")))
+    values = placed.select("g", "n", "v", F.explode(hits).alias("rank"))
+    # At most two rows per group and point.
     found = values.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
 
     def interpolated(p: float) -> Column:
@@ -66,13 +51,26 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
     )
 
 
+def _with_slice(rows: DataFrame) -> DataFrame:
+    """Adds the number of the group's edges that lie below the value, by binary search."""
+    shares = [i / SLICES for i in range(1, SLICES)]
+    proposed = F.percentile_approx("v", shares, SKETCH_ACCURACY)
+    edges = rows.groupBy("g").agg(F.array_sort(F.array_distinct(proposed)).alias("edges"))
+    sliced = _join_group(rows, edges).withColumn("slice", F.lit(0))
+    step = SLICES // 2
+    while step:
+        below = F.get("edges", F.col("slice") + (step - 1)) < F.col("v")
+        sliced = sliced.withColumn("slice", F.col("slice") + F.when(below, step).otherwise(0))
+        step //= 2
+    return sliced.drop("edges")
+
+
 def _join_group(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-    """Equi-join on the group (null groups meet) and further columns; the right side is folded
-    to a few rows per group."""
+    """Equi-join on the group (null groups meet) and further columns; the right side holds a
+    few rows per group."""
     keys = ["g", *more]
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    condition = same[0]
-    for other in same[1:]:
-        condition = condition & other
+    condition = F.col("g").eqNullSafe(F.col("_g"))
+    for key in more:
+        condition = condition & (F.col(key) == F.col(f"_{key}"))
     return left.join(renamed, condition).drop(*[f"_{k}" for k in keys])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.substring import keyword_hits
-from tablewright.operators.topk import BROADCAST_BYTES, DEFAULT_THRESHOLD, topk_join
+from tablewright.operators.topk import DEFAULT_THRESHOLD, topk_join
+from tablewright.session import work_folder
 
 # --- Fixed values -------------------------------------------------------------------
 SEARCH_K = 10
@@ -55,11 +56,15 @@ def search(
         F.col("position").alias("place"),
     )
     hits = words
-    vectors = embed(queries) if embed else queries
+    vectors = queries
+    if embed:
+        # Written once: the model is not asked again for the count, the scan, or a lost executor.
+        staged = f"{work_folder(queries.sparkSession)}/queries"
+        embed(queries).write.parquet(staged)
+        vectors = queries.sparkSession.read.parquet(staged)
     if index is not None and "embedding" in vectors.columns:
         near = topk_join(vectors, index, k, threshold)
-        count = queries.count() * k
-        found = with_texts(near, index, count).select(
+        found = with_texts(near, index, vectors.count() * k).select(
             "query_id",
             *HIT_TEXTS,
             "similarity",

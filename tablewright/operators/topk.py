@@ -41,11 +41,13 @@ class Vectors:
         lengths = np.diff(offsets)
         self.rows: dict[int, np.ndarray] = {}
         self.matrix: dict[int, np.ndarray] = {}
+        self.norms: dict[int, np.ndarray] = {}
         for length in np.unique(lengths):
             rows = np.flatnonzero(lengths == length)
             at = offsets[rows][:, None] + np.arange(length)
             self.rows[int(length)] = rows
             self.matrix[int(length)] = values[at].astype(np.float64, copy=False)
+            self.norms[int(length)] = np.linalg.norm(self.matrix[int(length)], axis=1)
         self.count = len(lengths)
 
     def similarity(self, start: int, stop: int, others: Vectors) -> np.ndarray:
@@ -57,9 +59,9 @@ class Vectors:
             low, high = np.searchsorted(rows, (start, stop))
             if low == high:
                 continue
-            a, b = self.matrix[length][low:high], others.matrix[length]
-            sizes = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-            cosine = np.divide(a @ b.T, sizes, out=np.zeros(sizes.shape), where=sizes != 0)
+            dots = self.matrix[length][low:high] @ others.matrix[length].T
+            sizes = np.outer(self.norms[length][low:high], others.norms[length])
+            cosine = np.divide(dots, sizes, out=np.zeros(sizes.shape), where=sizes != 0)
             out[np.ix_(rows[low:high] - start, others.rows[length])] = cosine
         return out
 
@@ -123,14 +125,18 @@ def _merge(best: pa.Table | None, waiting: list[pa.Table], k: int) -> pa.Table |
     return _best(pa.concat_tables(parts), k) if parts else None
 
 
-def _dimension(df: DataFrame) -> int:
-    row = df.select(F.size("vector").alias("n")).first()
-    return row["n"] if row else 0
+def _bytes(df: DataFrame, vector: str, bound: int) -> int:
+    """Size of the vectors as doubles.
 
-
-def _bytes(df: DataFrame) -> int:
-    """Size of the vectors as doubles; the count of a plain scan comes from the file footers."""
-    return 8 * max(1, _dimension(df)) * df.count()
+    First as if all were like the first one, with the rows of a plain scan counted from its file
+    footers. Only what seems to fit the bound is then measured in full, so a side is never sent
+    to the tasks on an estimate.
+    """
+    first = df.select(F.size(vector).alias("n")).first()
+    estimate = 8 * df.count() * (first["n"] if first and first["n"] else 0)
+    if estimate > bound:
+        return estimate
+    return 8 * (df.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0)
 
 
 def _collect(df: DataFrame) -> Vectors:
@@ -225,16 +231,14 @@ def topk_join(
 
     left = narrow(queries, query_id, query_vector)
     right = narrow(index, index_id, index_vector).where(F.size("vector") > 0)
-    query_bytes = _bytes(left)
+    query_bytes = _bytes(queries, query_vector, broadcast_bytes)
     if query_bytes <= broadcast_bytes:
         return _with_queries_everywhere(left, right, k, threshold)
-    index_bytes = _bytes(right)
+    index_bytes = _bytes(index, index_vector, broadcast_bytes)
     if index_bytes <= broadcast_bytes:
         return _with_index_everywhere(left, right, k, threshold)
-    return _with_blocks(
-        left, right, k, threshold,
-        math.ceil(query_bytes / broadcast_bytes), math.ceil(index_bytes / broadcast_bytes),
-    )
+    query_blocks, index_blocks = (math.ceil(n / broadcast_bytes) for n in (query_bytes, index_bytes))
+    return _with_blocks(left, right, k, threshold, query_blocks, index_blocks)
 
 
 def topk(
