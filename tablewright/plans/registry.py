@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.session import ship_package
 from tablewright.sources.connections import read_tables
 
 TABLES = [
@@ -39,7 +40,11 @@ def register(name: str, oracle: str | None = None):
     """Registers ``build(tables) -> DataFrame`` under ``name``."""
 
     def wrap(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        def query(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return build(Tables(spark, folder))
+
+        QUERIES[name] = query
         if oracle is not None:
             ORACLES[name] = oracle
         return build

@@ -80,7 +80,7 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
         "h.tables",
         "h.description",
         "h.source",
-        F.try_to_date("h.created", F.lit("yyyy-MM-dd")).alias("created"),
+        F.col("h.created").try_cast("date").alias("created"),
         "filename",
     )
 
