@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import SPACE, has_word, strip
+from tablewright.functions.text import SPACE_RANGES, has_word, strip
 
 # --- Fixed values -------------------------------------------------------------------
 WRITE_VERBS = (
@@ -20,7 +20,7 @@ def without_comments(sql: Column) -> Column:
 
 
 def first_word(sql: Column) -> Column:
-    return F.upper(F.regexp_substr(without_comments(sql), F.lit(f"^(?:(?!{SPACE})(?s:.))+")))
+    return F.upper(F.regexp_substr(without_comments(sql), F.lit(f"^[^{SPACE_RANGES}]+")))
 
 
 def is_write(sql: Column) -> Column:

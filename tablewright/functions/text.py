@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 # --- Fixed values -------------------------------------------------------------------
 # Whitespace as Python's str.strip/split and re's \s see it (Spark's trim takes only
 # the space, Java's \s only ASCII).
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{SPACE_RANGES}]"
 # A word character as Python's re sees it.
 WORD = r"[\p{L}\p{N}_]"
 
@@ -83,8 +84,8 @@ def _nfkd(s: pd.Series) -> pd.Series:
 
 def slugify(c: Column, fallback: str = "file", max_length: int = SLUG_LENGTH) -> Column:
     """A name safe for files: decomposed, lower case, words joined by single hyphens."""
-    kept = F.regexp_replace(F.lower(_nfkd(c)), f"(?:(?!{SPACE})[^\\p{{L}}\\p{{N}}_-])+", "")
-    joined = F.regexp_replace(kept, f"(?:-|{SPACE})+", "-")
+    kept = F.regexp_replace(F.lower(_nfkd(c)), f"[^\\p{{L}}\\p{{N}}_{SPACE_RANGES}-]+", "")
+    joined = F.regexp_replace(kept, f"[{SPACE_RANGES}-]+", "-")
     edged = F.regexp_replace(joined, r"^-+|-+\z", "")
     return F.coalesce(F.nullif(F.substring(edged, 1, max_length), F.lit("")), F.lit(fallback))
 

@@ -20,7 +20,10 @@ try:
 except ImportError:  # the join form needs no extra module
     ahocorasick = None
 
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
+# What a row costs beside its text, roughly, in a table sent to the tasks.
+ROW_BYTES = 64
 LADDER = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
@@ -44,27 +47,54 @@ def _grams(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
-def substring_pairs(patterns: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs ``(pattern, text_id)`` where the pattern occurs in one of the text's parts.
-
-    ``patterns(pattern)`` and ``texts(text_id, parts array<string>)`` are compared as they are.
-    Patterns are made distinct first, so copies of one pattern are joined once. Which ladder
-    lengths occur is the only thing brought to the driver: at most one number per rung.
-    """
-    keyed = (
+def _keyed(patterns: DataFrame) -> DataFrame:
+    """Distinct patterns with the leading characters they are looked up by."""
+    return (
         patterns.select("pattern").distinct()
         .withColumn("length", F.char_length("pattern"))
         .withColumn("head", _head_length(F.col("length")))
         .withColumn("gram", F.substring(F.col("pattern"), F.lit(1), F.col("head")))
     )
-    lengths = sorted(keyed.agg(F.collect_set("head").alias("used")).first()["used"])
-    grams = F.array_distinct(F.flatten(F.transform("parts", lambda t: _grams(t, lengths))))
-    found = texts.select("text_id", F.explode(grams).alias("gram"))
-    met = keyed.join(found, "gram").select("pattern", "length", "head", "text_id")
-    whole = met.where(F.col("length") == F.col("head")).select("pattern", "text_id")
-    longer = met.where(F.col("length") > F.col("head")).join(texts, "text_id")
-    checked = longer.where(F.exists("parts", lambda t: F.contains(t, F.col("pattern"))))
-    return whole.unionByName(checked.select("pattern", "text_id"))
+
+
+def _all_grams(lengths: list[int]) -> Column:
+    return F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda t: _grams(t, lengths)))))
+
+
+def _in_parts() -> Column:
+    """Whether the pattern is in a part; known already where it was looked up as a whole."""
+    whole = F.col("length") == F.col("head")
+    return whole | F.exists("parts", lambda t: F.contains(t, F.col("pattern")))
+
+
+def substring_pairs(
+    patterns: DataFrame, texts: DataFrame, small: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Pairs ``(pattern, text_id)`` where the pattern occurs in one of the text's parts.
+
+    ``patterns(pattern)`` and ``texts(text_id, parts array<string>)`` are compared as they are.
+    ``small`` says which side, "patterns" or "texts", is the dictionary. That side is measured and
+    sent to the tasks when it fits, so the other one is not shuffled; otherwise both are joined on
+    their keys. Only the ladder lengths in use and that size are brought to the driver.
+    """
+    keyed = _keyed(patterns)
+    size = F.sum(F.octet_length("pattern") + F.octet_length("gram") + ROW_BYTES)
+    use = keyed.agg(F.collect_set("head").alias("lengths"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    lengths = sorted(use["lengths"])
+    if small == "patterns" and use["size"] <= broadcast_bytes:
+        found = texts.select("text_id", "parts", _all_grams(lengths).alias("gram"))
+        return found.join(F.broadcast(keyed), "gram").where(_in_parts()).select("pattern", "text_id")
+    grams = texts.select("text_id", _all_grams(lengths).alias("gram"))
+    if small == "texts":
+        chars = F.aggregate("parts", F.lit(0), lambda n, t: n + F.char_length(t))
+        total = texts.agg(F.coalesce(F.sum(chars), F.lit(0)).alias("n")).first()["n"]
+        if total * max(1, len(lengths)) * (ROW_BYTES + max(lengths, default=0)) <= broadcast_bytes:
+            met = keyed.join(F.broadcast(grams), "gram")
+            return met.join(F.broadcast(texts), "text_id").where(_in_parts()).select("pattern", "text_id")
+    met = keyed.join(grams, "gram").select("pattern", "length", "head", "text_id")
+    whole = met.where(F.col("length") == F.col("head"))
+    longer = met.where(F.col("length") > F.col("head")).join(texts, "text_id").where(_in_parts())
+    return whole.select("pattern", "text_id").unionByName(longer.select("pattern", "text_id"))
 
 
 def keyword_hits(
@@ -72,6 +102,7 @@ def keyword_hits(
     dictionary: DataFrame,
     first: int | None = None,
     automaton_bytes: int = AUTOMATON_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Keywords that occur in each query, in any case: ``query_id, keyword, content, position``.
 
@@ -83,19 +114,46 @@ def keyword_hits(
     asked = queries.select("query_id", F.lower("text").alias("text"))
     if ahocorasick is not None and dictionary_bytes(entries, ["keyword", "content"]) <= automaton_bytes:
         return _automaton_hits(asked, entries, first)
-    return _join_hits(asked, entries, first)
+    return _join_hits(asked, entries, first, broadcast_bytes)
+
+
+class KeywordFinder:
+    """A dictionary's rows in keyword order and the automaton that finds them.
+
+    The automaton is built once per Python worker, which keeps the broadcast it came in.
+    """
+
+    def __init__(self, rows: list[tuple[str, str, str]]) -> None:
+        self.keywords = [r[0] for r in rows]
+        self.contents = [r[1] for r in rows]
+        self.places: dict[str, list[int]] = {}
+        for place, (_, _, pattern) in enumerate(rows):
+            self.places.setdefault(pattern, []).append(place)
+        self._automaton = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_automaton": None}
+
+    def find(self, text: str) -> set[int]:
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton()
+            for pattern, places in self.places.items():
+                if pattern:
+                    self._automaton.add_word(pattern, places)
+            self._automaton.make_automaton()
+        found = set(self.places.get("", ()))
+        if len(self._automaton):
+            for _, places in self._automaton.iter(text):
+                found.update(places)
+        return found
 
 
 def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) -> DataFrame:
-    rows = sorted((r["keyword"], r["content"], r["pattern"]) for r in entries.collect())
-    places: dict[str, list[int]] = {}
-    for place, (_, _, pattern) in enumerate(rows):
-        places.setdefault(pattern, []).append(place)
-    shared = asked.sparkSession.sparkContext.broadcast((rows, places))
-    id_type = asked.schema["query_id"].dataType
+    finder = KeywordFinder(sorted((r["keyword"], r["content"], r["pattern"]) for r in entries.collect()))
+    shared = asked.sparkSession.sparkContext.broadcast(finder)
     schema = T.StructType(
         [
-            T.StructField("query_id", id_type),
+            T.StructField("query_id", asked.schema["query_id"].dataType),
             T.StructField("keyword", T.StringType()),
             T.StructField("content", T.StringType()),
             T.StructField("position", T.IntegerType()),
@@ -103,25 +161,13 @@ def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) ->
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, places = shared.value
-        keywords = pa.array([r[0] for r in rows], pa.string())
-        contents = pa.array([r[1] for r in rows], pa.string())
-        always = places.get("", [])
-        finder = ahocorasick.Automaton()
-        for pattern, at in places.items():
-            if pattern:
-                finder.add_word(pattern, at)
-        finder.make_automaton()
+        finder = shared.value
+        keywords = pa.array(finder.keywords, pa.string())
+        contents = pa.array(finder.contents, pa.string())
         for batch in batches:
             source, hit, position = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                found = set(always)
-                if len(finder):
-                    for _, at in finder.iter(text):
-                        found.update(at)
-                best = sorted(found)[:first]
+                best = [] if text is None else sorted(finder.find(text))[:first]
                 source.extend([row] * len(best))
                 hit.extend(best)
                 position.extend(range(1, len(best) + 1))
@@ -129,24 +175,26 @@ def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) ->
             at = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [ids, keywords.take(at), contents.take(at), pa.array(position, pa.int32())],
-                names=["query_id", "keyword", "content", "position"],
+                names=schema.names,
             )
 
     return asked.mapInArrow(scan, schema)
 
 
-def _join_hits(asked: DataFrame, entries: DataFrame, first: int | None) -> DataFrame:
+def _join_hits(asked: DataFrame, entries: DataFrame, first: int | None, broadcast_bytes: int) -> DataFrame:
     texts = asked.where(F.col("text").isNotNull()).select(
         F.col("query_id").alias("text_id"), F.array("text").alias("parts")
     )
-    pairs = substring_pairs(entries, texts).withColumnRenamed("text_id", "query_id")
+    pairs = substring_pairs(entries, texts, "patterns", broadcast_bytes).withColumnRenamed("text_id", "query_id")
     hits = pairs.join(entries, "pattern").select("query_id", "keyword", "content")
     order = Window.partitionBy("query_id").orderBy("keyword")
     ranked = hits.withColumn("position", F.row_number().over(order))
     return ranked if first is None else ranked.where(F.col("position") <= first)
 
 
-def glossary_hits(queries: DataFrame, terms: DataFrame) -> DataFrame:
+def glossary_hits(
+    queries: DataFrame, terms: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Terms whose name or definition contains the query: ``query_id, term, definition``.
 
     ``queries(query_id, text)``, ``terms(term, definition)`` with unique terms. Each distinct
@@ -155,5 +203,5 @@ def glossary_hits(queries: DataFrame, terms: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.lower("text").alias("pattern")).where("pattern IS NOT NULL")
     parts = F.array(F.lower("term"), F.lower(F.coalesce("definition", F.lit(""))))
     texts = terms.select(F.col("term").alias("text_id"), parts.alias("parts"))
-    pairs = substring_pairs(asked, texts).withColumnRenamed("text_id", "term")
+    pairs = substring_pairs(asked, texts, "texts", broadcast_bytes).withColumnRenamed("text_id", "term")
     return asked.join(pairs, "pattern").join(terms, "term").select("query_id", "term", "definition")

@@ -39,31 +39,32 @@ class Vectors:
         offsets = lists.offsets.to_numpy()
         values = lists.values.to_numpy(zero_copy_only=False)
         lengths = np.diff(offsets)
+        self.count = len(lengths)
         self.rows: dict[int, np.ndarray] = {}
         self.matrix: dict[int, np.ndarray] = {}
         self.norms: dict[int, np.ndarray] = {}
-        for length in np.unique(lengths):
+        for length in map(int, np.unique(lengths)):
             rows = np.flatnonzero(lengths == length)
-            at = offsets[rows][:, None] + np.arange(length)
-            self.rows[int(length)] = rows
-            self.matrix[int(length)] = values[at].astype(np.float64, copy=False)
-            self.norms[int(length)] = np.linalg.norm(self.matrix[int(length)], axis=1)
-        self.count = len(lengths)
+            matrix = values[offsets[rows][:, None] + np.arange(length)].astype(np.float64, copy=False)
+            norms = np.linalg.norm(matrix, axis=1)
+            # A zero vector is similar to nothing: 0 over an endless norm is 0.
+            norms[norms == 0] = np.inf
+            self.rows[length], self.matrix[length], self.norms[length] = rows, matrix, norms
 
     def similarity(self, start: int, stop: int, others: Vectors) -> np.ndarray:
-        """Cosine of own rows ``start:stop`` with all of ``others``; 0 where it is undefined."""
-        out = np.zeros((stop - start, others.count))
+        """Cosine of own rows ``start:stop`` with all of ``others``; 0 where lengths differ."""
+        out = None
         for length, rows in self.rows.items():
-            if length == 0 or length not in others.rows:
-                continue
             low, high = np.searchsorted(rows, (start, stop))
-            if low == high:
+            if length == 0 or low == high or length not in others.rows:
                 continue
-            dots = self.matrix[length][low:high] @ others.matrix[length].T
-            sizes = np.outer(self.norms[length][low:high], others.norms[length])
-            cosine = np.divide(dots, sizes, out=np.zeros(sizes.shape), where=sizes != 0)
+            cosine = self.matrix[length][low:high] @ others.matrix[length].T
+            cosine /= self.norms[length][low:high, None] * others.norms[length][None, :]
+            if cosine.shape == (stop - start, others.count):
+                return cosine
+            out = np.zeros((stop - start, others.count)) if out is None else out
             out[np.ix_(rows[low:high] - start, others.rows[length])] = cosine
-        return out
+        return np.zeros((stop - start, others.count)) if out is None else out
 
 
 def _best(found: pa.Table, k: int) -> pa.Table:
@@ -77,23 +78,41 @@ def _best(found: pa.Table, k: int) -> pa.Table:
 
 
 def _matches(queries: Vectors, batch: Vectors, k: int, threshold: float) -> Iterator[pa.Table]:
-    """Rows of ``batch`` that are among each query's best k there; ties at the cut included."""
+    """Rows of ``batch`` that can be among each query's best k there.
+
+    The cut is half a rounding step below the k-th value, so all that round to it are kept.
+    """
     step = max(1, TILE_CELLS // max(1, batch.count))
+    slack = 0.51 * 10.0**-SIMILARITY_DIGITS
     for start in range(0, queries.count, step):
-        stop = min(start + step, queries.count)
-        exact = queries.similarity(start, stop, batch)
-        score = np.where(exact >= threshold, np.round(exact, SIMILARITY_DIGITS), -np.inf)
-        cut = -np.inf
+        exact = queries.similarity(start, min(start + step, queries.count), batch)
+        cut = np.full((len(exact), 1), threshold)
         if batch.count > k:
-            cut = np.partition(score, batch.count - k, axis=1)[:, batch.count - k][:, None]
-        q, i = np.nonzero((score >= cut) & (score > -np.inf))
-        yield pa.table({"query": q + start, "similarity": score[q, i], "id": batch.ids.take(pa.array(i))})
+            last = np.partition(exact, batch.count - k, axis=1)[:, batch.count - k, None]
+            cut = np.maximum(cut, np.round(last, SIMILARITY_DIGITS) - slack)
+        q, i = np.nonzero(exact >= cut)
+        score = np.round(exact[q, i], SIMILARITY_DIGITS)
+        yield pa.table({"query": q + start, "similarity": score, "id": batch.ids.take(pa.array(i))})
+
+
+def _vectors(table: pa.Table, shortest: int) -> Vectors:
+    """The rows that have a vector of at least that length."""
+    lengths = pc.list_value_length(table.column("vector"))
+    return Vectors(table.select(["key", "vector"]).filter(pc.greater_equal(lengths, shortest)))
+
+
+def _asked(table: pa.Table) -> Vectors:
+    return _vectors(table, 0)
+
+
+def _held(table: pa.Table) -> Vectors:
+    """An index row with an empty vector is never found."""
+    return _vectors(table, 1)
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
-        if batch.num_rows:
-            yield pa.Table.from_batches([batch])
+        yield pa.Table.from_batches([batch])
 
 
 def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:
@@ -139,10 +158,6 @@ def _bytes(df: DataFrame, vector: str, bound: int) -> int:
     return 8 * (df.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0)
 
 
-def _collect(df: DataFrame) -> Vectors:
-    return Vectors(df.toArrow())
-
-
 def _schema(queries: DataFrame, index: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -160,20 +175,20 @@ def _merge_tasks(partial: DataFrame, k: int) -> DataFrame:
 
 
 def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(_collect(queries))
+    shared = index.sparkSession.sparkContext.broadcast(_asked(queries.toArrow()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(shared.value, map(Vectors, _tables(batches)), k, threshold)
+        yield from _scan(shared.value, map(_held, _tables(batches)), k, threshold)
 
     return _merge_tasks(index.mapInArrow(scan, _schema(queries, index)), k)
 
 
 def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(_collect(index))
+    shared = index.sparkSession.sparkContext.broadcast(_held(index.toArrow()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _tables(batches):
-            yield from _scan(Vectors(table), iter([shared.value]), k, threshold)
+            yield from _scan(_asked(table), iter([shared.value]), k, threshold)
 
     return queries.mapInArrow(scan, _schema(queries, index))
 
@@ -195,10 +210,7 @@ def _with_blocks(
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            found = list(_scan(
-                Vectors(left.select(["key", "vector"])),
-                iter([Vectors(right.select(["key", "vector"]))]), k, threshold,
-            ))
+            found = list(_scan(_asked(left), iter([_held(right)]), k, threshold))
         empty = {"query_id": left.schema.field("key").type, "id": right.schema.field("key").type,
                  "similarity": pa.float64(), "rank": pa.int32()}
         return pa.Table.from_batches(found, schema=pa.schema(empty))
@@ -225,12 +237,8 @@ def topk_join(
     another length has similarity 0.
     """
 
-    def narrow(df: DataFrame, id_: str, vector: str) -> DataFrame:
-        filled = F.col(vector).isNotNull()
-        return df.where(filled).select(F.col(id_).alias("key"), F.col(vector).alias("vector"))
-
-    left = narrow(queries, query_id, query_vector)
-    right = narrow(index, index_id, index_vector).where(F.size("vector") > 0)
+    left = queries.select(F.col(query_id).alias("key"), F.col(query_vector).alias("vector"))
+    right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
     query_bytes = _bytes(queries, query_vector, broadcast_bytes)
     if query_bytes <= broadcast_bytes:
         return _with_queries_everywhere(left, right, k, threshold)
@@ -252,13 +260,10 @@ def topk(
     """The best k rows for one vector, with all their columns but the vector."""
     query = Vectors(pa.table({"key": [0], "vector": pa.array([vector], pa.list_(pa.float64()))}))
     key = T.StructType([T.StructField("key", T.LongType())])
-    narrow = (
-        index.where(F.size(F.coalesce(index_vector, F.array().cast(index.schema[index_vector].dataType))) > 0)
-        .select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
-    )
+    narrow = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(query, map(Vectors, _tables(batches)), k, threshold)
+        yield from _scan(query, map(_held, _tables(batches)), k, threshold)
 
     schema = T.StructType(
         [T.StructField("query_id", key["key"].dataType), T.StructField("id", narrow.schema["key"].dataType),

@@ -22,7 +22,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 # --- Letter counts stand in for a model's vectors, so that SQL can make the same ones. -----
 def letter_counts(texts: list[str]) -> list[list[float]]:
-    return [[float(t.lower().count(letter)) for letter in LETTERS] for t in texts]
+    return [[float(low.count(letter)) for letter in LETTERS] for low in map(str.lower, texts)]
 
 
 def letter_vector(text: Column) -> Column:
@@ -239,9 +239,13 @@ def one_vector(tables: Tables) -> DataFrame:
     return found.select("id", "question", "source", "similarity")
 
 
+def first_word(text: Column) -> Column:
+    return F.regexp_extract(text, "^[^ \\n]*", 0)
+
+
 def word_dictionary(tables: Tables) -> DataFrame:
     """The first word of each document, with the sources it opens documents of."""
-    word = F.split("text", "[ \\n]")[0]
+    word = first_word(F.col("text"))
     return tables.documents.groupBy(word.alias("keyword")).agg(F.max("source").alias("content"))
 
 
@@ -273,6 +277,12 @@ def keywords_by_join(tables: Tables) -> DataFrame:
     return keyword_hits(turns(tables), word_dictionary(tables), automaton_bytes=0)
 
 
+@register("keyword_match_by_shuffle", KEYWORD_SQL)
+def keywords_by_shuffle(tables: Tables) -> DataFrame:
+    """The form for a dictionary too large to be sent to the tasks at all."""
+    return keyword_hits(turns(tables), word_dictionary(tables), automaton_bytes=0, broadcast_bytes=0)
+
+
 @register(
     "glossary_match",
     """
@@ -284,7 +294,7 @@ SELECT query_id, term, definition FROM asked
 JOIN terms ON contains(lower(term), q) OR contains(lower(coalesce(definition, '')), q)""",
 )
 def glossary(tables: Tables) -> DataFrame:
-    asked = tables.documents.select(F.col("doc_id").alias("query_id"), F.split("text", "[ \\n]")[0].alias("text"))
+    asked = tables.documents.select(F.col("doc_id").alias("query_id"), first_word(F.col("text")).alias("text"))
     items = tables.benchmark
     terms = items.select(F.concat(F.lit("Item "), "item_id").alias("term"), F.col("text").alias("definition"))
     empty = items.select(

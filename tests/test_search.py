@@ -47,8 +47,8 @@ def test_keyword_hits_random(spark, seed):
     q = spark.createDataFrame(queries, "query_id int, text string")
     d = spark.createDataFrame(words, "keyword string, content string")
     want = plain_hits(queries, words)
-    for size in (1 << 20, 0):
-        got = keyword_hits(q, d, None, size).select("query_id", "keyword", "content", "position")
+    for sizes in ((1 << 20, 0), (0, 1 << 20), (0, 0)):
+        got = keyword_hits(q, d, None, *sizes).select("query_id", "keyword", "content", "position")
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
@@ -57,14 +57,17 @@ def test_empty_dictionary(spark):
     d = spark.createDataFrame([], "keyword string, content string")
     assert keyword_hits(q, d).count() == 0
     assert keyword_hits(q, d, None, -1).count() == 0
+    assert keyword_hits(q, d, None, -1, -1).count() == 0
 
 
-def test_glossary_hits(spark):
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_glossary_hits(spark, size):
     terms = [("Annual Recurring", "ARR is revenue"), ("Churn", None), ("LTV", "lifetime of churned users")]
     queries = [(1, "churn"), (2, "CHURN"), (3, "arr"), (4, "zzz"), (5, ""), (6, "recurring"), (7, None), (8, "lifetime of churned usersX")]
     got = glossary_hits(
         spark.createDataFrame(queries, "query_id int, text string"),
         spark.createDataFrame(terms, "term string, definition string"),
+        size,
     )
     want = [
         (q, t, d)
