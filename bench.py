@@ -22,7 +22,7 @@ HEADLINE = [
     "profile_lineitem", "profile_rated_documents",
     "classify_statements", "questions_from_titles", "slugify_documents", "stable_ids", "format_scalars",
     "index_upsert", "index_stats", "topk_join", "topk_single",
-    "keyword_match", "keyword_match_by_join", "glossary_match", "unified_search", "embed_documents",
+    "keyword_match", "glossary_match", "unified_search", "embed_documents",
     "usage_filter", "lakeview_extract", "first_seen_dedupe", "superset_coalesce", "dashboard_load",
     "multi_series", "pie_share", "histogram", "heatmap2d", "box_stats",
     "slot_scalars", "snapshot_restore", "job_latest_state", "query_log_stats",

@@ -144,15 +144,16 @@ def double_text(c: Column) -> Column:
 
 def value_text(c: Column, data_type: T.DataType) -> Column:
     """A value as text, doubles in plain digits."""
+    if isinstance(data_type, T.BooleanType):
+        return F.when(c, "True").when(~c, "False")
     return double_text(c) if isinstance(data_type, T.DoubleType) else c.cast("string")
 
 
 def format_scalar(c: Column, data_type: T.DataType) -> Column:
     """A value for display: doubles by size (millions, whole, two decimals), others as text."""
-    if isinstance(data_type, T.BooleanType):
-        return F.when(c, "True").when(~c, "False").otherwise("None")
-    if not isinstance(data_type, T.DoubleType):
-        return F.coalesce(c.cast("string"), F.lit("None"))
+    if not isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return F.coalesce(value_text(c, data_type), F.lit("None"))
+    c = c.cast("double")
     millions = F.concat(F.format_number(c / 1e6, 1), F.lit("M"))
     return (
         F.when(c.isNull(), "None")

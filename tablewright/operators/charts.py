@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.quantiles import count_groups, exact_quantiles, join_groups
 
 # --- Fixed values -------------------------------------------------------------------
 WHISKER_IQR = 1.5
 QUARTILES = [0.25, 0.5, 0.75]
 # ------------------------------------------------------------------------------------
+FENCE_BYTES = 128
 
 
 def series(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:
@@ -81,23 +82,17 @@ def heatmap(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 
 def box(df: DataFrame, x: str, y: str) -> DataFrame:
     """Quartiles per x, the furthest values within 1.5 IQR, and how many lie beyond."""
-    quartiles = exact_quantiles(df, x, y, QUARTILES).select(
-        F.col(x).alias("_x"),
-        "n",
-        *[F.col("quantiles")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))],
+    rows = df.where(F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+    quartiles = exact_quantiles(rows, "x", "y", QUARTILES).select(
+        "x", "n", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     )
     reach = WHISKER_IQR * (F.col("q3") - F.col("q1"))
-    fenced = quartiles.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
-    value = F.col(y).cast("double")
-    inside = value.between(F.col("low"), F.col("high"))
-    return (
-        df.where(F.col(y).isNotNull())
-        .join(fenced, F.col(x).eqNullSafe(F.col("_x")))
-        .groupBy("_x", "n", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, value)).alias("whisker_low"),
-            F.max(F.when(inside, value)).alias("whisker_high"),
-            F.count_if(~inside).alias("outliers"),
-        )
-        .withColumnRenamed("_x", "x")
+    fences = quartiles.select("x", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    inside = F.col("y").between(F.col("low"), F.col("high"))
+    size = count_groups(rows, "x") * FENCE_BYTES
+    whiskers = join_groups(rows, fences, ["x"], size).groupBy("x").agg(
+        F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"),
     )
+    return join_groups(quartiles, whiskers, ["x"], size)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
-SKETCH_ACCURACY = 10 * SLICES
+# Slices per group, fewer where there are many groups, so that all edges stay within a bound.
+MAX_SLICES, MIN_SLICES = 2048, 128
+SLICE_BYTES = 16
+BROADCAST_BYTES = 32 << 20
+SALTS = 32
 
 
 def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
@@ -20,9 +26,13 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
     rows = df.where(F.col(value).isNotNull()).select(
         F.col(group).alias("g"), F.col(value).cast("double").alias("v")
     )
-    sliced = _with_slice(rows)
+    groups = count_groups(rows, "g")
+    slices = MAX_SLICES
+    while slices > MIN_SLICES and groups * slices * SLICE_BYTES > BROADCAST_BYTES:
+        slices //= 2
+    sliced = _with_slice(rows, groups, slices)
     sizes = sliced.groupBy("g", "slice").agg(F.count("*").alias("size"))
-    # At most SLICES rows per group in these windows.
+    # At most one row per group and slice in these windows.
     start = F.sum("size").over(Window.partitionBy("g").orderBy("slice")) - F.col("size")
     sizes = sizes.withColumns({"start": start, "n": F.sum("size").over(Window.partitionBy("g"))})
     targets = F.array(*[F.lit(p) * (F.col("n") - 1) for p in points])
@@ -30,7 +40,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
     here = F.filter(ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size")))
     wanted = sizes.withColumn("ranks", here).where(F.size("ranks") > 0).drop("size")
     folded = (
-        _join_group(sliced, wanted, "slice")
+        join_groups(sliced, wanted, ["g", "slice"], groups * len(points) * 2 * SLICE_BYTES * 8)
         .groupBy("g", "n", "slice", "start", "ranks", "v")
         .agg(F.count("*").alias("c"))
     )
@@ -51,13 +61,13 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
     )
 
 
-def _with_slice(rows: DataFrame) -> DataFrame:
+def _with_slice(rows: DataFrame, groups: int, slices: int) -> DataFrame:
     """Adds the number of the group's edges that lie below the value, by binary search."""
-    shares = [i / SLICES for i in range(1, SLICES)]
-    proposed = F.percentile_approx("v", shares, SKETCH_ACCURACY)
+    shares = [i / slices for i in range(1, slices)]
+    proposed = F.percentile_approx("v", shares, 10 * slices)
     edges = rows.groupBy("g").agg(F.array_sort(F.array_distinct(proposed)).alias("edges"))
-    sliced = _join_group(rows, edges).withColumn("slice", F.lit(0))
-    step = SLICES // 2
+    sliced = join_groups(rows, edges, ["g"], groups * slices * SLICE_BYTES).withColumn("slice", F.lit(0))
+    step = slices // 2
     while step:
         below = F.get("edges", F.col("slice") + (step - 1)) < F.col("v")
         sliced = sliced.withColumn("slice", F.col("slice") + F.when(below, step).otherwise(0))
@@ -65,12 +75,23 @@ def _with_slice(rows: DataFrame) -> DataFrame:
     return sliced.drop("edges")
 
 
-def _join_group(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
-    """Equi-join on the group (null groups meet) and further columns; the right side holds a
-    few rows per group."""
-    keys = ["g", *more]
-    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    condition = F.col("g").eqNullSafe(F.col("_g"))
-    for key in more:
-        condition = condition & (F.col(key) == F.col(f"_{key}"))
-    return left.join(renamed, condition).drop(*[f"_{k}" for k in keys])
+def count_groups(df: DataFrame, group: str) -> int:
+    return df.select(group).distinct().count()
+
+
+def join_groups(rows: DataFrame, per_group: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows with what is known of their group; null groups meet.
+
+    The group side goes to the tasks when ``size`` (bytes, from the counted groups) is within the
+    bound. Otherwise both sides are joined by shuffle, the rows of each group spread over salts,
+    so that a group with most of the rows is no hot task.
+    """
+    other = per_group.withColumnsRenamed({k: f"_{k}" for k in keys})
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(other), condition)
+    else:
+        salted = rows.withColumn("_salt", (F.rand(SALTS) * SALTS).cast("int"))
+        copies = other.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, condition & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
+    return joined.drop(*[f"_{k}" for k in keys])

@@ -131,8 +131,8 @@ q AS (
   SELECT event_type AS x, count(*) AS n, quantile_cont(cubed, 0.25) AS q1,
          quantile_cont(cubed, 0.5) AS median, quantile_cont(cubed, 0.75) AS q3
   FROM v GROUP BY 1)
-SELECT x, n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-       round(min(cubed) FILTER (inside), 4) AS whisker_low, round(max(cubed) FILTER (inside), 4) AS whisker_high,
+SELECT x, n, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3,
+       round(min(cubed) FILTER (inside), 8) AS whisker_low, round(max(cubed) FILTER (inside), 8) AS whisker_high,
        count(*) FILTER (NOT inside) AS outliers
 FROM (SELECT q.*, cubed, cubed BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
       FROM v JOIN q ON event_type = x) j
@@ -141,21 +141,21 @@ GROUP BY x, n, q1, median, q3""",
 def box_outliers(tables: Tables) -> DataFrame:
     cubed = tables.events.select("event_type", (F.col("value") * F.col("value") * F.col("value")).alias("cubed"))
     marks = charts.box(cubed, "event_type", "cubed")
-    return marks.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
+    return marks.withColumns({c: F.round(c, 8) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")})
 
 
 @register(
     "exact_quantiles",
     """
-SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.01), 4) AS p01,
-       round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.999), 4) AS p999
+SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.01), 7) AS p01,
+       round(quantile_cont(o_totalprice, 0.5), 7) AS p50, round(quantile_cont(o_totalprice, 0.999), 7) AS p999
 FROM orders GROUP BY o_orderpriority""",
 )
 def quantiles(tables: Tables) -> DataFrame:
     found = exact_quantiles(tables.orders, "o_orderpriority", "o_totalprice", [0.01, 0.5, 0.999])
     return found.select(
         "o_orderpriority", "n",
-        *[F.round(F.col("quantiles")[i], 4).alias(name) for i, name in enumerate(("p01", "p50", "p999"))],
+        *[F.round(F.col("quantiles")[i], 7).alias(name) for i, name in enumerate(("p01", "p50", "p999"))],
     )
 
 
@@ -300,12 +300,12 @@ def event_log(tables: Tables) -> DataFrame:
     "query_log_stats",
     """
 SELECT strftime(ts, '%Y-%m-%d') AS day, upper(event_type) AS first_word, count(*) AS runs,
-       CAST(sum(user_id) AS BIGINT) AS "rows", round(avg(value), 4) AS avg_ms, max(value) AS max_ms
+       CAST(sum(user_id) AS BIGINT) AS "rows", round(avg(value), 9) AS avg_ms, max(value) AS max_ms
 FROM events GROUP BY 1, 2""",
 )
 def log_stats(tables: Tables) -> DataFrame:
     stats = query_log_stats(event_log(tables))
-    return stats.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return stats.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "avg_ms": F.round("avg_ms", 9)})
 
 
 @register(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.index import last_per_key
 
@@ -26,17 +28,43 @@ def read_dashboards(spark: SparkSession, path: str, whole_files: bool = True) ->
     return raw.select("file_name", line.alias("position"), "payload")
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _yaml_map(texts: pd.Series) -> pd.Series:
+    """A YAML map as strings; anything else is an empty map."""
+    import yaml
+
+    def entries(text: str) -> dict:
+        try:
+            found = yaml.safe_load(text)
+        except yaml.YAMLError:
+            return {}
+        found = found if isinstance(found, dict) else {}
+        return {str(k): None if v is None else str(v) for k, v in found.items()}
+
+    return texts.map(entries)
+
+
 def read_dictionary(
     spark: SparkSession, path: str, key: str = "keyword", value: str = "content", format: str = "parquet"
 ) -> DataFrame:
-    """A two-column dictionary with unique keys, the last entry of a key winning; one that does
-    not have the two columns reads as empty."""
+    """A two-column dictionary with unique keys, the last entry of a key winning.
+
+    Parquet and the like hold the two columns; ``yaml`` is one map of key to text per file. What
+    has another shape reads as empty.
+    """
     schema = f"{key} string, {value} string"
-    try:
-        reader = spark.read.option("header", True) if format == "csv" else spark.read
-        rows = reader.format(format).load(path).select(key, value)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    if format == "yaml":
+        try:
+            files = spark.read.text(path, wholetext=True)
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
+        rows = files.select(F.explode(_yaml_map("value")).alias(key, value))
+    else:
+        try:
+            reader = spark.read.option("header", True) if format == "csv" else spark.read
+            rows = reader.format(format).load(path).select(key, value)
+        except AnalysisException:
+            return spark.createDataFrame([], schema)
     numbered = rows.where(F.col(key).isNotNull()).withColumn("_place", F.monotonically_increasing_id())
     return last_per_key(numbered, key, "_place").select(F.col(key).cast("string"), F.col(value).cast("string"))
 

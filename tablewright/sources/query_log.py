@@ -39,7 +39,7 @@ def query_log_stats(log: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("runs"),
             F.sum("rows").alias("rows"),
-            F.round(F.avg("elapsed_ms"), 4).alias("avg_ms"),
+            F.avg("elapsed_ms").alias("avg_ms"),
             F.max("elapsed_ms").alias("max_ms"),
         )
     )

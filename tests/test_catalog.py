@@ -46,11 +46,17 @@ def test_profile_empty(spark):
 
 
 def test_describe(spark):
-    df = spark.createDataFrame([(3, "c"), (1, None), (2, "b"), (0, "z")], "k int not null, v string")
+    df = spark.createDataFrame(
+        [(3, "c", True, 1.0), (1, None, None, 1e8), (2, "b", False, 0.5), (0, "z", True, None)],
+        "k int not null, v string, b boolean, f double",
+    )
     got = [tuple(r) for r in describe(df, ["k"]).collect()]
-    assert got == [("k", "int", False, "0, 1, 2"), ("v", "string", True, "z, b")]
+    assert got == [
+        ("k", "int", False, "0, 1, 2"), ("v", "string", True, "z, b"), ("b", "boolean", True, "True, False"),
+        ("f", "double", True, "100000000.0, 0.5"),
+    ]
     empty = [tuple(r) for r in describe(df.limit(0)).collect()]
-    assert empty == [("k", "int", False, ""), ("v", "string", True, "")]
+    assert [r[0] for r in empty] == ["k", "v", "b", "f"] and {r[3] for r in empty} == {""}
 
 
 def test_listing(spark):

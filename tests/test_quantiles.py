@@ -3,12 +3,13 @@ import random
 import numpy as np
 import pytest
 
-from tablewright.operators import charts
+from tablewright.operators import charts, quantiles
 from tablewright.operators.quantiles import exact_quantiles
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_exact_quantiles(spark, seed):
+@pytest.mark.parametrize("seed,bound", [(1, 32 << 20), (2, 0)])
+def test_exact_quantiles(spark, seed, bound, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_BYTES", bound)
     rng = random.Random(seed)
     groups = {
         "hot": [rng.gauss(0, 100) for _ in range(20000)],

@@ -45,6 +45,16 @@ def test_dictionary(spark, tmp_path):
     assert read_dictionary(spark, str(tmp_path / "none")).columns == ["keyword", "content"]
 
 
+def test_yaml_dictionary(spark, tmp_path):
+    (tmp_path / "words.yaml").write_text("revenue: \"R: sum\"\nchurn: C\n1: null\n")
+    got = read_dictionary(spark, str(tmp_path / "words.yaml"), format="yaml").orderBy("keyword")
+    assert [tuple(r) for r in got.collect()] == [("1", None), ("churn", "C"), ("revenue", "R: sum")]
+    for text in ("- a\n- b\n", "a: [", ""):
+        (tmp_path / "bad.yaml").write_text(text)
+        assert read_dictionary(spark, str(tmp_path / "bad.yaml"), "term", "definition", "yaml").count() == 0
+    assert read_dictionary(spark, str(tmp_path / "none.yaml"), format="yaml").count() == 0
+
+
 def test_rows_from_json(spark):
     got = rows_from_json(spark, '[{"month": "Jan", "n": 1}, {"month": "Feb", "n": 2, "extra": null}]')
     assert [(r["month"], r["n"]) for r in got.collect()] == [("Jan", 1), ("Feb", 2)]
