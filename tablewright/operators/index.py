@@ -50,18 +50,27 @@ def _batch(rows: DataFrame, order_by: str | None, keep_vector: bool) -> DataFram
     return latest.select("id", *filled)
 
 
-def _replace(index: DataFrame, batch: DataFrame, now: datetime, carried: list[str]) -> DataFrame:
-    ids = batch.select("id")
-    known = index.join(ids, "id", "left_semi").select("id", *carried)
+def _changed(index: DataFrame, batch: DataFrame, now: datetime, carried: list[str]) -> DataFrame:
+    known = index.join(batch.select("id"), "id", "left_semi").select("id", *carried)
     fresh = batch.join(known, "id", "left")
     stamp = F.lit(now).cast("timestamp")
-    fresh = fresh.withColumns(
-        {"created_at": F.coalesce("created_at", stamp), "updated_at": stamp}
-    )
+    fresh = fresh.withColumns({"created_at": F.coalesce("created_at", stamp), "updated_at": stamp})
     if "embedding" in carried:
         fresh = fresh.withColumn("embedding", F.coalesce("embedding", no_vector()))
-    kept = index.join(ids, "id", "left_anti")
-    return kept.unionByName(fresh.select(*index.columns))
+    return fresh.select(*index.columns)
+
+
+def _replace(index: DataFrame, batch: DataFrame, now: datetime, carried: list[str]) -> DataFrame:
+    kept = index.join(batch.select("id"), "id", "left_anti")
+    return kept.unionByName(_changed(index, batch, now, carried))
+
+
+def changes(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | None = None) -> DataFrame:
+    """Only the rows an ``upsert`` would write, complete, one per id.
+
+    For an index kept in a table format with MERGE: there the rest need not be rewritten.
+    """
+    return _changed(index, _batch(rows, order_by, keep_vector=False), now, ["created_at"])
 
 
 def upsert(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | None = None) -> DataFrame:

@@ -45,7 +45,11 @@ class Vectors:
         self.norms: dict[int, np.ndarray] = {}
         for length in map(int, np.unique(lengths)):
             rows = np.flatnonzero(lengths == length)
-            matrix = values[offsets[rows][:, None] + np.arange(length)].astype(np.float64, copy=False)
+            if len(rows) == self.count:
+                matrix = values[offsets[0] : offsets[-1]].reshape(self.count, length)
+            else:
+                matrix = values[offsets[rows][:, None] + np.arange(length)]
+            matrix = matrix.astype(np.float64, copy=False)
             norms = np.linalg.norm(matrix, axis=1)
             # A zero vector is similar to nothing: 0 over an endless norm is 0.
             norms[norms == 0] = np.inf
@@ -111,8 +115,12 @@ def _held(table: pa.Table) -> Vectors:
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut so that their vectors stay within the tile size, however long they are."""
     for batch in batches:
-        yield pa.Table.from_batches([batch])
+        longest = pc.max(pc.list_value_length(batch.column(1))).as_py() or 1
+        rows = max(1, TILE_CELLS // longest)
+        for start in range(0, batch.num_rows, rows):
+            yield pa.Table.from_batches([batch.slice(start, rows)])
 
 
 def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:

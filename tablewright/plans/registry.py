@@ -30,7 +30,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return read_tables(self.spark, self.folder, [name])[name]
+        table = read_tables(self.spark, self.folder, [name])[name]
+        setattr(self, name, table)
+        return table
 
     def all(self) -> dict[str, DataFrame]:
         return read_tables(self.spark, self.folder, TABLES)

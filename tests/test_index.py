@@ -40,6 +40,13 @@ def test_replace_keeps_created(spark, index):
     assert (got["b"]["updated_at"], len(got)) == (T1, 2)
 
 
+def test_changes_are_what_upsert_writes(spark, index):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("n", "z", 1)], "id string, question string, seq int")
+    changed, whole = by_id(ix.changes(index, rows, T2, "seq")), by_id(ix.upsert(index, rows, T2, "seq"))
+    assert set(changed) == {"a", "n"}
+    assert all(whole[i] == row for i, row in changed.items())
+
+
 def test_edit_keeps_vector(spark, index):
     rows = spark.createDataFrame([("a", "new"), ("z", "unknown")], "id string, question string")
     got = by_id(ix.edit(index, rows, T2))

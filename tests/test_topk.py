@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import tablewright.operators.topk as topk_module
 from tablewright.functions.vectors import cosine
 from tablewright.operators.topk import topk, topk_join
 
@@ -69,30 +71,29 @@ def test_topk_join_against_brute_force(spark, seed, k, threshold, form, monkeypa
     i = spark.createDataFrame(index + [("none", None)], "id string, embedding array<double>").repartition(5)
     bound = {"queries": 1 << 20, "index": 1 << 20, "blocks": 500}[form]
     if form == "index":
-        import tablewright.operators.topk as module
-
-        real = module._bytes
-        monkeypatch.setattr(module, "_bytes", lambda df, v, b: b + 1 if "query_id" in df.columns else real(df, v, b))
+        real = topk_module._bytes
+        monkeypatch.setattr(topk_module, "_bytes", lambda df, v, b: b + 1 if "query_id" in df.columns else real(df, v, b))
     got = topk_join(q, i, k, threshold, broadcast_bytes=bound)
     rows = sorted(tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect())
     assert rows == plain_topk(queries, index, k, threshold)
 
 
-def test_small_tiles(spark, monkeypatch):
-    import tablewright.operators.topk as module
-
-    monkeypatch.setattr(module, "TILE_CELLS", 7)
+def test_small_tiles(monkeypatch):
+    """Batches and tiles cut to a few cells, as large ones are."""
+    monkeypatch.setattr(topk_module, "TILE_CELLS", 7)
     queries, index = fixture(9)
-    def table(rows):
-        return module.Vectors(
-            pa.table({"key": [r[0] for r in rows], "vector": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
-        )
-
-    index = [r for r in index if r[1]]
-    batches = [table(index[n : n + 40]) for n in range(0, len(index), 40)]
-    found = list(module._scan(table(queries), iter(batches), 4, 0.1))
+
+    def batch(rows):
+        vectors = pa.array([r[1] for r in rows], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), vectors], names=["key", "vector"])
+
+    held = [batch(index[n : n + 40]) for n in range(0, len(index), 40)]
+    stream = map(topk_module._held, topk_module._tables(iter(held)))
+    asked = topk_module._asked(pa.Table.from_batches([batch(queries)]))
+    found = list(topk_module._scan(asked, stream, 4, 0.1))
     rows = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
-    assert rows == plain_topk(queries, index, 4, 0.1)
+    exact = [[(i, [float(np.float32(x)) for x in v]) for i, v in side] for side in (queries, index)]
+    assert rows == plain_topk(*exact, 4, 0.1)
 
 
 def test_topk(spark):
