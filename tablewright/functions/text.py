@@ -39,6 +39,10 @@ ID_HEX_DIGITS = 16
 SECRET_WORDS = ("secret", "password", "token", "key", "api_key")
 MASKED_SECRET = "****"
 NO_VALUE = "—"
+MISSING_VALUE = "None"
+
+CHART_TEXT = "Question: %s\nSQL Pattern:\n%s"
+SCHEMA_TEXT = "Question: %s\nSchema: %s"
 # ------------------------------------------------------------------------------------
 
 
@@ -152,11 +156,11 @@ def value_text(c: Column, data_type: T.DataType) -> Column:
 def format_scalar(c: Column, data_type: T.DataType) -> Column:
     """A value for display: doubles by size (millions, whole, two decimals), others as text."""
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.coalesce(value_text(c, data_type), F.lit("None"))
+        return F.coalesce(value_text(c, data_type), F.lit(MISSING_VALUE))
     c = c.cast("double")
     millions = F.concat(F.format_number(c / 1e6, 1), F.lit("M"))
     return (
-        F.when(c.isNull(), "None")
+        F.when(c.isNull(), MISSING_VALUE)
         .when(F.isnan(c), "nan")
         .when(c == float("inf"), "$infM")
         .when(c == float("-inf"), "-infM")
@@ -186,9 +190,9 @@ def pattern_text(question: Column, description: Column, sql: Column) -> Column:
 
 def chart_text(question: Column, sql: Column, sql_chars: int = EMBED_SQL_CHARS) -> Column:
     """The text embedded for a dashboard chart."""
-    return F.concat(F.lit("Question: "), question, F.lit("\nSQL Pattern:\n"), truncate(sql, sql_chars))
+    return F.format_string(CHART_TEXT, question, truncate(sql, sql_chars))
 
 
 def schema_text(question: Column, description: Column) -> Column:
     """The text embedded for a table's schema."""
-    return F.concat(F.lit("Question: "), question, F.lit("\nSchema: "), description)
+    return F.format_string(SCHEMA_TEXT, question, description)

@@ -22,6 +22,7 @@ FILTER_WIDGET = "filter"
 MIN_VIEWS = 10
 LOOKBACK_DAYS = 90
 DASHBOARD_ID_SHOWN = 8
+UNNAMED_DASHBOARD, UNNAMED_REPORT, UNNAMED_WORKBOOK = "Dashboard ", "Report ", "Workbook "
 # ------------------------------------------------------------------------------------
 
 CHART_COLUMNS = ("dashboard_id", "dashboard_title", "element_id", "element_title", "sql")
@@ -100,7 +101,7 @@ def lakeview_charts(dashboards: DataFrame) -> DataFrame:
         lambda ref: or_blank(ref) != "",
     )
     title = first_filled(F.col("w.spec.frame.title"), F.col("w.displayName"))
-    fallback = F.concat(F.lit("Dashboard "), F.substring("dashboard_id", 1, DASHBOARD_ID_SHOWN))
+    fallback = F.concat(F.lit(UNNAMED_DASHBOARD), F.substring("dashboard_id", 1, DASHBOARD_ID_SHOWN))
     return (
         widgets.where(~F.startswith(or_blank(F.col("w.spec.widgetType")), F.lit(FILTER_WIDGET)))
         .withColumns({"title": title, "reference": F.get(references, F.lit(0))})
@@ -159,7 +160,7 @@ def looker_charts(dashboards: DataFrame, usage: DataFrame, limit: int = 0) -> Da
         .select(
             "dashboard_id",
             F.coalesce(
-                F.nullif("title", F.lit("")), F.concat(F.lit("Dashboard "), "dashboard_id")
+                F.nullif("title", F.lit("")), F.concat(F.lit(UNNAMED_DASHBOARD), "dashboard_id")
             ).alias("dashboard_title"),
             F.col("e.id").alias("element_id"),
             F.col("e.title").alias("element_title"),
@@ -181,7 +182,7 @@ def redash_charts(dashboards: DataFrame) -> DataFrame:
     charts = widgets.select(
         F.struct("position", "place").alias("listed"),
         or_blank(F.col("slug")).alias("dashboard_id"),
-        F.coalesce("name", F.concat(F.lit("Dashboard "), or_blank(F.col("slug")))).alias("dashboard_title"),
+        F.coalesce("name", F.concat(F.lit(UNNAMED_DASHBOARD), or_blank(F.col("slug")))).alias("dashboard_title"),
         or_blank(query["id"]).alias("element_id"),
         title.alias("element_title"),
         query["query"].alias("sql"),
@@ -204,7 +205,7 @@ def superset_charts(charts: DataFrame) -> DataFrame:
         .where((or_blank(F.col("slice_name")) != "") & _long_enough(F.col("sql")))
         .select(
             F.col("dashboard_id").cast("string").alias("dashboard_id"),
-            F.coalesce("dashboard_title", F.concat(F.lit("Dashboard "), "dashboard_id")).alias("dashboard_title"),
+            F.coalesce("dashboard_title", F.concat(F.lit(UNNAMED_DASHBOARD), "dashboard_id")).alias("dashboard_title"),
             F.col("id").cast("string").alias("element_id"),
             F.col("slice_name").alias("element_title"),
             "sql",
@@ -232,7 +233,7 @@ def mode_charts(reports: DataFrame) -> DataFrame:
         .where(_long_enough(F.col("q.raw_query")) & (or_blank(F.col("q.name")) != ""))
         .select(
             F.col("token").alias("dashboard_id"),
-            F.coalesce("name", F.concat(F.lit("Report "), "token")).alias("dashboard_title"),
+            F.coalesce("name", F.concat(F.lit(UNNAMED_REPORT), "token")).alias("dashboard_title"),
             or_blank(F.col("q.token")).alias("element_id"),
             F.col("q.name").alias("element_title"),
             F.col("q.raw_query").alias("sql"),
@@ -253,7 +254,7 @@ def sigma_charts(workbooks: DataFrame, queries: DataFrame) -> DataFrame:
     long = queries.where(_long_enough(F.col("sql")))
     return named.join(long, ["workbook_id", "element_id"]).select(
         F.col("workbook_id").alias("dashboard_id"),
-        F.coalesce("name", F.concat(F.lit("Workbook "), "workbook_id")).alias("dashboard_title"),
+        F.coalesce("name", F.concat(F.lit(UNNAMED_WORKBOOK), "workbook_id")).alias("dashboard_title"),
         "element_id",
         F.col("title").alias("element_title"),
         "sql",

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.questions import generate_question
+from tablewright.functions.questions import with_question
 from tablewright.functions.text import (
     chart_text,
     collapse_newlines,
@@ -51,12 +51,8 @@ def select_sources(
 
 def chart_questions(charts: DataFrame) -> DataFrame:
     """Charts with their id and question: all that a dry run shows."""
-    return charts.withColumns(
-        {
-            "id": stable_id(F.col("source"), F.col("dashboard_id"), F.col("element_id")),
-            "question": generate_question(F.col("element_title"), F.col("dashboard_title")),
-        }
-    )
+    named = charts.withColumn("id", stable_id(F.col("source"), F.col("dashboard_id"), F.col("element_id")))
+    return with_question(named, "element_title", "dashboard_title")
 
 
 def chart_rows(charts: DataFrame, rewrite: Rewriter | None = None) -> DataFrame:
@@ -103,18 +99,14 @@ def pattern_rows(patterns: DataFrame) -> DataFrame:
 def counters(outcomes: DataFrame) -> DataFrame:
     """Rows created, updated, skipped and failed, by source and (null source) in all.
 
-    ``outcomes(source, outcome)``; sums are folded map-side, so one large source is no hot group.
+    ``outcomes(source, outcome)`` are folded map-side first, so one large source is no hot group.
     """
+    folded = outcomes.groupBy("source", "outcome").agg(F.count("*").alias("n"))
 
     def counted(name: str) -> Column:
-        return F.count_if(F.col("outcome") == name)
+        return F.coalesce(F.sum(F.when(F.col("outcome") == name, F.col("n"))), F.lit(0)).alias(name)
 
-    return outcomes.rollup("source").agg(
-        counted("created").alias("created"),
-        counted("updated").alias("updated"),
-        counted("skipped").alias("skipped"),
-        counted("errors").alias("errors"),
-    )
+    return folded.rollup("source").agg(*[counted(name) for name in ("created", "updated", "skipped", "errors")])
 
 
 def without_existing(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,9 +17,13 @@ logger = logging.getLogger(__name__)
 # --- Fixed values -------------------------------------------------------------------
 SAMPLE_ROWS = 3
 HIDDEN_SCHEMA = "information_schema"
+TABLE_QUESTION = "What data is in the %s table?"
+TABLE_DESCRIPTION = "Table: %s\nColumns:\n%s"
+COLUMN_LINE = "  - %s (%s, %s)"
+NULLABLE, NOT_NULL = "nullable", "not null"
 # ------------------------------------------------------------------------------------
-# Longer values are counted by digest: a digest is longer than any value kept as it is.
-WIDE_BYTES = 63
+# Longer values are counted by their 32-byte digest, which no value kept as it is can equal.
+KEPT_BYTES = 31
 RANGED_TYPES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 UNCOUNTED_TYPES = (T.MapType, T.VariantType)
 
@@ -92,12 +96,10 @@ def describe(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 def _distinct_key(name: str, data_type: T.DataType) -> Column:
     c = F.col(f"`{name}`")
-    if isinstance(data_type, T.StringType):
-        return F.when(F.octet_length(c) <= WIDE_BYTES, c).otherwise(F.sha2(c, 256))
-    if isinstance(data_type, T.BinaryType):
-        return F.when(c.isNotNull(), F.sha2(c, 256))
+    if isinstance(data_type, (T.StringType, T.BinaryType)):
+        return F.when(F.octet_length(c) <= KEPT_BYTES, c.cast("binary")).otherwise(F.unhex(F.sha2(c, 256)))
     if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.NumericType):
-        return F.when(c.isNotNull(), F.sha2(c.cast("string"), 256))
+        return F.when(c.isNotNull(), F.unhex(F.sha2(c.cast("string"), 256)))
     return c
 
 
@@ -181,8 +183,8 @@ def table_docs(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFram
     rows = union_all(
         column_rows(spark, df).withColumn("table", F.lit(name)) for name, df in tables.items()
     )
-    can_be_null = F.when(F.col("nullable"), "nullable").otherwise("not null")
-    line = F.format_string("  - %s (%s, %s)", "column", "type", can_be_null)
+    can_be_null = F.when(F.col("nullable"), NULLABLE).otherwise(NOT_NULL)
+    line = F.format_string(COLUMN_LINE, "column", "type", can_be_null)
     columns = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
     listing = F.array_join(F.transform(columns, lambda c: c["line"]), "\n")
     return (
@@ -191,7 +193,7 @@ def table_docs(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFram
         .select(
             stable_id("warehouse", F.lit("schema"), F.col("table")).alias("id"),
             "table",
-            F.format_string("What data is in the %s table?", "table").alias("question"),
-            F.format_string("Table: %s\nColumns:\n%s", "table", "listing").alias("description"),
+            F.format_string(TABLE_QUESTION, "table").alias("question"),
+            F.format_string(TABLE_DESCRIPTION, "table", "listing").alias("description"),
         )
     )

@@ -107,14 +107,15 @@ def list_all(index: DataFrame) -> DataFrame:
 
 
 def index_stats(index: DataFrame) -> DataFrame:
-    """Vectors and last update per source, and a total row (``is_total``, null source)."""
-    return (
-        index.rollup("source")
-        .agg(
-            F.grouping("source").cast("boolean").alias("is_total"),
-            F.count("*").alias("vectors"),
-            F.max("updated_at").alias("last_updated"),
-        )
+    """Vectors and last update per source, and a total row (``is_total``, null source).
+
+    The rows are folded by source first, so only the few sums are rolled up.
+    """
+    by_source = index.groupBy("source").agg(F.count("*").alias("n"), F.max("updated_at").alias("last"))
+    return by_source.rollup("source").agg(
+        F.grouping("source").cast("boolean").alias("is_total"),
+        F.sum("n").alias("vectors"),
+        F.max("last").alias("last_updated"),
     )
 
 

@@ -300,7 +300,8 @@ def event_log(tables: Tables) -> DataFrame:
     "query_log_stats",
     """
 SELECT strftime(ts, '%Y-%m-%d') AS day, upper(event_type) AS first_word, count(*) AS runs,
-       CAST(sum(user_id) AS BIGINT) AS "rows", round(avg(value), 9) AS avg_ms, max(value) AS max_ms
+       CAST(sum(user_id) AS BIGINT) AS "rows", round(avg(value), 9) AS avg_ms,
+       quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms
 FROM events GROUP BY 1, 2""",
 )
 def log_stats(tables: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import text as tx
-from tablewright.functions.questions import generate_question, is_plural
+from tablewright.functions.questions import is_plural, with_question
 from tablewright.functions.statements import classify_statements
 from tablewright.plans.registry import Tables, register
 
@@ -69,10 +69,9 @@ def statements(tables: Tables) -> DataFrame:
 
 @register("questions_from_titles", QUESTION_SQL)
 def questions(tables: Tables) -> DataFrame:
-    title = F.expr(TITLE.replace("chr(9)", "char(9)"))
-    return tables.part.select(
-        "p_partkey", tx.clean_title(title).alias("title"), generate_question(title, F.col("p_brand")).alias("question")
-    )
+    titled = tables.part.select("p_partkey", "p_brand", F.expr(TITLE.replace("chr(9)", "char(9)")).alias("raw"))
+    asked = with_question(titled, "raw", "p_brand")
+    return asked.select("p_partkey", tx.clean_title(F.col("raw")).alias("title"), "question")
 
 
 @register(

@@ -30,7 +30,7 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_log_stats(log: DataFrame) -> DataFrame:
-    """Runs, rows and time by day and leading word, from partial sums only."""
+    """Runs, rows and time by day and leading word, from partial aggregates; the percentiles are sketches."""
     return (
         log.groupBy(
             F.date_trunc("day", "timestamp").alias("day"),
@@ -40,6 +40,8 @@ def query_log_stats(log: DataFrame) -> DataFrame:
             F.count("*").alias("runs"),
             F.sum("rows").alias("rows"),
             F.avg("elapsed_ms").alias("avg_ms"),
+            F.percentile_approx("elapsed_ms", 0.5).alias("p50_ms"),
+            F.percentile_approx("elapsed_ms", 0.95).alias("p95_ms"),
             F.max("elapsed_ms").alias("max_ms"),
         )
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewright.functions.statements import first_word
+from tablewright.operators.search import search
 from tablewright.sources.query_log import LOG_SCHEMA
 
 
@@ -60,3 +61,20 @@ def load_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def search_stream(
+    questions: DataFrame,
+    dictionary: DataFrame,
+    index: DataFrame,
+    path: str,
+    checkpoint: str,
+    **options: object,
+) -> StreamingQuery:
+    """Searches each batch of new questions in a fixed index; hits go below ``path``, one folder per
+    batch, so a batch repeated after a failure replaces its own."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        search(batch, dictionary, index, **options).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return load_stream(questions, checkpoint, answer)

@@ -19,7 +19,7 @@ REFUSED = [
     "MERGE INTO numbers USING numbers s ON true WHEN MATCHED THEN DELETE", "REPLACE TABLE x AS SELECT 1",
     "-- note\nDROP VIEW numbers", "/* a\nb */ DROP VIEW numbers",
     "WITH a AS (SELECT 1 AS id) INSERT INTO numbers SELECT * FROM a", "SET spark.x=1", "USE default", "CLEAR CACHE",
-    "CACHE TABLE numbers", "REFRESH TABLE numbers", "ADD JAR x", "",
+    "CACHE TABLE numbers", "FROM numbers INSERT INTO numbers SELECT id", "REFRESH TABLE numbers", "ADD JAR x", "",
 ]
 
 
@@ -41,6 +41,10 @@ def test_two_statements(spark):
         safe_sql(spark, "SELECT 1; DROP VIEW numbers")
     with pytest.raises(ParseException):
         safe_sql(spark, "SELECT 1) t; DROP VIEW numbers --")
+    with pytest.raises(ParseException):
+        safe_sql(spark, "BEGIN DROP VIEW numbers; END")
+    with pytest.raises(ParseException):
+        safe_sql(spark, "SELECT 1), other AS (SELECT 2")
     assert spark.catalog.tableExists("numbers")
 
 

@@ -8,7 +8,7 @@ from tablewright.operators import snapshots
 from tablewright.operators.ledger import job_states, sweep_stale
 from tablewright.operators.slots import evaluate_slots, slot_values
 from tablewright.sources.query_log import LOG_SCHEMA, append_query_log
-from tablewright.streaming.feeds import load_stream, log_windows, query_log_stream, run_available
+from tablewright.streaming.feeds import load_stream, log_windows, query_log_stream, run_available, search_stream
 
 SLOTS = [
     {"slot": "n", "sql": "SELECT count(*) FROM slot_rows", "format": "scalar"},
@@ -120,5 +120,24 @@ def test_load_stream(spark, tmp_path):
     assert spark.createDataFrame([], INDEX_SCHEMA).columns == read_index(spark, root).columns
 
 
+def test_search_stream(spark, tmp_path):
+    from tablewright.operators.search import search
+
+    asked, out = str(tmp_path / "asked"), str(tmp_path / "out")
+    schema = "query_id int, text string, embedding array<double>"
+    index = spark.createDataFrame(
+        [(f"i{n}", f"q{n}", "", "m", "", "", [1.0, float(n)]) for n in range(5)],
+        "id string, question string, sql string, source string, dashboard string, description string, embedding array<double>")
+    words = spark.createDataFrame([("churn", "C")], "keyword string, content string")
+    rows = [(1, "churn now", [1.0, 0.0]), (2, "orders", [0.0, 1.0]), (3, "churned", [1.0, 1.0])]
+    for row in rows:
+        spark.createDataFrame([row], schema).write.mode("append").json(asked)
+        stream = spark.readStream.schema(schema).json(asked)
+        search_stream(stream, words, index, out, str(tmp_path / "state"), k=3).awaitTermination()
+    want = search(spark.createDataFrame(rows, schema), words, index, k=3)
+    got = spark.read.parquet(out).select(*want.columns)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_log_schema(spark):
     assert spark.createDataFrame([], LOG_SCHEMA).select(F.col("timestamp")).dtypes == [("timestamp", "timestamp")]

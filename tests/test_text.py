@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import text as tx
-from tablewright.functions.questions import generate_question, is_plural
+from tablewright.functions.questions import generate_question, is_plural, with_question
 from tablewright.functions.statements import classify_statements
 
 
@@ -74,6 +74,9 @@ def test_generate_question(spark):
     df = spark.createDataFrame(rows, "i int, t string, d string").orderBy("i")
     got = [r[0] for r in df.select(generate_question(F.col("t"), F.col("d"))).collect()]
     assert got == [q for _, _, q in QUESTIONS]
+    staged = with_question(df, "t", "d").orderBy("i")
+    assert staged.columns == ["i", "t", "d", "question"]
+    assert [r["question"] for r in staged.collect()] == got
 
 
 def test_code_fence(spark):
