@@ -16,7 +16,8 @@ from tablewright.operators.quantiles import count_groups, exact_quantiles, join_
 WHISKER_IQR = 1.5
 QUARTILES = [0.25, 0.5, 0.75]
 # ------------------------------------------------------------------------------------
-FENCE_BYTES = 128
+# What one group's row costs in a table sent to the tasks.
+BOX_BYTES = 256
 
 
 def series(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFrame:
@@ -83,16 +84,15 @@ def heatmap(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
 def box(df: DataFrame, x: str, y: str) -> DataFrame:
     """Quartiles per x, the furthest values within 1.5 IQR, and how many lie beyond."""
     rows = df.where(F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
-    quartiles = exact_quantiles(rows, "x", "y", QUARTILES).select(
+    groups = count_groups(rows, "x")
+    quartiles = exact_quantiles(rows, "x", "y", QUARTILES, groups).select(
         "x", "n", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))]
     )
     reach = WHISKER_IQR * (F.col("q3") - F.col("q1"))
-    fences = quartiles.select("x", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    fenced = quartiles.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
     inside = F.col("y").between(F.col("low"), F.col("high"))
-    size = count_groups(rows, "x") * FENCE_BYTES
-    whiskers = join_groups(rows, fences, ["x"], size).groupBy("x").agg(
+    return join_groups(rows, fenced, ["x"], groups * BOX_BYTES).groupBy("x", "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("y"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )
-    return join_groups(quartiles, whiskers, ["x"], size)

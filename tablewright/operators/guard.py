@@ -86,6 +86,11 @@ class QueryRun:
     rows: int
     truncated: bool
     elapsed_ms: float
+    kept: DataFrame
+
+    def release(self) -> None:
+        """Lets go of the rows that were kept for ``frame``."""
+        self.kept.unpersist()
 
 
 def run_sql(
@@ -102,16 +107,16 @@ def run_sql(
     start = time.monotonic()
     df, limited = _read(spark, query)
     if limited or limit is None:
-        frame = df.persist()
-        rows, truncated = frame.count(), False
+        kept = frame = df.persist()
+        rows, truncated = kept.count(), False
     else:
-        probe = df.limit(limit + 1).persist()
-        found = probe.count()
-        frame, rows, truncated = probe.limit(limit), min(found, limit), found > limit
+        kept = df.limit(limit + 1).persist()
+        found = kept.count()
+        frame, rows, truncated = kept.limit(limit), min(found, limit), found > limit
     elapsed_ms = (time.monotonic() - start) * 1000
     if log_path:
         try:
             append_query_log(spark, log_path, [(query, rows, elapsed_ms)])
         except Exception as error:  # noqa: BLE001 - the log must never fail the query
             logger.warning("query log not written: %s", error)
-    return QueryRun(frame, rows, truncated, elapsed_ms)
+    return QueryRun(frame, rows, truncated, elapsed_ms, kept)

@@ -15,7 +15,9 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, group: str, value: str, points: list[float], groups: int | None = None
+) -> DataFrame:
     """Interpolated quantiles: ``group, n, quantiles array<double>`` in the order of ``points``.
 
     A sketch per group proposes slice edges, counts per slice say in which slice each wanted rank
@@ -26,7 +28,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, points: list[float])
     rows = df.where(F.col(value).isNotNull()).select(
         F.col(group).alias("g"), F.col(value).cast("double").alias("v")
     )
-    groups = count_groups(rows, "g")
+    groups = count_groups(rows, "g") if groups is None else groups
     slices = MAX_SLICES
     while slices > MIN_SLICES and groups * slices * SLICE_BYTES > BROADCAST_BYTES:
         slices //= 2

@@ -16,7 +16,9 @@ from tablewright.operators.catalog import union_all
 from tablewright.operators.embed import simplify_sql
 from tablewright.plans.knowledge_checks import LETTERS_SQL, NOW, label_batch, label_index, letter_counts, shown
 from tablewright.plans.registry import Tables, register
-from tablewright.sources.patterns import pattern_records
+from tablewright.session import work_folder
+from tablewright.sources.files import read_dashboards, read_dictionary
+from tablewright.sources.patterns import delete_patterns, find_pattern, pattern_records
 
 JSON_NULLS = {"ignoreNullFields": "true"}
 LONG_SQL = "concat('SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = ', p_partkey)"
@@ -503,3 +505,61 @@ def pattern_texts(tables: Tables) -> DataFrame:
     rows = pattern_rows(saved_patterns(tables))
     tail = F.substring(F.col("embed_text"), F.char_length("question") + 2, F.char_length("embed_text"))
     return rows.select("id", tail.alias("tail"))
+
+
+@register("landed_dashboards", LAKEVIEW_SQL)
+def landed(tables: Tables) -> DataFrame:
+    """The same dashboards landed as files of one payload per line in the shared folder."""
+    folder = work_folder(tables.spark)
+    wrapped = lakeview_payloads(tables).select(F.to_json(F.struct("dashboard_id", "display_name", "serialized")))
+    wrapped.write.text(folder)
+    schema = "dashboard_id string, display_name string, serialized string"
+    read = read_dashboards(tables.spark, folder, whole_files=False).select(F.from_json("payload", schema).alias("d"))
+    return ch.lakeview_charts(read.select("d.*"))
+
+
+@register(
+    "dictionary_file",
+    "SELECT p_name AS keyword, max_by(concat(p_type, ' ', p_partkey), p_partkey) AS content FROM part GROUP BY p_name",
+)
+def dictionary_file(tables: Tables) -> DataFrame:
+    """A dictionary file with repeated keys; the last entry of a key counts."""
+    folder = work_folder(tables.spark)
+    entries = tables.part.select(
+        F.col("p_name").alias("keyword"), F.concat_ws(" ", "p_type", "p_partkey").alias("content"), "p_partkey"
+    )
+    entries.orderBy("p_partkey").coalesce(1).drop("p_partkey").write.parquet(folder)
+    return read_dictionary(tables.spark, folder)
+
+
+ASKED_SQL = "SELECT DISTINCT concat(replace(p_name, ' ', '-'), '-of-', lower(replace(p_brand, '#', '')), '.sql') FROM part WHERE p_type = 'PROMO'"
+
+
+def asked_patterns(tables: Tables) -> DataFrame:
+    question = F.concat(F.upper("p_name"), F.lit(" of "), F.upper("p_brand")).alias("question")
+    return tables.part.where("p_type = 'PROMO'").select(question)
+
+
+@register(
+    "pattern_lookup",
+    f"SELECT filename, sql FROM ({PATTERN_SQL}) p WHERE filename IN ({ASKED_SQL})",
+)
+def pattern_lookup(tables: Tables) -> DataFrame:
+    """Saved patterns found by a question written differently."""
+    return find_pattern(saved_patterns(tables), asked_patterns(tables)).select("filename", "sql")
+
+
+@register(
+    "pattern_delete",
+    f"""
+SELECT 'pattern' AS kind, filename FROM ({PATTERN_SQL}) p WHERE filename NOT IN ({ASKED_SQL})
+UNION ALL SELECT 'vector', filename FROM ({PATTERN_SQL}) p WHERE filename NOT IN ({ASKED_SQL})""",
+)
+def pattern_delete(tables: Tables) -> DataFrame:
+    """A pattern and its index row go together."""
+    saved = saved_patterns(tables)
+    index = pattern_rows(saved).select("id", "question")
+    gone = find_pattern(saved, asked_patterns(tables)).select("filename")
+    patterns_left, index_left = delete_patterns(saved, index, gone)
+    kept = patterns_left.select(F.lit("pattern").alias("kind"), "filename")
+    return kept.unionByName(index_left.select(F.lit("vector").alias("kind"), F.col("id").alias("filename")))

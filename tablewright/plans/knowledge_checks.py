@@ -15,6 +15,7 @@ from tablewright.operators.topk import topk, topk_join
 from tablewright.plans.registry import Tables, register
 from tablewright.session import work_folder
 from tablewright.sources.store import import_vectors, read_index, write_table
+from tablewright.streaming.feeds import search_stream
 
 THEN, NOW = datetime(2024, 1, 1), datetime(2024, 2, 1)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -304,15 +305,16 @@ def glossary(tables: Tables) -> DataFrame:
 
 
 def document_index(tables: Tables) -> DataFrame:
-    return tables.documents.select(
+    rows = tables.documents.select(
         F.concat(F.lit("d"), "doc_id").alias("id"),
         F.concat(F.lit("Document "), "doc_id").alias("question"),
         F.lit("").alias("sql"),
         "source",
         F.col("lang").alias("dashboard"),
         F.concat_ws(" ", "lang", "n_chars").alias("description"),
-        letter_vector(F.col("text")).alias("embedding"),
+        "text",
     )
+    return embed(rows, "text", letter_counts).drop("text", "error")
 
 
 def long_words(tables: Tables) -> DataFrame:
@@ -361,6 +363,18 @@ def unified_with_model(tables: Tables) -> DataFrame:
     ).drop("sql")
 
 
+@register("search_of_stream", SEARCH_SQL)
+def stream_of_questions(tables: Tables) -> DataFrame:
+    """The same with the questions read as a stream until none are left."""
+    folder = work_folder(tables.spark)
+    asked = turns(tables).withColumn("embedding", letter_vector(F.col("text")))
+    asked.write.parquet(f"{folder}/asked")
+    stream = tables.spark.readStream.schema(asked.schema).parquet(f"{folder}/asked")
+    words, index, out = long_words(tables), document_index(tables), f"{folder}/hits"
+    search_stream(stream, words, index, out, f"{folder}/state").awaitTermination()
+    return tables.spark.read.parquet(out).drop("sql", "batch")
+
+
 @register(
     "search_without_vectors",
     """

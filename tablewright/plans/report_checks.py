@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators import charts, snapshots
+from tablewright.operators.guard import run_sql
 from tablewright.operators.ledger import job_states, sweep_stale
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.slots import chart_points, slot_values
 from tablewright.plans.registry import TABLES, Tables, register
 from tablewright.session import work_folder
 from tablewright.sources.connections import register_tables
-from tablewright.sources.query_log import query_log_stats
+from tablewright.sources.query_log import query_log_stats, read_query_log
 from tablewright.streaming.feeds import log_windows, run_available
 
 
@@ -333,3 +334,32 @@ def log_hours(tables: Tables) -> DataFrame:
     return written.where("first_word <> ''").select(
         F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "first_word", "runs", "rows", "max_ms"
     )
+
+
+AUDITED = [
+    ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey", 5000),
+    ("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem", 1000),
+    ("SELECT * FROM events ORDER BY event_id LIMIT 7000", 10),
+]
+
+
+@register(
+    "query_audit",
+    """
+SELECT 'SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey' AS query,
+       least(count(DISTINCT o_custkey), 5000) AS "rows", count(DISTINCT o_custkey) > 5000 AS truncated FROM orders
+UNION ALL SELECT 'SELECT DISTINCT l_partkey, l_suppkey FROM lineitem', least(count(*), 1000), count(*) > 1000
+  FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) t
+UNION ALL SELECT 'SELECT * FROM events ORDER BY event_id LIMIT 7000', least(count(*), 7000), false FROM events""",
+)
+def query_audit(tables: Tables) -> DataFrame:
+    """Runs that are logged, read back from the log beside their truncation flags."""
+    register_tables({name: getattr(tables, name) for name in ("orders", "lineitem", "events")})
+    log = f"{work_folder(tables.spark)}/log"
+    flags = []
+    for query, limit in AUDITED:
+        run = run_sql(tables.spark, query, limit, log)
+        run.release()
+        flags.append((query, run.truncated))
+    marked = tables.spark.createDataFrame(flags, "query string, truncated boolean")
+    return read_query_log(tables.spark, log).join(marked, "query").select("query", "rows", "truncated")

@@ -89,6 +89,9 @@ def test_run_and_log(spark, tmp_path):
     assert (run.rows, run.truncated) == (20, False)
     run = run_sql(spark, "SELECT id FROM numbers ORDER BY id DESC", 19, log)
     assert (run.rows, run.truncated, run.frame.count(), run.frame.first()["id"]) == (19, True, 19, 19)
+    assert run.kept.storageLevel.useMemory
+    run.release()
+    assert not run.kept.storageLevel.useMemory
     run = run_sql(spark, "SELECT id FROM numbers LIMIT 20", 5, log)
     assert (run.rows, run.truncated) == (20, False)
     with pytest.raises(ValueError):

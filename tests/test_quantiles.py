@@ -30,7 +30,9 @@ def test_exact_quantiles(spark, seed, bound, monkeypatch):
         assert got[g][1] == pytest.approx(list(np.quantile(values, points)))
 
 
-def test_box(spark):
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_box(spark, bound, monkeypatch):
+    monkeypatch.setattr(quantiles, "BROADCAST_BYTES", bound)
     df = spark.createDataFrame([("a", float(v)) for v in [1, 2, 3, 4, 100]] + [("b", 1.0)], "x string, y double")
     got = {r["x"]: r for r in charts.box(df, "x", "y").collect()}
     a = got["a"]
