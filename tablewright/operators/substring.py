@@ -24,6 +24,7 @@ AUTOMATON_BYTES = 8 << 20
 BROADCAST_BYTES = 64 << 20
 # What a row costs beside its text, roughly, in a table sent to the tasks.
 ROW_BYTES = 64
+OUTPUT_ROWS = 20_000
 LADDER = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 
 
@@ -38,15 +39,6 @@ def _head_length(length: Column) -> Column:
     return F.array_max(F.filter(steps, lambda n: n <= length))
 
 
-def _grams(text: Column, lengths: list[int]) -> Column:
-    """All distinct substrings of the given lengths; a look-ahead finds the overlapping ones."""
-    parts = [
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
-        for n in lengths
-    ]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-
-
 def _keyed(patterns: DataFrame) -> DataFrame:
     """Distinct patterns with the leading characters they are looked up by."""
     return (
@@ -57,8 +49,22 @@ def _keyed(patterns: DataFrame) -> DataFrame:
     )
 
 
-def _all_grams(lengths: list[int]) -> Column:
-    return F.explode(F.array_distinct(F.flatten(F.transform("parts", lambda t: _grams(t, lengths)))))
+def _with_grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """One row per text and distinct substring of the given lengths, in ``gram``.
+
+    The look-ahead takes the longest from every character on, the others are its beginnings. Near
+    the end these are shorter, which is no harm: they are substrings all the same.
+    """
+    longest = max(lengths, default=0)
+    every = F.lit(f"(?s)(?=(.{{1,{max(1, longest)}}})).")
+    windows = F.flatten(F.transform("parts", lambda t: F.regexp_extract_all(t, every, F.lit(1))))
+
+    def beginnings(n: int) -> Column:
+        return F.transform("windows", lambda w: F.substring(w, 1, n)) if n else F.array(F.lit(""))
+
+    grams = [F.col("windows") if n == longest and n else beginnings(n) for n in lengths]
+    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+    return texts.withColumn("windows", windows).withColumn("gram", F.explode(grams)).drop("windows")
 
 
 def _in_parts() -> Column:
@@ -82,9 +88,9 @@ def substring_pairs(
     use = keyed.agg(F.collect_set("head").alias("lengths"), F.coalesce(size, F.lit(0)).alias("size")).first()
     lengths = sorted(use["lengths"])
     if small == "patterns" and use["size"] <= broadcast_bytes:
-        found = texts.select("text_id", "parts", _all_grams(lengths).alias("gram"))
+        found = _with_grams(texts, lengths)
         return found.join(F.broadcast(keyed), "gram").where(_in_parts()).select("pattern", "text_id")
-    grams = texts.select("text_id", _all_grams(lengths).alias("gram"))
+    grams = _with_grams(texts, lengths).drop("parts")
     if small == "texts":
         chars = F.aggregate("parts", F.lit(0), lambda n, t: n + F.char_length(t))
         total = texts.agg(F.coalesce(F.sum(chars), F.lit(0)).alias("n")).first()["n"]
@@ -164,19 +170,26 @@ def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) ->
         finder = shared.value
         keywords = pa.array(finder.keywords, pa.string())
         contents = pa.array(finder.contents, pa.string())
+
+        def output(ids: pa.Array, rows: list[int], hits: list[int], positions: list[int]) -> pa.RecordBatch:
+            at = pa.array(hits, pa.int64())
+            columns = [
+                ids.take(pa.array(rows, pa.int64())), keywords.take(at), contents.take(at),
+                pa.array(positions, pa.int32()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
         for batch in batches:
-            source, hit, position = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                best = [] if text is None else sorted(finder.find(text))[:first]
-                source.extend([row] * len(best))
-                hit.extend(best)
-                position.extend(range(1, len(best) + 1))
-            ids = batch.column(0).take(pa.array(source, pa.int64()))
-            at = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids, keywords.take(at), contents.take(at), pa.array(position, pa.int32())],
-                names=schema.names,
-            )
+            rows, hits, positions = [], [], []
+            for row, text in enumerate(batch.column(1)):
+                best = sorted(finder.find(text.as_py()))[:first] if text.is_valid else []
+                rows.extend([row] * len(best))
+                hits.extend(best)
+                positions.extend(range(1, len(best) + 1))
+                if len(hits) > OUTPUT_ROWS:
+                    yield output(batch.column(0), rows, hits, positions)
+                    rows, hits, positions = [], [], []
+            yield output(batch.column(0), rows, hits, positions)
 
     return asked.mapInArrow(scan, schema)
 

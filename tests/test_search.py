@@ -8,9 +8,9 @@ from tablewright.operators.search import search
 from tablewright.operators.substring import glossary_hits, keyword_hits
 
 WORDS = [("revenue", "R"), ("churn", "C"), ("ARR", "A"), ("arr", "a"), ("monthly revenue by region and segment", "long"),
-         ("é😀", "u"), ("x", "one"), ("", "empty")]
+         ("é😀", "u"), ("?a", "mark"), ("🏽", "half"), ("x", "one"), ("", "empty")]
 QUERIES = [(1, "Monthly REVENUE and churn"), (2, "nothing"), (3, "monthlychurnrate"), (4, ""), (5, None),
-           (6, "the Monthly revenue by region and segment, arr"), (7, "caféÉ😀x"), (8, "Monthly revenue by region and segmen")]
+           (6, "the Monthly revenue by region and segment, arr"), (7, "caféÉ😀x"), (9, "😀a 👍🏽"), (10, "?a"), (8, "Monthly revenue by region and segmen")]
 
 
 def plain_hits(queries, words, first=None):
@@ -38,7 +38,7 @@ def test_keyword_hits_random(spark, seed):
     rng = random.Random(seed)
 
     def text(low, high):
-        return "".join(rng.choice("abé😀 ") for _ in range(rng.randint(low, high)))
+        return "".join(rng.choice("abé😀? ") for _ in range(rng.randint(low, high)))
 
     words = list({w: (w, str(n)) for n, w in enumerate(text(1, 14) for _ in range(120))}.values())
     words += [(t, "whole") for t in (text(60, 140) for _ in range(10))]
