@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import first_filled, join_lines, or_blank
+from tablewright.functions.times import moment
 
 # --- Fixed values -------------------------------------------------------------------
 MIN_SQL_CHARS = 50
@@ -128,9 +129,8 @@ def usage_counts(
     ``history(dashboard_id, runs, at)``. ``top_rows`` reproduces a usage report that returns only
     so many rows, the most used first; by default every row counts.
     """
-    end = now if isinstance(now, Column) else F.lit(now)
     recent = history.where(
-        (F.col("at") >= end - F.make_dt_interval(F.lit(lookback_days))) & (or_blank(F.col("dashboard_id")) != "")
+        (F.col("at") >= moment(now) - F.make_dt_interval(F.lit(lookback_days))) & (or_blank(F.col("dashboard_id")) != "")
     )
     if top_rows is not None:
         recent = recent.orderBy(F.desc("runs"), "dashboard_id", "at").limit(top_rows)

@@ -126,7 +126,7 @@ def load(
     rows: DataFrame,
     index: DataFrame,
     embedder: Embedder,
-    now: datetime,
+    now: datetime | Column,
     skip_existing: bool = False,
     dry_run: bool = False,
     **embed_options: object,
@@ -156,7 +156,7 @@ def load(
 
 
 def rebuild(
-    patterns: DataFrame, index: DataFrame, embedder: Embedder, now: datetime, **embed_options: object
+    patterns: DataFrame, index: DataFrame, embedder: Embedder, now: datetime | Column, **embed_options: object
 ) -> Load:
     """Re-embeds every saved pattern into the index."""
     return load(pattern_rows(patterns), index, embedder, now, **embed_options)

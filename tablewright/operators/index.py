@@ -12,6 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.times import moment
+
 INDEX_SCHEMA = (
     "id string, question string, sql string, source string, dashboard string, "
     "description string, embedding array<double>, created_at timestamp, updated_at timestamp"
@@ -50,22 +52,22 @@ def _batch(rows: DataFrame, order_by: str | None, keep_vector: bool) -> DataFram
     return latest.select("id", *filled)
 
 
-def _changed(index: DataFrame, batch: DataFrame, now: datetime, carried: list[str]) -> DataFrame:
+def _changed(index: DataFrame, batch: DataFrame, now: datetime | Column, carried: list[str]) -> DataFrame:
     known = index.join(batch.select("id"), "id", "left_semi").select("id", *carried)
     fresh = batch.join(known, "id", "left")
-    stamp = F.lit(now).cast("timestamp")
+    stamp = moment(now).cast("timestamp")
     fresh = fresh.withColumns({"created_at": F.coalesce("created_at", stamp), "updated_at": stamp})
     if "embedding" in carried:
         fresh = fresh.withColumn("embedding", F.coalesce("embedding", no_vector()))
     return fresh.select(*index.columns)
 
 
-def _replace(index: DataFrame, batch: DataFrame, now: datetime, carried: list[str]) -> DataFrame:
+def _replace(index: DataFrame, batch: DataFrame, now: datetime | Column, carried: list[str]) -> DataFrame:
     kept = index.join(batch.select("id"), "id", "left_anti")
     return kept.unionByName(_changed(index, batch, now, carried))
 
 
-def changes(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | None = None) -> DataFrame:
+def changes(index: DataFrame, rows: DataFrame, now: datetime | Column, order_by: str | None = None) -> DataFrame:
     """Only the rows an ``upsert`` would write, complete, one per id.
 
     For an index kept in a table format with MERGE: there the rest need not be rewritten.
@@ -73,7 +75,7 @@ def changes(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | No
     return _changed(index, _batch(rows, order_by, keep_vector=False), now, ["created_at"])
 
 
-def upsert(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | None = None) -> DataFrame:
+def upsert(index: DataFrame, rows: DataFrame, now: datetime | Column, order_by: str | None = None) -> DataFrame:
     """Inserts rows, or replaces all fields but ``created_at`` where the id is known.
 
     ``order_by`` names the column that says which of several rows with one id is the last.
@@ -82,7 +84,7 @@ def upsert(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | Non
     return _replace(index, _batch(rows, order_by, keep_vector=False), now, ["created_at"])
 
 
-def edit(index: DataFrame, rows: DataFrame, now: datetime, order_by: str | None = None) -> DataFrame:
+def edit(index: DataFrame, rows: DataFrame, now: datetime | Column, order_by: str | None = None) -> DataFrame:
     """``upsert`` of the text fields that carries the stored vector over."""
     batch = _batch(rows, order_by, keep_vector=True)
     return _replace(index, batch, now, ["created_at", "embedding"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.times import moment
+
 # --- Fixed values -------------------------------------------------------------------
 JOBS_KEPT = 50
 OPEN_STATES = ("pending", "running")
@@ -35,14 +39,13 @@ def job_states(events: DataFrame, order_by: str = "at", keep: int | None = JOBS_
     return states.orderBy(F.desc("started_at"), "id").limit(keep)
 
 
-def sweep_stale(jobs: DataFrame, now) -> DataFrame:
+def sweep_stale(jobs: DataFrame, now: datetime | Column) -> DataFrame:
     """Jobs left open by a restart become failed, without progress."""
     stale = F.col("status").isin(*OPEN_STATES)
-    end = now if not hasattr(now, "isoformat") else F.lit(now)
     return jobs.withColumns(
         {
             "error": F.when(stale, STALE_ERROR),
-            "finished_at": F.when(stale, end).otherwise(F.col("finished_at")),
+            "finished_at": F.when(stale, moment(now)).otherwise(F.col("finished_at")),
             "progress": F.when(~stale, F.col("progress")),
             "status": F.when(stale, "failed").otherwise(F.col("status")),
         }

@@ -5,7 +5,7 @@ One payload per row: nothing is gathered to make them.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +14,13 @@ from tablewright.ingest import charts as ch
 from tablewright.ingest.load import chart_questions, chart_rows, counters, load, pattern_rows, rebuild
 from tablewright.operators.catalog import union_all
 from tablewright.operators.embed import simplify_sql
-from tablewright.plans.knowledge_checks import LETTERS_SQL, NOW, label_batch, label_index, letter_counts, shown
+from tablewright.plans.knowledge_checks import LETTERS_SQL, NOW, THEN, at, label_batch, label_index, letter_counts
 from tablewright.plans.registry import Tables, register
 from tablewright.session import work_folder
 from tablewright.sources.files import read_dashboards, read_dictionary
 from tablewright.sources.patterns import delete_patterns, find_pattern, pattern_records
 
+TODAY = date(2024, 2, 1)
 JSON_NULLS = {"ignoreNullFields": "true"}
 LONG_SQL = "concat('SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = ', p_partkey)"
 
@@ -374,11 +375,11 @@ def dashboard_load(tables: Tables):
     stored = chart_rows(charts.where("source = 'mode'")).drop("embed_text").withColumns(
         {
             "embedding": F.array(F.lit(1.0)),
-            "created_at": F.lit(datetime(2024, 1, 1)).cast("timestamp"),
-            "updated_at": F.lit(datetime(2024, 1, 1)).cast("timestamp"),
+            "created_at": at(THEN),
+            "updated_at": at(THEN),
         }
     )
-    return load(chart_rows(charts), stored, picky, NOW, wait=(0.0, 0.0))
+    return load(chart_rows(charts), stored, picky, at(NOW), wait=(0.0, 0.0))
 
 
 LOADED_SQL = f"""
@@ -442,7 +443,7 @@ def skip_existing(tables: Tables) -> DataFrame:
         "id", "question", F.lit("").alias("sql"), "source", F.lit("").alias("dashboard"),
         F.lit("").alias("description"), F.col("question").alias("embed_text"),
     )
-    done = load(batch, label_index(tables), letter_counts, NOW, skip_existing=True)
+    done = load(batch, label_index(tables), letter_counts, at(NOW), skip_existing=True)
     return done.counters.select("source", "skipped", "created")
 
 
@@ -475,7 +476,7 @@ def saved_patterns(tables: Tables) -> DataFrame:
         F.concat(F.lit("How many "), "p_type").alias("description"),
         "p_partkey",
     )
-    return pattern_records(rows, NOW.date(), "p_partkey")
+    return pattern_records(rows, TODAY, "p_partkey")
 
 
 @register("pattern_records", PATTERN_SQL)
@@ -488,7 +489,7 @@ def patterns(tables: Tables) -> DataFrame:
     f"SELECT filename AS id, description, sql, 'manual' AS source, 26 AS size FROM ({PATTERN_SQL}) p",
 )
 def rebuilt(tables: Tables) -> DataFrame:
-    done = rebuild(saved_patterns(tables), shown_empty(tables), letter_counts, NOW)
+    done = rebuild(saved_patterns(tables), shown_empty(tables), letter_counts, at(NOW))
     return done.index.select("id", "description", "sql", "source", F.size("embedding").alias("size"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tablewright.session import work_folder
 from tablewright.sources.store import import_vectors, read_index, write_table
 from tablewright.streaming.feeds import search_stream
 
-THEN, NOW = datetime(2024, 1, 1), datetime(2024, 2, 1)
+THEN, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,6 +41,11 @@ COSINE_SQL = """CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) = 0
     ELSE list_cosine_similarity({a}, {b}) END"""
 
 
+def at(text: str) -> Column:
+    """A moment in the session's time zone."""
+    return F.lit(text).cast("timestamp")
+
+
 def label_index(tables: Tables) -> DataFrame:
     """The vectors as an index; the label is the source."""
     key = F.col("vec_id").cast("string")
@@ -54,8 +57,8 @@ def label_index(tables: Tables) -> DataFrame:
         F.lit("").alias("dashboard"),
         F.lit("stored").alias("description"),
         F.col("embedding").cast("array<double>").alias("embedding"),
-        F.lit(THEN).cast("timestamp").alias("created_at"),
-        F.lit(THEN).cast("timestamp").alias("updated_at"),
+        at(THEN).alias("created_at"),
+        at(THEN).alias("updated_at"),
     )
 
 
@@ -105,7 +108,7 @@ SELECT CASE WHEN label < 5 THEN id ELSE replace(id, 'v', 'n') END, replace(quest
 FROM stored""",
 )
 def index_upsert(tables: Tables) -> DataFrame:
-    return shown(ix.upsert(label_index(tables), label_batch(tables), NOW, "seq"))
+    return shown(ix.upsert(label_index(tables), label_batch(tables), at(NOW), "seq"))
 
 
 @register(
@@ -120,7 +123,7 @@ SELECT CASE WHEN label < 5 THEN id ELSE replace(id, 'v', 'n') END, replace(quest
 FROM stored""",
 )
 def index_edit(tables: Tables) -> DataFrame:
-    return shown(ix.edit(label_index(tables), label_batch(tables), NOW, "seq"))
+    return shown(ix.edit(label_index(tables), label_batch(tables), at(NOW), "seq"))
 
 
 @register(

@@ -20,7 +20,7 @@ def _versions(spark: SparkSession, root: str) -> DataFrame:
 
 def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
     try:
-        row = _versions(spark, root).agg(F.max_by(F.struct("version", "folder"), "version").alias("v")).first()
+        row = _versions(spark, root).agg(F.max(F.struct("version", "created", "folder")).alias("v")).first()
     except AnalysisException:
         return None
     return (row["v"]["version"], row["v"]["folder"]) if row["v"] else None
