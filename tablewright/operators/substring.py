@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,7 +116,8 @@ def keyword_hits(
     ``position`` numbers a query's hits in keyword order. With ``first`` only the leading hits of
     each query are wanted, as by a search that shows k results.
     """
-    entries = dictionary.select("keyword", "content", F.lower("keyword").alias("pattern"))
+    named = dictionary.where(F.col("keyword").isNotNull())
+    entries = named.select("keyword", "content", F.lower("keyword").alias("pattern"))
     asked = queries.select("query_id", F.lower("text").alias("text"))
     if ahocorasick is not None and dictionary_bytes(entries, ["keyword", "content"]) <= automaton_bytes:
         return _automaton_hits(asked, entries, first)
@@ -129,12 +130,12 @@ class KeywordFinder:
     The automaton is built once per Python worker, which keeps the broadcast it came in.
     """
 
-    def __init__(self, rows: list[tuple[str, str, str]]) -> None:
-        self.keywords = [r[0] for r in rows]
-        self.contents = [r[1] for r in rows]
+    def __init__(self, rows: list[Row]) -> None:
+        self.keywords = [r["keyword"] for r in rows]
+        self.contents = [r["content"] for r in rows]
         self.places: dict[str, list[int]] = {}
-        for place, (_, _, pattern) in enumerate(rows):
-            self.places.setdefault(pattern, []).append(place)
+        for place, row in enumerate(rows):
+            self.places.setdefault(row["pattern"], []).append(place)
         self._automaton = None
 
     def __getstate__(self) -> dict:
@@ -155,7 +156,7 @@ class KeywordFinder:
 
 
 def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) -> DataFrame:
-    finder = KeywordFinder(sorted((r["keyword"], r["content"], r["pattern"]) for r in entries.collect()))
+    finder = KeywordFinder(sorted(entries.collect(), key=lambda r: r["keyword"]))
     shared = asked.sparkSession.sparkContext.broadcast(finder)
     schema = T.StructType(
         [

@@ -135,12 +135,14 @@ def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:
 
 def _scan(queries: Vectors, stream: Iterator[Vectors], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The best k per query over a stream of index batches, holding about k rows per query."""
-    best, waiting = None, []
+    best, waiting, rows = None, [], 0
     for batch in stream:
-        waiting.extend(_matches(queries, batch, k, threshold))
-        if sum(t.num_rows for t in waiting) > max(TILE_CELLS // 4, 4 * k * queries.count):
-            best = _merge(best, waiting, k)
-            waiting = []
+        for found in _matches(queries, batch, k, threshold):
+            waiting.append(found)
+            rows += found.num_rows
+            # Many copies of one vector all tie at the cut, so a tile may pass on many rows.
+            if rows > max(TILE_CELLS // 4, 4 * k * queries.count):
+                best, waiting, rows = _merge(best, waiting, k), [], 0
     best = _merge(best, waiting, k)
     if best is not None and best.num_rows:
         yield _output(queries, best)
@@ -166,10 +168,10 @@ def _bytes(df: DataFrame, vector: str, bound: int) -> int:
     return 8 * (df.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0)
 
 
-def _schema(queries: DataFrame, index: DataFrame) -> T.StructType:
+def _schema(query_type: T.DataType, index: DataFrame) -> T.StructType:
     return T.StructType(
         [
-            T.StructField("query_id", queries.schema["key"].dataType),
+            T.StructField("query_id", query_type),
             T.StructField("id", index.schema["key"].dataType),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("rank", T.IntegerType()),
@@ -188,7 +190,7 @@ def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, thres
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scan(shared.value, map(_held, _tables(batches)), k, threshold)
 
-    return _merge_tasks(index.mapInArrow(scan, _schema(queries, index)), k)
+    return _merge_tasks(index.mapInArrow(scan, _schema(queries.schema["key"].dataType, index)), k)
 
 
 def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -198,7 +200,7 @@ def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, thresho
         for table in _tables(batches):
             yield from _scan(_asked(table), iter([shared.value]), k, threshold)
 
-    return queries.mapInArrow(scan, _schema(queries, index))
+    return queries.mapInArrow(scan, _schema(queries.schema["key"].dataType, index))
 
 
 def _with_blocks(
@@ -213,7 +215,7 @@ def _with_blocks(
 
     left = block(queries, "qb", query_blocks, "ib", index_blocks)
     right = block(index, "ib", index_blocks, "qb", query_blocks)
-    schema = _schema(queries, index)
+    schema = _schema(queries.schema["key"].dataType, index)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -244,7 +246,6 @@ def topk_join(
     digits, then by id. Index rows without a vector are never found; a zero vector or one of
     another length has similarity 0.
     """
-
     left = queries.select(F.col(query_id).alias("key"), F.col(query_vector).alias("vector"))
     right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
     query_bytes = _bytes(queries, query_vector, broadcast_bytes)
@@ -267,17 +268,12 @@ def topk(
 ) -> DataFrame:
     """The best k rows for one vector, with all their columns but the vector."""
     query = Vectors(pa.table({"key": [0], "vector": pa.array([vector], pa.list_(pa.float64()))}))
-    key = T.StructType([T.StructField("key", T.LongType())])
     narrow = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _scan(query, map(_held, _tables(batches)), k, threshold)
 
-    schema = T.StructType(
-        [T.StructField("query_id", key["key"].dataType), T.StructField("id", narrow.schema["key"].dataType),
-         T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-    )
-    best = narrow.mapInArrow(scan, schema).orderBy(F.desc("similarity"), "id").limit(k)
+    best = narrow.mapInArrow(scan, _schema(T.LongType(), narrow)).orderBy(F.desc("similarity"), "id").limit(k)
     # k rows at most, so the index is only probed for them and never shuffled.
     hits = F.broadcast(best.select(F.col("id").alias(index_id), "similarity"))
     return index.drop(index_vector).join(hits, index_id).orderBy(F.desc("similarity"), index_id)

@@ -52,6 +52,13 @@ def test_keyword_hits_random(spark, seed):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_null_entries(spark):
+    q = spark.createDataFrame([(1, "churn")], "query_id int, text string")
+    d = spark.createDataFrame([(None, "x"), ("churn", None)], "keyword string, content string")
+    for sizes in ((1 << 20, 0), (0, 1 << 20), (0, 0)):
+        assert [tuple(r) for r in keyword_hits(q, d, None, *sizes).select("keyword", "content").collect()] == [("churn", None)]
+
+
 def test_empty_dictionary(spark):
     q = spark.createDataFrame(QUERIES, "query_id int, text string")
     d = spark.createDataFrame([], "keyword string, content string")
