@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,40 +124,23 @@ def keyword_hits(
     return _join_hits(asked, entries, first, broadcast_bytes)
 
 
-class KeywordFinder:
-    """A dictionary's rows in keyword order and the automaton that finds them.
-
-    The automaton is built once per Python worker, which keeps the broadcast it came in.
-    """
-
-    def __init__(self, rows: list[Row]) -> None:
-        self.keywords = [r["keyword"] for r in rows]
-        self.contents = [r["content"] for r in rows]
-        self.places: dict[str, list[int]] = {}
-        for place, row in enumerate(rows):
-            self.places.setdefault(row["pattern"], []).append(place)
-        self._automaton = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
-
-    def find(self, text: str) -> set[int]:
-        if self._automaton is None:
-            self._automaton = ahocorasick.Automaton()
-            for pattern, places in self.places.items():
-                if pattern:
-                    self._automaton.add_word(pattern, places)
-            self._automaton.make_automaton()
-        found = set(self.places.get("", ()))
-        if len(self._automaton):
-            for _, places in self._automaton.iter(text):
-                found.update(places)
-        return found
+def _automaton(patterns: list[str]) -> ahocorasick.Automaton:
+    """Finds, for each pattern in a text, the places it has in the list."""
+    places: dict[str, list[int]] = {}
+    for place, pattern in enumerate(patterns):
+        places.setdefault(pattern, []).append(place)
+    automaton = ahocorasick.Automaton()
+    for pattern, at in places.items():
+        if pattern:
+            automaton.add_word(pattern, at)
+    automaton.make_automaton()
+    return automaton
 
 
 def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) -> DataFrame:
-    finder = KeywordFinder(sorted(entries.collect(), key=lambda r: r["keyword"]))
-    shared = asked.sparkSession.sparkContext.broadcast(finder)
+    rows = sorted(entries.collect(), key=lambda r: r["keyword"])
+    columns = {name: [r[name] for r in rows] for name in ("keyword", "content", "pattern")}
+    shared = asked.sparkSession.sparkContext.broadcast(columns)
     schema = T.StructType(
         [
             T.StructField("query_id", asked.schema["query_id"].dataType),
@@ -168,9 +151,21 @@ def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) ->
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = shared.value
-        keywords = pa.array(finder.keywords, pa.string())
-        contents = pa.array(finder.contents, pa.string())
+        dictionary = shared.value
+        keywords = pa.array(dictionary["keyword"], pa.string())
+        contents = pa.array(dictionary["content"], pa.string())
+        always = [place for place, pattern in enumerate(dictionary["pattern"]) if not pattern]
+        # A Python worker keeps its broadcast values, and with them the automaton, over many tasks.
+        if "automaton" not in dictionary:
+            dictionary["automaton"] = _automaton(dictionary["pattern"])
+        automaton = dictionary["automaton"]
+
+        def find(text: str) -> list[int]:
+            found = set(always)
+            if len(automaton):
+                for _, places in automaton.iter(text):
+                    found.update(places)
+            return sorted(found)[:first]
 
         def output(ids: pa.Array, rows: list[int], hits: list[int], positions: list[int]) -> pa.RecordBatch:
             at = pa.array(hits, pa.int64())
@@ -183,7 +178,7 @@ def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) ->
         for batch in batches:
             rows, hits, positions = [], [], []
             for row, text in enumerate(batch.column(1)):
-                best = sorted(finder.find(text.as_py()))[:first] if text.is_valid else []
+                best = find(text.as_py()) if text.is_valid else []
                 rows.extend([row] * len(best))
                 hits.extend(best)
                 positions.extend(range(1, len(best) + 1))

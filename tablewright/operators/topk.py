@@ -185,20 +185,21 @@ def _merge_tasks(partial: DataFrame, k: int) -> DataFrame:
 
 
 def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(_asked(queries.toArrow()))
+    shared = index.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(shared.value, map(_held, _tables(batches)), k, threshold)
+        yield from _scan(_asked(shared.value), map(_held, _tables(batches)), k, threshold)
 
     return _merge_tasks(index.mapInArrow(scan, _schema(queries.schema["key"].dataType, index)), k)
 
 
 def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast(_held(index.toArrow()))
+    shared = index.sparkSession.sparkContext.broadcast(index.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _held(shared.value)
         for table in _tables(batches):
-            yield from _scan(_asked(table), iter([shared.value]), k, threshold)
+            yield from _scan(_asked(table), iter([held]), k, threshold)
 
     return queries.mapInArrow(scan, _schema(queries.schema["key"].dataType, index))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -36,21 +35,3 @@ def work_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="tablewright-")
     return os.path.join(base, f"tablewright-{uuid.uuid4().hex}")
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application.
-
-    The tasks import its functions, and a worker need not find the driver's folder.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="tablewright-"), "tablewright")
-    archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
