@@ -166,3 +166,31 @@ def test_simplify(spark):
     long = spark.createDataFrame([("S" * 5000, "fine")], "sql string, element_title string")
     assert simplify_sql(long, rewrite).first()["sql"].endswith("-- 4000")
     assert simplify_sql(long, lambda s, t: "").select(F.length("sql")).first()[0] == 5000
+
+
+def test_models_are_asked_once_per_row(spark, tmp_path):
+    marks = tmp_path / "asked"
+    marks.write_text("")
+
+    def rewrite(sql, title):
+        with open(marks, "a") as f:
+            f.write("r")
+        return sql + "!"
+
+    def model(texts):
+        with open(marks, "a") as f:
+            f.write("e" * len(texts))
+        return [[1.0] for _ in texts]
+
+    df = spark.createDataFrame([(f"SELECT {n}", "t") for n in range(7)], "sql string, element_title string").coalesce(1)
+    rows = embed(simplify_sql(df, rewrite), "sql", model).collect()
+    assert [r["sql"] for r in rows] == [f"SELECT {n}!" for n in range(7)] and rows[0]["embedding"] == [1.0]
+    assert sorted(marks.read_text()) == ["e"] * 7 + ["r"] * 7
+
+    marks.write_text("")
+    stored = spark.createDataFrame([("x", "q", "", "m", "", "", [1.0])], "id string, question string, sql string, "
+                                   "source string, dashboard string, description string, embedding array<double>")
+    none = spark.createDataFrame([], "keyword string, content string")
+    asked = df.selectExpr("sql AS query_id", "sql AS text")
+    assert search(asked, none, stored, lambda q: embed(q, "text", model)).count() == 7
+    assert marks.read_text() == "e" * 7
