@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.vectors import cosine
 from tablewright.operators import index as ix
 from tablewright.operators.embed import embed
 from tablewright.operators.search import search
@@ -247,6 +248,24 @@ def first_word(text: Column) -> Column:
     return F.regexp_extract(text, "^[^ \\n]*", 0)
 
 
+@register(
+    "cosine_to_vector",
+    """
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda i: 1.0 / i)), 6)
+         AS similarity, CAST(0.0 AS DOUBLE) AS to_shorter, CAST(0.0 AS DOUBLE) AS to_zero
+FROM embeddings""",
+)
+def cosines(tables: Tables) -> DataFrame:
+    """The column form: to one vector, to one of another length, and to a zero vector."""
+    own = F.col("embedding")
+    return tables.embeddings.select(
+        "vec_id",
+        F.round(cosine(own, F.array(*[F.lit(1.0 / i) for i in range(1, 65)])), 6).alias("similarity"),
+        cosine(own, F.array(F.lit(1.0))).alias("to_shorter"),
+        cosine(own, F.array_repeat(F.lit(0.0), 64)).alias("to_zero"),
+    )
+
+
 def word_dictionary(tables: Tables) -> DataFrame:
     """The first word of each document, with the sources it opens documents of."""
     word = first_word(F.col("text"))

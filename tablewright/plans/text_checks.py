@@ -214,3 +214,22 @@ def unfenced(tables: Tables) -> DataFrame:
     raw = F.expr("""CASE p_type WHEN 'ECONOMY' THEN concat(char(10), '```sql', char(10), 'SELECT ', p_size, char(10), '```')
         WHEN 'SMALL' THEN concat('``` SELECT ', p_size, '```  ') ELSE concat('SELECT ', p_size, ' AS ', p_type) END""")
     return tables.part.select("p_partkey", tx.strip_code_fence(raw).alias("sql"))
+
+
+@register(
+    "embed_texts",
+    """
+SELECT p_partkey, concat('Question: ', p_name, chr(10), 'SQL Pattern:', chr(10), 'SELECT ', p_size) AS chart,
+       concat('Question: ', p_name, chr(10), 'Schema: ', p_type) AS schema_document,
+       concat(p_name, chr(10), CASE WHEN p_size > 25 THEN concat(p_type, chr(10)) ELSE '' END, 'SELECT ', p_size) AS pattern
+FROM part""",
+)
+def embed_texts(tables: Tables) -> DataFrame:
+    sql = F.concat(F.lit("SELECT "), "p_size")
+    description = F.when(F.col("p_size") > 25, F.col("p_type"))
+    return tables.part.select(
+        "p_partkey",
+        tx.chart_text(F.col("p_name"), sql).alias("chart"),
+        tx.schema_text(F.col("p_name"), F.col("p_type")).alias("schema_document"),
+        tx.pattern_text(F.col("p_name"), description, sql).alias("pattern"),
+    )
