@@ -42,7 +42,7 @@ def list_tables(spark: SparkSession, schema: str | None = None) -> DataFrame:
 
 def list_all_tables(spark: SparkSession) -> DataFrame:
     """``schema.table`` of every schema; a schema that cannot be read is left out."""
-    found = spark.createDataFrame([], "table string")
+    names = []
     for database in spark.catalog.listDatabases():
         if database.name == HIDDEN_SCHEMA:
             continue
@@ -51,9 +51,8 @@ def list_all_tables(spark: SparkSession) -> DataFrame:
         except Exception as error:  # noqa: BLE001 - one bad schema must not hide the others
             logger.warning("schema %s not listed: %s", database.name, error)
             continue
-        named = shown.select(F.concat_ws(".", "namespace", "tableName").alias("table"))
-        found = found.unionByName(named)
-    return found.orderBy("table")
+        names += [(f"{row['namespace']}.{row['tableName']}",) for row in shown.collect()]
+    return spark.createDataFrame(sorted(names), "table string")
 
 
 def _by_column(df: DataFrame, values: dict[str, Column]) -> Column:

@@ -22,13 +22,16 @@ DEFAULT_LIMIT = 5000
 READ_COMMANDS = ("SHOW", "DESCRIBE", "DESC", "EXPLAIN")
 
 
+COMMENT = re.compile(r"--.*?$|/\*[\s\S]*?\*/", re.MULTILINE)
+
+
 def _bare(query: str) -> str:
-    text = re.sub(r"--[^\n]*", "", query)
-    return re.sub(r"/\*.*?\*/", "", text, flags=re.DOTALL).strip()
+    return COMMENT.sub(" ", query).strip()
 
 
 def _first_word(query: str) -> str:
-    return (_bare(query).split() or [""])[0].upper()
+    found = re.match(r"\S+", _bare(query))
+    return found[0].upper() if found else ""
 
 
 def _parses(spark: SparkSession, query: str) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.substring import keyword_hits
-from tablewright.operators.topk import DEFAULT_THRESHOLD, topk_join
+from tablewright.operators.topk import BROADCAST_HITS, DEFAULT_THRESHOLD, topk_join
 from tablewright.session import work_folder
 
 # --- Fixed values -------------------------------------------------------------------
@@ -17,16 +17,13 @@ KEYWORD_SIMILARITY = 1.0
 KEYWORD_SOURCE = "keyword"
 # ------------------------------------------------------------------------------------
 HIT_TEXTS = ("question", "sql", "source", "dashboard", "description")
-# Bound on the hits sent to every task to pick up their texts; an id and a number each.
-BROADCAST_HITS = 500_000
 
 
-def with_texts(hits: DataFrame, index: DataFrame, at_most: int | None) -> DataFrame:
+def with_texts(hits: DataFrame, index: DataFrame, at_most: int) -> DataFrame:
     """Hits with the index's text columns. Where the number of hits is known to be small they
     go to the index's tasks and the index is not shuffled."""
     texts = index.select("id", *HIT_TEXTS)
-    small = at_most is not None and at_most <= BROADCAST_HITS
-    return texts.join(F.broadcast(hits) if small else hits, "id")
+    return texts.join(F.broadcast(hits) if at_most <= BROADCAST_HITS else hits, "id")
 
 
 def search(

@@ -27,6 +27,8 @@ DEFAULT_THRESHOLD = 0.3
 SIMILARITY_DIGITS = 4
 # ------------------------------------------------------------------------------------
 BROADCAST_BYTES = 64 << 20
+# Hits, an id and a number each, that may be sent to every task to pick up their texts.
+BROADCAST_HITS = 500_000
 TILE_CELLS = 4 << 20
 
 
@@ -275,6 +277,7 @@ def topk(
         yield from _scan(query, map(_held, _tables(batches)), k, threshold)
 
     best = narrow.mapInArrow(scan, _schema(T.LongType(), narrow)).orderBy(F.desc("similarity"), "id").limit(k)
-    # k rows at most, so the index is only probed for them and never shuffled.
-    hits = F.broadcast(best.select(F.col("id").alias(index_id), "similarity"))
+    hits = best.select(F.col("id").alias(index_id), "similarity")
+    # k rows at most: if that is few, the index is only probed for them and not shuffled.
+    hits = F.broadcast(hits) if k <= BROADCAST_HITS else hits
     return index.drop(index_vector).join(hits, index_id).orderBy(F.desc("similarity"), index_id)

@@ -306,6 +306,24 @@ def keywords_by_shuffle(tables: Tables) -> DataFrame:
     return keyword_hits(turns(tables), word_dictionary(tables), automaton_bytes=0, broadcast_bytes=0)
 
 
+@register(
+    "keyword_use_in_documents",
+    f"""
+WITH words AS ({WORDS_SQL})
+SELECT keyword, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents JOIN words ON contains(lower(text), lower(keyword))
+GROUP BY keyword""",
+)
+def keyword_use(tables: Tables) -> DataFrame:
+    """Every word of the dictionary in whole documents, of up to 20,000 words."""
+    texts = tables.documents.select(F.col("doc_id").alias("query_id"), "text")
+    hits = keyword_hits(texts, word_dictionary(tables)).select("query_id", "keyword")
+    sizes = tables.documents.select(F.col("doc_id").alias("query_id"), F.char_length("text").alias("n"))
+    return hits.join(sizes, "query_id").groupBy("keyword").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("chars")
+    )
+
+
 @register(
     "glossary_match",
     """
