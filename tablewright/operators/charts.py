@@ -34,9 +34,9 @@ def multi_series(df: DataFrame, x: str, ys: list[str]) -> DataFrame:
     )
 
 
-def pie(df: DataFrame, names: str, values: str) -> DataFrame:
-    """Sum per name and its share of the total: ``name, total, share``."""
-    total = F.sum(F.col(values).cast("double"))
+def pie(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
+    """Sum (or count of rows) per name and its share of the total: ``name, total, share``."""
+    total = F.sum(F.col(values).cast("double")) if values else F.count("*").cast("double")
     parts = df.groupBy(F.col(names).alias("name")).agg(total.alias("total"))
     whole = df.agg(total.alias("total")).scalar()
     return parts.withColumn("share", F.col("total") / whole)
@@ -96,3 +96,21 @@ def box(df: DataFrame, x: str, y: str) -> DataFrame:
         F.max(F.when(inside, F.col("y"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )
+
+
+def chart_data(df: DataFrame, x: str, y: str | list[str] | None = None, kind: str = "bar") -> DataFrame:
+    """What a chart of the kind draws; ``y`` may be a list or a comma list of columns."""
+    ys = [part.strip() for part in y.split(",") if part.strip()] if isinstance(y, str) else list(y or [])
+    if kind == "histogram":
+        return histogram(df, x)
+    if kind == "pie":
+        return pie(df, x, ys[0] if ys else None)
+    if not ys:
+        raise ValueError(f"a {kind} chart needs a y column")
+    if kind == "heatmap":
+        return heatmap(df, x, ys[0])
+    if kind == "box":
+        return box(df, x, ys[0])
+    if kind in ("bar", "line") and len(ys) > 1:
+        return multi_series(df, x, ys)
+    return series(df, x, ys[0])

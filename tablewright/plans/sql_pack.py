@@ -141,6 +141,24 @@ SHARED_SQL = {
         SELECT DISTINCT l_partkey, l_suppkey FROM lineitem""",
     "sql_topk": """
         SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10""",
+    "sql_projection_filter": """
+        SELECT l_orderkey, l_partkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge
+        FROM lineitem
+        WHERE l_returnflag = 'R' AND l_quantity BETWEEN 10 AND 12 AND l_discount IN (0.0, 0.05)
+          AND (l_linestatus = 'F' OR l_tax > 0.06)""",
+    "sql_math": """
+        SELECT event_type, CAST(floor(value) AS BIGINT) AS whole, count(*) AS events,
+               round(sum(sqrt(value)), 6) AS roots, round(sum(ln(value + 1)), 6) AS logs,
+               round(max(power(value, 2)), 4) AS squared, round(sum(abs(value - 50)), 2) AS distance,
+               CAST(sum(sign(value - 50)) AS DOUBLE) AS side, CAST(sum(user_id % 7) AS BIGINT) AS remainders
+        FROM events
+        GROUP BY 1, 2""",
+    "sql_strings": """
+        SELECT p_partkey, upper(p_name) AS loud, replace(p_name, ' ', '_') AS joined,
+               substring(p_brand, 7, 2) AS number, concat(p_type, '/', p_brand) AS path,
+               CAST(length(p_name) AS INTEGER) AS letters, reverse(p_type) AS backwards,
+               lpad(CAST(p_size AS VARCHAR(5)), 4, '0') AS padded, coalesce(nullif(p_type, 'PROMO'), '-') AS kind
+        FROM part""",
     "sql_text_functions": """
         SELECT lang, source, CAST(sum(length(text)) AS BIGINT) AS chars,
                CAST(max(length(trim(text))) AS BIGINT) AS longest,
@@ -150,6 +168,37 @@ SHARED_SQL = {
 }
 
 TWO_FORMS = {
+    "sql_dates": (
+        """SELECT date_format(date_trunc('quarter', o_orderdate), 'yyyy-MM-dd') AS quarter,
+                  CAST(dayofweek(o_orderdate) - 1 AS INTEGER) AS weekday, count(*) AS orders,
+                  CAST(sum(datediff(o_orderdate, DATE '1992-01-01')) AS BIGINT) AS days,
+                  date_format(max(o_orderdate + INTERVAL 30 DAY), 'yyyy-MM-dd') AS due
+           FROM orders GROUP BY 1, 2""",
+        """SELECT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter,
+                  CAST(dayofweek(o_orderdate) AS INTEGER) AS weekday, count(*) AS orders,
+                  CAST(sum(datediff('day', TIMESTAMP '1992-01-01', o_orderdate)) AS BIGINT) AS days,
+                  strftime(max(o_orderdate + INTERVAL 30 DAY), '%Y-%m-%d') AS due
+           FROM orders GROUP BY 1, 2""",
+    ),
+    "sql_arrays": (
+        """SELECT vec_id, CAST(size(embedding) AS INTEGER) AS n, array_max(embedding) AS largest,
+                  CAST(array_position(embedding, array_min(embedding)) AS BIGINT) AS lowest_at,
+                  CAST(size(filter(embedding, x -> x > 0)) AS INTEGER) AS positive,
+                  round(CAST(slice(embedding, 3, 2)[1] AS DOUBLE), 6) AS fourth
+           FROM embeddings""",
+        """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, list_max(embedding) AS largest,
+                  CAST(list_position(embedding, list_min(embedding)) AS BIGINT) AS lowest_at,
+                  CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive,
+                  round(CAST(embedding[3:4][2] AS DOUBLE), 6) AS fourth
+           FROM embeddings""",
+    ),
+    "sql_maps": (
+        """SELECT event_id, array_join(map_keys(m), ',') AS names, m['k'] AS k, m['none'] AS missing
+           FROM (SELECT event_id, from_json(props, 'map<string,int>') AS m FROM events) t""",
+        """SELECT event_id, array_to_string(json_keys(props), ',') AS names,
+                  CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(NULL AS INTEGER) AS missing
+           FROM events""",
+    ),
     "sql_json": (
         """SELECT event_type, CAST(get_json_object(props, '$.k') AS INTEGER) AS k, count(*) AS events
            FROM events GROUP BY 1, 2""",

@@ -61,3 +61,20 @@ def test_multi_series_and_series(spark):
     assert [r["x"] for r in charts.series(df, "month", "revenue").collect()] == ["Feb", "Jan"]
     shares = {r["name"]: r["share"] for r in charts.pie(df, "month", "costs").collect()}
     assert shares == pytest.approx({"Jan": 1 / 3, "Feb": 2 / 3})
+
+
+def test_chart_data(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("b", 2, 20), ("b", 3, 30)], "m string, r int, c int")
+    columns = {
+        ("bar", "r"): ["x", "y"], ("line", "r, c"): ["x", "series", "y"], ("bar", ("r", "c")): ["x", "series", "y"],
+        ("scatter", "r,c"): ["x", "y"], ("pie", "r"): ["name", "total", "share"], ("pie", None): ["name", "total", "share"],
+        ("heatmap", "r"): ["x_bin", "y_bin", "rows"], ("histogram", None): ["bin", "rows"],
+        ("box", "c"): ["x", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers"],
+    }
+    for (kind, y), want in columns.items():
+        got = charts.chart_data(df, "m", list(y) if isinstance(y, tuple) else y, kind)
+        assert got.columns == want and got.count() > 0
+    counted = {r["name"]: r["share"] for r in charts.chart_data(df, "m", kind="pie").collect()}
+    assert counted == pytest.approx({"a": 1 / 3, "b": 2 / 3})
+    with pytest.raises(ValueError):
+        charts.chart_data(df, "m")
