@@ -69,7 +69,7 @@ def shown(index: DataFrame) -> DataFrame:
     return index.select(
         "id", "question", "sql", "source", "dashboard", "description",
         F.size("embedding").alias("size"),
-        F.round(F.get("embedding", F.lit(0)), 6).alias("head"),
+        (F.round(F.get("embedding", F.lit(0)), 6) + 0.0).alias("head"),
         F.date_format("created_at", day).alias("created_at"),
         F.date_format("updated_at", day).alias("updated_at"),
     )
@@ -91,7 +91,7 @@ def label_batch(tables: Tables) -> DataFrame:
 
 STORED_SQL = """SELECT concat('v', vec_id) AS id, concat('Question ', vec_id) AS question, 'SELECT 1' AS sql,
   concat('label-', label) AS source, '' AS dashboard, 'stored' AS description,
-  CAST(len(embedding) AS INTEGER) AS size, round(CAST(embedding[1] AS DOUBLE), 6) AS head,
+  CAST(len(embedding) AS INTEGER) AS size, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS head,
   '2024-01-01 00:00:00' AS created_at, '2024-01-01 00:00:00' AS updated_at, label
   FROM embeddings"""
 SHOWN_SQL = "id, question, sql, source, dashboard, description, size, head, created_at, updated_at"
@@ -104,7 +104,7 @@ WITH stored AS ({STORED_SQL})
 SELECT {SHOWN_SQL} FROM stored WHERE label >= 5
 UNION ALL
 SELECT CASE WHEN label < 5 THEN id ELSE replace(id, 'v', 'n') END, replace(question, 'Question ', 'Asked 2 '),
-       '', 'loaded', '', '', size, -head, CASE WHEN label < 5 THEN created_at ELSE '2024-02-01 00:00:00' END,
+       '', 'loaded', '', '', size, 0.0 - head, CASE WHEN label < 5 THEN created_at ELSE '2024-02-01 00:00:00' END,
        '2024-02-01 00:00:00'
 FROM stored""",
 )
@@ -251,7 +251,7 @@ def first_word(text: Column) -> Column:
 @register(
     "cosine_to_vector",
     """
-SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda i: 1.0 / i)), 6)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(1, 65), lambda i: 1.0 / i)), 6) + 0.0
          AS similarity, CAST(0.0 AS DOUBLE) AS to_shorter, CAST(0.0 AS DOUBLE) AS to_zero
 FROM embeddings""",
 )
@@ -260,7 +260,7 @@ def cosines(tables: Tables) -> DataFrame:
     own = F.col("embedding")
     return tables.embeddings.select(
         "vec_id",
-        F.round(cosine(own, F.array(*[F.lit(1.0 / i) for i in range(1, 65)])), 6).alias("similarity"),
+        (F.round(cosine(own, F.array(*[F.lit(1.0 / i) for i in range(1, 65)])), 6) + 0.0).alias("similarity"),
         cosine(own, F.array(F.lit(1.0))).alias("to_shorter"),
         cosine(own, F.array_repeat(F.lit(0.0), 64)).alias("to_zero"),
     )

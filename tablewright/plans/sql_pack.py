@@ -184,12 +184,12 @@ TWO_FORMS = {
         """SELECT vec_id, CAST(size(embedding) AS INTEGER) AS n, array_max(embedding) AS largest,
                   CAST(array_position(embedding, array_min(embedding)) AS BIGINT) AS lowest_at,
                   CAST(size(filter(embedding, x -> x > 0)) AS INTEGER) AS positive,
-                  round(CAST(slice(embedding, 3, 2)[1] AS DOUBLE), 6) AS fourth
+                  round(CAST(slice(embedding, 3, 2)[1] AS DOUBLE), 6) + 0.0 AS fourth
            FROM embeddings""",
         """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, list_max(embedding) AS largest,
                   CAST(list_position(embedding, list_min(embedding)) AS BIGINT) AS lowest_at,
                   CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive,
-                  round(CAST(embedding[3:4][2] AS DOUBLE), 6) AS fourth
+                  round(CAST(embedding[3:4][2] AS DOUBLE), 6) + 0.0 AS fourth
            FROM embeddings""",
     ),
     "sql_maps": (
