@@ -118,6 +118,7 @@ def without_existing(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, Data
 @dataclass(frozen=True)
 class Load:
     index: DataFrame
+    rows: DataFrame
     counters: DataFrame
     failed: DataFrame
 
@@ -131,7 +132,8 @@ def load(
     dry_run: bool = False,
     **embed_options: object,
 ) -> Load:
-    """Embeds rows and upserts them: the new index, the counters, and the rows that failed.
+    """Embeds rows and upserts them: the new index, the rows to upsert into a stored one, the
+    counters, and the rows that failed.
 
     Rows are spread evenly before the costly model calls, and their vectors are written to the
     shared folder once, so neither a lost executor nor the three results repeat the calls.
@@ -139,7 +141,7 @@ def load(
     spark = rows.sparkSession
     nothing = rows.limit(0).withColumn("error", F.lit("")).drop("embed_text")
     if dry_run:
-        return Load(index, counters(rows.select("source", F.lit("skipped").alias("outcome"))), nothing)
+        return Load(index, nothing, counters(rows.select("source", F.lit("skipped").alias("outcome"))), nothing)
     skipped = rows.limit(0)
     if skip_existing:
         rows, skipped = without_existing(rows, index)
@@ -152,7 +154,8 @@ def load(
         part.select("source", F.lit(outcome).alias("outcome"))
         for part, outcome in ((fresh, "created"), (known, "updated"), (skipped, "skipped"), (failed, "errors"))
     )
-    return Load(upsert(index, good.drop("error"), now), counters(outcomes), failed.drop("embedding"))
+    good = good.drop("error")
+    return Load(upsert(index, good, now), good, counters(outcomes), failed.drop("embedding"))
 
 
 def rebuild(

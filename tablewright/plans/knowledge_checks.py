@@ -13,7 +13,7 @@ from tablewright.operators.substring import glossary_hits, keyword_hits
 from tablewright.operators.topk import topk, topk_join
 from tablewright.plans.registry import Tables, register
 from tablewright.session import work_folder
-from tablewright.sources.store import import_vectors, read_index, write_table
+from tablewright.sources.store import delete_from_index, import_vectors, read_index, write_index
 from tablewright.streaming.feeds import search_stream
 
 THEN, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -169,8 +169,8 @@ def index_versions(tables: Tables) -> DataFrame:
     """Two versions written in the shared folder; the second is made from the first."""
     root = work_folder(tables.spark)
     as_text = label_index(tables).withColumn("embedding", F.to_json("embedding"))
-    write_table(import_vectors(as_text), root)
-    write_table(ix.delete(read_index(tables.spark, root), label_batch(tables)), root)
+    write_index(import_vectors(as_text), root)
+    delete_from_index(label_batch(tables), root)
     return shown(read_index(tables.spark, root))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators.index import INDEX_SCHEMA
+from tablewright.operators.index import INDEX_SCHEMA, delete, edit, upsert
 
 VERSION_SCHEMA = "version bigint, folder string, created timestamp"
 
@@ -48,8 +49,96 @@ def read_table(spark: SparkSession, root: str, schema: str | None = None) -> Dat
     return spark.read.parquet(f"{root}/{latest[1]}")
 
 
+# --- The index: parts by hash of the id, so that a change rewrites only the parts it touches -----
+INDEX_PARTS = 64
+INDEX_VERSION_SCHEMA = "version bigint, created timestamp, parts int, folders map<string, string>"
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+
+
+def _index_version(spark: SparkSession, root: str) -> Row | None:
+    try:
+        rows = spark.read.schema(INDEX_VERSION_SCHEMA).json(f"{root}/versions")
+        return rows.orderBy(F.desc("version"), F.desc("created")).first()
+    except AnalysisException:
+        return None
+
+
+def _read_parts(spark: SparkSession, root: str, folders: Mapping[str, str]) -> DataFrame:
+    """The given parts, each from the folder that holds it now; others are not listed or read."""
+    by_folder: dict[str, list[int]] = {}
+    for part, folder in folders.items():
+        by_folder.setdefault(folder, []).append(int(part))
+    found = spark.createDataFrame([], INDEX_SCHEMA)
+    for folder, parts in by_folder.items():
+        rows = spark.read.parquet(f"{root}/{folder}").where(F.col("part").isin(parts))
+        found = found.unionByName(rows.drop("part"))
+    return found
+
+
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, INDEX_SCHEMA)
+    """The current index, empty where nothing was written yet."""
+    version = _index_version(spark, root)
+    return _read_parts(spark, root, version["folders"] if version else {})
+
+
+def change_index(
+    spark: SparkSession,
+    root: str,
+    ids: DataFrame,
+    change: Callable[[DataFrame], DataFrame],
+    parts: int = INDEX_PARTS,
+    now: datetime | None = None,
+) -> int:
+    """Applies a change that concerns only rows with the given ids, as a new version.
+
+    ``change`` gets the parts those ids fall in and returns what they become. Other parts stay in
+    the folders they are in. Only part numbers come to the driver. ``parts`` is set by the first
+    write; choose it so that a part is some gigabytes.
+    """
+    version = _index_version(spark, root)
+    parts = version["parts"] if version else parts
+    folders = dict(version["folders"]) if version else {}
+    touched = [str(r["part"]) for r in ids.select(_part(parts).alias("part")).distinct().collect()]
+    old = _read_parts(spark, root, {p: folders[p] for p in touched if p in folders})
+    number = version["version"] + 1 if version else 1
+    folder = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+    changed = change(old).withColumn("part", _part(parts)).hint("rebalance", "part")
+    changed.write.partitionBy("part").parquet(f"{root}/{folder}")
+    kept = {p: f for p, f in folders.items() if p not in touched}
+    written = _written_parts(spark, f"{root}/{folder}")
+    row = [(number, now or datetime.now(timezone.utc), parts, kept | {p: folder for p in written})]
+    spark.createDataFrame(row, INDEX_VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/versions")
+    return number
+
+
+def _written_parts(spark: SparkSession, path: str) -> list[str]:
+    """The parts a folder holds; none when a change left no rows."""
+    try:
+        return [str(r["part"]) for r in spark.read.parquet(path).select("part").distinct().collect()]
+    except AnalysisException:
+        return []
+
+
+def write_index(index: DataFrame, root: str, parts: int = INDEX_PARTS) -> int:
+    """Replaces the whole index."""
+    spark = index.sparkSession
+    held = read_index(spark, root).select("id").unionByName(index.select("id"))
+    return change_index(spark, root, held, lambda _: index, parts)
+
+
+def upsert_index(rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None) -> int:
+    return change_index(rows.sparkSession, root, rows, lambda old: upsert(old, rows, now, order_by))
+
+
+def edit_index(rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None) -> int:
+    return change_index(rows.sparkSession, root, rows, lambda old: edit(old, rows, now, order_by))
+
+
+def delete_from_index(ids: DataFrame, root: str) -> int:
+    return change_index(ids.sparkSession, root, ids, lambda old: delete(old, ids))
 
 
 def import_vectors(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:

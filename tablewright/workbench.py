@@ -24,7 +24,14 @@ from tablewright.operators.substring import glossary_hits
 from tablewright.operators.topk import DEFAULT_THRESHOLD
 from tablewright.sources.patterns import PATTERN_SCHEMA, delete_patterns, find_pattern, write_patterns
 from tablewright.sources.query_log import read_query_log
-from tablewright.sources.store import read_index, read_table, write_table
+from tablewright.sources.store import (
+    delete_from_index,
+    edit_index,
+    read_index,
+    read_table,
+    upsert_index,
+    write_table,
+)
 
 KEYWORD_SCHEMA = "keyword string, content string"
 TERM_SCHEMA = "term string, definition string"
@@ -131,9 +138,9 @@ class Workbench:
         stored = self.patterns()
         if stored.where(F.col("filename") == filename).isEmpty():
             return False
-        kept, index = delete_patterns(stored, self.index(), self._one("filename string", filename))
+        kept, _ = delete_patterns(stored, self.index(), self._one("filename string", filename))
         write_table(kept, self._path("patterns"))
-        write_table(index, self._path("index"))
+        delete_from_index(self._one("id string", filename), self._path("index"))
         return True
 
     # --- Index ---------------------------------------------------------------------------
@@ -144,14 +151,14 @@ class Workbench:
         ids = self._one("id string", id_)
         if ix.existing(self.index(), ids).isEmpty():
             return False
-        write_table(ix.delete(self.index(), ids), self._path("index"))
+        delete_from_index(ids, self._path("index"))
         return True
 
     def edit_vector(self, id_: str, question: str, **fields: str) -> None:
         """Changes the texts of an index row and carries its vector over."""
         names = ["id", "question", *fields]
         row = self.spark.createDataFrame([(id_, question, *fields.values())], ", ".join(f"{n} string" for n in names))
-        write_table(ix.edit(self.index(), row, _now()), self._path("index"))
+        edit_index(row, self._path("index"), _now())
 
     def stats(self) -> DataFrame:
         return ix.knowledge_stats(self.patterns(), self.keywords(), self.terms(), self.index())
@@ -167,7 +174,7 @@ class Workbench:
 
     def _load(self, step) -> Load:
         done = step(self.index())
-        write_table(done.index, self._path("index"))
+        upsert_index(done.rows, self._path("index"), _now())
         return done
 
     def search(
@@ -207,7 +214,7 @@ class Workbench:
         model = self.embedder if dry_run else self._model()
         done = load(rows, self.index(), model, _now(), skip_existing, dry_run)
         if not dry_run:
-            write_table(done.index, self._path("index"))
+            upsert_index(done.rows, self._path("index"), _now())
         return done
 
     def _chart_rows(self, charts: DataFrame, source: str) -> DataFrame:

@@ -3,7 +3,10 @@ from datetime import datetime
 import pytest
 
 from tablewright.operators import index as ix
-from tablewright.sources.store import import_vectors, read_index, read_table, write_table
+from tablewright.sources.store import (
+    _index_version, delete_from_index, edit_index, import_vectors, read_index, read_table, upsert_index, write_index,
+    write_table,
+)
 
 T1, T2, T3 = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 3)
 
@@ -78,14 +81,48 @@ def test_dictionary(spark):
 
 
 def test_versions(spark, index, tmp_path):
-    root = str(tmp_path / "index")
-    assert read_index(spark, root).count() == 0
+    root = str(tmp_path / "table")
     with pytest.raises(FileNotFoundError):
         read_table(spark, root)
+    assert read_table(spark, root, ix.INDEX_SCHEMA).count() == 0
     assert write_table(index, root) == 1
     ids = spark.createDataFrame([("a",)], "id string")
-    assert write_table(ix.delete(read_index(spark, root), ids), root) == 2
-    assert [r["id"] for r in read_index(spark, root).collect()] == ["b"]
+    assert write_table(ix.delete(read_table(spark, root), ids), root) == 2
+    assert [r["id"] for r in read_table(spark, root).collect()] == ["b"]
+
+
+def test_stored_index(spark, index, tmp_path):
+    root = str(tmp_path / "index")
+    schema = "id string, question string, embedding array<double>"
+    assert read_index(spark, root).columns == index.columns and read_index(spark, root).count() == 0
+    many = spark.createDataFrame([(f"r{n}", f"q{n}", [float(n)]) for n in range(300)], schema)
+    assert write_index(ix.upsert(index, many, T1), root, parts=8) == 1
+    assert read_index(spark, root).count() == 302
+    before = _index_version(spark, root)["folders"]
+    assert set(before) == {str(n) for n in range(8)} and len(set(before.values())) == 1
+
+    rows = spark.createDataFrame([("r7", "changed", [9.0]), ("r7", "last", [8.0])], schema).selectExpr(
+        "*", "IF(question = 'last', 2, 1) AS n")
+    assert upsert_index(rows, root, T2, "n") == 2
+    after = _index_version(spark, root)["folders"]
+    assert sum(after[p] != before[p] for p in before) == 1
+    got = by_id(read_index(spark, root))
+    assert len(got) == 302
+    assert (got["r7"]["question"], got["r7"]["embedding"], got["r7"]["created_at"], got["r7"]["updated_at"]) == ("last", [8.0], T1, T2)
+    assert got["r8"]["updated_at"] == T1
+
+    edit_index(spark.createDataFrame([("r7", "edited")], "id string, question string"), root, T3)
+    got = by_id(read_index(spark, root))
+    assert (got["r7"]["question"], got["r7"]["embedding"], got["r7"]["updated_at"]) == ("edited", [8.0], T3)
+
+    delete_from_index(spark.createDataFrame([("r1",), ("none",), ("a",)], "id string"), root)
+    assert set(by_id(read_index(spark, root))) == set(got) - {"r1", "a"}
+    delete_from_index(read_index(spark, root).select("id"), root)
+    assert read_index(spark, root).count() == 0
+    upsert_index(many, root, T2)
+    assert read_index(spark, root).count() == 300
+    write_index(index, root)
+    assert set(by_id(read_index(spark, root))) == {"a", "b"}
 
 
 def test_import_vectors(spark):

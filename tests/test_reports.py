@@ -100,8 +100,8 @@ def test_log_stream(spark, tmp_path):
 
 
 def test_load_stream(spark, tmp_path):
-    from tablewright.operators.index import INDEX_SCHEMA, upsert
-    from tablewright.sources.store import read_index, write_table
+    from tablewright.operators.index import INDEX_SCHEMA
+    from tablewright.sources.store import read_index, upsert_index
 
     landed, root = str(tmp_path / "landed"), str(tmp_path / "index")
 
@@ -109,7 +109,7 @@ def test_load_stream(spark, tmp_path):
         spark.createDataFrame(rows, "id string, question string").write.mode("append").json(landed)
 
     def batch(df, _):
-        write_table(upsert(read_index(spark, root), df, datetime(2024, 1, 1)), root)
+        upsert_index(df, root, datetime(2024, 1, 1))
 
     land(("a", "one"), ("b", "two"))
     stream = spark.readStream.schema("id string, question string").json(landed)
