@@ -50,7 +50,7 @@ def read_table(spark: SparkSession, root: str, schema: str | None = None) -> Dat
 
 
 # --- The index: parts by hash of the id, so that a change rewrites only the parts it touches -----
-INDEX_PARTS = 64
+INDEX_PARTS = 16
 INDEX_VERSION_SCHEMA = "version bigint, created timestamp, parts int, folders map<string, string>"
 
 
@@ -66,6 +66,10 @@ def _index_version(spark: SparkSession, root: str) -> Row | None:
         return None
 
 
+def _parts_folder(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{INDEX_SCHEMA}, part int").parquet(path)
+
+
 def _read_parts(spark: SparkSession, root: str, folders: Mapping[str, str]) -> DataFrame:
     """The given parts, each from the folder that holds it now; others are not listed or read."""
     by_folder: dict[str, list[int]] = {}
@@ -73,7 +77,7 @@ def _read_parts(spark: SparkSession, root: str, folders: Mapping[str, str]) -> D
         by_folder.setdefault(folder, []).append(int(part))
     found = spark.createDataFrame([], INDEX_SCHEMA)
     for folder, parts in by_folder.items():
-        rows = spark.read.parquet(f"{root}/{folder}").where(F.col("part").isin(parts))
+        rows = _parts_folder(spark, f"{root}/{folder}").where(F.col("part").isin(parts))
         found = found.unionByName(rows.drop("part"))
     return found
 
@@ -117,7 +121,7 @@ def change_index(
 def _written_parts(spark: SparkSession, path: str) -> list[str]:
     """The parts a folder holds; none when a change left no rows."""
     try:
-        return [str(r["part"]) for r in spark.read.parquet(path).select("part").distinct().collect()]
+        return [str(r["part"]) for r in _parts_folder(spark, path).select("part").distinct().collect()]
     except AnalysisException:
         return []
 
