@@ -101,11 +101,13 @@ class WordHasher:
     """64-bit hashes of the words of texts, letters A-Z taken as a-z.
 
     A word's value is a polynomial over a fixed random table of byte values, read off prefix
-    sums, so a block of text costs a dozen array operations and no step per word.
+    sums, so a block of text costs a dozen array operations and no step per word. With
+    ``prefixes`` each word gives as many more values: of its first so many bytes, or its own
+    again where it is shorter.
     """
 
-    def __init__(self, kind: str = "space") -> None:
-        self.table, self.between = _lookup(), separators(kind)
+    def __init__(self, kind: str = "space", prefixes: tuple[int, ...] = ()) -> None:
+        self.table, self.between, self.prefixes = _lookup(), separators(kind), prefixes
         self.base = 0x9E3779B97F4A7C15 | 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
@@ -120,7 +122,7 @@ class WordHasher:
             setattr(self, name, np.multiply.accumulate(powers))
 
     def block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of the bytes, and for each text the number of its first word.
+        """Hashes of the words of the bytes, and for each text the number of its first hash.
 
         ``cuts`` holds the texts' byte positions, the end included.
         """
@@ -137,8 +139,12 @@ class WordHasher:
         last = np.flatnonzero(ends) + 1
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
-        hashes = mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
-        return hashes, np.searchsorted(first, cuts)
+        bounds = np.searchsorted(first, cuts)
+        stops = [last, *[np.where(last - first > k, first + k, last) for k in self.prefixes]]
+        each = [mixed((sums[e] - sums[first]) * self.down[first] + (e - first).astype(np.uint64)) for e in stops]
+        for k in range(1, len(each)):  # a prefix is not the word that looks like it
+            each[k] = np.where(stops[k] < last, each[k] ^ np.uint64(0x5851F42D4C957F2D), each[k])
+        return (np.stack(each, 1).ravel(), bounds * len(each)) if self.prefixes else (each[0], bounds)
 
 
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -169,3 +175,52 @@ def hashed_words(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, in
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
+
+
+class HashIndex:
+    """Positions of 64-bit keys (well mixed, no repeats) in an open-addressed table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.ascontiguousarray(keys, np.uint64)
+        size = 1 << max(4, int(4 * len(self.keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.slots = np.full(size, -1, np.int32)
+        waiting = np.arange(len(self.keys), dtype=np.int32)
+        at = self.keys & self.mask
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]
+            lost = self.slots[at] != waiting
+            waiting, at = waiting[lost], (at[lost] + np.uint64(1)) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The position of each hash among the keys, or -1."""
+        at = hashes & self.mask
+        found = self.slots[at]
+        other = np.flatnonzero(found >= 0)
+        other = other[self.keys[found[other]] != hashes[other]]
+        while len(other):
+            at[other] = (at[other] + np.uint64(1)) & self.mask
+            found[other] = self.slots[at[other]]
+            other = other[found[other] >= 0]
+            other = other[self.keys[found[other]] != hashes[other]]
+        return found
+
+
+def mapped_text(docs: DataFrame, change) -> DataFrame:
+    """The same rows and columns with ``change(text)`` as the text and its length as ``n_chars``.
+
+    A null text stays null; ``n_chars`` is set where there is such a column.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, columns = batch.schema.names, list(batch.columns)
+            new = [None if t is None else change(t) for t in columns[names.index("text")].to_pylist()]
+            for name, values in (("text", new), ("n_chars", [None if t is None else len(t) for t in new])):
+                if name in names:
+                    k = names.index(name)
+                    columns[k] = pa.array(values, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

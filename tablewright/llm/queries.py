@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
+from tablewright.llm.secret_scan import secret_digests
+from tablewright.llm.toxicity import fit_severity, severity
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CORPUS_ORACLES: dict[str, str] = {}
@@ -30,3 +32,14 @@ def query(name: str, oracle: str | None = None):
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality_rules(docs, trusted_documents(docs, table(spark, folder, "labels")))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(table(spark, folder, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return severity(docs, fit_severity(docs, table(spark, folder, "labels")))
