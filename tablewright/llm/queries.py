@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.bpe import Vocabulary, decode, encode
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
-from tablewright.llm.secret_scan import secret_digests
+from tablewright.llm.secret_scan import secret_digests, secret_spans
 from tablewright.llm.toxicity import fit_severity, severity
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,10 +39,22 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_secret_scan")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_digests(table(spark, folder, "documents"))
+    return secret_digests(secret_spans(table(spark, folder, "documents")))
 
 
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return severity(docs, fit_severity(docs, table(spark, folder, "labels")))
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = Vocabulary.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    done = decode(encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

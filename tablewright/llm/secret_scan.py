@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.llm.common import mapped_text, texts
 
@@ -107,10 +107,6 @@ class Scanner:
         return sorted(self.base(text) + self.entropy(text))
 
 
-def digest(spans: Sequence[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -135,30 +131,18 @@ def secret_spans(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(run, schema)
 
 
-def secret_digests(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
-    """Per document: counts of the base kinds, a hash of the base spans, and all spans as text."""
-    scan = scanner or Scanner()
+def written(spans: Column) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: list[list[int]] = [[], [], []]
-            hashes, written = [], []
-            for text in batch.column("text").to_pylist():
-                base = scan.base(text)
-                for k in range(3):
-                    counts[k].append(sum(s[1] == k for s in base))
-                hashes.append(hashlib.sha256(digest(base).encode()).hexdigest())
-                written.append(digest(sorted(base + scan.entropy(text))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(hashes), pa.array(written, pa.string())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-            )
-
-    schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, "
-        "base_sha256 string, spans string"
+
+def secret_digests(found: DataFrame) -> DataFrame:
+    """Counts of the base kinds, a hash of the base spans and all spans as text, from ``secret_spans``."""
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
     )
-    return texts(docs, "doc_id").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, scanner: Scanner | None = None, mark: str = "[SECRET]") -> DataFrame:
