@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from tablewright.llm.common import texts
+from tablewright.llm.common import HashIndex, mixed, texts
 
 # Words a task keeps the ids of; when full, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
+# Ranks below this are applied to all their positions in one step.
+COMMON_RANKS = 1_000
 # --- Fixed values: how the vocabulary's file splits words of ASCII characters ------------------
 ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 # ----------------------------------------------------------------------------------------------
@@ -44,7 +48,7 @@ class Vocabulary:
 class Encoder:
     """Ids of words by a vocabulary; built once per task."""
 
-    def __init__(self, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS) -> None:
+    def __init__(self, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS, common: int = COMMON_RANKS) -> None:
         spec = json.loads(vocabulary.source)
         model = spec["model"]
         self.library = Tokenizer.from_str(vocabulary.source)  # its normalizer and splitter, not its merges
@@ -57,6 +61,19 @@ class Encoder:
             first, second = self.vocab[a], self.vocab[b]
             self.result.append((first, second, self.vocab[a + b]))
             self.merges[first << 32 | second] = rank
+        keys = np.array(list(self.merges), np.uint64)
+        self.pairs = HashIndex(mixed(keys))
+        # Ids of the byte alphabet's characters, inside a word and at its end.
+        single = {c: i for c, i in self.vocab.items() if len(c) == 1}
+        self.inner = np.full(max(map(ord, single)) + 1, -1, np.int64)
+        self.final = self.inner.copy()
+        for c, i in single.items():
+            self.inner[ord(c)], self.final[ord(c)] = i, self.vocab[c + self.suffix]
+        self.common = common
+        # The vocabulary's characters for the bytes from 128 on, which it writes as themselves or shifted.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {b: level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128, 192)}
+        self.alphabet |= {b: level.pre_tokenize_str(chr((b & 31) << 6 | 0x20))[0][0][0] for b in range(194, 196)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.kept_words = kept_words
@@ -67,34 +84,82 @@ class Encoder:
 
     def _parts(self, word: bytes) -> list[str]:
         """A word's parts in the vocabulary's byte alphabet."""
+        own = word.decode()
         if word.isascii():
-            return ASCII_PARTS.findall(word.decode().lower())
-        normal = self.library.normalizer.normalize_str(word.decode())
+            return [own.lower()] if own.isalpha() else ASCII_PARTS.findall(own.lower())
+        if own.isalpha() and max(own) < "\u0100":  # Latin letters, composed already
+            return [own.lower().encode().decode("latin-1").translate(self.alphabet)]
+        normal = self.library.normalizer.normalize_str(own)
         return [part for part, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def merge(self, parts: list[str]) -> list[list[int]]:
-        """The ids of each part, all parts together."""
-        symbols: list[int] = []
-        following: list[int] = []
-        starts = [0]
-        vocab, merges = self.vocab, self.merges
-        for part in parts:
-            symbols += [vocab[c] for c in part[:-1]]
-            symbols.append(vocab[part[-1] + self.suffix])
-            following += range(len(following) + 1, len(symbols))
-            following.append(-1)
-            starts.append(len(symbols))
-        before = list(range(-1, len(symbols) - 1))
-        for start in starts[:-1]:
-            before[start] = -1
-        places: dict[int, list[int]] = {}
-        for at, after in enumerate(following):
-            if after >= 0:
-                rank = merges.get(symbols[at] << 32 | symbols[after])
-                if rank is not None:
-                    places.setdefault(rank, []).append(at)
-        active = list(places)
-        heapq.heapify(active)
+        """The ids of each part, all parts together.
+
+        The first ``common`` ranks stand at very many positions and are applied to all of them
+        at once; the later ones have few positions each and are walked.
+        """
+        text = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(p) for p in parts])
+        symbols = self.inner[text]
+        symbols[ends - 1] = self.final[text[ends - 1]]
+        following = np.arange(1, len(symbols) + 1)
+        following[ends - 1] = -1
+        before = np.arange(-1, len(symbols) - 1)
+        before[ends[:-1]] = -1
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def found_at(at: np.ndarray) -> None:
+            """Enters the pairs that begin at these positions."""
+            after = following[at]
+            at, after = at[after >= 0], after[after >= 0]
+            rank = self._ranks(symbols[at], symbols[after])
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            first = np.flatnonzero(np.diff(rank, prepend=-1))
+            for own, a, b in zip(rank[first].tolist(), first.tolist(), [*first.tolist()[1:], len(rank)], strict=False):
+                if own in places:
+                    places[own].append(at[a:b])
+                else:
+                    places[own] = [at[a:b]]
+                    heapq.heappush(active, own)
+
+        if len(symbols):
+            found_at(np.arange(len(symbols)))
+        while active and active[0] < self.common:
+            rank = heapq.heappop(active)
+            first, second, merged = self.result[rank]
+            lists = places.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.concatenate(lists)
+            if first == second or len(lists) > 1:
+                at = np.unique(at)
+            after = following[at]
+            good = (symbols[at] == first) & (after >= 0)
+            good[good] = symbols[after[good]] == second
+            at, after = at[good], after[good]
+            if first == second and len(at):  # "aaa" merges its first two
+                run = np.flatnonzero(np.concatenate([[True], at[1:] != after[:-1]]))
+                nth = np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))
+                at, after = at[nth % 2 == 0], after[nth % 2 == 0]
+            symbols[at], symbols[after] = merged, -1
+            beyond = following[after]
+            following[at] = beyond
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            back = before[at]
+            found_at(np.concatenate([at, back[back >= 0]]))
+        walked = self._walk(
+            symbols.tolist(), following.tolist(), before.tolist(),
+            {rank: np.concatenate(lists).tolist() for rank, lists in places.items()}, active,
+        )
+        starts = [0, *ends.tolist()]
+        return [[s for s in walked[a:b] if s >= 0] for a, b in zip(starts, starts[1:])]
+
+    def _ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return self.pairs.find(mixed(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)))
+
+    def _walk(self, symbols: list[int], following: list[int], before: list[int], places: dict[int, list[int]], active: list[int]) -> list[int]:
+        merges = self.merges
         while active:
             rank = heapq.heappop(active)
             first, second, merged = self.result[rank]
@@ -125,7 +190,7 @@ class Encoder:
                         else:
                             places[new] = [back]
                             heapq.heappush(active, new)
-        return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, starts[1:])]
+        return symbols
 
     def _learn(self, words: set[bytes]) -> None:
         own = list(words)
@@ -133,7 +198,8 @@ class Encoder:
         parts = list({p for each in split for p in each})
         ids = dict(zip(parts, self.merge(parts), strict=True))
         for word, each in zip(own, split, strict=True):
-            self.known[word] = np.array([i for p in each for i in ids[p]], np.int32).tobytes()
+            one = ids[each[0]] if len(each) == 1 else [i for p in each for i in ids[p]]
+            self.known[word] = array("i", one).tobytes()
 
     def words(self, text: str) -> list[bytes]:
         """What stands between ASCII white space; special tokens stand alone."""
@@ -144,16 +210,21 @@ class Encoder:
             return out
         return text.encode().split()
 
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        """Each text's ids as packed 32-bit integers."""
-        split = [self.words(t) for t in texts_]
+    def learn(self, texts_: list[str]) -> None:
+        """Encodes the words of the texts that are not known yet, together."""
         if len(self.known) > self.kept_words:
             self._clear()
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new: set[bytes] = set()
+        for text in texts_:
+            new.update(self.words(text))
+        new.difference_update(self.known)
         if new:
             self._learn(new)
-        return [b"".join([known[w] for w in words]) for words in split]
+
+    def encode(self, text: str) -> bytes:
+        """A learned text's ids as packed 32-bit integers."""
+        known = self.known
+        return b"".join([known[w] for w in self.words(text)])
 
 
 def chunks(values: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
@@ -180,14 +251,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS
     One row per row of ``docs``, whatever its id; a null or empty text has no ids. Words are
     encoded once for each task that meets them. No shuffle; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.source)
+    # A Python worker keeps its broadcast values, and with them the words it knows, over many tasks.
+    shared = docs.sparkSession.sparkContext.broadcast({"source": vocabulary.source})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value), kept_words)
+        held = shared.value
+        encoder = held["encoder"] = held.get("encoder") or Encoder(Vocabulary(held["source"]), kept_words)
         for batch in batches:
-            low = 0
-            for own in chunks(batch.column("text").to_pylist()):
-                ids = packed_lists(encoder.encode(own))
+            low, all_ = 0, batch.column("text").to_pylist()
+            encoder.learn(all_)
+            for own in chunks(all_):
+                ids = packed_lists([encoder.encode(t) for t in own])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low : low + len(own)], ids], ["doc_id", "ids"])
                 low += len(own)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import Vocabulary, decode, encode
+from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
 from tablewright.llm.secret_scan import secret_digests, secret_spans
 from tablewright.llm.toxicity import fit_severity, severity
@@ -58,3 +59,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return pack(table(spark, folder, "documents"), file.read())
