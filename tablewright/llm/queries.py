@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import Vocabulary, decode, encode
+from tablewright.llm.ngram_join import similarity_classes
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
 from tablewright.llm.secret_scan import secret_digests, secret_spans
@@ -65,3 +66,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return pack(table(spark, folder, "documents"), file.read())
+
+
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_classes(table(spark, folder, "documents"))
