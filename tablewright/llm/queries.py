@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import Vocabulary, decode, encode
+from tablewright.llm.line_dedup import line_dedup
 from tablewright.llm.ngram_join import similarity_classes
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
@@ -71,3 +72,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_classes(table(spark, folder, "documents"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(table(spark, folder, "documents"))
