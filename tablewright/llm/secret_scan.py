@@ -138,7 +138,11 @@ def written(spans: Column) -> Column:
 
 def secret_digests(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, a hash of the base spans and all spans as text, from ``secret_spans``."""
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
     return found.select(
         "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
