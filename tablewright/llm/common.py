@@ -35,8 +35,8 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*kept, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def heaviest(counts: DataFrame, key: str, count: str, most: int) -> list[tuple[int, int]]:
-    """The keys with the largest counts, at most ``most`` of them; equal counts go together.
+def heaviest(counts: DataFrame, key: str, count: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys with the largest counts, at most ``most`` of them, and the counts, in no order.
 
     The threshold is read off a histogram of the counts, of a few hundred rows at any size.
     ``counts`` should be staged, it is read twice.
@@ -48,9 +48,9 @@ def heaviest(counts: DataFrame, key: str, count: str, most: int) -> list[tuple[i
         if total > most:
             break
         least = row["bin"]
-    if least is None:
-        return []
-    return [(r[0], r[1]) for r in counts.where(bin_ >= least).select(key, count).collect()]
+    picked = counts.where(F.lit(False) if least is None else bin_ >= least)
+    found = picked.select(F.col(key).cast("long"), F.col(count).cast("long")).toArrow()
+    return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 
 def matching(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
@@ -69,10 +69,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 # --- Words of a column of texts, hashed without a Python step per word ---------------------
-def _lookup() -> np.ndarray:
+def _lookup(fold: bool) -> np.ndarray:
     rng = np.random.default_rng(20240229)
     table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    table[65:91] = table[97:123]
+    if fold:
+        table[65:91] = table[97:123]
     return table
 
 
@@ -98,7 +99,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of the words of texts, letters A-Z taken as a-z.
+    """64-bit hashes of the words of texts, letters A-Z taken as a-z unless ``fold`` is false.
 
     A word's value is a polynomial over a fixed random table of byte values, read off prefix
     sums, so a block of text costs a dozen array operations and no step per word. With
@@ -106,8 +107,8 @@ class WordHasher:
     again where it is shorter.
     """
 
-    def __init__(self, kind: str = "space", prefixes: tuple[int, ...] = ()) -> None:
-        self.table, self.between, self.prefixes = _lookup(), separators(kind), prefixes
+    def __init__(self, kind: str = "space", prefixes: tuple[int, ...] = (), fold: bool = True) -> None:
+        self.table, self.between, self.prefixes = _lookup(fold), separators(kind), prefixes
         self.base = 0x9E3779B97F4A7C15 | 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
@@ -121,13 +122,20 @@ class WordHasher:
             powers[0] = 1
             setattr(self, name, np.multiply.accumulate(powers))
 
+    def spans(self, data: np.ndarray, first: np.ndarray, stops: list[np.ndarray]) -> list[np.ndarray]:
+        """Hashes of the bytes from ``first`` to each of ``stops``."""
+        n = len(data)
+        self._powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
+        return [mixed((sums[e] - sums[first]) * self.down[first] + (e - first).astype(np.uint64)) for e in stops]
+
     def block(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words of the bytes, and for each text the number of its first hash.
 
         ``cuts`` holds the texts' byte positions, the end included.
         """
         n = len(data)
-        self._powers(n + 1)
         word = ~self.between[data]
         edge = np.zeros(n + 1, bool)
         edge[cuts] = True
@@ -137,11 +145,9 @@ class WordHasher:
         ends[:-1] &= ~word[1:] | edge[1:n]
         first = np.flatnonzero(starts)
         last = np.flatnonzero(ends) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[:n], out=sums[1:])
         bounds = np.searchsorted(first, cuts)
         stops = [last, *[np.where(last - first > k, first + k, last) for k in self.prefixes]]
-        each = [mixed((sums[e] - sums[first]) * self.down[first] + (e - first).astype(np.uint64)) for e in stops]
+        each = self.spans(data, first, stops)
         for k in range(1, len(each)):  # a prefix is not the word that looks like it
             each[k] = np.where(stops[k] < last, each[k] ^ np.uint64(0x5851F42D4C957F2D), each[k])
         return (np.stack(each, 1).ravel(), bounds * len(each)) if self.prefixes else (each[0], bounds)

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import Vocabulary, decode, encode
 from tablewright.llm.line_dedup import line_dedup
+from tablewright.llm.lm_scoring import lm_scores
 from tablewright.llm.ngram_join import similarity_classes
 from tablewright.llm.packing import pack
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
 from tablewright.llm.secret_scan import secret_digests, secret_spans
 from tablewright.llm.toxicity import fit_severity, severity
+from tablewright.llm.vector_search import neighbours
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CORPUS_ORACLES: dict[str, str] = {}
@@ -77,3 +79,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_line_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup(table(spark, folder, "documents"))
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours(table(spark, folder, "embeddings"))
