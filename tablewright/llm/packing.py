@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,50 +25,153 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm.common import staged, texts
+from tablewright.llm.common import WordHasher, separators, staged, text_blocks, texts
 
 CAPACITY = 2048
 GROUPS = 64
 # Lengths of at least this share of a sequence are large; the plan with the fewest sequences is taken.
 LARGE = (0.2, 0.35, 0.5)
-KEPT_CHUNKS = 500_000
 # Pieces a shard of the ranking holds, about.
 SHARD_PIECES = 200_000
 
-# Unicode white space, as the tokenizer's pattern has it: no token crosses from a character
-# that is none to one that is, so a text can be cut before each run of it.
-SPACE = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+# Bytes of text whose distinct chunks are encoded together.
+UNIT_BYTES = 1 << 23
+# Chunks whose ids a Python worker keeps from unit to unit, about 32 bytes each.
+KEPT_CHUNKS = 2_000_000
+
+
+# Unicode white space beyond ASCII, in UTF-8.
+WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def white_space(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 text whether it is part of a white space character."""
+    found = separators("space")[data]
+    for lead in {w[0] for w in WIDE_SPACE}:
+        at = np.flatnonzero(data == lead)
+        for w in WIDE_SPACE:
+            if w[0] == lead and len(at):
+                own = at[at + len(w) <= len(data)]
+                for k in range(1, len(w)):
+                    own = own[data[own + k] == w[k]]
+                for k in range(len(w)):
+                    found[own + k] = True
+    return found
 
 
 class ChunkTokens:
-    """Token ids of texts by a ``tokenizers`` file, each distinct chunk encoded once."""
+    """Token ids of texts by a ``tokenizers`` file; a unit's distinct chunks are encoded once.
+
+    A text is cut before each run of white space. The file's splitting rule lets no token cross
+    from a character that is no white space to one that is, so the chunks' ids, one after
+    another, are the text's. A text with the string of a special token is one chunk. Chunks are
+    told apart by 64-bit hashes.
+    """
 
     def __init__(self, source: str, kept: int = KEPT_CHUNKS) -> None:
+        self.kept = kept
+        self._clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept, self.known = kept, {}
-
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def chunks(self, text: str) -> list[str]:
-        """A text with the string of a special token is one chunk."""
-        return [text] if any(s in text for s in self.special) else CHUNK.findall(text)
-
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        """Each text's ids as packed little-endian 32-bit integers."""
-        split = [self.chunks(t) for t in texts_]
-        if len(self.known) > self.kept:
-            self.known = {}
-        known = self.known
-        new = list({c for own in split for c in own if c not in known})
-        known.update(zip(new, self._encoded(new), strict=True))
-        return [b"".join([known[c] for c in own]) for own in split]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hasher = WordHasher(fold=False)
+        # Bytes of each token: the vocabulary has one character for each.
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.size[i] = len(token)
+
+    def _ids(self, texts_: list[str]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)
+        return np.array(list(chain.from_iterable([e.ids for e in found])), np.uint32)
+
+    def _together(self, chunks: list[bytes], most: int = 500) -> list[np.ndarray]:
+        """Ids of chunks that begin with white space and end otherwise: many stand in one text.
+
+        The tokens' byte lengths tell which are whose.
+        """
+        texts_ = [b"".join(chunks[i : i + most]).decode() for i in range(0, len(chunks), most)]
+        ids = np.concatenate([*[self._ids(texts_[i : i + 16]) for i in range(0, len(texts_), 16)], np.zeros(0, np.uint32)])
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(c) for c in chunks])) + 1
+        return [ids[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and end byte of each chunk, and whether it can stand among others."""
+        white = white_space(data)
+        first = white.copy()
+        first[1:] &= ~white[:-1]
+        raw = data.tobytes()
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                text = np.searchsorted(bounds, at, side="right") - 1
+                first[bounds[text] : bounds[text + 1]] = False
+                at = raw.find(special, bounds[text + 1])
+        first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(data))
+        inner = white[starts] & ~white[ends - 1]
+        for special in self.special:
+            if special in raw:
+                inner &= ends - starts < len(special)
+        return starts, ends, inner
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Which chunks have ids kept; when too many are, only this unit's stay."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        if len(self.keys) > self.kept:
+            used = at[hit]
+            own = [self.flat[a : a + n] for a, n in zip(self.place[used].tolist(), self.sizes[used].tolist(), strict=True)]
+            keys = self.keys[used]
+            self._clear()
+            self.keep(keys, own)
+        return hit
+
+    def keep(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        place = np.cumsum(sizes) - sizes + len(self.flat)
+        self.flat = np.concatenate([self.flat, *ids])
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.place, self.sizes = np.concatenate([self.place, place])[order], np.concatenate([self.sizes, sizes])[order]
+
+    def _clear(self) -> None:
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.place = self.sizes = np.zeros(0, np.int64)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of texts: the first row, all their ids, and where each text's ids begin."""
+        for low, _, data, bounds in text_blocks(column, UNIT_BYTES):
+            parts = []
+            for a, b, own, own_bounds in text_blocks(column[low : low + len(bounds) - 1]):
+                starts, ends, inner = self._cuts(own, own_bounds)
+                hashes = self.hasher.spans(own, starts, [ends])[0]
+                parts.append((a, np.searchsorted(starts, own_bounds), hashes, starts + bounds[a], ends + bounds[a], inner))
+            hashes, starts, ends, inner = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4, 5))
+            each, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+            new = np.flatnonzero(~self.known(each))
+            raw = data.tobytes()
+            chunks = [raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
+            among = inner[one[new]]
+            found: list[np.ndarray] = [self._ids([c.decode()]) if not m else None for c, m in zip(chunks, among.tolist(), strict=True)]
+            at = np.flatnonzero(among).tolist()
+            for k, ids in zip(at, self._together([chunks[k] for k in at]), strict=True):
+                found[k] = ids
+            self.keep(each[new], found)
+            at = np.searchsorted(self.keys, each)
+            place, sizes, flat = self.place[at], self.sizes[at], self.flat
+            done = 0
+            for a, text_first, own_hashes, *_ in parts:
+                own = which[done : done + len(own_hashes)]
+                done += len(own_hashes)
+                n = sizes[own]
+                ends_ = np.cumsum(n)
+                take = np.repeat(place[own] - (ends_ - n), n) + np.arange(ends_[-1] if len(n) else 0)
+                yield low + a, flat[take], np.concatenate([[0], ends_])[text_first]
 
 
 def token_pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -78,40 +181,33 @@ def token_pieces(docs: DataFrame, source: str, capacity: int = CAPACITY, end_id:
     first may be shorter. A null or empty text is one piece, the end id.
     """
     # A Python worker keeps its broadcast values, and with them the chunks it knows, over many tasks.
+    # A Python worker keeps its broadcast values, and with them the chunks it knows, over many tasks.
     shared = docs.sparkSession.sparkContext.broadcast({"source": source})
-    stop = np.uint32(end_id).tobytes()
+    stop = np.array([end_id], np.uint32)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         tokens = held["tokens"] = held.get("tokens") or ChunkTokens(held["source"])
         for batch in batches:
-            all_ = batch.column("text").to_pylist()
-            low = 0
-            while low < len(all_):
-                high, size = low, 0
-                while high < len(all_) and size < 1 << 22:
-                    size += len(all_[high])
-                    high += 1
+            for low, all_ids, bounds in tokens.encode(batch.column("text")):
                 rows: list[tuple[int, int, int, int, int]] = []
                 ids = []
-                for at, packed in enumerate(tokens.encode(all_[low:high]), low):
-                    packed += stop
-                    n = len(packed) // 4
-                    start = 0
+                for at, (a, b) in enumerate(pairwise(bounds.tolist()), low):
+                    own = np.concatenate([all_ids[a:b], stop])
+                    start, n = 0, len(own)
                     for piece in range(-(-n // capacity)):
                         length = (n % capacity or capacity) if piece == 0 else capacity
-                        own = packed[4 * start : 4 * (start + length)]
-                        rows.append((at, piece, start, length, zlib.crc32(own)))
+                        part = own[start : start + length]
+                        rows.append((at, piece, start, length, zlib.crc32(part.astype("<u4"))))
                         if with_ids:
-                            ids.append(np.frombuffer(own, np.uint32).astype(np.int32))
+                            ids.append(part.astype(np.int32))
                         start += length
-                at, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                at, piece, start, length, crc = np.array(rows, np.int64).T
                 columns = [
                     batch.column("doc_id").take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc),
                 ]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids)] if with_ids else []), names)
-                low = high
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     return texts(docs, "doc_id").mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
