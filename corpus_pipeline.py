@@ -1,18 +1,63 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Rejects toxic documents, takes out lines that stand in an earlier document, keeps one of each
+group of near copies, masks secrets and packs what is left into sequences of tokens. All stages
+but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.common import staged
+from tablewright.llm.line_dedup import deduped
+from tablewright.llm.ngram_join import one_of_each
+from tablewright.llm.packing import pack
+from tablewright.llm.secret_scan import redact
+from tablewright.llm.toxicity import fit_severity, without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-# SQL has no trained model, no bounded edit distance join and no packing plan.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model, fitted on the labelled ones, does not reject."""
+    return without_toxic(docs, fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand in an earlier place, up to two edits."""
+    return deduped(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest id."""
+    return one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return pack(docs, file.read())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_join),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", packing),
+]
+
+# SQL has no trained model, no edit distance join with transitive classes and no packing plan; the
+# stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ from tablewright.llm.line_dedup import line_dedup
 from tablewright.llm.lm_scoring import lm_scores
 from tablewright.llm.ngram_join import similarity_classes
 from tablewright.llm.packing import pack
+from tablewright.llm.quality_classifier import quality_scores
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
 from tablewright.llm.secret_scan import secret_digests, secret_spans
 from tablewright.llm.toxicity import fit_severity, severity
@@ -89,3 +90,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_nearest_neighbours")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "embeddings"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"))
