@@ -22,7 +22,9 @@ SPACES = "[ \\t-\\r]+"
 SYMBOLS = "#*$%&|<>"
 
 BUCKETS = 8192
-THRESHOLD = -0.06
+# N-grams that the corpus's shares weigh in the trusted texts'.
+PRIOR = 20 * BUCKETS
+THRESHOLD = -0.05
 
 
 def words(text: Column) -> Column:
@@ -85,11 +87,13 @@ def word_hashes(found: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Per bucket, log of the trusted texts' share over the corpus's, each count plus one.
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: int = PRIOR) -> list[float]:
+    """Per bucket, log of the trusted texts' share over the corpus's.
 
-    The buckets are counted before the shuffle, so ``buckets`` rows leave each task and come
-    to the driver. Without trusted texts every ratio is 0.
+    Corpus counts are taken plus one. The trusted texts' have the corpus's shares as a prior that
+    weighs ``prior`` n-grams, so that few trusted texts say little; none say nothing, and every
+    ratio is 0. The buckets are counted before the shuffle, so ``buckets`` rows leave each task
+    and come to the driver.
     """
 
     def counts(rows: DataFrame) -> dict[int, int]:
@@ -97,12 +101,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> l
         return {r["bucket"]: r["count"] for r in each.groupBy("bucket").count().collect()}
 
     good, all_ = counts(trusted), counts(docs)
-    if not good:
-        return [0.0] * buckets
-    n_good, n_all = sum(good.values()) + buckets, sum(all_.values()) + buckets
-    return [
-        math.log((good.get(b, 0) + 1) / n_good) - math.log((all_.get(b, 0) + 1) / n_all) for b in range(buckets)
-    ]
+    n_good, n_all = sum(good.values()), sum(all_.values()) + buckets
+    shares = [(all_.get(b, 0) + 1) / n_all for b in range(buckets)]
+    return [math.log((good.get(b, 0) / p + prior) / (n_good + prior)) for b, p in enumerate(shares)]
 
 
 def quality_rules(
