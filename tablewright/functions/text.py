@@ -188,9 +188,9 @@ def pattern_text(question: Column, description: Column, sql: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n")
 
 
-def chart_text(question: Column, sql: Column, sql_chars: int = EMBED_SQL_CHARS) -> Column:
-    """The text embedded for a dashboard chart."""
-    return F.format_string(CHART_TEXT, question, truncate(sql, sql_chars))
+def chart_text(question: Column, sql: Column, sql_chars: int | None = None) -> Column:
+    """The text embedded for a dashboard chart, with the whole SQL unless ``sql_chars`` cuts it."""
+    return F.format_string(CHART_TEXT, question, sql if sql_chars is None else truncate(sql, sql_chars))
 
 
 def schema_text(question: Column, description: Column) -> Column:

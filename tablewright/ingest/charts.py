@@ -65,9 +65,12 @@ def first_dashboards(dashboards: DataFrame, limit: int, position: str = "positio
     return dashboards.join(listed, position, "left_semi")
 
 
-def lakeview_charts(dashboards: DataFrame) -> DataFrame:
+def lakeview_charts(dashboards: DataFrame, place: bool = False) -> DataFrame:
     """``dashboards(dashboard_id, display_name, serialized)``, a definition's JSON in the last.
 
+    With ``place`` the widget's number in its dashboard is a column more: a load keeps the last
+    of several charts with one id by it.
+
     A widget's dataset is its first named reference, or the dashboard's first dataset when that
     is missing or unknown.
     """
@@ -94,8 +97,8 @@ def lakeview_charts(dashboards: DataFrame) -> DataFrame:
     widgets = (
         parsed.withColumn("datasets", datasets)
         .where(F.size("datasets") > 0)
-        .select("dashboard_id", "display_name", "datasets", F.explode(layouts).alias("item"))
-        .select("dashboard_id", "display_name", "datasets", F.col("item.widget").alias("w"))
+        .select("dashboard_id", "display_name", "datasets", F.posexplode(layouts).alias("place", "item"))
+        .select("dashboard_id", "display_name", "datasets", "place", F.col("item.widget").alias("w"))
     )
     references = F.filter(
         F.transform(F.coalesce("w.queries", F.array()), lambda q: q["query"]["datasetName"]),
@@ -113,6 +116,7 @@ def lakeview_charts(dashboards: DataFrame) -> DataFrame:
             F.coalesce("w.name", "title").alias("element_id"),
             F.col("title").alias("element_title"),
             F.coalesce(sql_of(F.col("reference")), sql_of(F.col("datasets")[0]["name"])).alias("sql"),
+            *(["place"] if place else []),
         )
     )
 

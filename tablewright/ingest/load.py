@@ -20,7 +20,7 @@ from tablewright.functions.text import (
 )
 from tablewright.operators.catalog import union_all
 from tablewright.operators.embed import Embedder, Rewriter, embed, simplify_sql
-from tablewright.operators.index import upsert
+from tablewright.operators.index import last_per_key, upsert
 from tablewright.session import work_folder
 
 logger = logging.getLogger(__name__)
@@ -55,9 +55,19 @@ def chart_questions(charts: DataFrame) -> DataFrame:
     return with_question(named, "element_title", "dashboard_title")
 
 
-def chart_rows(charts: DataFrame, rewrite: Rewriter | None = None) -> DataFrame:
-    """Charts of any sources (``source`` column) as index rows with the text to embed."""
-    simple = simplify_sql(chart_questions(charts), rewrite)
+def chart_rows(
+    charts: DataFrame,
+    rewrite: Rewriter | None = None,
+    rewrite_chars: int | None = None,
+    embed_chars: int | None = None,
+) -> DataFrame:
+    """Charts of any sources (``source`` column) as index rows with the text to embed.
+
+    Texts are whole by default. ``rewrite_chars`` leaves longer SQL as it is; ``embed_chars`` cuts
+    the SQL in the embedded text, never the stored one. A ``place`` column, where the charts
+    have one, is kept and says which of several rows with one id is the last.
+    """
+    simple = simplify_sql(chart_questions(charts), rewrite, sql_chars=rewrite_chars)
     sql = F.when(F.col("source") == NEWLINE_SOURCE, collapse_newlines(F.col("sql"))).otherwise(F.col("sql"))
     return simple.withColumn("sql", sql).select(
         "id",
@@ -66,7 +76,8 @@ def chart_rows(charts: DataFrame, rewrite: Rewriter | None = None) -> DataFrame:
         "source",
         F.col("dashboard_title").alias("dashboard"),
         F.col("element_title").alias("description"),
-        chart_text(F.col("question"), F.col("sql")).alias("embed_text"),
+        chart_text(F.col("question"), F.col("sql"), embed_chars).alias("embed_text"),
+        *(["place"] if "place" in charts.columns else []),
     )
 
 
@@ -137,6 +148,8 @@ def load(
 
     Rows are spread evenly before the costly model calls, and their vectors are written to the
     shared folder once, so neither a lost executor nor the three results repeat the calls.
+    Of several rows with one id that with the largest ``place`` is kept, where rows have one;
+    the counters count rows, not ids.
     """
     spark = rows.sparkSession
     nothing = rows.limit(0).withColumn("error", F.lit("")).drop("embed_text")
@@ -155,7 +168,9 @@ def load(
         for part, outcome in ((fresh, "created"), (known, "updated"), (skipped, "skipped"), (failed, "errors"))
     )
     good = good.drop("error")
-    return Load(upsert(index, good, now), good, counters(outcomes), failed.drop("embedding"))
+    if "place" in good.columns:
+        good = last_per_key(good, "id", "place").drop("place")
+    return Load(upsert(index, good, now), good, counters(outcomes), failed.drop("embedding", "place"))
 
 
 def rebuild(

@@ -30,6 +30,15 @@ UNCOUNTED_TYPES = (T.MapType, T.VariantType)
 PROFILE_COLUMNS = ("column", "type", "total_rows", "nulls", "null_pct", "distinct", "min", "max")
 
 
+def _uncounted(kind: T.DataType) -> bool:
+    """Whether values of the type cannot be grouped: maps and variants, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _uncounted(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_uncounted(f.dataType) for f in kind.fields)
+    return isinstance(kind, UNCOUNTED_TYPES)
+
+
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -107,7 +116,7 @@ def _profile_column(df: DataFrame, field: T.StructField) -> DataFrame:
     kind = field.dataType
     total, nulls = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("missing"), F.lit(0))
     distinct, low, high = F.count("key"), F.lit(None), F.lit(None)
-    if isinstance(kind, UNCOUNTED_TYPES):
+    if _uncounted(kind):
         missing = F.col(f"`{field.name}`").isNull().cast("int").alias("key")
         values, distinct = df.select(missing), F.lit(None)
         null_key = F.col("key") == 1

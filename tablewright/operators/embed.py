@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import REWRITE_SQL_CHARS, is_blank, strip_code_fence, truncate
+from tablewright.functions.text import is_blank, strip_code_fence
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Rewriter = Callable[[str, str], str]
@@ -95,11 +95,12 @@ def simplify_sql(
     rewrite: Rewriter | None,
     sql_col: str = "sql",
     title_col: str = "element_title",
-    sql_chars: int = REWRITE_SQL_CHARS,
+    sql_chars: int | None = None,
 ) -> DataFrame:
     """Replaces SQL by ``rewrite(sql, title)``; no rewriter, a failure or an empty answer keeps it.
 
-    ``sql_chars`` is what the rewriter is shown; the SQL kept on failure is the whole one.
+    The rewriter is shown whole texts. With ``sql_chars`` a longer SQL is not rewritten, as the
+    answer to a part of it would lose the rest.
     """
     if rewrite is None:
         return df
@@ -118,7 +119,8 @@ def simplify_sql(
             yield pd.Series([one(s, t) for s, t in zip(sqls, titles)], dtype=object)
 
     raw = F.col(sql_col)
-    answer = strip_code_fence(rewritten(truncate(raw, sql_chars), F.col(title_col)))
+    shown = raw if sql_chars is None else F.when(F.char_length(raw) <= sql_chars, raw)
+    answer = strip_code_fence(rewritten(shown, F.col(title_col)))
     return df.withColumn(
         sql_col, F.when(is_blank(raw), raw).otherwise(F.coalesce(F.nullif(answer, F.lit("")), raw))
     )

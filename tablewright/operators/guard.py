@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import logging
-import re
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.functions.statements import WRITE_VERBS
 from tablewright.sources.query_log import append_query_log
 
 logger = logging.getLogger(__name__)
@@ -18,60 +17,70 @@ logger = logging.getLogger(__name__)
 # --- Fixed values -------------------------------------------------------------------
 DEFAULT_LIMIT = 5000
 # ------------------------------------------------------------------------------------
-# Commands that only read; EXPLAIN plans its statement without running it.
-READ_COMMANDS = ("SHOW", "DESCRIBE", "DESC", "EXPLAIN")
+# Commands that only read, by the beginning of their plan's class; EXPLAIN plans its statement without running it.
+READ_PLANS = ("Show", "Describe", "Explain")
+LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 
 
-COMMENT = re.compile(r"--.*?$|/\*[\s\S]*?\*/", re.MULTILINE)
-
-
-def _bare(query: str) -> str:
-    return COMMENT.sub(" ", query).strip()
-
-
-def _first_word(query: str) -> str:
-    found = re.match(r"\S+", _bare(query))
-    return found[0].upper() if found else ""
+def _plan(spark: SparkSession, query: str):
+    """The query's plan as the session's parser reads it. Nothing is analysed or run."""
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
 
 
 def _parses(spark: SparkSession, query: str) -> bool:
     try:
-        spark.sql(query)
+        _plan(spark, query)
         return True
     except ParseException:
         return False
 
 
-def assert_read_only(spark: SparkSession, query: str) -> None:
-    """Raises ``ValueError`` for anything but a query or a read-only command.
+def _nodes(plan) -> Iterator:
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
+
 
-    The statement is put where the grammar allows only a query, inside a CTE, so writes are
-    refused by Spark's own parser, also behind a WITH or as a second statement. Nothing runs.
+def _reads(spark: SparkSession, query: str) -> tuple[bool, bool]:
+    """Whether the text is one query, and whether it is one command that only reads.
+
+    The text alone must be one statement, none of whose nodes is a command or a write; and it
+    must be what the grammar takes inside a CTE, which is a query only. Either alone could be
+    deceived: by a text that closes the CTE, or by a statement that is no command.
     """
-    if _first_word(query) in READ_COMMANDS:
-        return
-    if _first_word(query) not in WRITE_VERBS:
-        if _parses(spark, f"WITH guarded AS (\n{query}\n) SELECT * FROM guarded"):
-            return
-        # EXPLAIN raises the parser's own message when the text is no statement at all.
-        spark.sql(f"EXPLAIN {query}")
-    raise ValueError("only read queries are allowed here; this statement would change something")
+    plan = _plan(spark, query)
+    if plan.getClass().getSimpleName().startswith(READ_PLANS):
+        return False, True
+    kind = spark._jvm.java.lang.Class
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    acting = [kind.forName(LOGICAL + name, False, loader) for name in ("Command", "ParsedStatement")]
+    if any(act.isInstance(node) for node in _nodes(plan) for act in acting):
+        return False, False
+    return _parses(spark, f"WITH guarded AS (\n{query}\n) SELECT * FROM guarded"), False
+
+
+def assert_read_only(spark: SparkSession, query: str) -> None:
+    """Raises ``ValueError`` for anything but a query or a read-only command, ``ParseException`` for
+    what is no statement. Only Spark's parser sees the text; nothing runs."""
+    if not any(_reads(spark, query)):
+        raise ValueError("only read queries are allowed here; this statement would change something")
 
 
 def _has_limit(spark: SparkSession, query: str) -> bool:
-    """Whether the query ends in its own LIMIT: then the grammar takes no second one."""
-    if _parses(spark, f"{query}\nLIMIT 1"):
-        return False
-    if _parses(spark, f"{query}\nOFFSET 0"):
-        return True
-    return re.search(r"\bLIMIT\b", _bare(query), re.IGNORECASE) is not None
+    """Whether the query itself, not a part of it, ends in a LIMIT."""
+    plan = _plan(spark, query)
+    while plan.getClass().getSimpleName() in ("UnresolvedWith", "WithWindowDefinition"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() in ("GlobalLimit", "LocalLimit")
 
 
 def _read(spark: SparkSession, query: str) -> tuple[DataFrame, bool]:
     query = query.strip().rstrip(";")
-    assert_read_only(spark, query)
-    command = _first_word(query) in READ_COMMANDS
-    return spark.sql(query), command or _has_limit(spark, query)
+    is_query, is_command = _reads(spark, query)
+    if not is_query and not is_command:
+        assert_read_only(spark, query)
+    return spark.sql(query), is_command or _has_limit(spark, query)
 
 
 def safe_sql(spark: SparkSession, query: str, limit: int | None = DEFAULT_LIMIT) -> DataFrame:

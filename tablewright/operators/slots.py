@@ -77,9 +77,13 @@ RENDERERS = {"scalar": scalar_value, "chart": chart_value, "table": table_value}
 
 
 def slot_value(spark: SparkSession, slot: Mapping[str, str]) -> DataFrame:
-    """One slot ``{slot, sql, format}`` as a lazy one-row frame, under the read guard and cap."""
+    """One slot ``{slot, sql, format}`` as a lazy one-row frame, under the read guard.
+
+    The query is not capped here: the renderer asks for one row more than it holds, and so sees
+    that there are more.
+    """
     render = RENDERERS.get(slot.get("format", "scalar"), scalar_value)
-    return render(safe_sql(spark, slot["sql"]), slot["slot"])
+    return render(safe_sql(spark, slot["sql"], limit=None), slot["slot"])
 
 
 def slot_values(spark: SparkSession, slots: Iterable[Mapping[str, str]]) -> DataFrame:

@@ -11,7 +11,7 @@ from tablewright.operators import charts, snapshots
 from tablewright.operators.guard import run_sql
 from tablewright.operators.ledger import job_states, sweep_stale
 from tablewright.operators.quantiles import exact_quantiles
-from tablewright.operators.slots import chart_points, slot_values
+from tablewright.operators.slots import chart_points, evaluate_slots, slot_values
 from tablewright.plans.registry import TABLES, Tables, register
 from tablewright.session import work_folder
 from tablewright.sources.connections import register_tables
@@ -363,3 +363,23 @@ def query_audit(tables: Tables) -> DataFrame:
         flags.append((query, run.truncated))
     marked = tables.spark.createDataFrame(flags, "query string, truncated boolean")
     return read_query_log(tables.spark, log).join(marked, "query").select("query", "rows", "truncated")
+
+
+@register(
+    "slot_over_cap",
+    """SELECT 'region' AS slot, 'scalar' AS format, max(r_name) AS rendered, false AS failed FROM region
+    UNION ALL SELECT 'lines', 'chart', NULL, true UNION ALL SELECT 'rows', 'table', NULL, true
+    UNION ALL SELECT 'write', 'scalar', NULL, true""",
+)
+def slot_over_cap(tables: Tables) -> DataFrame:
+    """A chart and a table of more rows than they may hold, and a refused write, fail by themselves."""
+    tables.lineitem.createOrReplaceTempView("slot_lines")
+    tables.region.createOrReplaceTempView("slot_regions")
+    slots = [
+        {"slot": "region", "sql": "SELECT max(r_name) FROM slot_regions"},
+        {"slot": "lines", "sql": "SELECT l_orderkey, l_quantity FROM slot_lines", "format": "chart"},
+        {"slot": "rows", "sql": "SELECT l_orderkey FROM slot_lines", "format": "table"},
+        {"slot": "write", "sql": "SELECT 1 AS x) INSERT INTO slot_lines WITH g AS (SELECT 1"},
+    ]
+    done = evaluate_slots(tables.spark, slots)
+    return done.select("slot", "format", "rendered", F.col("error").isNotNull().alias("failed"))

@@ -6,7 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +17,22 @@ def read_dashboards(spark: SparkSession, path: str, whole_files: bool = True) ->
     """Landed payloads as ``file_name, position, payload``.
 
     One dashboard per file, or one per line when ``whole_files`` is off, which suits many small
-    payloads better.
+    payloads better. ``position`` orders them as the files are listed, by path, and then by line.
     """
-    raw = spark.read.text(path, wholetext=whole_files).select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("payload")
+    raw = spark.read.text(path, wholetext=whole_files)
+    position = F.concat_ws(" ", *_place()) if not whole_files else F.col("_metadata.file_path")
+    return raw.select(
+        F.col("_metadata.file_name").alias("file_name"), position.alias("position"), F.col("value").alias("payload")
     )
-    if whole_files:
-        return raw.select("file_name", F.col("file_name").alias("position"), "payload")
-    line = F.format_string("%020d", F.monotonically_increasing_id())
-    return raw.select("file_name", line.alias("position"), "payload")
+
+
+def _place() -> list[Column]:
+    """Columns that sort rows as they stand in the files: path, block, and order within the block.
+
+    Spark packs blocks into tasks by size, so the row number alone says nothing across blocks.
+    """
+    block = F.format_string("%020d", F.col("_metadata.file_block_start"))
+    return [F.col("_metadata.file_path"), block, F.format_string("%020d", F.monotonically_increasing_id())]
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -49,7 +56,7 @@ def read_dictionary(
 ) -> DataFrame:
     """A two-column dictionary with unique keys, the last entry of a key winning.
 
-    Parquet and the like hold the two columns; ``yaml`` is one map of key to text per file. What
+    Entries are ordered by file path, then as they stand in the file. Parquet and the like hold the two columns; ``yaml`` is one map of key to text per file. What
     has another shape reads as empty.
     """
     schema = f"{key} string, {value} string"
@@ -58,15 +65,14 @@ def read_dictionary(
             files = spark.read.text(path, wholetext=True)
         except AnalysisException:
             return spark.createDataFrame([], schema)
-        rows = files.select(F.explode(_yaml_map("value")).alias(key, value))
+        rows = files.select(F.struct(*_place()).alias("_place"), F.explode(_yaml_map("value")).alias(key, value))
     else:
         try:
             reader = spark.read.option("header", True) if format == "csv" else spark.read
-            rows = reader.format(format).load(path).select(key, value)
+            rows = reader.format(format).load(path).select(key, value, F.struct(*_place()).alias("_place"))
         except AnalysisException:
             return spark.createDataFrame([], schema)
-    numbered = rows.where(F.col(key).isNotNull()).withColumn("_place", F.monotonically_increasing_id())
-    return last_per_key(numbered, key, "_place").select(F.col(key).cast("string"), F.col(value).cast("string"))
+    return last_per_key(rows.where(F.col(key).isNotNull()), key, "_place").select(F.col(key).cast("string"), F.col(value).cast("string"))
 
 
 def rows_from_json(spark: SparkSession, text: str) -> DataFrame:

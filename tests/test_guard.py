@@ -41,13 +41,37 @@ def test_two_statements(spark):
         safe_sql(spark, "SELECT 1; DROP VIEW numbers")
     with pytest.raises(ParseException):
         safe_sql(spark, "SELECT 1) t; DROP VIEW numbers --")
-    with pytest.raises(ParseException):
+    with pytest.raises((ValueError, ParseException)):
         safe_sql(spark, "BEGIN DROP VIEW numbers; END")
     with pytest.raises(ParseException):
         safe_sql(spark, "SELECT 1), other AS (SELECT 2")
     assert spark.catalog.tableExists("numbers")
 
 
+HOSTILE = [
+    "SELECT 1 AS x) INSERT INTO target WITH g AS (SELECT 1",
+    "SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{folder}' USING parquet WITH g AS (SELECT 1",
+    "-- \\\nSHOW\nINSERT INTO target VALUES (1)",
+    "-- a\rSHOW TABLES\rINSERT INTO target VALUES (1)",
+    "/* a /* b */ SHOW TABLES */ INSERT INTO target VALUES (1)",
+    "EXECUTE IMMEDIATE 'INSERT INTO target VALUES (1)'",
+    "WITH a AS (SELECT 1) FROM a INSERT INTO target SELECT * INSERT OVERWRITE target SELECT *",
+    "INSERT OVERWRITE DIRECTORY '{folder}' USING parquet SELECT 1 AS x",
+    "CALL system.some_procedure()",
+]
+
+
+@pytest.mark.parametrize("query", HOSTILE)
+def test_crafted_writes_change_nothing(spark, tmp_path, query):
+    target, folder = str(tmp_path / "target"), tmp_path / "folder"
+    spark.createDataFrame([(7,)], "x int").write.parquet(target)
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW target (x INT) USING parquet OPTIONS (path '%s')" % target)
+    for read in (safe_sql, run_sql, assert_read_only):
+        with pytest.raises((ValueError, ParseException)):
+            read(spark, query.format(folder=folder))
+    assert [r.x for r in spark.read.parquet(target).collect()] == [7] and not folder.exists()
+
+
 def test_bad_text_and_missing_table(spark):
     with pytest.raises(ParseException):
         safe_sql(spark, "SELEC 1")
