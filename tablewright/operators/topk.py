@@ -26,6 +26,8 @@ DEFAULT_K = 5
 DEFAULT_THRESHOLD = 0.3
 SIMILARITY_DIGITS = 4
 # ------------------------------------------------------------------------------------
+# What a row costs a task beside its vector and id.
+ROW_BYTES = 64
 BROADCAST_BYTES = 64 << 20
 # Hits, an id and a number each, that may be sent to every task to pick up their texts.
 BROADCAST_HITS = 500_000
@@ -156,18 +158,19 @@ def _merge(best: pa.Table | None, waiting: list[pa.Table], k: int) -> pa.Table |
     return _best(pa.concat_tables(parts), k) if parts else None
 
 
-def _bytes(df: DataFrame, vector: str, bound: int) -> int:
-    """Size of the vectors as doubles.
+def _bytes(side: DataFrame, bound: int) -> int:
+    """Size of a side (``key, vector``) as held by a task: vectors as doubles, ids, and each row's own.
 
-    First as if all were like the first one, with the rows of a plain scan counted from its file
-    footers. Only what seems to fit the bound is then measured in full, so a side is never sent
-    to the tasks on an estimate.
+    First as if all were like the first row. Only what seems to fit the bound is then measured in
+    full, so a side is never sent to the tasks on an estimate.
     """
-    first = df.select(F.size(vector).alias("n")).first()
-    estimate = 8 * df.count() * (first["n"] if first and first["n"] else 0)
+    first = side.select(F.size("vector").alias("n")).first()
+    estimate = side.count() * (ROW_BYTES + 8 * max(0, (first["n"] or 0) if first else 0))
     if estimate > bound:
         return estimate
-    return 8 * (df.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0)
+    vector = 8 * F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(0))
+    key = F.coalesce(F.octet_length(F.col("key").cast("string")), F.lit(0))
+    return side.agg(F.sum(vector + key + ROW_BYTES).alias("n")).first()["n"] or 0
 
 
 def _schema(query_type: T.DataType, index: DataFrame) -> T.StructType:
@@ -250,11 +253,11 @@ def topk_join(
     another length has similarity 0.
     """
     left = queries.select(F.col(query_id).alias("key"), F.col(query_vector).alias("vector"))
-    right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
-    query_bytes = _bytes(queries, query_vector, broadcast_bytes)
+    right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector")).where(F.size("vector") > 0)
+    query_bytes = _bytes(left, broadcast_bytes)
     if query_bytes <= broadcast_bytes:
         return _with_queries_everywhere(left, right, k, threshold)
-    index_bytes = _bytes(index, index_vector, broadcast_bytes)
+    index_bytes = _bytes(right, broadcast_bytes)
     if index_bytes <= broadcast_bytes:
         return _with_index_everywhere(left, right, k, threshold)
     query_blocks, index_blocks = (math.ceil(n / broadcast_bytes) for n in (query_bytes, index_bytes))
