@@ -11,9 +11,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from tablewright.llm.common import HashIndex, mixed, texts
+from tablewright.llm.chunks import ChunkIds
+from tablewright.llm.common import HashIndex, list_array, mixed, texts
 
-# Words a task keeps the ids of; when full, it starts anew.
-KEPT_WORDS = 800_000
+# Bytes of text whose distinct words are merged together.
+UNIT_BYTES = 1 << 22
+# Words that a worker keeps the ids of, and ids that are decoded at once.
+KEPT_WORDS = 500_000
+DECODED_IDS = 1 << 19
 # Ranks below this are applied to all their positions in one step.
 COMMON_RANKS = 1_000
 # --- Fixed values: how the vocabulary's file splits words of ASCII characters ------------------
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 # ----------------------------------------------------------------------------------------------
 
 
@@ -48,7 +52,7 @@ class Vocabulary:
 class Encoder:
     """Ids of words by a vocabulary; built once per task."""
 
-    def __init__(self, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS, common: int = COMMON_RANKS) -> None:
+    def __init__(self, vocabulary: Vocabulary, common: int = COMMON_RANKS) -> None:
         spec = json.loads(vocabulary.source)
         model = spec["model"]
         self.library = Tokenizer.from_str(vocabulary.source)  # its normalizer and splitter, not its merges
@@ -70,23 +74,19 @@ class Encoder:
         for c, i in single.items():
             self.inner[ord(c)], self.final[ord(c)] = i, self.vocab[c + self.suffix]
         self.common = common
-        # The vocabulary's characters for the bytes from 128 on, which it writes as themselves or shifted.
+        # The vocabulary's characters for bytes; the bytes of letters and punctuation stand for themselves.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = {b: level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128, 192)}
+        self.alphabet = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        self.alphabet |= {b: level.pre_tokenize_str(chr(b))[0][0][-1] for b in range(128, 192)}
         self.alphabet |= {b: level.pre_tokenize_str(chr((b & 31) << 6 | 0x20))[0][0][0] for b in range(194, 196)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.kept_words = kept_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known = {content.encode(): np.int32(i).tobytes() for content, i in self.special.items()}
 
     def _parts(self, word: bytes) -> list[str]:
         """A word's parts in the vocabulary's byte alphabet."""
         own = word.decode()
         if word.isascii():
-            return [own.lower()] if own.isalpha() else ASCII_PARTS.findall(own.lower())
+            return [own.lower()] if own.isalpha() else ASCII_PARTS.findall(own.lower().translate(self.alphabet))
         if own.isalpha() and max(own) < "\u0100":  # Latin letters, composed already
             return [own.lower().encode().decode("latin-1").translate(self.alphabet)]
         normal = self.library.normalizer.normalize_str(own)
@@ -98,6 +98,8 @@ class Encoder:
         The first ``common`` ranks stand at very many positions and are applied to all of them
         at once; the later ones have few positions each and are walked.
         """
+        if not parts:
+            return []
         text = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) for p in parts])
         symbols = self.inner[text]
@@ -125,8 +127,7 @@ class Encoder:
                     places[own] = [at[a:b]]
                     heapq.heappush(active, own)
 
-        if len(symbols):
-            found_at(np.arange(len(symbols)))
+        found_at(np.arange(len(symbols)))
         while active and active[0] < self.common:
             rank = heapq.heappop(active)
             first, second, merged = self.result[rank]
@@ -192,78 +193,45 @@ class Encoder:
                             heapq.heappush(active, new)
         return symbols
 
-    def _learn(self, words: set[bytes]) -> None:
-        own = list(words)
-        split = [self._parts(w) for w in own]
-        parts = list({p for each in split for p in each})
-        ids = dict(zip(parts, self.merge(parts), strict=True))
-        for word, each in zip(own, split, strict=True):
-            one = ids[each[0]] if len(each) == 1 else [i for p in each for i in ids[p]]
-            self.known[word] = array("i", one).tobytes()
-
-    def words(self, text: str) -> list[bytes]:
+    def words(self, chunk: bytes) -> list[bytes]:
         """What stands between ASCII white space; special tokens stand alone."""
-        if any(s in text for s in self.special):
-            out: list[bytes] = []
-            for piece in self.special_split.split(text):
-                out += [piece.encode()] if piece in self.special else piece.encode().split()
-            return out
-        return text.encode().split()
-
-    def learn(self, texts_: list[str]) -> None:
-        """Encodes the words of the texts that are not known yet, together."""
-        if len(self.known) > self.kept_words:
-            self._clear()
-        new: set[bytes] = set()
-        for text in texts_:
-            new.update(self.words(text))
-        new.difference_update(self.known)
-        if new:
-            self._learn(new)
-
-    def encode(self, text: str) -> bytes:
-        """A learned text's ids as packed 32-bit integers."""
-        known = self.known
-        return b"".join([known[w] for w in self.words(text)])
-
-
-def chunks(values: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters."""
-    own, size = [], 0
-    for value in values:
-        own.append(value)
-        size += len(value)
-        if size >= most:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
-def packed_lists(packed: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int64).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-
-
-def encode(docs: DataFrame, vocabulary: Vocabulary, kept_words: int = KEPT_WORDS) -> DataFrame:
+        text = chunk.decode()
+        if not any(s in text for s in self.special):
+            return chunk.split()
+        out: list[bytes] = []
+        for piece in self.special_split.split(text):
+            out += [piece.encode()] if piece in self.special else piece.encode().split()
+        return out
+
+    def encode_new(self, chunks: list[bytes], among: np.ndarray) -> list[np.ndarray]:
+        """Ids of each chunk; their words, few of them more than one to a chunk, are merged together."""
+        split = [c.split() if m else self.words(c) for c, m in zip(chunks, among.tolist(), strict=True)]
+        own = list({w for words in split for w in words})
+        by_word = [[w.decode()] if w.decode() in self.special else self._parts(w) for w in own]
+        parts = list({p for each in by_word for p in each if p not in self.special})
+        ids = dict(zip(parts, self.merge(parts), strict=True)) | {s: [i] for s, i in self.special.items()}
+        of_word = {w: [i for p in each for i in ids[p]] for w, each in zip(own, by_word, strict=True)}
+        return [np.array([i for w in words for i in of_word[w]], np.uint32) for words in split]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, kept: int = KEPT_WORDS) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int): every whole text's tokens.
 
-    One row per row of ``docs``, whatever its id; a null or empty text has no ids. Words are
-    encoded once for each task that meets them. No shuffle; other columns are ignored.
+    One row per row of ``docs``, whatever its id; a null or empty text has no ids. A worker
+    encodes a word once, until it has met very many. No shuffle; other columns are ignored.
     """
-    # A Python worker keeps its broadcast values, and with them the words it knows, over many tasks.
+    # A Python worker keeps its broadcast values, and with them the ids it knows, over many tasks.
     shared = docs.sparkSession.sparkContext.broadcast({"source": vocabulary.source})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        encoder = held["encoder"] = held.get("encoder") or Encoder(Vocabulary(held["source"]), kept_words)
+        if "ids" not in held:
+            encoder = Encoder(Vocabulary(held["source"]))
+            held["ids"] = ChunkIds(list(encoder.special), encoder.encode_new, UNIT_BYTES, kept)
         for batch in batches:
-            low, all_ = 0, batch.column("text").to_pylist()
-            encoder.learn(all_)
-            for own in chunks(all_):
-                ids = packed_lists([encoder.encode(t) for t in own])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low : low + len(own)], ids], ["doc_id", "ids"])
-                low += len(own)
+            for low, ids, bounds in held["ids"].encode(batch.column("text")):
+                lists = list_array(ids.astype(np.int32), bounds, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low : low + len(lists)], lists], ["doc_id", "ids"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
     return texts(docs, "doc_id").mapInArrow(run, schema)
@@ -275,24 +243,28 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     That is what a file without a decoder asks for. Null or no ids give an empty text; an id
     outside the vocabulary is left out.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.source)
+    spec = json.loads(vocabulary.source)
+    names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    shared = encoded.sparkSession.sparkContext.broadcast([names.get(i) for i in range(max(names) + 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = json.loads(shared.value)
-        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        size = max(names) + 1
-        table = np.array([names.get(i) for i in range(size)], object)
+        table = np.array(shared.value, object)
         for batch in batches:
             column = batch.column("ids")
-            flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum([0, *[x or 0 for x in column.value_lengths().to_pylist()]])
-            decoded = []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                ids = flat[a:b]
-                if b > a and (ids.min() < 0 or ids.max() >= size):
-                    ids = ids[(ids >= 0) & (ids < size)]
-                decoded.append(" ".join(filter(None, table[ids].tolist())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            low = 0
+            while low < len(batch):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + DECODED_IDS, side="right")) - 1)
+                part = column[low:high]
+                flat = part.flatten().to_numpy(zero_copy_only=False)
+                decoded = []
+                for a, b in pairwise((ends[low : high + 1] - ends[low]).tolist()):
+                    ids = flat[a:b]
+                    if b > a and (ids.min() < 0 or ids.max() >= len(table)):
+                        ids = ids[(ids >= 0) & (ids < len(table))]
+                    decoded.append(" ".join(filter(None, table[ids].tolist())))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], part, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                low = high
 
     schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string"
     return encoded.select("doc_id", F.col("ids")).mapInArrow(run, schema)
