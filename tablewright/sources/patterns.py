@@ -28,6 +28,7 @@ HEADER = T.StructType(
     ]
 )
 FENCE = "---"
+WHOLE_SLUG = (1 << 31) - 1
 
 
 def _yaml():
@@ -85,12 +86,22 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def pattern_file(question: Column) -> Column:
+    """The file name of a question: its slug, with a short hash where the slug is cut.
+
+    Two long questions that begin alike have names of their own.
+    """
+    whole, cut = slugify(question, max_length=WHOLE_SLUG), slugify(question)
+    long_ = F.char_length(whole) > F.char_length(cut)
+    return F.concat(F.when(long_, F.concat(cut, F.lit("-"), F.substring(F.sha2(whole, 256), 1, 8))).otherwise(cut), F.lit(".sql"))
+
+
 def pattern_records(rows: DataFrame, today: date, order_by: str | None = None) -> DataFrame:
     """Patterns ready to save: one per slug of the question, the last one winning."""
     defaults = {"description": F.lit(""), "source": F.lit("manual"), "tables": F.array().cast("array<string>")}
     for name, default in defaults.items():
         rows = rows.withColumn(name, F.coalesce(name, default) if name in rows.columns else default)
-    named = rows.withColumn("filename", F.concat(slugify(F.col("question")), F.lit(".sql")))
+    named = rows.withColumn("filename", pattern_file(F.col("question")))
     latest = last_per_key(named, "filename", order_by)
     return latest.withColumn("created", F.lit(today)).select(
         "question", "sql", "tables", "description", "source", "created", "filename"
@@ -107,7 +118,7 @@ def write_patterns(rows: DataFrame, root: str, today: date, order_by: str | None
 
 def find_pattern(patterns: DataFrame, questions: DataFrame) -> DataFrame:
     """Patterns of the given questions, looked up by slug."""
-    slugs = questions.select(F.concat(slugify(F.col("question")), F.lit(".sql")).alias("filename")).distinct()
+    slugs = questions.select(pattern_file(F.col("question")).alias("filename")).distinct()
     return patterns.join(slugs, "filename", "left_semi")
 
 

@@ -27,6 +27,18 @@ def _latest(spark: SparkSession, root: str) -> tuple[int, str] | None:
     return (row["v"]["version"], row["v"]["folder"]) if row["v"] else None
 
 
+class LostRace(RuntimeError):
+    """Another writer made the next version first; read again and repeat the change."""
+
+
+def _claim(spark: SparkSession, root: str, version: int) -> None:
+    """Takes a version's number for this writer alone, by creating its file; fails if another has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{version:08d}")
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.createNewFile(path):
+        raise LostRace(f"version {version} of {root} was made by another writer; nothing of this change is kept")
+
+
 def write_table(df: DataFrame, root: str, now: datetime | None = None) -> int:
     """Writes ``df`` beside the versions it may have been read from, then makes it the current one."""
     spark = df.sparkSession
@@ -34,6 +46,7 @@ def write_table(df: DataFrame, root: str, now: datetime | None = None) -> int:
     version = latest[0] + 1 if latest else 1
     folder = f"v{version:08d}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(f"{root}/{folder}")
+    _claim(spark, root, version)
     row = [(version, folder, now or datetime.now(timezone.utc))]
     spark.createDataFrame(row, VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/versions")
     return version
@@ -98,6 +111,9 @@ def change_index(
 ) -> int:
     """Applies a change that concerns only rows with the given ids, as a new version.
 
+    A version's number is claimed before it becomes the current one: of two writers that began
+    from one version the second raises ``LostRace``, and nothing of the first is lost.
+
     ``change`` gets the parts those ids fall in and returns what they become. Other parts stay in
     the folders they are in. Only part numbers come to the driver. ``parts`` is set by the first
     write; choose it so that a part is some gigabytes.
@@ -113,6 +129,7 @@ def change_index(
     changed.write.partitionBy("part").parquet(f"{root}/{folder}")
     kept = {p: f for p, f in folders.items() if p not in touched}
     written = _written_parts(spark, f"{root}/{folder}")
+    _claim(spark, root, number)
     row = [(number, now or datetime.now(timezone.utc), parts, kept | {p: folder for p in written})]
     spark.createDataFrame(row, INDEX_VERSION_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/versions")
     return number
@@ -133,16 +150,20 @@ def write_index(index: DataFrame, root: str, parts: int = INDEX_PARTS) -> int:
     return change_index(spark, root, held, lambda _: index, parts)
 
 
-def upsert_index(rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None) -> int:
-    return change_index(rows.sparkSession, root, rows, lambda old: upsert(old, rows, now, order_by))
+def upsert_index(
+    rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None, parts: int = INDEX_PARTS
+) -> int:
+    return change_index(rows.sparkSession, root, rows, lambda old: upsert(old, rows, now, order_by), parts)
 
 
-def edit_index(rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None) -> int:
-    return change_index(rows.sparkSession, root, rows, lambda old: edit(old, rows, now, order_by))
+def edit_index(
+    rows: DataFrame, root: str, now: datetime | Column, order_by: str | None = None, parts: int = INDEX_PARTS
+) -> int:
+    return change_index(rows.sparkSession, root, rows, lambda old: edit(old, rows, now, order_by), parts)
 
 
-def delete_from_index(ids: DataFrame, root: str) -> int:
-    return change_index(ids.sparkSession, root, ids, lambda old: delete(old, ids))
+def delete_from_index(ids: DataFrame, root: str, parts: int = INDEX_PARTS) -> int:
+    return change_index(ids.sparkSession, root, ids, lambda old: delete(old, ids), parts)
 
 
 def import_vectors(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:

@@ -66,3 +66,40 @@ def test_profile_of_nested_maps_and_variants(spark):
     rows = {r.column: r for r in profile(frame).collect()}
     assert rows["s"].total_rows == rows["m"].total_rows == 5 and rows["s"].nulls == 0 and rows["s"].distinct is None
     assert rows["id"].distinct == 5
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    import pytest
+
+    from tablewright.operators.index import upsert
+    from tablewright.sources.store import LostRace, change_index, read_index, upsert_index
+
+    root = str(tmp_path / "index")
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, f"question {i}") for i in ids], "id string, question string")
+
+    upsert_index(rows("a"), root, NOW, parts=2)
+
+    def slow(old):
+        upsert_index(rows("b"), root, NOW)  # another writer is faster
+        return upsert(old, rows("c"), NOW)
+
+    with pytest.raises(LostRace):
+        change_index(spark, root, rows("c"), slow)
+    assert {r.id for r in read_index(spark, root).collect()} == {"a", "b"}
+    upsert_index(rows("c"), root, NOW)
+    assert {r.id for r in read_index(spark, root).collect()} == {"a", "b", "c"}
+
+
+def test_long_questions_keep_their_own_files(spark):
+    from datetime import date
+
+    from tablewright.sources.patterns import find_pattern, pattern_records
+
+    start = "how many orders did we ship to customers in the regions of the north " * 2
+    questions = spark.createDataFrame([(start + "in May", "1"), (start + "in June", "2"), ("short one", "3")], "question string, sql string")
+    saved = pattern_records(questions, date(2024, 1, 1))
+    names = [r.filename for r in saved.orderBy("sql").collect()]
+    assert len(set(names)) == 3 and names[2] == "short-one.sql" and names[0][:80] == names[1][:80]
+    assert [r.sql for r in find_pattern(saved, questions.where("sql = '2'")).collect()] == ["2"]
