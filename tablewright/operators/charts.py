@@ -16,6 +16,7 @@ from tablewright.operators.quantiles import count_groups, exact_quantiles, join_
 WHISKER_IQR = 1.5
 QUARTILES = [0.25, 0.5, 0.75]
 # ------------------------------------------------------------------------------------
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 # What one group's row costs in a table sent to the tasks.
 BOX_BYTES = 256
 
@@ -44,7 +45,7 @@ def pie(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
 
 def _bin(df: DataFrame, column: str, bins: int) -> tuple[Column, Column, Column]:
     """Bin number from 1, the lower edge and the width; the maximum falls into the last bin."""
-    c = F.col(column).cast("double")
+    c = _value(df, column)
     low = df.agg(F.min(c).alias("low")).scalar()
     high = df.agg(F.max(c).alias("high")).scalar()
     width = (high - low) / bins
@@ -53,7 +54,24 @@ def _bin(df: DataFrame, column: str, bins: int) -> tuple[Column, Column, Column]
 
 
 def _is_number(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.NumericType)
+    """Whether values are binned: numbers, dates and times."""
+    return isinstance(df.schema[column].dataType, (T.NumericType, *TIMES))
+
+
+def _value(df: DataFrame, column: str) -> Column:
+    """A number to bin by; of a date or time, microseconds since 1970."""
+    if not isinstance(df.schema[column].dataType, TIMES):
+        return F.col(column).cast("double")
+    return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+
+
+def _edge(df: DataFrame, column: str, value: Column) -> Column:
+    """A bin's edge as a value of the column's kind."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, TIMES):
+        return value
+    moment = F.timestamp_micros(F.round(value).cast("bigint"))
+    return moment.cast("timestamp_ntz" if isinstance(kind, T.TimestampNTZType) else "timestamp")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
@@ -65,8 +83,8 @@ def histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     counted = filled.groupBy(number.alias("bin")).agg(F.count("*").alias("rows"))
     return counted.select(
         "bin",
-        (low + (F.col("bin") - 1) * width).alias("low"),
-        (low + F.col("bin") * width).alias("high"),
+        _edge(df, x, low + (F.col("bin") - 1) * width).alias("low"),
+        _edge(df, x, low + F.col("bin") * width).alias("high"),
         "rows",
     )
 

@@ -383,3 +383,20 @@ def slot_over_cap(tables: Tables) -> DataFrame:
     ]
     done = evaluate_slots(tables.spark, slots)
     return done.select("slot", "format", "rendered", F.col("error").isNotNull().alias("failed"))
+
+
+TIME_BIN_SQL = """least(CAST(floor((CAST(epoch_us(ts) AS DOUBLE) - lo) / ((hi - lo) / 24)) AS BIGINT) + 1, 24)"""
+TIME_RANGE_SQL = "(SELECT CAST(min(epoch_us(ts)) AS DOUBLE) AS lo, CAST(max(epoch_us(ts)) AS DOUBLE) AS hi FROM events) r"
+
+
+@register("histogram_of_times", f'SELECT {TIME_BIN_SQL} AS bin, count(*) AS "rows" FROM events, {TIME_RANGE_SQL} GROUP BY 1')
+def histogram_of_times(tables: Tables) -> DataFrame:
+    return charts.histogram(tables.events, "ts", 24).select("bin", "rows")
+
+
+@register(
+    "heatmap_of_times",
+    f'SELECT {TIME_BIN_SQL} AS x_bin, event_type AS y_bin, count(*) AS "rows" FROM events, {TIME_RANGE_SQL} GROUP BY 1, 2',
+)
+def heatmap_of_times(tables: Tables) -> DataFrame:
+    return charts.heatmap(tables.events, "ts", "event_type", 24)
