@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tablewright.operators.catalog import describe, profile, profile_all, profile_approx
-from tablewright.plans.registry import Tables, register
+from tablewright.ingest.load import schema_rows
+from tablewright.operators.catalog import describe, list_tables, profile, profile_all, profile_approx, table_docs
+from tablewright.plans.registry import TABLES, Tables, register
+from tablewright.sources.connections import register_tables
 
 # The given tables' columns: name, type, whether min and max are reported.
 COLUMNS = {
@@ -88,3 +91,27 @@ def profile_all_tables(tables: Tables) -> DataFrame:
 def profile_lineitem_approx(tables: Tables) -> DataFrame:
     """Sketched distinct counts have no equal in SQL; the tests bound their error."""
     return profile_approx(tables.lineitem)
+
+
+@register("tables_listed", 'SELECT * FROM (VALUES {}) t("table")'.format(", ".join(f"('{t}')" for t in TABLES)))
+def tables_listed(tables: Tables) -> DataFrame:
+    """The given tables as views of the session, listed."""
+    register_tables(tables.all())
+    return list_tables(tables.spark).where(F.col("table").isin(TABLES))
+
+
+def table_docs_sql() -> str:
+    rows = []
+    for name in COLUMNS:
+        lines = "".join(f"\n  - {column} ({kind.lower()}, nullable)" for column, kind in columns_of(name))
+        rows.append(
+            f"SELECT concat('wh-', substr(sha256('warehouse:schema:{name}'), 1, 16)) AS id, "
+            f"'What data is in the {name} table?' AS question, 'Table: {name}\nColumns:{lines}' AS description"
+        )
+    return "\nUNION ALL ".join(rows)
+
+
+@register("table_documents", table_docs_sql())
+def table_documents(tables: Tables) -> DataFrame:
+    """One searchable document per table, as index rows of source ``warehouse``."""
+    return schema_rows(table_docs(tables.spark, tables.all())).select("id", "question", "description")

@@ -448,3 +448,14 @@ def embedded(tables: Tables) -> DataFrame:
         F.col("embedding")[25].alias("letter_z"),
         "error",
     )
+
+
+@register(
+    "index_get",
+    "SELECT concat('v', vec_id) AS id, concat('Question ', vec_id) AS question, concat('label-', label) AS source "
+    "FROM embeddings WHERE vec_id = (SELECT max(vec_id) // 2 FROM embeddings)",
+)
+def index_get(tables: Tables) -> DataFrame:
+    """One row of the index by its id, without its vector."""
+    middle = tables.embeddings.agg((F.max("vec_id") / 2).cast("bigint")).first()[0]
+    return ix.get(label_index(tables), f"v{middle}").select("id", "question", "source")

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tablewright.functions import text as tx
 from tablewright.functions.questions import is_plural, with_question
 from tablewright.functions.statements import classify_statements
+from tablewright.functions.text import truncate
 from tablewright.plans.registry import Tables, register
 
 STATEMENT = """CASE o_orderstatus
@@ -233,3 +234,13 @@ def embed_texts(tables: Tables) -> DataFrame:
         tx.schema_text(F.col("p_name"), F.col("p_type")).alias("schema_document"),
         tx.pattern_text(F.col("p_name"), description, sql).alias("pattern"),
     )
+
+
+@register(
+    "truncated_texts",
+    "SELECT doc_id, length(substring(text, 1, 2000)) AS kept, md5(substring(text, 1, 2000)) AS digest FROM documents",
+)
+def truncated_texts(tables: Tables) -> DataFrame:
+    """Texts cut to 2000 characters, many of them longer."""
+    cut = truncate(F.col("text"), 2000)
+    return tables.documents.select("doc_id", F.char_length(cut).cast("bigint").alias("kept"), F.md5(cut).alias("digest"))
