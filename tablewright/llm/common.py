@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablewright.session import work_folder
 
-# Rows of 8 to 16 bytes up to which a side may be sent to every task; larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+# Rows of some tens of bytes up to which a side may be sent to every task; larger sides are joined by shuffle.
+BROADCAST_ROWS = 400_000
 # Bytes of text that one step inside a task works on.
 BLOCK_BYTES = 1 << 20
 
@@ -59,9 +59,9 @@ def matching(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame
     The keys are counted first: up to ``BROADCAST_ROWS`` they go to every task, beyond that
     both sides are shuffled.
     """
-    keys = keys.select(F.col(column).alias("_key")).distinct()
+    keys = keys.select(F.col(column).alias("_matched")).distinct()
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if small else keys, df[column].eqNullSafe(F.col("_key")), how)
+    return df.join(F.broadcast(keys) if small else keys, df[column].eqNullSafe(F.col("_matched")), how)
 
 
 def ascii_lower(text: Column) -> Column:

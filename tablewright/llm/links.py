@@ -20,40 +20,66 @@ def joined(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inne
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has a link.
 
-    ``edges`` has columns ``a`` and ``b`` of one orderable type; nulls and loops are left out.
-    Large-star and small-star steps alternate until the links stand still; each step's links are
-    written to the shared folder. A hub's links are folded to a minimum before the shuffle.
+    ``edges`` has columns ``a`` and ``b`` of one orderable type; nulls and loops are left out. In
+    each round every node takes its smallest neighbour's name, if smaller than its own, and links
+    are renamed; links that become loops go. A link between a node and the one it is named after
+    is a link of the next round, unless both have one name, so nothing falls apart. Names and
+    links of each round are written to the shared folder; a hub's links are folded to a minimum
+    before the shuffle.
     """
-    from_a = edges.where(F.col("a") != F.col("b"))
-    links = staged(from_a.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))))
-    before = None
+    one, other = F.least("a", "b"), F.greatest("a", "b")
+    links = staged(edges.where(F.col("a") != F.col("b")).select(one.alias("a"), other.alias("b")).distinct())
+    names = None
     for _ in range(rounds):
-        now = links.select(mark).first()[0]
-        if now == before or now[0] == 0:
-            break
-        before = now
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = joined(both, least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = staged(large.distinct())
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = joined(large, least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-        links.select(F.col("b").alias("node"), F.col("b").alias("root"))
-    ).distinct()
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")))
+        if names is None:
+            names = least.select(F.col("old").alias("node"), F.col("new").alias("root"))
+        else:
+            names = joined(names, least.withColumnRenamed("old", "root"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        renamed = joined(links, least.withColumnRenamed("old", "a"), "a").select("b", F.col("new").alias("x"))
+        renamed = joined(renamed, least.withColumnRenamed("old", "b"), "b").select("x", F.col("new").alias("y"))
+        renamed = renamed.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = staged(renamed.distinct())
+        if not links.limit(1).count():
+            return names
+    raise RuntimeError(f"links did not settle in {rounds} rounds")
 
 
 def meeting(posted: DataFrame, key: str, node: str) -> DataFrame:
-    """The rows of ``posted`` under keys that two or more nodes share, staged.
+    """The rows of ``posted`` under keys that two or more nodes share, each once, staged.
 
     Only the smallest and largest node of each key are gathered, folded before the shuffle; keys
     with one node, mostly the bulk, are gone before rows are brought together, and a key with
-    very many nodes is never brought together at all.
+    very many nodes is never brought together at all. Keys are as many as the data has, so both
+    sides are shuffled, straight from files.
     """
     shared = posted.groupBy(key).agg(F.min(node).alias("_low"), F.max(node).alias("_high"))
-    shared = staged(shared.where("_low != _high").select(key))
-    return staged(joined(posted, shared, key, "left_semi"))
+    staged_keys = staged(shared.where("_low != _high").select(key))
+    return staged(posted.join(staged_keys, key, "left_semi").distinct())
+
+
+def leaders(runs: DataFrame, key: str, node: str, *carried: str, each: int = 8) -> DataFrame:
+    """(key, lead): up to ``each`` nodes of every key, those that meet others under the most keys.
+
+    What many near copies were made from shares more with them than they share with each other,
+    so it links most of them at once. The nodes are dealt into ``each`` parts by hash, of which
+    each gives its best, folded before the shuffle.
+    """
+    met = staged(runs.groupBy(node).agg(F.count("*").alias("_met")))
+    part = F.pmod(F.xxhash64(node), F.lit(each)).alias("_part")
+    best = joined(runs, met, node).groupBy(key, part).agg(F.max(F.struct("_met", node, *carried)).alias("lead"))
+    return staged(best.select(key, "lead"))
+
+
+def unordered(a, b) -> list:
+    """A pair's columns ``a`` and ``b``, the smaller first."""
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def untried(runs: DataFrame, leads: DataFrame, key: str, asked: str = "true") -> DataFrame:
+    """The rows under keys where two nodes, one of them ``asked``, may not have met through a lead."""
+    n = runs.groupBy(key).agg(F.count("*").alias("_all"), F.count_if(F.expr(asked)).alias("_asked"))
+    tried = leads.groupBy(key).agg(F.count("*").alias("_leads"))
+    left = n.join(tried, key).where("_all - _leads >= 2 AND _asked > _leads")
+    return runs.join(staged(left.select(key)), key, "left_semi")
