@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import BLOCK_BYTES, mixed, staged
-from tablewright.llm.links import components, joined, meeting
+from tablewright.llm.links import components, joined, leaders, meeting, unordered, untried
 
 EDITS = 2
 # Shorter lines are never compared or dropped: a name or a heading may well stand twice.
@@ -47,11 +47,24 @@ class SegmentKeys:
         powers[0] = 1
         return np.multiply.accumulate(powers)
 
-    def keys(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per line the keys of its own segments, and of its probes (0 where one repeats)."""
+    @staticmethod
+    def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = np.array([len(x) for x in lines], np.int64)
-        at = np.cumsum(n) - n
+        return text, n, np.cumsum(n) - n
+
+    def sketches(self, lines: list[str]) -> np.ndarray:
+        """How many characters of each of eight kinds a line has, modulo 256, in the bytes of one number."""
+        text, n, at = self._characters(lines)
+        out = np.zeros(len(lines), np.uint64)
+        for kind in range(8):
+            sums = np.concatenate([[0], np.cumsum(text % 8 == kind)])
+            out |= (sums[at + n] - sums[at]).astype(np.uint64) % np.uint64(256) << np.uint64(8 * kind)
+        return out
+
+    def keys(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per line the keys of its own segments, and of its probes (0 where one repeats)."""
+        text, n, at = self._characters(lines)
         if len(text) >= len(self.up):
             self.up, self.down = (self._powers(int(p[1]), 2 * len(text)) for p in (self.up, self.down))
         sums = np.zeros(len(text) + 1, np.uint64)
@@ -128,7 +141,7 @@ def line_rows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def entries(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, id, n, own): each line under its segments (``own``) and under its probes."""
+    """(key, id, n, sketch, own): each line under its segments (``own``) and under its probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = SegmentKeys(edits)
@@ -142,17 +155,31 @@ def entries(lines: DataFrame, edits: int) -> DataFrame:
                     chars += len(all_[high])
                     high += 1
                 own, asked = maker.keys(all_[low:high])
+                sketch = np.concatenate([np.zeros(low, np.uint64), maker.sketches(all_[low:high])]).view(np.int64)
                 keys = np.concatenate([own, asked], 1)
                 there = keys != 0
                 row = np.broadcast_to(np.arange(low, high)[:, None], keys.shape)[there]
                 is_own = np.broadcast_to(np.arange(keys.shape[1]) < own.shape[1], keys.shape)[there]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[there].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(is_own)],
-                    ["key", "id", "n", "own"],
+                    [pa.array(keys[there].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row]), pa.array(is_own)],
+                    ["key", "id", "n", "sketch", "own"],
                 )
                 low = high
 
-    return lines.select("id", "n", "text").mapInArrow(run, "key long, id long, n int, own boolean")
+    return lines.select("id", "n", "text").mapInArrow(run, "key long, id long, n int, sketch long, own boolean")
+
+
+def may_be_within(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column, edits: int) -> Column:
+    """Whether lengths and sketches allow the distance: an edit changes the counts of two kinds at most by one."""
+
+    def apart(kind: int) -> Column:
+        one, other = (F.shiftrightunsigned(s, 8 * kind).bitwiseAND(F.lit(255)) for s in (sketch_a, sketch_b))
+        return F.least(F.pmod(one - other, F.lit(256)), F.pmod(other - one, F.lit(256)))
+
+    total = apart(0)
+    for kind in range(1, 8):
+        total = total + apart(kind)
+    return (F.abs(n_a - n_b) <= edits) & (total <= 2 * edits)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -175,23 +202,26 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(node, root): the class of each line id that has a link to another line.
 
-    Lines under one key are first verified against one of them. Only those that are then still
+    Lines under one key are first verified against a few of them. Only those that are then still
     in different classes meet each other.
     """
     runs = meeting(entries(lines, edits), "key", "id")
-    leads = staged(runs.where("own").groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead")))
-    ahead = joined(runs, leads, "key").where((F.col("id") != F.col("lead.id")) & (F.abs(F.col("n") - F.col("lead.n")) <= edits))
-    star = ahead.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-    edges = staged(verified(star, lines, edits))
+    leads = leaders(runs.where("own"), "key", "id", "n", "sketch")
+    close = may_be_within(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), edits)
+    ahead = runs.join(leads, "key").where((F.col("id") != F.col("lead.id")) & close)
+    tried = staged(ahead.select(*unordered("id", "lead.id")).distinct())
+    edges = staged(verified(tried, lines, edits))
     roots = staged(components(edges))
-    known = joined(runs, roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = joined(untried(runs, leads, "key", "own"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = staged(known)
     mixed_keys = known.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l != h").select("key")
     open_ = staged(joined(known, staged(mixed_keys), "key", "left_semi"))
     x, y = open_.where("own").alias("x"), open_.alias("y")
-    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") - F.col("x.n")).between(0, edits)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart)
-    met = staged(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") >= F.col("x.n"))
+    close = may_be_within(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), edits)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & close)
+    met = met.select(*unordered("x.id", "y.id")).distinct().join(tried, ["a", "b"], "left_anti")
+    met = staged(met)
     if not met.limit(1).count():
         return roots
     more = staged(verified(met, lines, edits))
