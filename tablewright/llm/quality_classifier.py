@@ -20,6 +20,9 @@ from tablewright.llm.common import WordHasher, list_array, matching, staged, tex
 from tablewright.llm.quality_rules import SPACE, bound_to, word_hashes, words
 
 FEATURES = 1 << 16
+# A word of letters with one mark of punctuation at most, and the end of a word with an odd sign there.
+PLAIN_WORD = r"(?<![^\t-\r ])\p{L}++[.,;:!?]?+(?![^\t-\r ])"
+TAILED_WORD = r"[#*$%&|<>~^+=](?![^\t-\r ])"
 # Documents that the scorer is fitted on, at most: those with the smallest hashes of their ids.
 TRAINING_ROWS = 20_000
 ROUNDS = 4
@@ -38,31 +41,34 @@ def called(value: Column, good: Column, bad: Column) -> Column:
 def votes(text: Column) -> Column:
     """The heuristics' votes, one letter each, in the order in which they stand here."""
 
-    def without(characters: str) -> Column:
-        return F.char_length(F.translate(text, characters, ""))
-
-    def count(characters: str) -> Column:
-        return F.char_length(text) - without(characters)
-
-    def told(found: Column) -> Column:
-        n = F.size(found)
-        letters = count("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-        length = share(without(SPACE), n)
-        symbols = share(count("#*$%&|<>{}^~=+\\!"), n)
-        upper = share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), letters)
-        different = F.when(n >= 50, share(F.size(F.array_distinct(found)), n))
-        pairs = bound_to(word_hashes(found), lambda h: F.array_distinct(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)))))
-        paired = F.when(n >= 50, share(F.size(pairs), n))
-        plain = share(F.size(F.filter(found, lambda w: w.rlike("^\\p{L}+[.,;:!?]?$"))), n)
-        tailed = share(F.size(F.filter(found, lambda w: F.instr(F.lit("#*$%&|<>~^+="), F.right(w, F.lit(1))) > 0)), n)
-        stops = F.when(n >= 20, share(count(".!?"), n))
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    def measured(h: Column) -> Column:
+        n = F.size(h)
+        pairs = F.array_distinct(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
         lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-        repeated = bound_to(lines, lambda x: F.when(F.size(x) >= 3, share(F.size(x) - F.size(F.array_distinct(x)), F.size(x))))
+        values = (
+            n,
+            share(F.char_length(text) - n + 1, n),
+            share(count(r"[#*$%&|<>{}^~=+\\!]"), n),
+            share(count("[A-Z]{2}"), n),
+            F.when(n >= 50, share(F.size(F.array_distinct(h)), n)),
+            F.when(n >= 50, share(F.size(pairs), n)),
+            share(count(PLAIN_WORD), n),
+            share(count(TAILED_WORD), n),
+            F.when(n >= 20, share(count("[.!?]"), n)),
+            bound_to(lines, lambda x: F.when(F.size(x) >= 3, share(F.size(x) - F.size(F.array_distinct(x)), F.size(x)))),
+        )
+        return F.array(*[v.cast("double") for v in values])
+
+    def told(v: Column) -> Column:
+        n, length, symbols, upper, different, paired, plain, tailed, stops, repeated = (v[i] for i in range(10))
         return F.concat(
             called(n, n >= 30, n < 4),
             called(length, length.between(3, 10), (length < 2) | (length > 14)),
             called(symbols, symbols < 0.05, symbols > 0.3),
-            called(upper, upper < 0.2, upper > 0.5),
+            called(upper, upper < 0.1, upper > 0.8),
             called(different, different > 0.45, different < 0.3),
             called(paired, paired > 0.85, paired < 0.6),
             called(plain, plain > 0.8, plain < 0.5),
@@ -71,7 +77,7 @@ def votes(text: Column) -> Column:
             called(repeated, repeated == 0, repeated > 0.3),
         )
 
-    return bound_to(words(text), told)
+    return bound_to(bound_to(word_hashes(words(text)), measured), told)
 
 
 @dataclass(frozen=True)
@@ -202,13 +208,16 @@ def quality_scores(
     scorer's base chance. Other columns are ignored; no documents, no rows.
     """
     spark = docs.sparkSession
-    marked = texts(docs, "doc_id").withColumn("votes", votes(F.col("text")))
-    counted = [(r[0], r[1]) for r in marked.groupBy("votes").count().collect()]
+    whole = texts(docs, "doc_id").withColumn("_key", F.xxhash64("doc_id", "text"))
+    # The votes are taken once; equal ids and texts have equal votes.
+    marked = staged(whole.select("_key", votes(F.col("text")).alias("votes")).groupBy("_key").agg(F.first("votes").alias("votes"), F.count("*").alias("n")))
+    counted = [(r[0], r[1]) for r in marked.groupBy("votes").agg(F.sum("n")).collect()]
     model = fit_labels([p for p, _ in counted], [n for _, n in counted])
-    chances = dict(zip([p for p, _ in counted], model.posterior([p for p, _ in counted]).tolist(), strict=True))
+    patterns = [p for p, _ in counted]
+    chances = dict(zip(patterns, model.posterior(patterns).tolist(), strict=True))
 
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = matching(marked, ids, "doc_id", "left_semi")
+    picked = staged(matching(whole, ids, "doc_id", "left_semi")).join(marked, "_key")
     shared = spark.sparkContext.broadcast(chances)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +234,15 @@ def quality_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = TextFeatures(size)
         for batch in batches:
-            posterior = np.array([shared.value[v] for v in batch.column("votes").to_pylist()])
             for low, high, data, bounds in text_blocks(batch.column("text")):
                 score = scores(weights.value, *maker.of(data, bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[low:high], batch.column("votes")[low:high], pa.array(posterior[low:high]), pa.array(score), pa.array(score >= keep_at)],
-                    ["doc_id", "votes", "posterior", "score", "kept"],
+                    [batch.column("doc_id")[low:high], batch.column("_key")[low:high], pa.array(score)], ["doc_id", "_key", "score"]
                 )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, votes string, posterior double, score double, kept boolean"
-    return marked.select("doc_id", "votes", "text").mapInArrow(run, schema)
+    judged = whole.select("doc_id", "_key", "text").mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _key long, score double"
+    )
+    told = spark.createDataFrame([(p, c) for p, c in chances.items()], "votes string, posterior double")
+    marked = marked.select("_key", "votes").join(F.broadcast(told), "votes")
+    return judged.join(marked, "_key").select("doc_id", "votes", "posterior", "score", (F.col("score") >= keep_at).alias("kept"))
