@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.session import work_folder
+
 # Slices per group, fewer where there are many groups, so that all edges stay within a bound.
 MAX_SLICES, MIN_SLICES = 2048, 128
 SLICE_BYTES = 16
@@ -64,10 +66,18 @@ def exact_quantiles(
 
 
 def _with_slice(rows: DataFrame, groups: int, slices: int) -> DataFrame:
-    """Adds the number of the group's edges that lie below the value, by binary search."""
+    """Adds the number of the group's edges that lie below the value, by binary search.
+
+    The proposed edges depend on the order in which sketches are merged, and the slices are used
+    twice; so the edges are written to the shared folder once, and stay what they are when a lost
+    executor's work is done again.
+    """
     shares = [i / slices for i in range(1, slices)]
     proposed = F.percentile_approx("v", shares, 10 * slices)
     edges = rows.groupBy("g").agg(F.array_sort(F.array_distinct(proposed)).alias("edges"))
+    path = work_folder(rows.sparkSession)
+    edges.write.parquet(path)
+    edges = rows.sparkSession.read.schema(edges.schema).parquet(path)
     sliced = join_groups(rows, edges, ["g"], groups * slices * SLICE_BYTES).withColumn("slice", F.lit(0))
     step = slices // 2
     while step:
