@@ -207,6 +207,19 @@ def test_long_lines(frame):
     assert {r.doc_id: r.n_dropped for r in rows} == {0: 0, 1: 1, 2: 0}
 
 
+def test_sides_that_are_too_large_to_send(frame, monkeypatch):
+    """Every join by shuffle gives what joins with small sides give."""
+    from tablewright.llm import common, links
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(links, "BROADCAST_ROWS", -1)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    rows = list(enumerate(" ".join(edited(rng, base, k % 5)) + "\n" + "a line of its own that many texts share" for k in range(12)))
+    assert got_classes(frame(rows)) == classes_by_hand(rows)
+    assert {r.doc_id: r.text for r in line_dedup(frame(rows)).collect()} == deduped_by_hand(rows)
+
+
 def test_no_pairs_of_everything(spark, data, capsys):
     similarity_classes(spark.read.parquet(f"{data}/documents.parquet").where(F.col("doc_id") < 20)).explain()
     assert "CartesianProduct" not in capsys.readouterr().out
