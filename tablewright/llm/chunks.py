@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from tablewright.llm.common import WordHasher, separators, text_blocks
+from tablewright.llm.common import WordHasher, release, separators, text_blocks
 
 # Bytes of text whose distinct chunks are encoded together.
-UNIT_BYTES = 1 << 23
+UNIT_BYTES = 1 << 22
 # Chunks whose ids a Python worker keeps from unit to unit, about 32 bytes each.
-KEPT_CHUNKS = 2_000_000
+KEPT_CHUNKS = 1_000_000
 
 
 # Unicode white space beyond ASCII, in UTF-8.
@@ -126,4 +126,4 @@ class ChunkIds:
                 ends_ = np.cumsum(n)
                 take = np.repeat(place[own] - (ends_ - n), n) + np.arange(ends_[-1] if len(n) else 0)
                 yield low + a, flat[take], np.concatenate([[0], ends_])[text_first]
-            pa.default_memory_pool().release_unused()
+            release()

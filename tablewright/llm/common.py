@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,6 +154,14 @@ class WordHasher:
         return (np.stack(each, 1).ravel(), bounds * len(each)) if self.prefixes else (each[0], bounds)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about ``most`` bytes: first row, end row, bytes, byte positions.
 
@@ -169,6 +178,8 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
+    if len(column):
+        release()
 
 
 def hashed_words(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -228,5 +239,6 @@ def mapped_text(docs: DataFrame, change) -> DataFrame:
                     k = names.index(name)
                     columns[k] = pa.array(values, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            release()
 
     return docs.mapInArrow(run, docs.schema)
