@@ -33,7 +33,8 @@ AIM = 0.97
 # Components added from test to test, and the tests' strictness in standard errors.
 STEP = 16
 STRICTNESS = 2.1
-CHUNK = 1024
+# Queries and vectors that are compared at once.
+TILE = 256
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -172,34 +173,40 @@ def scan(layout: Layout, ids: np.ndarray, v: np.ndarray, own: np.ndarray, query_
     top_at = np.full((len(q), k), -1)
     norms = (q * q).sum(1)
     for number in np.unique(own):
-        asking, members = np.flatnonzero(asks[:, number]), np.flatnonzero(own == number)
-        if not len(asking):
-            continue
-        for a in range(0, len(members), CHUNK):
-            part = members[a : a + CHUNK]
-            # The k-th best's squared distance, as an inner product tells it; infinite before there are k.
-            limit = np.maximum(norms[asking] + layout.reach - 2 * top_score[asking, -1], 0)
-            first = slice(0, min(STEP, size))
-            near = (turned[asking, first] ** 2).sum(1)[:, None] + (x[part, first] ** 2).sum(1)[None, :]
-            near -= 2 * turned[asking, first] @ x[part, first].T
-            seen = first.stop
-            slack = (1 + STRICTNESS / np.sqrt(seen)) ** 2 * seen / size
-            row, col = np.nonzero((near <= slack * limit[:, None] + 1e-9) & (query_ids[asking][:, None] != ids[part][None, :]))
-            so_far = near[row, col]
-            while seen < size and len(row):
-                nxt = slice(seen, min(seen + STEP, size))
-                so_far = so_far + ((turned[asking[row], nxt] - x[part[col], nxt]) ** 2).sum(1)
-                seen = nxt.stop
-                slack = 1.0 if seen == size else (1 + STRICTNESS / np.sqrt(seen)) ** 2 * seen / size
-                alive = so_far <= slack * limit[row] + 1e-9 * (1 + limit[row])
-                row, col, so_far = row[alive], col[alive], so_far[alive]
-            score = (q[asking[row]] * v[part[col]]).sum(1)
-            for r in np.unique(row):
-                mine = row == r
-                at = np.concatenate([top_at[asking[r]], part[col[mine]]])
-                scores = np.concatenate([top_score[asking[r]], score[mine]])
-                keep = np.lexsort((np.where(at >= 0, ids[np.maximum(at, 0)], np.iinfo(np.int64).max), -scores))[:k]
-                top_score[asking[r]], top_at[asking[r]] = scores[keep], at[keep]
+        everyone, members = np.flatnonzero(asks[:, number]), np.flatnonzero(own == number)
+        for asking in (everyone[i : i + TILE] for i in range(0, len(everyone), TILE)):
+            for part in (members[i : i + TILE] for i in range(0, len(members), TILE)):
+                # The k-th best's squared distance, as an inner product tells it; infinite before there are k.
+                limit = np.maximum(norms[asking] + layout.reach - 2 * top_score[asking, -1], 0)
+                seen = min(STEP, size)
+                ours, theirs = turned[asking, :seen], x[part, :seen]
+                near = (ours**2).sum(1)[:, None] + (theirs**2).sum(1)[None, :] - 2 * ours @ theirs.T
+                slack = (1 + STRICTNESS / np.sqrt(seen)) ** 2 * seen / size
+                row, col = np.nonzero((near <= slack * limit[:, None] + 1e-9) & (query_ids[asking][:, None] != ids[part][None, :]))
+                so_far = near[row, col]
+                while seen < size and len(row):
+                    nxt = slice(seen, min(seen + STEP, size))
+                    so_far = so_far + ((turned[asking[row], nxt] - x[part[col], nxt]) ** 2).sum(1)
+                    seen = nxt.stop
+                    slack = 1.0 if seen == size else (1 + STRICTNESS / np.sqrt(seen)) ** 2 * seen / size
+                    alive = so_far <= slack * limit[row] + 1e-9 * (1 + limit[row])
+                    row, col, so_far = row[alive], col[alive], so_far[alive]
+                if not len(row):
+                    continue
+                # The survivors beside the best so far, a line for each query that has some.
+                counts = np.bincount(row, minlength=len(asking))
+                some = np.flatnonzero(counts)
+                line = np.searchsorted(some, row)
+                nth = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+                scores = np.full((len(some), k + counts.max()), -np.inf)
+                at = np.full(scores.shape, -1)
+                scores[:, :k], at[:, :k] = top_score[asking[some]], top_at[asking[some]]
+                scores[line, k + nth] = (q[asking[row]] * v[part[col]]).sum(1)
+                at[line, k + nth] = part[col]
+                names = np.where(at >= 0, ids[np.maximum(at, 0)], np.iinfo(np.int64).max)
+                order = np.lexsort((names, -scores), axis=1)[:, :k]
+                top_score[asking[some]] = np.take_along_axis(scores, order, 1)
+                top_at[asking[some]] = np.take_along_axis(at, order, 1)
     row, place = np.nonzero(top_at >= 0)
     return row, top_at[row, place], top_score[row, place]
 
