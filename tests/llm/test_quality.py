@@ -70,6 +70,28 @@ def test_classifier_keeps_good_and_drops_junk(spark):
     assert np.mean([r.posterior > 0.5 for r in good]) > 0.99 and np.mean([r.posterior > 0.5 for r in bad]) < 0.1
 
 
+def test_verdicts_do_not_depend_on_how_rows_are_dealt(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    found = []
+    try:
+        for parts, most in ((1, "128m"), (40, "64k")):
+            for k in before:
+                spark.conf.set(k, most)
+            rows = quality_scores(docs.repartition(parts)).collect()
+            found.append({r.doc_id: r for r in rows})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one, many = found
+    assert {i: r.kept for i, r in one.items()} == {i: r.kept for i, r in many.items()}
+    assert all(abs(one[i].score - many[i].score) < 1e-3 for i in one)
+    for rows in found:
+        assert np.mean([rows[i].kept for i, q in labels.items() if q == 0]) < 0.1
+
+
 def test_classifier_on_odd_rows(odd, clashing):
     rows = quality_scores(clashing).collect()
     assert len(rows) == 11 and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
