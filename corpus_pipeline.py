@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.common import staged
-from tablewright.llm.line_dedup import deduped
+from tablewright.llm.line_dedup import SHORT_CHARS, deduped
 from tablewright.llm.ngram_join import one_of_each
 from tablewright.llm.packing import pack
 from tablewright.llm.secret_scan import redact
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand in an earlier place, up to two edits."""
-    return deduped(docs)
+    """All documents, without lines that stand in an earlier place, up to two edits in long ones."""
+    return deduped(docs, short=SHORT_CHARS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

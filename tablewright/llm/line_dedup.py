@@ -3,12 +3,14 @@
 A line is cut into threshold + 1 segments. Of two lines within the threshold, the longer holds one
 of the shorter's segments unchanged, near its place; so every line is entered under its own
 segments and asked for under the few substrings that may be a segment of a line no longer than
-itself. Lines that meet are verified by a banded bit-parallel edit distance.
+itself. Lines that meet are verified by a banded bit-parallel edit distance. Lines that are
+shorter may differ by one edit, in two segments, and the shortest must be equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,10 @@ from tablewright.llm.common import BLOCK_BYTES, mixed, staged
 from tablewright.llm.links import components, joined, leaders, meeting, unordered, untried
 
 EDITS = 2
-# Shorter lines are never compared or dropped: a name or a heading may well stand twice.
+# Lines from which on ``EDITS`` are allowed.
 LEAST_CHARS = 30
+# Lines from which on one edit is allowed; shorter ones are alike only when they are equal.
+SHORT_CHARS = 12
 
 
 def segments(n: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,44 +136,78 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def line_rows(docs: DataFrame, least: int) -> DataFrame:
+@dataclass(frozen=True)
+class Grades:
+    """The edits allowed between two lines, by the length of the shorter: ``edits`` from ``least``
+    characters on, one from ``short`` on, none below; without ``short`` those below are left out."""
+
+    edits: int = EDITS
+    least: int = LEAST_CHARS
+    short: int | None = None
+
+    def allowed(self, n: int) -> int:
+        return self.edits if n >= self.least else min(1, self.edits) if self.short is not None and n >= self.short else 0
+
+    def allowed_column(self, n: Column) -> Column:
+        if self.short is None:
+            return F.lit(self.edits)
+        return F.when(n >= self.least, self.edits).when(n >= self.short, min(1, self.edits)).otherwise(0)
+
+    def tiers(self) -> list[tuple[int, int, int]]:
+        """(from, to, edits): lengths that are entered with so many edits; a pair meets in that of its shorter line."""
+        tiers = [(self.least, 1 << 31, self.edits)]
+        if self.short is not None and self.short < self.least:
+            tiers.append((self.short, self.least - 1 + min(1, self.edits), min(1, self.edits)))
+        return tiers
+
+
+def line_rows(docs: DataFrame, grades: Grades) -> DataFrame:
     """(doc, doc_id, line, text, id, n): the lines that are compared, ``doc`` being a hash of id and text."""
     each = docs.select(
         F.xxhash64("doc_id", "text").alias("doc"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")
     )
-    return each.withColumn("n", F.char_length("text")).where(F.col("n") >= least).withColumn("id", F.xxhash64("text"))
+    taken = F.col("n") >= grades.least
+    if grades.short is not None:
+        taken = taken | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return each.withColumn("n", F.char_length("text")).where(taken).withColumn("id", F.xxhash64("text"))
 
 
-def entries(lines: DataFrame, edits: int) -> DataFrame:
+def entries(lines: DataFrame, grades: Grades) -> DataFrame:
     """(key, id, n, sketch, own): each line under its segments (``own``) and under its probes."""
+    tiers = grades.tiers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = SegmentKeys(edits)
+        makers = [SegmentKeys(edits) for _, _, edits in tiers]
         for batch in batches:
             all_ = batch.column("text").to_pylist()
             ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-            low = 0
-            while low < len(all_):
-                high, chars = low, 0
-                while high < len(all_) and chars < BLOCK_BYTES:
-                    chars += len(all_[high])
-                    high += 1
-                own, asked = maker.keys(all_[low:high])
-                sketch = np.concatenate([np.zeros(low, np.uint64), maker.sketches(all_[low:high])]).view(np.int64)
-                keys = np.concatenate([own, asked], 1)
-                there = keys != 0
-                row = np.broadcast_to(np.arange(low, high)[:, None], keys.shape)[there]
-                is_own = np.broadcast_to(np.arange(keys.shape[1]) < own.shape[1], keys.shape)[there]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[there].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row]), pa.array(is_own)],
-                    ["key", "id", "n", "sketch", "own"],
-                )
-                low = high
-
-    return lines.select("id", "n", "text").mapInArrow(run, "key long, id long, n int, sketch long, own boolean")
-
-
-def may_be_within(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column, edits: int) -> Column:
+            for (least, most, _), maker in zip(tiers, makers, strict=True):
+                picked = np.flatnonzero((sizes >= least) & (sizes <= most))
+                low = 0
+                while low < len(picked):
+                    high, chars = low, 0
+                    while high < len(picked) and chars < BLOCK_BYTES:
+                        chars += len(all_[picked[high]])
+                        high += 1
+                    block = picked[low:high]
+                    lines_ = [all_[k] for k in block]
+                    own, asked = maker.keys(lines_)
+                    sketch = maker.sketches(lines_).view(np.int64)
+                    keys = np.concatenate([own, asked], 1)
+                    there = keys != 0
+                    row = np.broadcast_to(np.arange(len(block))[:, None], keys.shape)[there]
+                    is_own = np.broadcast_to(np.arange(keys.shape[1]) < own.shape[1], keys.shape)[there]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[there].view(np.int64)), pa.array(ids[block][row]), pa.array(sizes[block][row].astype(np.int32)), pa.array(sketch[row]), pa.array(is_own)],
+                        ["key", "id", "n", "sketch", "own"],
+                    )
+                    low = high
+
+    compared = lines.where(F.col("n") >= min(least for least, _, _ in tiers))
+    return compared.select("id", "n", "text").mapInArrow(run, "key long, id long, n int, sketch long, own boolean")
+
+
+def may_be_within(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column, grades: Grades) -> Column:
     """Whether lengths and sketches allow the distance: an edit changes the counts of two kinds at most by one."""
 
     def apart(kind: int) -> Column:
@@ -179,11 +217,12 @@ def may_be_within(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column,
     total = apart(0)
     for kind in range(1, 8):
         total = total + apart(kind)
+    edits = grades.allowed_column(F.least(n_a, n_b))
     return (F.abs(n_a - n_b) <= edits) & (total <= 2 * edits)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) of line ids whose lines are within ``edits``."""
+def verified(pairs: DataFrame, lines: DataFrame, grades: Grades) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines are within the edits that their lengths allow."""
     pairs = staged(pairs)
     wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     content = staged(joined(lines.select("id", "text"), wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
@@ -191,7 +230,7 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
-            good = pa.array([within(x, y, edits) for x, y in texts], pa.bool_())
+            good = pa.array([within(x, y, grades.allowed(min(len(x), len(y)))) for x, y in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(good)
 
     sides = [content.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
@@ -199,18 +238,18 @@ def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
+def similar_lines(lines: DataFrame, grades: Grades) -> DataFrame:
     """(node, root): the class of each line id that has a link to another line.
 
     Lines under one key are first verified against a few of them. Only those that are then still
     in different classes meet each other.
     """
-    runs = meeting(entries(lines, edits), "key", "id")
+    runs = meeting(entries(lines, grades), "key", "id")
     leads = leaders(runs.where("own"), "key", "id", "n", "sketch")
-    close = may_be_within(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), edits)
+    close = may_be_within(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), grades)
     ahead = runs.join(leads, "key").where((F.col("id") != F.col("lead.id")) & close)
     tried = staged(ahead.select(*unordered("id", "lead.id")).distinct())
-    edges = staged(verified(tried, lines, edits))
+    edges = staged(verified(tried, lines, grades))
     roots = staged(components(edges))
     known = joined(untried(runs, leads, "key", "own"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = staged(known)
@@ -218,24 +257,24 @@ def similar_lines(lines: DataFrame, edits: int) -> DataFrame:
     open_ = staged(joined(known, staged(mixed_keys), "key", "left_semi"))
     x, y = open_.where("own").alias("x"), open_.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") >= F.col("x.n"))
-    close = may_be_within(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), edits)
+    close = may_be_within(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), grades)
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & close)
     met = met.select(*unordered("x.id", "y.id")).distinct().join(tried, ["a", "b"], "left_anti")
     met = staged(met)
     if not met.limit(1).count():
         return roots
-    more = staged(verified(met, lines, edits))
+    more = staged(verified(met, lines, grades))
     return staged(components(edges.union(more))) if more.limit(1).count() else roots
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, grades: Grades) -> DataFrame:
     """(doc, gone): per document, as hash of id and text, the numbers of its lines that stand earlier.
 
-    Lines are alike when they are equal or joined by a chain of lines within ``edits`` of each
-    other; of each class the first by document id, then line, stays.
+    Lines are alike when they are equal or joined by a chain of lines within the allowed edits
+    of each other; of each class the first by document id, then line, stays.
     """
-    lines = line_rows(docs.where("text IS NOT NULL").select("doc_id", "text"), least)
-    roots = similar_lines(lines, edits)
+    lines = line_rows(docs.where("text IS NOT NULL").select("doc_id", "text"), grades)
+    roots = similar_lines(lines, grades)
     place = lines.select("id", "doc", "doc_id", "line")
     classed = joined(place, roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     own = F.struct("doc_id", "doc", "line")
@@ -245,23 +284,24 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS
     return later.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def _without(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    gone = staged(repeated_lines(docs, edits, least))
+def _without(docs: DataFrame, grades: Grades) -> DataFrame:
+    gone = staged(repeated_lines(docs, grades))
     marked = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
     marked = joined(marked, gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "_doc", "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
     return marked.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``n_lines``, ``n_dropped``, ``text`` without repeated lines.
 
     Lines are what stands between line feeds. Those of fewer than ``least`` characters stay as
-    they are. A null text stays null, with no lines; a text of which nothing is left becomes
+    they are, unless ``short`` is given: then one edit is allowed from so many characters on, and
+    lines that are shorter still go where they are equal; blank lines stay. A null text stays null, with no lines; a text of which nothing is left becomes
     empty. Rows with the same id and text are treated alike. Null ids come first in the order.
     Lines are told apart by 64-bit hashes. Other columns are ignored; no documents, no rows.
     """
-    done = _without(docs.select("doc_id", "text"), edits, least)
+    done = _without(docs.select("doc_id", "text"), Grades(edits, least, short))
     return done.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
@@ -270,11 +310,11 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) ->
     )
 
 
-def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def deduped(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int | None = None) -> DataFrame:
     """The documents with repeated lines taken out of ``text`` and ``n_chars`` set to what is left.
 
     All rows and columns stay, also documents of which nothing is left.
     """
-    done = _without(docs, edits, least)
+    done = _without(docs, Grades(edits, least, short))
     new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import Vocabulary, decode, encode
-from tablewright.llm.line_dedup import line_dedup
+from tablewright.llm.line_dedup import SHORT_CHARS, line_dedup
 from tablewright.llm.lm_scoring import lm_scores
 from tablewright.llm.ngram_join import similarity_classes
 from tablewright.llm.packing import pack
@@ -79,7 +79,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_line_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup(table(spark, folder, "documents"))
+    return line_dedup(table(spark, folder, "documents"), short=SHORT_CHARS)
 
 
 @query("op3_lm_scoring")

@@ -189,6 +189,47 @@ def test_lines_by_hand(frame):
     assert all(r.n_lines == texts[r.doc_id].count("\n") + 1 for r in got)
 
 
+def short_deduped_by_hand(rows, least=30, short=12):
+    places = defaultdict(list)
+    for i, text in sorted(rows):
+        for k, line in enumerate(text.split("\n")):
+            if line.strip():
+                places[line].append((i, k))
+    own, lines = Classes(), list(places)
+    for k, a in enumerate(lines):
+        own.find(a)
+        for b in lines[k + 1 :]:
+            n = min(len(a), len(b))
+            if within(a, b, 2 if n >= least else 1 if n >= short else 0):
+                own.link(a, b)
+    members = defaultdict(list)
+    for line in lines:
+        members[own.find(line)] += places[line]
+    gone = {p for found in members.values() for p in sorted(found)[1:]}
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def test_short_lines_by_hand(frame):
+    rng = random.Random(13)
+    bases = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in range(1, 34) for _ in range(2)]
+    texts = []
+    for _ in range(120):
+        lines = [changed(rng, rng.choice(bases), rng.randrange(0, 3)) for _ in range(rng.randrange(0, 5))]
+        lines += ["All rights reserved."] * (rng.random() < 0.5) + ["", " \t"]
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text for r in line_dedup(frame(rows), short=12).collect()}
+    assert got == short_deduped_by_hand(rows)
+    assert sum("All rights reserved." in t for t in got.values()) == 1
+
+
+def test_query_leaves_no_line_twice(spark, data):
+    rows = entry.queries()["op7_line_dedup"](spark, data).collect()
+    left = Counter(line for r in rows for line in (r.text or "").split("\n") if line.strip())
+    assert max(left.values()) == 1
+
+
 def test_lines_of_odd_rows(odd, clashing, frame):
     done = deduped(clashing)
     rows = done.collect()
