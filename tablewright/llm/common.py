@@ -65,6 +65,27 @@ def matching(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame
     return df.join(F.broadcast(keys) if small else keys, df[column].eqNullSafe(F.col("_matched")), how)
 
 
+def numbered(rows: DataFrame, *order: Column) -> tuple[DataFrame, int]:
+    """``rows`` with ``number``, 1, 2, 3... in the given order, and how many there are.
+
+    No task sees all rows: they are dealt by ranges of the order, equal ones at random, and staged
+    with their place in their range; only the ranges' row counts come to the driver. ``rows``
+    should be staged, as dealing reads them twice.
+    """
+    dealt = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = dealt.repartitionByRange(*order, F.col("_salt")).sortWithinPartitions(*order, F.col("_salt"))
+    placed = staged(dealt.withColumn("_at", F.monotonically_increasing_id()).drop("_salt"))
+    # The number of the range stands above bit 33 of the row's id, the place in it below.
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    before, total = [], 0
+    for k in range(max(counts, default=-1) + 1):
+        before.append(str(total))
+        total += counts.get(k, 0)
+    starts = F.split(F.lit(",".join(before)), ",").cast("array<bigint>")
+    return placed.withColumn("number", F.get(starts, part.cast("int")) + place + 1).drop("_at"), total
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
