@@ -82,7 +82,7 @@ def numbered(rows: DataFrame, *order: Column) -> tuple[DataFrame, int]:
     for k in range(max(counts, default=-1) + 1):
         before.append(str(total))
         total += counts.get(k, 0)
-    starts = F.split(F.lit(",".join(before)), ",").cast("array<bigint>")
+    starts = F.split(F.lit(",".join(before) or "0"), ",").cast("array<bigint>")
     return placed.withColumn("number", F.get(starts, part.cast("int")) + place + 1).drop("_at"), total
 
 
