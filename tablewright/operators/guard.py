@@ -8,8 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablewright.session import SharedFolder, work_folder
 from tablewright.sources.query_log import append_query_log
 
 logger = logging.getLogger(__name__)
@@ -92,17 +95,54 @@ def safe_sql(spark: SparkSession, query: str, limit: int | None = DEFAULT_LIMIT)
     return df if limited or limit is None else df.limit(limit)
 
 
+def _storable(kind: T.DataType) -> T.DataType:
+    """The type under which values of ``kind`` are written: a type without values, and intervals, as text."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_storable(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_storable(kind.keyType), _storable(kind.valueType), kind.valueContainsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _storable(f.dataType), f.nullable) for f in kind.fields])
+    return T.StringType() if isinstance(kind, (T.NullType, T.CalendarIntervalType)) else kind
+
+
+def _is_sorted(df: DataFrame) -> bool:
+    """Whether the query's rows come in an order it asks for."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "GlobalLimit", "LocalLimit", "Offset") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "Sort"
+
+
+def _stored(df: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """The rows written to the shared folder, in their order where they have one, and their number.
+
+    The rows are counted as they are written; nothing is held on executors.
+    """
+    own, kinds = [f"c{i}" for i in range(len(df.columns))], [f.dataType for f in df.schema.fields]
+    ordered = _is_sorted(df)
+    held = df.toDF(*own).select(*[F.col(c) if _storable(k) == k else F.col(c).cast(_storable(k)).alias(c) for c, k in zip(own, kinds)])
+    if ordered:
+        held = held.withColumn("place", F.monotonically_increasing_id())
+    seen = Observation()
+    held.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+    back = df.sparkSession.read.schema(held.schema).parquet(folder)
+    back = back.orderBy("place").drop("place") if ordered else back
+    shown = [F.lit(None).alias(c) if isinstance(k, T.NullType) else F.col(c).cast(k).alias(c) if isinstance(k, T.CalendarIntervalType) else F.col(c) for c, k in zip(own, kinds)]
+    return back.select(*shown).toDF(*df.columns), seen.get["rows"]
+
+
 @dataclass(frozen=True)
 class QueryRun:
     frame: DataFrame
     rows: int
     truncated: bool
     elapsed_ms: float
-    kept: DataFrame
+    folder: str
 
     def release(self) -> None:
-        """Lets go of the rows that were kept for ``frame``."""
-        self.kept.unpersist()
+        """Removes the rows that were kept for ``frame``."""
+        SharedFolder(self.frame.sparkSession, self.folder).remove()
 
 
 def run_sql(
@@ -111,19 +151,19 @@ def run_sql(
     limit: int | None = DEFAULT_LIMIT,
     log_path: str | None = None,
 ) -> QueryRun:
-    """Runs a query once, keeps its rows, and logs rows and time.
+    """Runs a query once, keeps its rows in the shared folder, and logs rows and time.
 
     One row more than the cap is asked for, so ``truncated`` is exact. A log that cannot be
     written is reported and never fails the query.
     """
     start = time.monotonic()
     df, limited = _read(spark, query)
+    folder = work_folder(spark)
     if limited or limit is None:
-        kept = frame = df.persist()
-        rows, truncated = kept.count(), False
+        frame, rows = _stored(df, folder)
+        truncated = False
     else:
-        kept = df.limit(limit + 1).persist()
-        found = kept.count()
+        kept, found = _stored(df.limit(limit + 1), folder)
         frame, rows, truncated = kept.limit(limit), min(found, limit), found > limit
     elapsed_ms = (time.monotonic() - start) * 1000
     if log_path:
@@ -131,4 +171,4 @@ def run_sql(
             append_query_log(spark, log_path, [(query, rows, elapsed_ms)])
         except Exception as error:  # noqa: BLE001 - the log must never fail the query
             logger.warning("query log not written: %s", error)
-    return QueryRun(frame, rows, truncated, elapsed_ms, kept)
+    return QueryRun(frame, rows, truncated, elapsed_ms, folder)

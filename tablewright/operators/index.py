@@ -90,6 +90,11 @@ def edit(index: DataFrame, rows: DataFrame, now: datetime | Column, order_by: st
     return _replace(index, batch, now, ["created_at", "embedding"])
 
 
+def edit_changes(index: DataFrame, rows: DataFrame, now: datetime | Column, order_by: str | None = None) -> DataFrame:
+    """Only the rows an ``edit`` would write, complete, one per id."""
+    return _changed(index, _batch(rows, order_by, keep_vector=True), now, ["created_at", "embedding"])
+
+
 def delete(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("id"), "id", "left_anti")
 

@@ -1,37 +1,37 @@
 """Which patterns occur inside which texts, without pairing every pattern with every text.
 
-Both forms are exact. A dictionary of checked size becomes one automaton that reads each text
-once, whatever the number of patterns. Otherwise a pattern is found by equality: its first
-characters, up to a ladder length, must be among the text's substrings of that length; pairs
-that meet there are then checked in full.
+A pattern can only occur where all of its short substrings (grams) do, so it is looked up by the
+one that stands in the fewest places. The grams of all patterns are counted over the texts once;
+the patterns with their rarest grams are the index, written once. Texts meet it under their own
+grams, as 64-bit numbers, and pairs that meet are checked in full. Patterns that share a long beginning are told
+apart by what follows, and a pattern with a gram that no text holds is not looked up at all.
+
+What a join sends to the tasks is measured first. Where the index is too large for that, the
+texts' grams pass a bitmap of its hashes, so that only those that may be in it are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-try:
-    import ahocorasick
-except ImportError:  # the join form needs no extra module
-    ahocorasick = None
+from tablewright.session import spread, work_folder
 
-AUTOMATON_BYTES = 8 << 20
 BROADCAST_BYTES = 64 << 20
 # What a row costs beside its text, roughly, in a table sent to the tasks.
 ROW_BYTES = 64
-OUTPUT_ROWS = 20_000
-LADDER = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+# A pattern's grams are of the largest of these lengths that it has.
+LADDER = (0, 1, 2, 3, 5)
+# Characters of the pieces that grams are taken from.
+PIECE = 32
+# The bitmap that stands for a large index: 8 million bits in words of 64, so 131,072 rows at most.
+BITMAP_BITS = 1 << 23
 
 
-def dictionary_bytes(patterns: DataFrame, columns: list[str]) -> int:
-    """Size of the dictionary's text in bytes."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(16))
-    return patterns.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+def _staged(df: DataFrame) -> DataFrame:
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _head_length(length: Column) -> Column:
@@ -39,75 +39,142 @@ def _head_length(length: Column) -> Column:
     return F.array_max(F.filter(steps, lambda n: n <= length))
 
 
-def _keyed(patterns: DataFrame) -> DataFrame:
-    """Distinct patterns with the leading characters they are looked up by."""
-    return (
-        patterns.select("pattern").distinct()
-        .withColumn("length", F.char_length("pattern"))
-        .withColumn("head", _head_length(F.col("length")))
-        .withColumn("gram", F.substring(F.col("pattern"), F.lit(1), F.col("head")))
-    )
+def _pattern_grams(patterns: DataFrame) -> DataFrame:
+    """Distinct patterns with their length, their grams' length ``head``, and the distinct grams."""
+    found = patterns.select("pattern").where("pattern IS NOT NULL").distinct()
+    found = found.withColumn("length", F.char_length("pattern")).withColumn("head", _head_length(F.col("length")))
+
+    def gram(start: Column) -> Column:
+        return F.substring(F.col("pattern"), start, F.col("head"))
+
+    starts = F.sequence(F.lit(1), F.col("length") - F.col("head") + 1)
+    every = F.when(F.col("head") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(starts, gram)))
+    return found.withColumn("grams", every)
+
+
+def _key(gram: Column) -> Column:
+    """A gram as a number; what meets under it is compared in full afterwards."""
+    return F.xxhash64(gram)
 
 
 def _with_grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """One row per text and distinct substring of the given lengths, in ``gram``.
+    """A row per place and gram of the given lengths in a text's parts, with the gram's number in ``key``.
 
-    The look-ahead takes the longest from every character on, the others are its beginnings. Near
-    the end these are shorter, which is no harm: they are substrings all the same.
+    A part is cut into pieces of ``PIECE`` characters that overlap by the longest gram, so that a
+    gram is taken from a short string, wherever in the text it stands.
     """
-    longest = max(lengths, default=0)
-    every = F.lit(f"(?s)(?=(.{{1,{max(1, longest)}}})).")
-    windows = F.flatten(F.transform("parts", lambda t: F.regexp_extract_all(t, every, F.lit(1))))
-
-    def beginnings(n: int) -> Column:
-        return F.transform("windows", lambda w: F.substring(w, 1, n)) if n else F.array(F.lit(""))
+    grams = [n for n in lengths if n]
+    longest = max(grams, default=1)
+    pieces = F.lit(f"(?s)(?=(.{{1,{PIECE + longest - 1}}})).{{1,{PIECE}}}")
+    found = texts.withColumn("piece", F.explode(F.flatten(F.transform("parts", lambda t: F.regexp_extract_all(t, pieces, F.lit(1))))))
+    size = F.char_length("piece")
+    found = found.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(size, F.lit(PIECE)))))
+    own = [F.when(F.col("at") + n - 1 <= size, _key(F.substring(F.col("piece"), F.col("at"), F.lit(n)))) for n in grams]
+    found = found.withColumn("key", F.explode(F.array(*own))) if own else found.limit(0).withColumn("key", F.lit(0).cast("bigint"))
+    found = found.where(F.col("key").isNotNull()).drop("piece", "at")
+    return found.unionByName(texts.withColumn("key", _key(F.lit("")))) if 0 in lengths else found
+
+
+def _possible(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``grams`` whose key may be among the wanted ones: a semi join with a bitmap of bounded size."""
+    bit = F.pmod("key", F.lit(BITMAP_BITS))
+    words = wanted.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_bits")
+    )
+    marked = grams.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    set_ = F.expr("getbit(_bits, CAST(_bit & 63 AS INT)) = 1")
+    return marked.join(F.broadcast(words), "_word").where(set_).drop("_bit", "_word", "_bits")
 
-    grams = [F.col("windows") if n == longest and n else beginnings(n) for n in lengths]
-    grams = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-    return texts.withColumn("windows", windows).withColumn("gram", F.explode(grams)).drop("windows")
 
+def rare_gram_index(
+    patterns: DataFrame, texts: DataFrame, gram_bytes: int = BROADCAST_BYTES, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``pattern, length, head, gram, key``: each pattern with the gram that stands in the fewest places, staged.
 
-def _in_parts() -> Column:
-    """Whether the pattern is in a part; known already where it was looked up as a whole."""
-    whole = F.col("length") == F.col("head")
-    return whole | F.exists("parts", lambda t: F.contains(t, F.col("pattern")))
+    Patterns with a gram that stands nowhere are left out. Patterns no longer than their grams need
+    no count. The distinct grams go to the tasks up to ``gram_bytes``, their counts up to
+    ``broadcast_bytes``; beyond that both sides are shuffled, the texts' grams behind a bitmap.
+    """
+    found = _staged(_pattern_grams(patterns))
+    whole = F.size("grams") == 1
+    named = ["pattern", "length", "head", "gram", "key"]
+    single = found.where(whole).withColumn("gram", F.col("grams")[0]).withColumn("key", _key(F.col("gram"))).select(*named)
+    several = found.where(~whole).withColumn("gram", F.explode("grams")).withColumn("key", _key(F.col("gram"))).select(*named)
+    wanted = several.groupBy("key").agg(F.first("head").alias("head"))
+    use = wanted.agg(F.collect_set("head").alias("lengths"), F.count("*").alias("n")).first()
+    if not use["n"]:
+        return _staged(single)
+    held = _with_grams(spread(texts), sorted(use["lengths"])).select("key")
+    wanted = wanted.select("key")
+    if use["n"] * ROW_BYTES <= gram_bytes:
+        held = held.join(F.broadcast(wanted), "key", "left_semi")
+    else:
+        held = _possible(held, wanted).join(wanted, "key", "left_semi")
+    counts = _staged(held.groupBy("key").agg(F.count("*").alias("places")))
+    small = counts.count() * ROW_BYTES <= broadcast_bytes
+    counted = several.join(F.broadcast(counts) if small else counts, "key", "left")
+    rarest = counted.groupBy("pattern").agg(
+        F.first("length").alias("length"),
+        F.first("head").alias("head"),
+        F.min(F.struct("places", "gram", "key")).alias("rarest"),
+        F.count_if(F.col("places").isNull()).alias("nowhere"),
+    )
+    rarest = rarest.where("nowhere = 0").select("pattern", "length", "head", "rarest.gram", "rarest.key")
+    return _staged(single.unionByName(rarest))
 
 
-def substring_pairs(
-    patterns: DataFrame, texts: DataFrame, small: str, broadcast_bytes: int = BROADCAST_BYTES
+def candidate_pairs(
+    index: DataFrame, texts: DataFrame, small: str = "patterns", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Pairs ``(pattern, text_id)`` where the pattern occurs in one of the text's parts.
+    """``pattern, text_id`` of each place where a text holds the pattern's gram.
 
-    ``patterns(pattern)`` and ``texts(text_id, parts array<string>)`` are compared as they are.
-    ``small`` says which side, "patterns" or "texts", is the dictionary. That side is measured and
-    sent to the tasks when it fits, so the other one is not shuffled; otherwise both are joined on
-    their keys. Only the ladder lengths in use and that size are brought to the driver.
+    ``small`` says which side is the dictionary. It is sent to the tasks when it fits, and then the
+    other one is not shuffled; the texts' ``parts`` come along where they are at hand.
     """
-    keyed = _keyed(patterns)
-    size = F.sum(F.octet_length("pattern") + F.octet_length("gram") + ROW_BYTES)
-    use = keyed.agg(F.collect_set("head").alias("lengths"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    cost = F.octet_length("pattern") + ROW_BYTES
+    use = index.agg(F.collect_set("head").alias("lengths"), F.coalesce(F.sum(cost), F.lit(0)).alias("size")).first()
     lengths = sorted(use["lengths"])
+    grams = _with_grams(spread(texts), lengths)
+    index = index.select("pattern", "key")
     if small == "patterns" and use["size"] <= broadcast_bytes:
-        found = _with_grams(texts, lengths)
-        return found.join(F.broadcast(keyed), "gram").where(_in_parts()).select("pattern", "text_id")
-    grams = _with_grams(texts, lengths).drop("parts")
+        return grams.join(F.broadcast(index), "key").drop("key")
+    grams = grams.drop("parts")
     if small == "texts":
         chars = F.aggregate("parts", F.lit(0), lambda n, t: n + F.char_length(t))
         total = texts.agg(F.coalesce(F.sum(chars), F.lit(0)).alias("n")).first()["n"]
-        if total * max(1, len(lengths)) * (ROW_BYTES + max(lengths, default=0)) <= broadcast_bytes:
-            met = keyed.join(F.broadcast(grams), "gram")
-            return met.join(F.broadcast(texts), "text_id").where(_in_parts()).select("pattern", "text_id")
-    met = keyed.join(grams, "gram").select("pattern", "length", "head", "text_id")
-    whole = met.where(F.col("length") == F.col("head"))
-    longer = met.where(F.col("length") > F.col("head")).join(texts, "text_id").where(_in_parts())
-    return whole.select("pattern", "text_id").unionByName(longer.select("pattern", "text_id"))
+        if total * max(1, len(lengths)) * ROW_BYTES <= broadcast_bytes:
+            return index.join(F.broadcast(grams.distinct()), "key").drop("key").distinct().join(F.broadcast(texts), "text_id")
+    return _possible(grams, index).join(index, "key").drop("key")
+
+
+def _in_parts() -> Column:
+    return F.exists("parts", lambda t: F.contains(t, F.col("pattern")))
+
+
+def substring_pairs(
+    patterns: DataFrame,
+    texts: DataFrame,
+    small: str,
+    gram_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Pairs ``(pattern, text_id)`` where the pattern occurs in one of the text's parts.
+
+    ``patterns(pattern)`` and ``texts(text_id, parts array<string>)`` are compared as they are.
+    Only the gram lengths in use and the sizes of what is sent come to the driver.
+    """
+    index = rare_gram_index(patterns, texts, gram_bytes, broadcast_bytes)
+    met = candidate_pairs(index, texts, small, broadcast_bytes)
+    if "parts" in met.columns:
+        return met.where(_in_parts()).select("pattern", "text_id").distinct()
+    return met.distinct().join(texts, "text_id").where(_in_parts()).select("pattern", "text_id")
 
 
 def keyword_hits(
     queries: DataFrame,
     dictionary: DataFrame,
     first: int | None = None,
-    automaton_bytes: int = AUTOMATON_BYTES,
+    gram_bytes: int = BROADCAST_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Keywords that occur in each query, in any case: ``query_id, keyword, content, position``.
@@ -116,88 +183,16 @@ def keyword_hits(
     ``position`` numbers a query's hits in keyword order. With ``first`` only the leading hits of
     each query are wanted, as by a search that shows k results.
     """
-    named = dictionary.where(F.col("keyword").isNotNull())
-    entries = named.select("keyword", "content", F.lower("keyword").alias("pattern"))
-    asked = queries.select("query_id", F.lower("text").alias("text"))
-    if ahocorasick is not None and dictionary_bytes(entries, ["keyword", "content"]) <= automaton_bytes:
-        return _automaton_hits(asked, entries, first)
-    return _join_hits(asked, entries, first, broadcast_bytes)
-
-
-def _automaton(patterns: list[str]) -> ahocorasick.Automaton:
-    """Finds, for each pattern in a text, the places it has in the list."""
-    places: dict[str, list[int]] = {}
-    for place, pattern in enumerate(patterns):
-        places.setdefault(pattern, []).append(place)
-    automaton = ahocorasick.Automaton()
-    for pattern, at in places.items():
-        if pattern:
-            automaton.add_word(pattern, at)
-    automaton.make_automaton()
-    return automaton
-
-
-def _automaton_hits(asked: DataFrame, entries: DataFrame, first: int | None) -> DataFrame:
-    rows = sorted(entries.collect(), key=lambda r: r["keyword"])
-    columns = {name: [r[name] for r in rows] for name in ("keyword", "content", "pattern")}
-    shared = asked.sparkSession.sparkContext.broadcast(columns)
-    schema = T.StructType(
-        [
-            T.StructField("query_id", asked.schema["query_id"].dataType),
-            T.StructField("keyword", T.StringType()),
-            T.StructField("content", T.StringType()),
-            T.StructField("position", T.IntegerType()),
-        ]
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dictionary = shared.value
-        keywords = pa.array(dictionary["keyword"], pa.string())
-        contents = pa.array(dictionary["content"], pa.string())
-        always = [place for place, pattern in enumerate(dictionary["pattern"]) if not pattern]
-        # A Python worker keeps its broadcast values, and with them the automaton, over many tasks.
-        if "automaton" not in dictionary:
-            dictionary["automaton"] = _automaton(dictionary["pattern"])
-        automaton = dictionary["automaton"]
-
-        def find(text: str) -> list[int]:
-            found = set(always)
-            if len(automaton):
-                for _, places in automaton.iter(text):
-                    found.update(places)
-            return sorted(found)[:first]
-
-        def output(ids: pa.Array, rows: list[int], hits: list[int], positions: list[int]) -> pa.RecordBatch:
-            at = pa.array(hits, pa.int64())
-            columns = [
-                ids.take(pa.array(rows, pa.int64())), keywords.take(at), contents.take(at),
-                pa.array(positions, pa.int32()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-        for batch in batches:
-            rows, hits, positions = [], [], []
-            for row, text in enumerate(batch.column(1)):
-                best = find(text.as_py()) if text.is_valid else []
-                rows.extend([row] * len(best))
-                hits.extend(best)
-                positions.extend(range(1, len(best) + 1))
-                if len(hits) > OUTPUT_ROWS:
-                    yield output(batch.column(0), rows, hits, positions)
-                    rows, hits, positions = [], [], []
-            yield output(batch.column(0), rows, hits, positions)
-
-    return asked.mapInArrow(scan, schema)
-
-
-def _join_hits(asked: DataFrame, entries: DataFrame, first: int | None, broadcast_bytes: int) -> DataFrame:
-    texts = asked.where(F.col("text").isNotNull()).select(
-        F.col("query_id").alias("text_id"), F.array("text").alias("parts")
+    entries = dictionary.where(F.col("keyword").isNotNull()).select("keyword", "content", F.lower("keyword").alias("pattern"))
+    texts = queries.where(F.col("text").isNotNull()).select(
+        F.col("query_id").alias("text_id"), F.array(F.lower("text")).alias("parts")
     )
-    pairs = substring_pairs(entries, texts, "patterns", broadcast_bytes).withColumnRenamed("text_id", "query_id")
-    hits = pairs.join(entries, "pattern").select("query_id", "keyword", "content")
+    pairs = substring_pairs(entries, texts, "patterns", gram_bytes, broadcast_bytes).withColumnRenamed("text_id", "query_id")
+    cost = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keyword", "content", "pattern")]
+    size = entries.agg(F.coalesce(F.sum(sum(cost, F.lit(ROW_BYTES))), F.lit(0))).first()[0]
+    hits = pairs.join(F.broadcast(entries) if size <= broadcast_bytes else entries, "pattern")
     order = Window.partitionBy("query_id").orderBy("keyword")
-    ranked = hits.withColumn("position", F.row_number().over(order))
+    ranked = hits.select("query_id", "keyword", "content").withColumn("position", F.row_number().over(order))
     return ranked if first is None else ranked.where(F.col("position") <= first)
 
 
@@ -212,5 +207,5 @@ def glossary_hits(
     asked = queries.select("query_id", F.lower("text").alias("pattern")).where("pattern IS NOT NULL")
     parts = F.array(F.lower("term"), F.lower(F.coalesce("definition", F.lit(""))))
     texts = terms.select(F.col("term").alias("text_id"), parts.alias("parts"))
-    pairs = substring_pairs(asked, texts, "texts", broadcast_bytes).withColumnRenamed("text_id", "term")
+    pairs = substring_pairs(asked, texts, "texts", broadcast_bytes, broadcast_bytes).withColumnRenamed("text_id", "term")
     return asked.join(pairs, "pattern").join(terms, "term").select("query_id", "term", "definition")

@@ -137,7 +137,7 @@ def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity", "rank"])
 
 
-def _scan(queries: Vectors, stream: Iterator[Vectors], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def scan_best(queries: Vectors, stream: Iterator[Vectors], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The best k per query over a stream of index batches, holding about k rows per query."""
     best, waiting, rows = None, [], 0
     for batch in stream:
@@ -173,18 +173,19 @@ def _bytes(side: DataFrame, bound: int) -> int:
     return side.agg(F.sum(vector + key + ROW_BYTES).alias("n")).first()["n"] or 0
 
 
-def _schema(query_type: T.DataType, index: DataFrame) -> T.StructType:
+def topk_schema(query_type: T.DataType, index_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
             T.StructField("query_id", query_type),
-            T.StructField("id", index.schema["key"].dataType),
+            T.StructField("id", index_type),
             T.StructField("similarity", T.DoubleType()),
             T.StructField("rank", T.IntegerType()),
         ]
     )
 
 
-def _merge_tasks(partial: DataFrame, k: int) -> DataFrame:
+def topk_rows(partial: DataFrame, k: int) -> DataFrame:
+    """The first k of each query's rows, ranked; the tasks' surplus is cut before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -193,9 +194,9 @@ def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, thres
     shared = index.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(_asked(shared.value), map(_held, _tables(batches)), k, threshold)
+        yield from scan_best(_asked(shared.value), map(_held, _tables(batches)), k, threshold)
 
-    return _merge_tasks(index.mapInArrow(scan, _schema(queries.schema["key"].dataType, index)), k)
+    return topk_rows(index.mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)), k)
 
 
 def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -204,9 +205,9 @@ def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, thresho
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(shared.value)
         for table in _tables(batches):
-            yield from _scan(_asked(table), iter([held]), k, threshold)
+            yield from scan_best(_asked(table), iter([held]), k, threshold)
 
-    return queries.mapInArrow(scan, _schema(queries.schema["key"].dataType, index))
+    return queries.mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType))
 
 
 def _with_blocks(
@@ -221,18 +222,18 @@ def _with_blocks(
 
     left = block(queries, "qb", query_blocks, "ib", index_blocks)
     right = block(index, "ib", index_blocks, "qb", query_blocks)
-    schema = _schema(queries.schema["key"].dataType, index)
+    schema = topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            found = list(_scan(_asked(left), iter([_held(right)]), k, threshold))
+            found = list(scan_best(_asked(left), iter([_held(right)]), k, threshold))
         empty = {"query_id": left.schema.field("key").type, "id": right.schema.field("key").type,
                  "similarity": pa.float64(), "rank": pa.int32()}
         return pa.Table.from_batches(found, schema=pa.schema(empty))
 
     partial = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(pair, schema)
-    return _merge_tasks(partial, k)
+    return topk_rows(partial, k)
 
 
 def topk_join(
@@ -277,9 +278,9 @@ def topk(
     narrow = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan(query, map(_held, _tables(batches)), k, threshold)
+        yield from scan_best(query, map(_held, _tables(batches)), k, threshold)
 
-    best = narrow.mapInArrow(scan, _schema(T.LongType(), narrow)).orderBy(F.desc("similarity"), "id").limit(k)
+    best = narrow.mapInArrow(scan, topk_schema(T.LongType(), narrow.schema["key"].dataType)).orderBy(F.desc("similarity"), "id").limit(k)
     hits = best.select(F.col("id").alias(index_id), "similarity")
     # k rows at most: if that is few, the index is only probed for them and not shuffled.
     hits = F.broadcast(hits) if k <= BROADCAST_HITS else hits

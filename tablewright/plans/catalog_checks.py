@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.ingest.load import schema_rows
-from tablewright.operators.catalog import describe, list_tables, profile, profile_all, profile_approx, table_docs
+from tablewright.operators.catalog import (
+    column_sketches, describe, list_tables, merged_profile, profile, profile_all, profile_approx, profile_isolated,
+    table_docs,
+)
 from tablewright.plans.registry import TABLES, Tables, register
+from tablewright.session import work_folder
 from tablewright.sources.connections import register_tables
 
 # The given tables' columns: name, type, whether min and max are reported.
@@ -87,6 +91,46 @@ def profile_all_tables(tables: Tables) -> DataFrame:
     return profile_all(tables.all())
 
 
+@register(
+    "profile_with_failing_columns",
+    "SELECT *, CAST(NULL AS VARCHAR) AS error FROM ("
+    + profile_sql("documents", columns_of("documents"))
+    + ") t UNION ALL SELECT 'as_number', 'INT', NULL, NULL, NULL, NULL, NULL, NULL, 'CAST_INVALID_INPUT'"
+    + "\nUNION ALL SELECT 'as_day', 'DATE', NULL, NULL, NULL, NULL, NULL, NULL, 'CAST_INVALID_INPUT'",
+)
+def profile_with_failing_columns(tables: Tables) -> DataFrame:
+    """Two derived columns that cannot be computed beside those that can; whole texts are cast."""
+    strict = {c: F.col("text").cast(kind) for c, kind in (("as_number", "int"), ("as_day", "date"))}
+    return profile_isolated(tables.documents.withColumns(strict))
+
+
+def sketch_bound_sql() -> str:
+    exact = profile_sql("lineitem", columns_of("lineitem"))
+    return (
+        'SELECT "column", "type", total_rows, nulls, null_pct, "min", "max", true AS within_bound, true AS merged_alike '
+        f"FROM ({exact}) t"
+    )
+
+
+@register("profile_from_sketches", sketch_bound_sql())
+def profile_from_sketches(tables: Tables) -> DataFrame:
+    """Sketches of parts, stored and merged: within 4 percent of the distinct values, five standard
+    errors, and as near to each other whichever parts the table is cut into."""
+    lines, folder = tables.lineitem, work_folder(tables.spark)
+    merged = []
+    for name, part in (("flag", F.col("l_returnflag")), ("month", F.date_format("l_shipdate", "yyyy-MM"))):
+        column_sketches(lines, part).write.parquet(f"{folder}/{name}")
+        merged.append(merged_profile(tables.spark.read.parquet(f"{folder}/{name}"), lines.schema))
+    exact = profile(lines).select(F.col("column").alias("_column"), F.col("distinct").alias("_exact"))
+    other = merged[1].select(F.col("column").alias("_other"), F.col("distinct").alias("_again"))
+    both = merged[0].join(exact, F.col("column") == F.col("_column")).join(other, F.col("column") == F.col("_other"))
+    within = F.abs(F.col("distinct") - F.col("_exact")) <= 0.04 * F.col("_exact")
+    return both.select(
+        "column", "type", "total_rows", "nulls", "null_pct", "min", "max", within.alias("within_bound"),
+        (F.abs(F.col("distinct") - F.col("_again")) <= 0.04 * F.col("_exact")).alias("merged_alike"),
+    )
+
+
 @register("profile_lineitem_approx")
 def profile_lineitem_approx(tables: Tables) -> DataFrame:
     """Sketched distinct counts have no equal in SQL; the tests bound their error."""

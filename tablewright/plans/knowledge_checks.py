@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.vectors import cosine
 from tablewright.operators import index as ix
+from tablewright.operators.approx import build_tables, topk_approx
 from tablewright.operators.embed import embed
 from tablewright.operators.search import search
 from tablewright.operators.substring import glossary_hits, keyword_hits
 from tablewright.operators.topk import topk, topk_join
 from tablewright.plans.registry import Tables, register
 from tablewright.session import work_folder
-from tablewright.sources.store import delete_from_index, import_vectors, read_index, write_index
+from tablewright.sources.store import (
+    compact_index, delete_from_index, import_vectors, read_index, search_index, upsert_index, vacuum, write_index,
+    write_search_tables,
+)
 from tablewright.streaming.feeds import search_stream
 
 THEN, NOW = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
@@ -174,6 +178,31 @@ def index_versions(tables: Tables) -> DataFrame:
     return shown(read_index(tables.spark, root))
 
 
+@register(
+    "index_log",
+    f"""
+WITH stored AS ({STORED_SQL}),
+changed AS (
+  SELECT {SHOWN_SQL}, label FROM stored WHERE label >= 5
+  UNION ALL
+  SELECT CASE WHEN label < 5 THEN id ELSE replace(id, 'v', 'n') END, replace(question, 'Question ', 'Asked 2 '),
+         '', 'loaded', '', '', size, 0.0 - head, created_at, '2024-02-01 00:00:00', label
+  FROM stored)
+SELECT {SHOWN_SQL} FROM changed WHERE label <> 7""",
+)
+def index_log(tables: Tables) -> DataFrame:
+    """Batches logged beside the base, folded into it, logged again, and the unused folders removed."""
+    root = work_folder(tables.spark)
+    write_index(label_index(tables), root, parts=8)
+    batch, gone = label_batch(tables), tables.embeddings.where("label = 7")
+    upsert_index(batch.where("seq = 1"), root, at(THEN))
+    upsert_index(batch, root, at(NOW), "seq")
+    compact_index(tables.spark, root, part_bytes=64 << 10)
+    delete_from_index(gone.select(F.explode(F.array(F.concat(F.lit("v"), "vec_id"), F.concat(F.lit("n"), "vec_id"))).alias("id")), root)
+    vacuum(tables.spark, root, keep=1, grace=-1.0)
+    return shown(read_index(tables.spark, root))
+
+
 @register(
     "knowledge_stats",
     """
@@ -229,6 +258,57 @@ def every_vector(tables: Tables) -> DataFrame:
     return topk_join(queries, label_index(tables))
 
 
+@register(
+    "topk_approx_all_buckets",
+    """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, concat('v', i.vec_id) AS id,
+         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS sim
+  FROM embeddings q CROSS JOIN embeddings i),
+ranked AS (
+  SELECT query_id, id, round(sim, 4) AS similarity,
+         CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 4) DESC, id) AS INTEGER) AS rank
+  FROM pairs WHERE sim >= 0.3)
+SELECT * FROM ranked WHERE rank <= 5""",
+)
+def every_vector_in_buckets(tables: Tables) -> DataFrame:
+    """The search tables hold every row: looking into all buckets gives the exact hits."""
+    path = f"{work_folder(tables.spark)}/tables"
+    build_tables(label_index(tables), path, bucket_rows=64)
+    queries = tables.embeddings.withColumnRenamed("vec_id", "query_id")
+    return topk_approx(queries, path, probes=1 << 30)
+
+
+@register(
+    "topk_approx_recall",
+    """
+WITH held AS (
+  SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings WHERE label >= 5
+  UNION ALL SELECT list_transform(embedding, lambda x: -CAST(x AS DOUBLE)) FROM embeddings),
+hits AS (
+  SELECT q.vec_id, least(count(*), 5) AS n FROM embeddings q
+  JOIN held ON list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), w) >= 0.3 GROUP BY q.vec_id)
+SELECT CAST(sum(n) AS BIGINT) AS true_hits, true AS recall_reached, CAST(0 AS BIGINT) AS wrong FROM hits""",
+)
+def approximate_recall(tables: Tables) -> DataFrame:
+    """Every vector searched in a stored index that changed after its search tables were built.
+
+    At least nine tenths of the exact hits are found, and each has its exact similarity.
+    """
+    root = f"{work_folder(tables.spark)}/index"
+    write_index(label_index(tables), root)
+    write_search_tables(tables.spark, root, bucket_rows=64)
+    upsert_index(label_batch(tables), root, at(NOW), "seq")
+    queries = tables.embeddings.withColumnRenamed("vec_id", "query_id")
+    true, found = (search_index(queries, root, exact=e).drop("rank") for e in (True, False))
+    near = found.select("query_id", "id", F.col("similarity").alias("found"))
+    both = true.join(near, ["query_id", "id"], "left")
+    wrong = F.count_if(F.abs(F.col("found") - F.col("similarity")) > 1e-9)
+    return both.agg(
+        F.count("*").alias("true_hits"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"), wrong.alias("wrong")
+    )
+
+
 @register(
     "topk_single",
     """
@@ -244,10 +324,6 @@ def one_vector(tables: Tables) -> DataFrame:
     return found.select("id", "question", "source", "similarity")
 
 
-def first_word(text: Column) -> Column:
-    return F.regexp_extract(text, "^[^ \\n]*", 0)
-
-
 @register(
     "cosine_to_vector",
     """
@@ -266,14 +342,19 @@ def cosines(tables: Tables) -> DataFrame:
     )
 
 
+def text_words() -> Column:
+    return F.explode(F.split("text", "[ \\n]"))
+
+
 def word_dictionary(tables: Tables) -> DataFrame:
-    """The first word of each document, with the sources it opens documents of."""
-    word = first_word(F.col("text"))
-    return tables.documents.groupBy(word.alias("keyword")).agg(F.max("source").alias("content"))
+    """Every word of the benchmark's texts, with the first text it stands in."""
+    words = tables.benchmark.select(text_words().alias("keyword"), "text").where("keyword <> ''")
+    return words.groupBy("keyword").agg(F.min("text").alias("content"))
 
 
-WORDS_SQL = """SELECT string_split_regex(text, '[ \\n]')[1] AS keyword, max(source) AS content
-  FROM documents GROUP BY 1"""
+WORDS_SQL = """SELECT keyword, min(text) AS content
+  FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS keyword, text FROM benchmark) t
+  WHERE keyword <> '' GROUP BY 1"""
 
 
 def turns(tables: Tables) -> DataFrame:
@@ -296,14 +377,14 @@ def keywords(tables: Tables) -> DataFrame:
 
 @register("keyword_match_by_join", KEYWORD_SQL)
 def keywords_by_join(tables: Tables) -> DataFrame:
-    """The form for a dictionary too large for one automaton."""
-    return keyword_hits(turns(tables), word_dictionary(tables), automaton_bytes=0)
+    """With the dictionary's grams too many to be sent to the tasks."""
+    return keyword_hits(turns(tables), word_dictionary(tables), gram_bytes=0)
 
 
 @register("keyword_match_by_shuffle", KEYWORD_SQL)
 def keywords_by_shuffle(tables: Tables) -> DataFrame:
-    """The form for a dictionary too large to be sent to the tasks at all."""
-    return keyword_hits(turns(tables), word_dictionary(tables), automaton_bytes=0, broadcast_bytes=0)
+    """With nothing of the dictionary sent to the tasks."""
+    return keyword_hits(turns(tables), word_dictionary(tables), gram_bytes=0, broadcast_bytes=0)
 
 
 @register(
@@ -327,7 +408,8 @@ def keyword_use(tables: Tables) -> DataFrame:
 @register(
     "glossary_match",
     """
-WITH asked AS (SELECT doc_id AS query_id, lower(string_split_regex(text, '[ \\n]')[1]) AS q FROM documents),
+WITH asked AS (SELECT DISTINCT word AS query_id, lower(word) AS q
+  FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS word FROM conversations) t WHERE word <> ''),
 terms AS (
   SELECT item_id, concat('Item ', item_id) AS term, text AS definition FROM benchmark
   UNION ALL SELECT item_id, concat('Empty ', item_id), NULL FROM benchmark)
@@ -335,7 +417,9 @@ SELECT query_id, term, definition FROM asked
 JOIN terms ON contains(lower(term), q) OR contains(lower(coalesce(definition, '')), q)""",
 )
 def glossary(tables: Tables) -> DataFrame:
-    asked = tables.documents.select(F.col("doc_id").alias("query_id"), first_word(F.col("text")).alias("text"))
+    """Every word of the conversations, asked of the benchmark's names and texts."""
+    word = tables.conversations.select(text_words().alias("query_id")).where("query_id <> ''").distinct()
+    asked = word.withColumn("text", F.col("query_id"))
     items = tables.benchmark
     terms = items.select(F.concat(F.lit("Item "), "item_id").alias("term"), F.col("text").alias("definition"))
     empty = items.select(

@@ -1,8 +1,12 @@
 from datetime import date, datetime
 from decimal import Decimal
 
+import tablewright.operators.catalog as catalog
+from pyspark.sql import functions as F
+
 from tablewright.operators.catalog import (
-    describe, list_all_tables, list_tables, profile, profile_approx, table_docs,
+    column_sketches, describe, list_all_tables, list_tables, merged_profile, profile, profile_all, profile_approx,
+    profile_isolated, table_docs,
 )
 
 SCHEMA = (
@@ -78,3 +82,81 @@ def test_table_docs(spark):
     assert got["id"] == f"wh-{digest}"
     assert got["question"] == "What data is in the orders table?"
     assert got["description"] == "Table: orders\nColumns:\n  - b (int, not null)\n  - a (string, nullable)"
+
+
+EDGES = [
+    (0.0, float("nan"), datetime(1, 1, 1), date(9999, 12, 31), Decimal("-0.5"), -5, {"a": None, "b": datetime(2020, 1, 1, 0, 0, 0, 1)}, datetime(2024, 3, 31, 2, 30), 1.5),
+    (-0.0, 1.0, datetime(2024, 1, 1, 0, 0, 0, 7), date(1, 1, 1), Decimal("10.0"), 10, {"a": None, "b": datetime(2020, 1, 1, 0, 0, 0, 2)}, None, 0.1),
+    (None, None, None, None, None, 9, None, datetime(1900, 1, 1), None),
+]
+EDGE_SCHEMA = "z double, n double, t timestamp, d date, c decimal(20,1), i smallint, s struct<a:int,b:timestamp>, w timestamp_ntz, f float"
+
+
+def test_profile_of_odd_values(spark):
+    """Equal zeros, not-a-number, microseconds, negative numbers as numbers, nested values, small floats."""
+    df = spark.createDataFrame(EDGES, EDGE_SCHEMA)
+    rows = {r.column: (r.nulls, r.distinct, r.min, r.max) for r in profile(df).collect()}
+    assert rows == {
+        "z": (1, 1, "0.0", "0.0"), "n": (1, 2, "1.0", "nan"), "d": (1, 2, "0001-01-01", "9999-12-31"),
+        "t": (1, 2, "0001-01-01 00:00:00", "2024-01-01 00:00:00.000007"), "c": (1, 2, "-0.5", "10.0"), "i": (0, 3, "-5", "10"),
+        "s": (1, 2, None, None), "w": (1, 2, "1900-01-01 00:00:00", "2024-03-31 02:30:00"), "f": (1, 2, "0.1", "1.5"),
+    }
+    sketched = merged_profile(column_sketches(df, F.col("i")), df.schema)
+    assert [tuple(r) for r in sketched.collect()] == [tuple(r) for r in profile(df).collect()]
+
+
+def test_a_derived_input_runs_once_and_wide_frames_by_groups(spark, tmp_path):
+    marks = tmp_path / "seen"
+    marks.write_text("")
+
+    @F.udf("int")
+    def seen(x):
+        with open(marks, "a") as f:
+            f.write("x")
+        return x
+
+    once = spark.range(40, numPartitions=2).select(seen("id").alias("a"), F.col("id").alias("b"))
+    assert [(r.column, r.distinct) for r in profile(once).collect()] == [("a", 40), ("b", 40)]
+    assert len(marks.read_text()) == 40
+    wide = once.select("*", *[(F.col("b") % (i + 1)).alias(f"m{i}") for i in range(10)])
+    marks.write_text("")
+    got = profile(wide, group=5).collect()
+    assert [(r.column, r.distinct) for r in got] == [("a", 40), ("b", 40)] + [(f"m{i}", i + 1) for i in range(10)]
+    assert len(marks.read_text()) == 40
+
+
+def test_many_columns_and_tables_have_plans_of_bounded_size(spark, monkeypatch):
+    seen = []
+    real = catalog._written
+
+    def written(df):
+        seen.append(len(df._jdf.queryExecution().analyzed().toString()))
+        return real(df)
+
+    monkeypatch.setattr(catalog, "_written", written)
+    df = spark.range(5).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(300)])
+    assert [r.distinct for r in profile(df, group=100).collect()] == [5] * 300
+    small = spark.range(3)
+    seen.clear()
+    assert profile_all({f"t{i}": small for i in range(7)}, plans=3).count() == 7 and len(seen) == 3
+
+
+def test_failing_columns_are_told_and_others_profiled(spark):
+    texts = spark.createDataFrame([("1",), ("x",), (None,)], "t string")
+    df = texts.select("t", *[F.col("t").cast("int").alias(f"bad{i}") if i in (3, 11) else F.lit(i).alias(f"c{i}") for i in range(16)])
+    rows = profile_isolated(df, group=6).collect()
+    assert [r.column for r in rows] == df.columns
+    bad = {r.column: (r.error, r.total_rows, r.distinct, r.type) for r in rows if r.error}
+    assert bad == {f"bad{i}": ("CAST_INVALID_INPUT", None, None, "INT") for i in (3, 11)}
+    assert all((r.total_rows, r.null_pct) == (3, 33.3 if r.column == "t" else 0.0) for r in rows if not r.error)
+    assert profile_isolated(df.select("t")).drop("error").collect() == profile(df.select("t")).collect()
+
+
+def test_sketches_merge_within_their_error(spark):
+    df = spark.range(40_000).select("id", (F.col("id") % 997).cast("string").alias("s"), F.expr("map(id, 1)").alias("m"))
+    exact = {r.column: r.distinct for r in profile(df).collect()}
+    stored = column_sketches(df.where("id < 25000"), F.col("id") % 7).unionByName(column_sketches(df.where("id >= 20000"), F.lit(9).cast("bigint")))
+    got = {r.column: r for r in merged_profile(stored, df.schema).collect()}
+    assert all(abs(got[c].distinct - exact[c]) <= 0.04 * exact[c] for c in ("id", "s")) and got["m"].distinct is None
+    assert got["id"].total_rows == 45_000 and (got["id"].min, got["id"].max) == ("0", "39999")
+    assert merged_profile(stored.limit(0), df.schema).count() == 0

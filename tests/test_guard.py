@@ -113,9 +113,9 @@ def test_run_and_log(spark, tmp_path):
     assert (run.rows, run.truncated) == (20, False)
     run = run_sql(spark, "SELECT id FROM numbers ORDER BY id DESC", 19, log)
     assert (run.rows, run.truncated, run.frame.count(), run.frame.first()["id"]) == (19, True, 19, 19)
-    assert run.kept.storageLevel.useMemory
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty() and os.path.isdir(run.folder)
     run.release()
-    assert not run.kept.storageLevel.useMemory
+    assert not os.path.exists(run.folder)
     run = run_sql(spark, "SELECT id FROM numbers LIMIT 20", 5, log)
     assert (run.rows, run.truncated) == (20, False)
     with pytest.raises(ValueError):
@@ -134,3 +134,14 @@ def test_log_failure_never_fails_the_query(spark, tmp_path):
     blocked = tmp_path / "file"
     blocked.write_text("x")
     assert run_sql(spark, "SELECT 1 AS a", 5, str(blocked / "log")).rows == 1
+
+
+def test_a_whole_result_is_written_and_not_held(spark):
+    run = run_sql(spark, "SELECT id, id AS id, NULL AS nothing, array() AS none, make_interval(1, 2) AS span FROM numbers ORDER BY id DESC", None)
+    assert (run.rows, run.truncated) == (20, False) and spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+    assert run.frame.columns == ["id", "id", "nothing", "none", "span"]
+    rows = run.frame.selectExpr("*").drop("span").collect()
+    assert [r[0] for r in rows] == list(range(19, -1, -1)) and {r[2] for r in rows} == {None}
+    assert run_sql(spark, "SELECT id FROM numbers WHERE id < 0", None).rows == 0
+    wide = run_sql(spark, "SELECT id FROM range(0, 5000, 1, 7) ORDER BY id DESC", None)
+    assert [r[0] for r in wide.frame.collect()] == list(range(4999, -1, -1))

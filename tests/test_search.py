@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators.embed import HashedTokens, embed, simplify_sql
 from tablewright.operators.search import search
-from tablewright.operators.substring import glossary_hits, keyword_hits
+from tablewright.operators.substring import candidate_pairs, glossary_hits, keyword_hits, rare_gram_index, substring_pairs
 
 WORDS = [("revenue", "R"), ("churn", "C"), ("ARR", "A"), ("arr", "a"), ("monthly revenue by region and segment", "long"),
          ("é😀", "u"), ("?a", "mark"), ("🏽", "half"), ("x", "one"), ("", "empty")]
@@ -67,6 +68,28 @@ def test_empty_dictionary(spark):
     assert keyword_hits(q, d, None, -1, -1).count() == 0
 
 
+def test_patterns_with_one_beginning_are_told_apart(spark):
+    """Candidates grow with the hits, not with patterns times texts that hold the beginning."""
+    start = "select sum of revenue from the table of orders where region is "
+    words = [(f"{start}{n:04d}z", str(n)) for n in range(400)] + [(f"{start}{n:04d}", str(n)) for n in range(400, 800)]
+    queries = [(n, f"{start}{n:04d} and more") for n in range(300, 700)] + [(1000 + n, start) for n in range(300)]
+    texts = spark.createDataFrame(queries, "text_id int, text string").selectExpr("text_id", "array(text) AS parts")
+    patterns = spark.createDataFrame(words, "pattern string, content string")
+    for sizes in ((1 << 20, 1 << 20), (0, 0)):
+        index = rare_gram_index(patterns, texts, *sizes)
+        assert index.where("gram = 'selec'").count() == 0
+        met = candidate_pairs(index, texts, "patterns", sizes[1]).count()
+        hits = substring_pairs(patterns, texts, "patterns", *sizes)
+        want = [(p, t) for t, text in queries for p, _ in words if p in text]
+        assert sorted(tuple(r) for r in hits.collect()) == sorted(want) and met <= 3 * len(want)
+
+
+def test_patterns_with_a_gram_nowhere_are_not_looked_up(spark):
+    texts = spark.createDataFrame([(1, ["abcdefghijklmnop"])], "text_id int, parts array<string>")
+    patterns = spark.createDataFrame([("abcdefghijkl",), ("abcdefghijkX",), (None,), ("q",)], "pattern string")
+    assert sorted(r.pattern for r in rare_gram_index(patterns, texts).collect()) == ["abcdefghijkl", "q"]
+
+
 @pytest.mark.parametrize("size", [1 << 20, 0])
 def test_glossary_hits(spark, size):
     terms = [("Annual Recurring", "ARR is revenue"), ("Churn", None), ("LTV", "lifetime of churned users")]
@@ -137,6 +160,30 @@ def test_embed_isolates_failures(spark):
     assert embed(df.limit(0), "t", model).count() == 0
 
 
+def test_failing_texts_are_found_by_halving(spark, tmp_path):
+    """Few calls for few bad texts, every other vector there; a model that is down is not asked for ever."""
+    calls = tmp_path / "calls"
+    calls.write_text("")
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.write("x")
+        if any(t.startswith("bad") for t in texts):
+            raise ValueError("refused")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rows = [(n, f"bad{n}" if n in (17, 400, 401) else "t" * (n % 9 + 1)) for n in range(512)]
+    df = spark.createDataFrame(rows, "n int, t string").coalesce(1)
+    got = sorted(embed(df, "t", model, batch=512, wait=(0, 0)).collect())
+    assert [r.n for r in got if r.error] == [17, 400, 401] and all(r.embedding is None for r in got if r.error)
+    assert all(r.embedding == [float(len(r.t)), 1.0] for r in got if not r.error)
+    assert len(calls.read_text()) <= 3 * 2 * 9 + 3 * 3 + 3
+    calls.write_text("")
+    down = embed(df.withColumn("t", F.lit("bad")), "t", model, batch=512, wait=(0, 0)).collect()
+    assert all(r.error for r in down) and len(calls.read_text()) <= 20 * 3 + 40
+    assert sum(r.error.startswith("not tried") for r in down) == 492
+
+
 def test_embed_tries_three_times(spark, tmp_path):
     marks = str(tmp_path / "tries")
 
@@ -164,7 +211,8 @@ def test_simplify(spark):
     assert got == ["SELECT 1 -- 8", "SELECT 2", "SELECT 3", "  ", None]
     assert simplify_sql(df, None) is df
     long = spark.createDataFrame([("S" * 5000, "fine")], "sql string, element_title string")
-    assert simplify_sql(long, rewrite).first()["sql"].endswith("-- 4000")
+    assert simplify_sql(long, rewrite).first()["sql"] == "S" * 5000 + " -- 5000"
+    assert simplify_sql(long, rewrite, sql_chars=4000).first()["sql"] == "S" * 5000
     assert simplify_sql(long, lambda s, t: "").select(F.length("sql")).first()[0] == 5000
 
 

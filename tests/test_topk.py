@@ -90,7 +90,7 @@ def test_small_tiles(monkeypatch):
     held = [batch(index[n : n + 40]) for n in range(0, len(index), 40)]
     stream = map(topk_module._held, topk_module._tables(iter(held)))
     asked = topk_module._asked(pa.Table.from_batches([batch(queries)]))
-    found = list(topk_module._scan(asked, stream, 4, 0.1))
+    found = list(topk_module.scan_best(asked, stream, 4, 0.1))
     rows = sorted(tuple(r.values()) for b in found for r in b.to_pylist())
     exact = [[(i, [float(np.float32(x)) for x in v]) for i, v in side] for side in (queries, index)]
     assert rows == plain_topk(*exact, 4, 0.1)
