@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.ingest.load import schema_rows
 from tablewright.operators.catalog import (
-    column_sketches, describe, list_tables, merged_profile, profile, profile_all, profile_approx, profile_isolated,
+    column_sketches, describe, list_all_tables, list_tables, merged_profile, profile, profile_all, profile_approx, profile_isolated,
     table_docs,
 )
 from tablewright.plans.registry import TABLES, Tables, register
@@ -159,3 +159,21 @@ def table_docs_sql() -> str:
 def table_documents(tables: Tables) -> DataFrame:
     """One searchable document per table, as index rows of source ``warehouse``."""
     return schema_rows(table_docs(tables.spark, tables.all())).select("id", "question", "description")
+
+
+@register(
+    "tables_of_all_schemas",
+    'SELECT * FROM (VALUES {}) t("table")'.format(", ".join(f"('given_{s}.{t}')" for s in ("first", "second") for t in TABLES)),
+)
+def tables_of_all_schemas(tables: Tables) -> DataFrame:
+    """The given tables in two schemas of the catalog, listed with their schemas' names."""
+    spark = tables.spark
+    for schema in ("given_first", "given_second"):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+        for name in TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {schema}.{name}")
+            spark.sql(f"CREATE TABLE {schema}.{name} USING parquet LOCATION '{tables.folder}/{name}.parquet'")
+    listed = list_all_tables(spark).where(F.col("table").startswith("given_"))
+    for schema in ("given_first", "given_second"):
+        spark.sql(f"DROP DATABASE {schema} CASCADE")
+    return listed

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.ingest import charts as ch
-from tablewright.ingest.load import chart_questions, chart_rows, counters, load, pattern_rows, rebuild
-from tablewright.operators.catalog import union_all
+from tablewright.ingest.load import chart_questions, chart_rows, counters, load, pattern_rows, rebuild, select_sources
+from tablewright.operators.catalog import table_docs, union_all
 from tablewright.operators.embed import simplify_sql
 from tablewright.plans.knowledge_checks import LETTERS_SQL, NOW, THEN, at, label_batch, label_index, letter_counts
 from tablewright.plans.registry import Tables, register
 from tablewright.session import work_folder
-from tablewright.sources.files import read_dashboards, read_dictionary
-from tablewright.sources.patterns import delete_patterns, find_pattern, pattern_records
+from tablewright.sources.files import read_dashboards, read_dictionary, rows_from_json_texts
+from tablewright.sources.patterns import (
+    delete_patterns, find_pattern, pattern_records, patterns_of, rename_patterns, write_patterns,
+)
+from tablewright.sources.store import index_version, read_index, read_table
+from tablewright.streaming.feeds import ingest_stream
 
 TODAY = date(2024, 2, 1)
 JSON_NULLS = {"ignoreNullFields": "true"}
@@ -567,3 +571,115 @@ def pattern_delete(tables: Tables) -> DataFrame:
     patterns_left, index_left = delete_patterns(saved, index, gone)
     kept = patterns_left.select(F.lit("pattern").alias("kind"), "filename")
     return kept.unionByName(index_left.select(F.lit("vector").alias("kind"), F.col("id").alias("filename")))
+
+
+STREAMED_SQL = """
+WITH charts AS (
+  SELECT concat('lkr-', substr(sha256(concat('looker:', p_brand, ':', p_name)), 1, 16)) AS id,
+         max(concat(p_name, ' ', p_type)) AS description
+  FROM part GROUP BY p_brand, p_name)
+SELECT id, description, CAST(26 AS INTEGER) AS size, '2024-02-01' AS updated, CAST(3 AS BIGINT) AS versions FROM charts"""
+
+
+@register("streamed_charts", STREAMED_SQL)
+def streamed_charts(tables: Tables) -> DataFrame:
+    """Charts landed in three files, loaded as a stream of three batches, and sent again with the
+    stream's checkpoint lost: the index has three versions and no row of the second time."""
+    spark, folder = tables.spark, work_folder(tables.spark)
+    latest = F.max(F.concat_ws(" ", "p_name", "p_type")).alias("element_title")
+    charts = tables.part.groupBy("p_brand", "p_name").agg(latest).select(
+        F.col("p_brand").alias("dashboard_id"), F.col("p_brand").alias("dashboard_title"),
+        F.col("p_name").alias("element_id"), "element_title",
+        F.lit("SELECT 1").alias("sql"), F.lit("looker").alias("source"),
+    )
+    for part in range(3):
+        inside = F.pmod(F.xxhash64("dashboard_id", "element_id"), F.lit(3)) == part
+        charts.where(inside).coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    for checkpoint, moment in (("state", NOW), ("lost", THEN)):
+        stream = spark.readStream.schema(charts.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+        ingest_stream(stream, f"{folder}/index", f"{folder}/{checkpoint}", letter_counts, at(moment)).awaitTermination()
+    versions = index_version(spark, f"{folder}/index").version
+    return read_index(spark, f"{folder}/index").select(
+        "id", "description", F.size("embedding").alias("size"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), F.lit(versions).cast("bigint").alias("versions"),
+    )
+
+
+@register(
+    "pattern_files",
+    """SELECT concat('f', p_partkey, '.sql') AS filename, CASE WHEN p_size > 5 THEN concat('What of ', p_name, '?') ELSE '' END AS question,
+       CASE WHEN p_size > 5 THEN concat('SELECT ', p_partkey) ELSE concat('SELECT 0 -- ', p_name) END AS sql,
+       CASE WHEN p_size > 5 THEN concat(p_brand, ',', p_type) ELSE '' END AS named,
+       CASE WHEN p_size > 25 THEN 'bi' ELSE 'manual' END AS source, CASE WHEN p_size > 25 THEN '2024-01-05' END AS created
+    FROM part""",
+)
+def pattern_files(tables: Tables) -> DataFrame:
+    """Files' texts read as patterns: with all of a header, with some of it, and without."""
+    part = tables.part
+    some = F.format_string("---\nquestion: 'What of %s?'\ntables: ['%s', %s]\n", "p_name", "p_brand", "p_type")
+    more = F.when(F.col("p_size") > 25, F.concat(some, F.lit("source: bi\ncreated: 2024-01-05\n"))).otherwise(some)
+    headed = F.concat(more, F.lit("---\n\nSELECT "), "p_partkey", F.lit("\n"))
+    text = F.when(F.col("p_size") > 5, headed).otherwise(F.concat(F.lit("SELECT 0 -- "), "p_name"))
+    read = patterns_of(part.select(F.concat(F.lit("f"), "p_partkey", F.lit(".sql")).alias("filename"), text.alias("value")))
+    return read.select("filename", "question", "sql", F.array_join("tables", ",").alias("named"), "source", F.col("created").cast("string").alias("created"))
+
+
+@register(
+    "patterns_saved",
+    f"""
+SELECT filename, CASE WHEN filename IN ({ASKED_SQL}) THEN concat(sql, ' + 1') ELSE sql END AS sql,
+       CASE WHEN filename IN ({ASKED_SQL}) THEN '2024-02-02' ELSE '2024-02-01' END AS created FROM ({PATTERN_SQL}) p""",
+)
+def patterns_saved(tables: Tables) -> DataFrame:
+    """Patterns written to a table, then some of them again under the same slugs."""
+    root, saved = work_folder(tables.spark), saved_patterns(tables)
+    write_patterns(saved, root, TODAY)
+    again = find_pattern(saved, asked_patterns(tables)).withColumn("sql", F.concat("sql", F.lit(" + 1")))
+    write_patterns(again, root, date(2024, 2, 2))
+    return read_table(tables.spark, root).select("filename", "sql", F.col("created").cast("string").alias("created"))
+
+
+@register(
+    "patterns_renamed",
+    f"""
+SELECT CASE WHEN filename IN ({ASKED_SQL}) THEN concat('renamed-', filename) ELSE filename END AS filename, sql
+FROM ({PATTERN_SQL}) p""",
+)
+def patterns_renamed(tables: Tables) -> DataFrame:
+    """Edits that change a question give the pattern another file, and the old one goes."""
+    root, saved = work_folder(tables.spark), saved_patterns(tables)
+    write_patterns(saved, root, TODAY)
+    edited = find_pattern(saved, asked_patterns(tables)).withColumn("question", F.concat(F.lit("Renamed "), "question"))
+    rename_patterns(edited, root, TODAY)
+    return read_table(tables.spark, root).select("filename", "sql")
+
+
+@register("rows_of_json_lists", "SELECT o_orderkey, o_totalprice, o_orderstatus, o_custkey % 7 AS rest FROM orders")
+def rows_of_json_lists(tables: Tables) -> DataFrame:
+    """Each customer's orders as a JSON list, read back as rows; texts of another kind give none."""
+    order = F.struct("o_orderkey", "o_totalprice", "o_orderstatus", (F.col("o_custkey") % 7).alias("rest"))
+    lists = tables.orders.groupBy("o_custkey").agg(F.to_json(F.collect_list(order)).alias("t"))
+    broken = tables.part.select(F.concat(F.lit("["), "p_name").alias("t"))
+    return rows_from_json_texts(lists.select(F.replace("t", F.lit(","), F.lit(",\n")).alias("t")).unionByName(broken), "t")
+
+
+@register(
+    "sources_selected",
+    """
+SELECT 'databricks' AS source, count(*) AS charts FROM part
+UNION ALL SELECT 'looker', count(*) FROM part WHERE p_size > 25
+UNION ALL SELECT 'warehouse', CAST(14 AS BIGINT)
+UNION ALL SELECT 'again mode', count(*) FROM part WHERE p_size <= 25""",
+)
+def sources_selected(tables: Tables) -> DataFrame:
+    """All core sources; then one by name beside names that are unknown or have no data."""
+    def rows(df: DataFrame):
+        return lambda: df
+
+    readers = {
+        "looker": rows(tables.part.where("p_size > 25")), "databricks": rows(tables.part),
+        "mode": rows(tables.part.where("p_size <= 25")), "warehouse": lambda: table_docs(tables.spark, tables.all()),
+    }
+    core, one = select_sources(["all", "sigma"], readers), select_sources(["mode", "nowhere", "redash"], readers)
+    named = [(n, df) for n, df in core.items()] + [(f"again {n}", df) for n, df in one.items()]
+    return union_all(df.agg(F.lit(n).alias("source"), F.count("*").alias("charts")) for n, df in named)

@@ -228,6 +228,22 @@ def snapshot_newest(tables: Tables) -> DataFrame:
     return snapshots.rollback(spark, root)["orders"].select("o_orderkey", "o_orderstatus")
 
 
+@register(
+    "snapshots_listed",
+    """SELECT DISTINCT concat('orders_', o_orderstatus) AS name, '2024-01-03' AS created FROM orders
+    UNION ALL SELECT 'all_orders', '2024-01-01' FROM (SELECT 1) t""",
+)
+def snapshots_listed(tables: Tables) -> DataFrame:
+    """Snapshots of all orders and of each status, one of them taken twice; names are made safe."""
+    root, spark, orders = work_folder(tables.spark), tables.spark, tables.orders
+    snapshots.checkpoint(spark, root, "all orders", {"orders": orders}, datetime(2024, 1, 1))
+    for day in (2, 3):
+        for status in ("F", "O", "P"):
+            part = {"orders": orders.where(F.col("o_orderstatus") == status)}
+            snapshots.checkpoint(spark, root, f"orders {status}", part, datetime(2024, 1, day))
+    return snapshots.list_checkpoints(spark, root).select("name", F.date_format("created", "yyyy-MM-dd").alias("created"))
+
+
 @register(
     "snapshot_diff",
     """

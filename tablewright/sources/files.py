@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.index import last_per_key
+from tablewright.session import work_folder
 
 
 def read_dashboards(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
@@ -81,3 +82,15 @@ def rows_from_json(spark: SparkSession, text: str) -> DataFrame:
         raise ValueError("expected a JSON list of objects")
     schema = spark.range(1).select(F.schema_of_json(F.lit(text)).alias("s")).first()["s"]
     return spark.createDataFrame([(text,)], "t string").select(F.inline(F.from_json("t", schema)))
+
+
+def rows_from_json_texts(texts: DataFrame, column: str) -> DataFrame:
+    """The objects of all texts that are JSON lists of objects, as one table.
+
+    The texts are written as lines and read by Spark's JSON reader, which finds the schema on the
+    executors; none comes to the driver. A text that is no JSON gives no rows.
+    """
+    spark, folder = texts.sparkSession, work_folder(texts.sparkSession)
+    # A raw line end can only stand between tokens: inside a JSON string it is escaped.
+    texts.select(F.translate(column, "\n\r", "  ").alias("value")).where(F.col("value").isNotNull()).write.text(folder)
+    return spark.read.option("mode", "DROPMALFORMED").json(folder)

@@ -72,9 +72,13 @@ def parse_pattern(text: Column) -> Column:
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """All ``*.sql`` files of a folder, one row each."""
-    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.sql").select(
-        F.col("_metadata.file_name").alias("filename"), parse_pattern(F.col("value")).alias("p")
-    )
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.sql")
+    return patterns_of(texts.select(F.col("_metadata.file_name").alias("filename"), "value"))
+
+
+def patterns_of(texts: DataFrame) -> DataFrame:
+    """Pattern files' names and whole texts, ``filename`` and ``value``, as pattern rows."""
+    texts = texts.select("filename", parse_pattern(F.col("value")).alias("p"))
     return texts.select("filename", F.col("p.sql").alias("sql"), _headers("p.header").alias("h")).select(
         "h.question",
         "sql",
@@ -122,6 +126,16 @@ def find_pattern(patterns: DataFrame, questions: DataFrame) -> DataFrame:
     return patterns.join(slugs, "filename", "left_semi")
 
 
+def rename_patterns(rows: DataFrame, root: str, today: date) -> int:
+    """Saves edited patterns, ``filename`` naming the one each replaces: a question with another slug
+    gets a file of that name, and the old one goes. The last edit of a file counts."""
+    saved = read_table(rows.sparkSession, root, PATTERN_SCHEMA)
+    edits = rows.withColumnRenamed("filename", "_old")
+    batch = pattern_records(edits, today)
+    gone = edits.select(F.col("_old").alias("filename")).unionByName(batch.select("filename")).distinct()
+    return write_table(saved.join(gone, "filename", "left_anti").unionByName(batch), root)
+
+
 def delete_patterns(
     patterns: DataFrame, index: DataFrame, filenames: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from tablewright.operators import snapshots
 from tablewright.operators.ledger import job_states, sweep_stale
 from tablewright.operators.slots import evaluate_slots, slot_values
 from tablewright.sources.query_log import LOG_SCHEMA, append_query_log
-from tablewright.streaming.feeds import load_stream, log_windows, query_log_stream, run_available, search_stream
+from tablewright.streaming.feeds import ingest_stream, load_stream, log_windows, query_log_stream, run_available, search_stream
 
 SLOTS = [
     {"slot": "n", "sql": "SELECT count(*) FROM slot_rows", "format": "scalar"},
@@ -141,3 +141,36 @@ def test_search_stream(spark, tmp_path):
 
 def test_log_schema(spark):
     assert spark.createDataFrame([], LOG_SCHEMA).select(F.col("timestamp")).dtypes == [("timestamp", "timestamp")]
+
+
+def test_ingest_stream_passes_over_batches_it_holds(spark, tmp_path):
+    """Three files, a batch each; with its checkpoint lost the stream sends them again."""
+    from tablewright.sources.store import index_version, loaded_batch, read_index
+
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "index")
+    schema = "dashboard_id string, dashboard_title string, element_id string, element_title string, sql string, source string"
+    for n in range(3):
+        rows = [("d", "Board", f"e{k}", f"Chart {k} of file {n}", f"SELECT {k}", "looker") for k in range(n, n + 3)] + [("d", "Board", f"bad{n}", "bad", "SELECT 0", "looker")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(landed)
+    asked = tmp_path / "asked"
+    asked.write_text("")
+
+    def model(texts):
+        with open(asked, "a") as f:
+            f.write("x" * len(texts))
+        if any("bad" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    def run(checkpoint, now):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(landed)
+        ingest_stream(stream, root, str(tmp_path / checkpoint), model, now, failed_path=str(tmp_path / "failed")).awaitTermination()
+        return {r.id: (r.description, r.updated_at) for r in read_index(spark, root).collect()}
+
+    first = run("state", datetime(2024, 1, 1))
+    assert len(first) == 5 and loaded_batch(index_version(spark, root), "charts") == 2
+    assert spark.read.parquet(str(tmp_path / "failed")).groupBy("batch").count().count() == 3
+    calls = asked.read_text()
+    assert run("lost", datetime(2024, 2, 2)) == first and asked.read_text() == calls
+    spark.createDataFrame([("d", "Board", "e9", "New", "SELECT 9", "looker")], schema).coalesce(1).write.mode("append").json(landed)
+    assert len(run("state", datetime(2024, 3, 3))) == 6
