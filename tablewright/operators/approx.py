@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators.topk import DEFAULT_K, DEFAULT_THRESHOLD, Vectors, scan_best, topk_join, topk_rows, topk_schema
+from tablewright.operators.topk import DEFAULT_K, DEFAULT_THRESHOLD, Vectors, meet_in_cells, topk_join, topk_rows
 
 logger = logging.getLogger(__name__)
 
@@ -244,42 +244,6 @@ def topk_approx(
     held = spark.read.parquet(f"{path}/vectors")
     if without is not None:
         held = held.join(without.select(F.col("id").alias("key")), "key", "left_anti")
-    found = _meeting(held, wanted.select("cell", "key", "vector"), k, threshold)
+    found = meet_in_cells(held, wanted.select("cell", "key", "vector"), k, threshold)
     once = found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     return topk_rows(once, k).select("query_id", "id", "similarity", "rank")
-
-
-def _meeting(held: DataFrame, asked: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The best k of each query in each cell it asks for.
-
-    A cell's vectors come first and are kept, at most a slice; its queries follow batch by batch.
-    """
-    index_type, query_type = held.schema["key"].dataType, asked.schema["key"].dataType
-    nobody, nothing = F.lit(None).cast(query_type), F.lit(None).cast(index_type)
-    rows = held.select("cell", "vector", F.lit(0).alias("kind"), F.col("key").alias("held_key"), nobody.alias("asked_key"))
-    rows = rows.unionByName(
-        asked.select("cell", "vector", F.lit(1).alias("kind"), nothing.alias("held_key"), F.col("key").alias("asked_key"))
-    )
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "kind")
-
-    def table(batches: list[pa.RecordBatch], key: str) -> Vectors:
-        return Vectors(pa.Table.from_batches(batches).select([key, "vector"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, waiting, ready = None, [], None
-        for batch in batches:
-            cell, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
-            new = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
-            ends = [*new.tolist(), len(batch)] if len(batch) else []
-            for low, high in zip([0, *new.tolist()], ends):
-                part = batch.slice(low, high - low)
-                if cell[low] != current:
-                    current, waiting, ready = cell[low], [], None
-                if kind[low] == 0:
-                    waiting.append(part)
-                elif waiting or ready is not None:
-                    if ready is None:
-                        ready, waiting = table(waiting, "held_key"), []
-                    yield from scan_best(table([part], "asked_key"), iter([ready]), k, threshold)
-
-    return dealt.mapInArrow(run, topk_schema(query_type, index_type))

@@ -6,7 +6,8 @@ emitted. Three forms, all exact, chosen by measured size:
 
 * few queries: the query matrix goes to every task and the index is scanned in place;
 * a small index: the index goes to every task, so each query is finished where it lies;
-* neither: both are cut into blocks of bounded size, block pairs are joined by shuffle.
+* neither: the index is cut into blocks of like directions, and each query travels to those that
+  may hold something for it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.session import work_folder
+
 # --- Fixed values -------------------------------------------------------------------
 DEFAULT_K = 5
 DEFAULT_THRESHOLD = 0.3
@@ -32,6 +35,10 @@ BROADCAST_BYTES = 64 << 20
 # Hits, an id and a number each, that may be sent to every task to pick up their texts.
 BROADCAST_HITS = 500_000
 TILE_CELLS = 4 << 20
+# Signs along random directions that bring like vectors into one block.
+NEAR_BITS = 16
+# Bytes of the blocks' bounds that may always be sent to the tasks.
+CONE_BYTES = 4 << 20
 
 
 class Vectors:
@@ -210,30 +217,139 @@ def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, thresho
     return queries.mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType))
 
 
-def _with_blocks(
-    queries: DataFrame, index: DataFrame, k: int, threshold: float, query_blocks: int, index_blocks: int
-) -> DataFrame:
-    """Every (query block, index block) pair meets in one task of bounded size."""
-
-    def block(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-        )
+def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The best k of each query in each cell that it asks for.
 
-    left = block(queries, "qb", query_blocks, "ib", index_blocks)
-    right = block(index, "ib", index_blocks, "qb", query_blocks)
-    schema = topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            found = list(scan_best(_asked(left), iter([_held(right)]), k, threshold))
-        empty = {"query_id": left.schema.field("key").type, "id": right.schema.field("key").type,
-                 "similarity": pa.float64(), "rank": pa.int32()}
-        return pa.Table.from_batches(found, schema=pa.schema(empty))
+    ``held`` and ``asked`` have ``cell, key, vector``. A cell's vectors come first and are kept, a
+    bounded number; its queries follow batch by batch, however many.
+    """
+    index_type, query_type = held.schema["key"].dataType, asked.schema["key"].dataType
+    nobody, nothing = F.lit(None).cast(query_type), F.lit(None).cast(index_type)
+    rows = held.select("cell", "vector", F.lit(0).alias("kind"), F.col("key").alias("held_key"), nobody.alias("asked_key"))
+    rows = rows.unionByName(
+        asked.select("cell", "vector", F.lit(1).alias("kind"), nothing.alias("held_key"), F.col("key").alias("asked_key"))
+    )
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+
+    def table(batches: list[pa.RecordBatch], key: str) -> Vectors:
+        return Vectors(pa.Table.from_batches(batches).select([key, "vector"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, waiting, ready = None, [], None
+        for batch in batches:
+            cell, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            new = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+            ends = [*new.tolist(), len(batch)] if len(batch) else []
+            for low, high in zip([0, *new.tolist()], ends):
+                part = batch.slice(low, high - low)
+                if cell[low] != current:
+                    current, waiting, ready = cell[low], [], None
+                if kind[low] == 0:
+                    waiting.append(part)
+                elif waiting or ready is not None:
+                    if ready is None:
+                        ready, waiting = table(waiting, "held_key"), []
+                    yield from scan_best(table([part], "asked_key"), iter([ready]), k, threshold)
+
+    return dealt.mapInArrow(run, topk_schema(query_type, index_type))
+
+
+def _dealt(index: DataFrame, blocks: int) -> DataFrame:
+    """``cell, size, key, vector``: the index in about as many blocks, vectors of like direction together, staged.
+
+    Like directions are those with the same signs along some random ones.
+    """
 
-    partial = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(pair, schema)
-    return topk_rows(partial, k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, near = Vectors(pa.Table.from_batches([batch])), np.zeros(len(batch), np.int64)
+            for size, rows in own.rows.items():
+                along = np.random.default_rng(size).standard_normal((size, NEAR_BITS))
+                near[rows] = (own.matrix[size] @ along > 0) @ (1 << np.arange(NEAR_BITS)[::-1])
+            lengths = pa.array(np.diff(batch.column("vector").offsets.to_numpy()).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lengths, pa.array(near)], ["key", "vector", "size", "near"])
+
+    kind = index.schema["key"].dataType.simpleString()
+    coded = index.select("key", "vector").mapInArrow(run, f"key {kind}, vector array<double>, size int, near bigint")
+    path = work_folder(index.sparkSession)
+    coded.write.parquet(f"{path}/coded")
+    coded = index.sparkSession.read.schema(coded.schema).parquet(f"{path}/coded")
+    dealt = coded.repartitionByRange(blocks, "size", "near", "key").withColumn("cell", F.spark_partition_id().cast("bigint"))
+    dealt.select("cell", "size", "key", "vector").write.parquet(f"{path}/dealt")
+    return index.sparkSession.read.parquet(f"{path}/dealt")
+
+
+def _cones(dealt: DataFrame) -> DataFrame:
+    """``cell, size, middle, wide``: the mean direction of a block's vectors of each length, and the
+    widest angle between it and one of them."""
+
+    def cone(rows: pa.Table) -> pa.Table:
+        own = Vectors(rows.select(["key", "vector"]))
+        (size,) = own.matrix
+        unit = own.matrix[size] / own.norms[size][:, None]
+        middle = unit.sum(axis=0)
+        length = np.linalg.norm(middle)
+        middle = middle / length if length else middle
+        wide = float(np.arccos(np.clip((unit @ middle).min(), -1, 1))) if length else np.pi
+        return pa.table({"cell": rows.column("cell")[:1], "size": rows.column("size")[:1], "middle": pa.array([middle.tolist()]), "wide": [wide]})
+
+    return dealt.groupBy("cell", "size").applyInArrow(cone, "cell bigint, size int, middle array<double>, wide double")
+
+
+def _asking(queries: DataFrame, cones: pa.Table, threshold: float) -> DataFrame:
+    """``cell, key, vector``: each query once for every block that may hold a vector of its threshold.
+
+    No vector of a block is nearer to the query than the block's mean direction less its widest angle.
+    """
+    own = Vectors(cones.select(["cell", "middle"]))
+    wide = cones.column("wide").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for t in _tables(batches) for b in t.to_batches()):
+            asked = Vectors(pa.Table.from_batches([batch]))
+            for size, rows in asked.rows.items():
+                if size not in own.rows:
+                    continue
+                blocks = own.rows[size]
+                step = max(1, TILE_CELLS // len(blocks))
+                for low in range(0, len(rows), step):
+                    part = slice(low, low + step)
+                    cosine = asked.matrix[size][part] @ own.matrix[size].T / asked.norms[size][part, None]
+                    apart = np.maximum(np.arccos(np.clip(cosine, -1, 1)) - wide[blocks][None, :], 0)
+                    row, at = np.nonzero(np.cos(apart) >= threshold - 1e-9)
+                    taken = batch.take(pa.array(rows[part][row]))
+                    yield pa.RecordBatch.from_arrays([own.ids.take(pa.array(blocks[at])), *taken.columns], ["cell", "key", "vector"])
+
+    kind = queries.schema["key"].dataType.simpleString()
+    return queries.select("key", "vector").mapInArrow(run, f"cell bigint, key {kind}, vector array<double>")
+
+
+def _with_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float, blocks: int, broadcast_bytes: int) -> DataFrame:
+    """Queries travel to the blocks of the index that may hold something for them; vectors are not copied.
+
+    A block's bounds are a direction and an angle, sent to the tasks up to ``broadcast_bytes``.
+    With a threshold of 0 or less, or beyond those bytes, every block is asked. What the blocks
+    give for a query is merged in two steps, so that no step sees all blocks of a query at once.
+    """
+    queries = queries.select("key", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    dealt = _dealt(index.select("key", F.col("vector").cast("array<double>").alias("vector")), blocks)
+    cones = None
+    if threshold > 0:
+        path = work_folder(index.sparkSession)
+        _cones(dealt).write.parquet(path)
+        cones = index.sparkSession.read.parquet(path)
+        size = cones.agg(F.coalesce(F.sum(8 * F.size("middle") + ROW_BYTES), F.lit(0))).first()[0]
+        cones = cones if size <= max(broadcast_bytes, CONE_BYTES) else None
+    if cones is not None:
+        asking = _asking(queries, cones.toArrow(), threshold)
+    else:
+        cells = dealt.agg(F.coalesce(F.max("cell"), F.lit(0))).first()[0]
+        asking = queries.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells).cast("bigint"))))
+    partial = meet_in_cells(dealt.select("cell", "key", "vector"), asking.select("cell", "key", "vector"), k, threshold)
+    group = F.pmod(F.xxhash64("id"), F.lit(max(1, math.isqrt(blocks))))
+    order = Window.partitionBy("query_id", "_group").orderBy(F.desc("similarity"), "id")
+    few = partial.withColumn("_group", group).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
+    return topk_rows(few.drop("_group", "_place"), k)
 
 
 def topk_join(
@@ -261,8 +377,8 @@ def topk_join(
     index_bytes = _bytes(right, broadcast_bytes)
     if index_bytes <= broadcast_bytes:
         return _with_index_everywhere(left, right, k, threshold)
-    query_blocks, index_blocks = (math.ceil(n / broadcast_bytes) for n in (query_bytes, index_bytes))
-    return _with_blocks(left, right, k, threshold, query_blocks, index_blocks)
+    blocks = math.ceil(index_bytes / broadcast_bytes)
+    return _with_blocks(left, right, k, threshold, blocks, broadcast_bytes)
 
 
 def topk(

@@ -116,3 +116,25 @@ def test_rows_without_vectors_are_not_gathered(spark):
     assert module._bytes(right, 1 << 30) > 3000 * module.ROW_BYTES
     found = [[tuple(r) for r in module.topk_join(queries, index, 5, broadcast_bytes=size).orderBy("rank").collect()] for size in (1 << 30, 90, 900)]
     assert found[0] == found[1] == found[2] and len(found[0]) == 5
+
+
+def test_blocks_that_cannot_hold_a_hit_are_not_asked(spark, monkeypatch):
+    """Groups of directions far apart: each query travels to few blocks, and the hits are exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 16))
+    index = [(f"i{n:04d}", (centres[n % 12] + 0.05 * rng.standard_normal(16)).tolist()) for n in range(1200)]
+    queries = [(n, (centres[n % 12] + 0.05 * rng.standard_normal(16)).tolist()) for n in range(60)]
+    q = spark.createDataFrame(queries, "query_id int, embedding array<double>")
+    i = spark.createDataFrame(index, "id string, embedding array<double>")
+    seen, real = {}, topk_module._asking
+
+    def asking(rows, cones, threshold):
+        out = real(rows, cones, threshold)
+        seen["asked"], seen["blocks"] = out.count(), cones.num_rows
+        return out
+
+    monkeypatch.setattr(topk_module, "_asking", asking)
+    got = topk_join(q, i, 5, 0.9, broadcast_bytes=8000)
+    rows = sorted(tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect())
+    assert rows == plain_topk(queries, index, 5, 0.9)
+    assert seen["blocks"] >= 12 and seen["asked"] <= 60 * seen["blocks"] / 2
