@@ -162,8 +162,7 @@ def fixture_rows(seed, n=600, sources=9):
     return rows
 
 
-@pytest.mark.parametrize("sent", [True, False])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed,sent", [(1, True), (2, False)])
 def test_mixture_by_hand(spark, monkeypatch, seed, sent):
     if not sent:
         monkeypatch.setattr(mixing_module, "BROADCAST_ROWS", -1)
@@ -235,16 +234,15 @@ def vectors_of(seed, n=400, size=10):
     return rows
 
 
-@pytest.mark.parametrize("cells,bounds", [(1 << 22, 1 << 25), (200, 1 << 25), (200, 0)])
-def test_negatives_by_hand(spark, monkeypatch, cells, bounds):
+@pytest.mark.parametrize("seed,cells,bounds", [(1, 1 << 22, 1 << 25), (2, 200, 1 << 25), (3, 200, 0)])
+def test_negatives_by_hand(spark, monkeypatch, seed, cells, bounds):
     monkeypatch.setattr(negatives_module, "BLOCK_CELLS", cells)
     monkeypatch.setattr(negatives_module, "TILE_CELLS", max(cells // 2, 64))
     monkeypatch.setattr(negatives_module, "BOUNDS_BYTES", bounds)
-    for seed in (1, 2):
-        rows = vectors_of(seed)
-        table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("score", F.lit("x")).withColumn("block", F.lit(0))
-        got = sorted(map(tuple, hard_negatives(table, every=10).collect()))
-        assert got == plain_negatives(rows, 10)
+    rows = vectors_of(seed)
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").withColumn("score", F.lit("x")).withColumn("block", F.lit(0))
+    got = sorted(map(tuple, hard_negatives(table, every=10).collect()))
+    assert got == plain_negatives(rows, 10)
 
 
 def test_negatives_of_real_vectors_and_of_none(spark, data):
