@@ -12,7 +12,7 @@ from tablewright.llm.common import WordHasher, release, separators, text_blocks
 # Bytes of text whose distinct chunks are encoded together.
 UNIT_BYTES = 1 << 22
 # Chunks whose ids a Python worker keeps from unit to unit, about 32 bytes each.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 250_000
 
 
 # Unicode white space beyond ASCII, in UTF-8.

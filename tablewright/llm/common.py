@@ -129,7 +129,8 @@ class WordHasher:
     again where it is shorter.
     """
 
-    def __init__(self, kind: str = "space", prefixes: tuple[int, ...] = (), fold: bool = True) -> None:
+    def __init__(self, kind: str = "space", prefixes: tuple[int, ...] = (), fold: bool = True, block: int = BLOCK_BYTES) -> None:
+        self.least = block + (block >> 1)
         self.table, self.between, self.prefixes = _lookup(fold), separators(kind), prefixes
         self.base = 0x9E3779B97F4A7C15 | 1
         self.inverse = pow(self.base, -1, 1 << 64)
@@ -138,7 +139,7 @@ class WordHasher:
     def _powers(self, size: int) -> None:
         if size <= len(self.up):
             return
-        size = max(size, BLOCK_BYTES + (BLOCK_BYTES >> 1))
+        size = max(size, self.least)
         for name, base in (("up", self.base), ("down", self.inverse)):
             powers = np.full(size, base, np.uint64)
             powers[0] = 1
@@ -203,9 +204,9 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         release()
 
 
-def hashed_words(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(column: pa.Array, hasher: WordHasher, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per run of texts: first row, end row, word hashes, and where each text's words begin."""
-    for low, high, data, cuts in text_blocks(column):
+    for low, high, data, cuts in text_blocks(column, most):
         hashes, bounds = hasher.block(data, cuts)
         yield low, high, hashes, bounds
 

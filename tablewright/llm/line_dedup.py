@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLOCK_BYTES, mixed, staged
-from tablewright.llm.links import components, joined, leaders, meeting, unordered, untried
+from tablewright.llm.common import list_array, mixed, release, staged
+from tablewright.llm.links import components, impossible, leaders, meeting, merged, possible, unordered, untried
 
 EDITS = 2
+# Characters of lines whose keys are made at once, some hundred bytes each.
+BLOCK_CHARS = 1 << 18
 # Lines from which on ``EDITS`` are allowed.
 LEAST_CHARS = 30
 # Lines from which on one edit is allowed; shorter ones are alike only when they are equal.
@@ -41,7 +43,7 @@ class SegmentKeys:
         self.edits = edits
         self.base = 0xD6E8FEB86659FD93
         inverse = pow(self.base, -1, 1 << 64)
-        size = BLOCK_BYTES * 2
+        size = BLOCK_CHARS * 2
         self.up = self._powers(self.base, size)
         self.down = self._powers(inverse, size)
 
@@ -57,14 +59,15 @@ class SegmentKeys:
         n = np.array([len(x) for x in lines], np.int64)
         return text, n, np.cumsum(n) - n
 
-    def sketches(self, lines: list[str]) -> np.ndarray:
-        """How many characters of each of eight kinds a line has, modulo 256, in the bytes of one number."""
+    def sketches(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per line, which of 64 kinds of characters, and of neighbours, it holds an odd number of times."""
         text, n, at = self._characters(lines)
-        out = np.zeros(len(lines), np.uint64)
-        for kind in range(8):
-            sums = np.concatenate([[0], np.cumsum(text % 8 == kind)])
-            out |= (sums[at + n] - sums[at]).astype(np.uint64) % np.uint64(256) << np.uint64(8 * kind)
-        return out
+        one = np.uint64(1)
+        chars = np.bitwise_xor.reduceat(one << (text.astype(np.uint64) & np.uint64(63)), at)
+        both = mixed((text[:-1].astype(np.uint64) << np.uint64(32)) | text[1:].astype(np.uint64)) & np.uint64(63)
+        bits = np.append(one << both, np.uint64(0))
+        bits[at + n - 1] = 0  # a line's last character has no neighbour
+        return chars, np.bitwise_xor.reduceat(bits, at)
 
     def keys(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per line the keys of its own segments, and of its probes (0 where one repeats)."""
@@ -163,78 +166,92 @@ class Grades:
 
 def line_rows(docs: DataFrame, grades: Grades) -> DataFrame:
     """(doc, doc_id, line, text, id, n): the lines that are compared, ``doc`` being a hash of id and text."""
-    each = docs.select(
-        F.xxhash64("doc_id", "text").alias("doc"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")
-    )
+    # The hash of a document is taken before its lines are, or it would be taken anew for each.
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    each = hashed.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     taken = F.col("n") >= grades.least
     if grades.short is not None:
         taken = taken | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return each.withColumn("n", F.char_length("text")).where(taken).withColumn("id", F.xxhash64("text"))
 
 
-def entries(lines: DataFrame, grades: Grades) -> DataFrame:
-    """(key, id, n, sketch, own): each line under its segments (``own``) and under its probes."""
+def unique_lines(lines: DataFrame, grades: Grades) -> DataFrame:
+    """(id, n, text, chars, pairs, own, asked): a line's sketches, and the keys of its segments and probes.
+
+    Equal lines of a batch are one row. A line whose length stands in two tiers has the keys of both.
+    """
     tiers = grades.tiers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = [SegmentKeys(edits) for _, _, edits in tiers]
         for batch in batches:
-            all_ = batch.column("text").to_pylist()
-            ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-            for (least, most, _), maker in zip(tiers, makers, strict=True):
-                picked = np.flatnonzero((sizes >= least) & (sizes <= most))
-                low = 0
-                while low < len(picked):
-                    high, chars = low, 0
-                    while high < len(picked) and chars < BLOCK_BYTES:
-                        chars += len(all_[picked[high]])
-                        high += 1
-                    block = picked[low:high]
-                    lines_ = [all_[k] for k in block]
-                    own, asked = maker.keys(lines_)
-                    sketch = maker.sketches(lines_).view(np.int64)
-                    keys = np.concatenate([own, asked], 1)
-                    there = keys != 0
-                    row = np.broadcast_to(np.arange(len(block))[:, None], keys.shape)[there]
-                    is_own = np.broadcast_to(np.arange(keys.shape[1]) < own.shape[1], keys.shape)[there]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[there].view(np.int64)), pa.array(ids[block][row]), pa.array(sizes[block][row].astype(np.int32)), pa.array(sketch[row]), pa.array(is_own)],
-                        ["key", "id", "n", "sketch", "own"],
-                    )
-                    low = high
+            batch = batch.take(pa.array(np.sort(np.unique(batch.column("id").to_numpy(zero_copy_only=False), return_index=True)[1])))
+            column, sizes = batch.column("text"), batch.column("n").to_numpy(zero_copy_only=False)
+            low = 0
+            while low < len(batch):
+                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), BLOCK_CHARS)))
+                part, n = column.slice(low, high - low).to_pylist(), sizes[low:high]
+                chars, pairs = (x.view(np.int64) for x in makers[0].sketches(part))
+                found: list[list[np.ndarray]] = [[], []]
+                for (least, most, _), maker in zip(tiers, makers, strict=True):
+                    inside = np.flatnonzero((n >= least) & (n <= most))
+                    if not len(inside):
+                        continue
+                    for out, keys in zip(found, maker.keys([part[k] for k in inside]), strict=True):
+                        whole = np.zeros((len(part), keys.shape[1]), np.uint64)
+                        whole[inside] = keys
+                        out.append(whole)
+                lists = []
+                for out in found:
+                    keys = np.concatenate([*out, np.zeros((len(part), 0), np.uint64)], 1)
+                    bounds = np.concatenate([[0], np.cumsum((keys != 0).sum(1))])
+                    lists.append(list_array(keys[keys != 0].view(np.int64), bounds, pa.int64()))
+                own = [c.slice(low, high - low) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(chars), pa.array(pairs), *lists], ["id", "n", "text", "chars", "pairs", "own", "asked"])
+                low = high
+            release()
 
     compared = lines.where(F.col("n") >= min(least for least, _, _ in tiers))
-    return compared.select("id", "n", "text").mapInArrow(run, "key long, id long, n int, sketch long, own boolean")
+    return compared.select("id", "n", "text").mapInArrow(
+        run, "id long, n int, text string, chars long, pairs long, own array<long>, asked array<long>"
+    )
 
 
-def may_be_within(n_a: Column, sketch_a: Column, n_b: Column, sketch_b: Column, grades: Grades) -> Column:
-    """Whether lengths and sketches allow the distance: an edit changes the counts of two kinds at most by one."""
+def entries(unique: DataFrame) -> DataFrame:
+    """(id, n, chars, pairs, key, own): each line under its segments (``own``) and under its probes."""
+    each = unique.select("id", "n", "chars", "pairs", F.size("own").alias("_own"), F.posexplode(F.concat("own", "asked")).alias("_at", "key"))
+    return each.withColumn("own", F.col("_at") < F.col("_own")).drop("_own", "_at")
+
+
+def may_be_within(a: str, b: str, grades: Grades) -> Column:
+    """Whether lengths and sketches of two rows, named by prefixes, allow the distance.
+
+    An edit turns at most two kinds of characters from odd to even or back, and four of neighbours.
+    """
 
-    def apart(kind: int) -> Column:
-        one, other = (F.shiftrightunsigned(s, 8 * kind).bitwiseAND(F.lit(255)) for s in (sketch_a, sketch_b))
-        return F.least(F.pmod(one - other, F.lit(256)), F.pmod(other - one, F.lit(256)))
+    def turned(name: str) -> Column:
+        return F.bit_count(F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}")))
 
-    total = apart(0)
-    for kind in range(1, 8):
-        total = total + apart(kind)
-    edits = grades.allowed_column(F.least(n_a, n_b))
-    return (F.abs(n_a - n_b) <= edits) & (total <= 2 * edits)
+    edits = grades.allowed_column(F.least(f"{a}n", f"{b}n"))
+    return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (turned("chars") <= 2 * edits) & (turned("pairs") <= 4 * edits)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, grades: Grades) -> DataFrame:
+def verified(pairs: DataFrame, unique: DataFrame, grades: Grades) -> DataFrame:
     """The pairs (a, b) of line ids whose lines are within the edits that their lengths allow."""
     pairs = staged(pairs)
     wanted = staged(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    content = staged(joined(lines.select("id", "text"), wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    found = merged(possible(unique.select("id", "text"), wanted, "id"), wanted, "id", "left_semi")
+    content = staged(found.groupBy("id").agg(F.first("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
             good = pa.array([within(x, y, grades.allowed(min(len(x), len(y)))) for x, y in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(good)
+            release()
 
     sides = [content.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
-    full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+    full = merged(merged(pairs, sides[0], "a"), sides[1], "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(run, "a long, b long")
 
 
@@ -244,26 +261,25 @@ def similar_lines(lines: DataFrame, grades: Grades) -> DataFrame:
     Lines under one key are first verified against a few of them. Only those that are then still
     in different classes meet each other.
     """
-    runs = meeting(entries(lines, grades), "key", "id")
-    leads = leaders(runs.where("own"), "key", "id", "n", "sketch")
-    close = may_be_within(F.col("n"), F.col("sketch"), F.col("lead.n"), F.col("lead.sketch"), grades)
-    ahead = runs.join(leads, "key").where((F.col("id") != F.col("lead.id")) & close)
+    unique = staged(unique_lines(lines, grades))
+    runs = meeting(entries(unique), "key", "id")
+    leads = leaders(runs.where("own"), "key", "id", "n", "chars", "pairs")
+    ahead = merged(runs, leads, "key").where((F.col("id") != F.col("lead.id")) & may_be_within("", "lead.", grades))
     tried = staged(ahead.select(*unordered("id", "lead.id")).distinct())
-    edges = staged(verified(tried, lines, grades))
+    edges = staged(verified(tried, unique, grades))
     roots = staged(components(edges))
-    known = joined(untried(runs, leads, "key", "own"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = merged(untried(runs, leads, "key", "own"), roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     known = staged(known)
     mixed_keys = known.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l != h").select("key")
-    open_ = staged(joined(known, staged(mixed_keys), "key", "left_semi"))
+    open_ = staged(merged(known, staged(mixed_keys), "key", "left_semi"))
     x, y = open_.where("own").alias("x"), open_.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") >= F.col("x.n"))
-    close = may_be_within(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), grades)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & close)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & may_be_within("x.", "y.", grades))
     met = met.select(*unordered("x.id", "y.id")).distinct().join(tried, ["a", "b"], "left_anti")
     met = staged(met)
     if not met.limit(1).count():
         return roots
-    more = staged(verified(met, lines, grades))
+    more = staged(verified(met, unique, grades))
     return staged(components(edges.union(more))) if more.limit(1).count() else roots
 
 
@@ -275,21 +291,26 @@ def repeated_lines(docs: DataFrame, grades: Grades) -> DataFrame:
     """
     lines = line_rows(docs.where("text IS NOT NULL").select("doc_id", "text"), grades)
     roots = similar_lines(lines, grades)
-    place = lines.select("id", "doc", "doc_id", "line")
-    classed = joined(place, roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    own = F.struct("doc_id", "doc", "line")
-    firsts = classed.groupBy("root").agg(F.min(own).alias("first"), F.max(own).alias("last"))
-    firsts = staged(firsts.where("NOT (first <=> last)").select("root", "first"))
-    later = joined(classed, firsts, "root").where(~F.struct("doc_id", "doc", "line").eqNullSafe(F.col("first")))
+    place = staged(lines.select("id", "doc", "doc_id", "line"))
+    linked = merged(possible(place, roots.withColumnRenamed("node", "id"), "id"), roots.withColumnRenamed("node", "id"), "id", "left")
+    alone = impossible(place, roots.withColumnRenamed("node", "id"), "id").withColumn("root", F.col("id"))
+    classed = staged(linked.withColumn("root", F.coalesce("root", "id")).unionByName(alone).drop("id"))
+    firsts = classed.groupBy("root").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("n"))
+    firsts = staged(firsts.where("n > 1").select("root", "first"))
+    later = merged(possible(classed, firsts, "root"), firsts, "root")
+    later = later.where(~F.struct("doc_id", "doc", "line").eqNullSafe(F.col("first")))
     return later.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _without(docs: DataFrame, grades: Grades) -> DataFrame:
-    gone = staged(repeated_lines(docs, grades))
+    gone = staged(repeated_lines(docs, grades)).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     marked = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    marked = joined(marked, gone.select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")), "_doc", "left")
+    # Documents that lose nothing, told by a map of the others, are not shuffled.
+    some = merged(possible(marked, gone, "_doc"), gone, "_doc", "left")
+    none = impossible(marked, gone, "_doc").withColumn("_gone", F.lit(None).cast("array<int>"))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    return marked.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    left = some.withColumn("_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return left.unionByName(none.withColumn("_text", F.col("text")))
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: int | None = None) -> DataFrame:

@@ -21,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import HashIndex, WordHasher, hashed_words, heaviest, list_array, matching, mixed, staged, texts
-from tablewright.llm.links import components, joined, leaders, meeting, unordered, untried
+from tablewright.llm.common import HashIndex, WordHasher, hashed_words, heaviest, list_array, mixed, release, staged, texts
+from tablewright.llm.links import components, leaders, matched, meeting, shuffled, unordered, untried
 
 WIDTH = 5
 PERCENT = 80
 # Shingles that stand last in the order, being frequent: a bound on what is sent to the tasks.
 # It changes the order, and with it the work, not the links.
 FREQUENT = 1 << 16
+# Bits of a set's sketch, which tells most sets apart before their texts are sent.
+SKETCH_BITS = 1024
+# Bytes of text that one step inside a task works on; a worker holds some hundred times that.
+STEP_BYTES = 1 << 18
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
@@ -56,17 +60,25 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH_BITS`` kinds of shingles a set holds an odd number of, in words of 64 bits."""
+    out = np.zeros(SKETCH_BITS // 64, np.uint64)
+    kind = own >> np.uint64(40)
+    np.bitwise_xor.at(out, (kind >> np.uint64(6)) % np.uint64(len(out)), np.uint64(1) << (kind & np.uint64(63)))
+    return out
+
+
 def frequent_shingles(docs: DataFrame, width: int, most: int, least: int = 4) -> np.ndarray:
     """The shingles most documents share, rarest first.
 
     Each batch of documents passes on what at least ``least`` of its documents hold, so little
     is shuffled; the counts only order the shingles.
     """
-    hasher = WordHasher()
+    hasher = WordHasher(block=STEP_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [s for _, _, h, b in hashed_words(batch.column(0), hasher) for s in shingles(h, b, width)]
+            own = [s for _, _, h, b in hashed_words(batch.column(0), hasher, STEP_BYTES) for s in shingles(h, b, width)]
             found, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], ["token", "n"]
@@ -79,19 +91,19 @@ def frequent_shingles(docs: DataFrame, width: int, most: int, least: int = 4) ->
 
 
 def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest of the set, gid of the group, tokens of its prefix).
+    """(doc_id, n, digest and sketch of the set, gid of the group, tokens of its prefix).
 
     A batch gives the prefix of a group once; its other members have an empty one.
     """
-    hasher = WordHasher()
+    hasher = WordHasher(block=STEP_BYTES)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = HashIndex(shared.value)
         for batch in batches:
             given: set[int] = set()
-            for low, high, hashes, bounds in hashed_words(batch.column("text"), hasher):
-                sizes, digests, gids, prefixes = [], [], [], []
+            for low, high, hashes, bounds in hashed_words(batch.column("text"), hasher, STEP_BYTES):
+                sizes, digests, gids, prefixes, sketches = [], [], [], [], []
                 for own in shingles(hashes, bounds, width):
                     at = index.find(own)
                     rare, common = own[at < 0], own[at >= 0][np.argsort(at[at >= 0])]
@@ -99,6 +111,7 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                     gid = hashlib.blake2b(prefix.tobytes() + len(own).to_bytes(8, "little"), digest_size=8).digest()
                     gid = int.from_bytes(gid, "little", signed=True)
                     sizes.append(len(own))
+                    sketches.append(parities(own))
                     digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     gids.append(gid)
                     prefixes.append(prefix[:0] if gid in given else prefix)
@@ -109,11 +122,13 @@ def signatures(docs: DataFrame, width: int, percent: int, frequent: np.ndarray)
                     [
                         batch.column("doc_id")[low:high], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                         pa.array(gids, pa.int64()), list_array(flat, ends, pa.int64()),
+                        list_array(np.concatenate(sketches).view(np.int64), np.arange(len(sizes) + 1) * (SKETCH_BITS // 64), pa.int64()),
                     ],
-                    ["doc_id", "n", "digest", "gid", "tokens"],
+                    ["doc_id", "n", "digest", "gid", "tokens", "sketch"],
                 )
+            release()
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, gid long, tokens array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest binary, gid long, tokens array<long>, sketch array<long>"
     return texts(docs, "doc_id").mapInArrow(run, schema)
 
 
@@ -129,29 +144,48 @@ def posted(sigs: DataFrame) -> DataFrame:
     return sigs.where("n > 0").select("gid", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
+def may_share(percent: int) -> Column:
+    """Whether two sketches allow the similarity: each bit they differ in is a shingle of one set only,
+    and of those similar sets have at most a share of their sizes' sum."""
+    apart = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    total = F.aggregate(apart, F.lit(0), lambda n, x: n + x)
+    return (100 + percent) * total <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set digests whose sets are similar, from the whole texts."""
-    pairs = staged(pairs)
+    """The pairs (a, b) of set digests whose sets are similar, from the whole texts.
+
+    Sketches leave most others out; a set's text is that of one document.
+    """
+    kept = staged(pairs)
+    for side in ("a", "b"):
+        own = nodes.select(F.col("digest").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        kept = shuffled(kept, own, side)
+    pairs = staged(kept.where(may_share(percent)).select("a", "b"))
     wanted = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct())
-    reps = staged(joined(nodes.select("digest", "rep"), wanted, "digest", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    hasher = WordHasher()
+    reps = staged(shuffled(nodes.select("digest", "rep"), wanted, "digest", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    hasher = WordHasher(block=STEP_BYTES)
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
                 hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                for _, _, h, b in hashed_words(batch.column(0), hasher) for s in shingles(h, b, width)
+                for _, _, h, b in hashed_words(batch.column(0), hasher, STEP_BYTES) for s in shingles(h, b, width)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(0)], ["digest", "text"])
+            release()
 
-    content = matching(texts(docs, "doc_id"), reps, "doc_id", "left_semi").select("text")
+    content = matched(texts(docs, "doc_id"), reps, "doc_id", "left_semi").select("text")
     content = staged(content.mapInArrow(with_digest, "digest binary, text string"))
+    # An id may stand on several rows, of one set or of others: a text for each set that is asked for.
+    content = shuffled(content, wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    content = staged(content)
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: list[list[np.ndarray]] = []
             for name in ("text_a", "text_b"):
-                sets.append([s for _, _, h, b in hashed_words(batch.column(name), hasher) for s in shingles(h, b, width)])
+                sets.append([s for _, _, h, b in hashed_words(batch.column(name), hasher, STEP_BYTES) for s in shingles(h, b, width)])
             good = []
             for own, other in zip(*sets, strict=True):
                 small, large = (own, other) if len(own) < len(other) else (other, own)
@@ -159,9 +193,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
                 good.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            release()
 
     sides = [content.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
-    full = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
+    full = shuffled(shuffled(pairs, sides[0], "a"), sides[1], "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(similar, "a binary, b binary")
 
 
@@ -179,36 +214,36 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     sigs = staged(signatures(docs, width, percent, frequent_shingles(docs, width, frequent)))
     full = sigs.where("n > 0")
-    nodes = staged(full.groupBy("gid", "digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set")))
+    nodes = staged(full.groupBy("gid", "digest", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"), F.first("sketch").alias("sketch")))
     centers = staged(nodes.groupBy("gid").agg(F.min("digest").alias("center"), F.count("*").alias("sets")))
     runs = meeting(posted(sigs), "token", "gid")
 
     # Each group with a few under each of its shingles, each member with the group's first.
     leads = leaders(runs, "token", "gid", "n", "pos")
-    ahead = runs.join(leads, "token").where(F.col("gid") != F.col("lead.gid"))
+    ahead = shuffled(runs, leads, "token").where(F.col("gid") != F.col("lead.gid"))
     ahead = ahead.where(may_be_similar(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
     ahead = staged(ahead.select("gid", F.col("lead.gid").alias("other")).distinct())
     members = nodes.select("gid", "digest")
     first = centers.select(F.col("gid").alias("other"), "center")
-    star = joined(joined(members, ahead, "gid"), first, "other").select(*unordered("digest", "center"))
-    inside = joined(members, centers.where("sets > 1"), "gid").where("digest != center").select(*unordered("digest", "center"))
+    star = shuffled(shuffled(members, ahead, "gid"), first, "other").select(*unordered("digest", "center"))
+    inside = shuffled(members, centers.where("sets > 1"), "gid").where("digest != center").select(*unordered("digest", "center"))
     tried = staged(star.union(inside).distinct())
     edges = staged(verified(tried, nodes, docs, width, percent))
     roots = staged(components(edges))
 
     # What is left: groups that meet and have members in different classes.
     labelled = staged(
-        joined(members, roots.withColumnRenamed("node", "digest"), "digest", "left").select("gid", "digest", F.coalesce("root", "digest").alias("root"))
+        shuffled(members, roots.withColumnRenamed("node", "digest"), "digest", "left").select("gid", "digest", F.coalesce("root", "digest").alias("root"))
     )
     spans = staged(labelled.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-    open_runs = joined(untried(runs, leads, "token"), spans, "gid")
+    open_runs = shuffled(untried(runs, leads, "token"), spans, "gid")
     mixed_tokens = open_runs.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("token")
-    open_runs = staged(joined(open_runs, staged(mixed_tokens), "token", "left_semi"))
+    open_runs = staged(shuffled(open_runs, staged(mixed_tokens), "token", "left_semi"))
     if open_runs.limit(1).count():
         x, y = open_runs.alias("x"), open_runs.alias("y")
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
         close = may_be_similar(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & close)
+        met = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & close)
         met = met.select(F.col("x.gid").alias("gid"), F.col("y.gid").alias("other"))
     else:
         met = None
@@ -216,21 +251,21 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     met = staged(within if met is None else met.union(within).distinct())
     if met.limit(1).count():
         others = labelled.select(F.col("gid").alias("other"), F.col("digest").alias("b"), F.col("root").alias("root_b"))
-        rest = labelled.withColumnRenamed("digest", "a").join(met, "gid").join(others, "other").where("root != root_b")
+        rest = shuffled(shuffled(labelled.withColumnRenamed("digest", "a"), met, "gid"), others, "other").where("root != root_b")
         rest = rest.select(*unordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = staged(verified(rest, nodes, docs, width, percent))
         if more.limit(1).count():
             roots = staged(components(edges.union(more)))
 
     # A class has its smallest id; a set without links is a class of its own.
-    known = joined(
+    known = shuffled(
         nodes.select("digest", "rep", "same_set"), roots.withColumnRenamed("node", "digest"), "digest", "left"
     ).withColumn("root", F.coalesce("root", "digest"))
     known = staged(known)
     lowest = staged(known.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = staged(joined(known, lowest, "root").select("digest", "component_id", "same_set"))
+    named = staged(shuffled(known, lowest, "root").select("digest", "component_id", "same_set"))
     ids = sigs.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    out = joined(ids, named, "digest", "left")
+    out = shuffled(ids, named, "digest", "left")
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -241,14 +276,19 @@ def similarity_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents, columns unchanged, with one of each class: that with the smallest id.
 
-    Rows that share an id are one document, of which one row stays; rows without an id are kept.
+    Rows that share an id are one document, of which one row stays, the same on every run; rows
+    without an id are kept.
     """
     classes = staged(similarity_classes(docs, width, percent))
     gone = classes.where("doc_id != component_id").select("doc_id")
-    kept = matching(docs, staged(gone), "doc_id", "left_anti")
+    kept = matched(docs, staged(gone), "doc_id", "left_anti")
     repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     repeated = staged(repeated)
     if not repeated.limit(1).count():
         return kept
-    twice = matching(kept, repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return matching(kept, repeated, "doc_id", "left_anti").union(twice)
+    twice = matched(kept, repeated, "doc_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # Of an id's rows that with the smallest digest of its text, then of its source, stays: the same on every run.
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), *[F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("text", "doc_id")])
+    twice = twice.groupBy("doc_id").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    return matched(kept, repeated, "doc_id", "left_anti").unionByName(twice)
