@@ -10,21 +10,26 @@ ranked by the exact inner product of the original vectors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import staged
 
-# Rows that the centres are fitted on, and queries that the number of visited lists is fitted on.
+# Rows that the centres are fitted on: so many, or so many a list, up to a bound; and queries
+# that the number of visited lists is fitted on.
 SAMPLE_ROWS = 20_000
+ROWS_A_CENTRE = 20
+MOST_SAMPLE_ROWS = 400_000
 SAMPLE_QUERIES = 100
+# Rows of a list while there are few lists; beyond so many lists they grow with the root of the rows.
 LIST_ROWS = 1000
-MOST_LISTS = 1024
+FEW_LISTS = 1024
 # Vectors and queries that meet in one task.
 SHARD_ROWS = 16_384
 QUERY_ROWS = 4_096
@@ -35,6 +40,8 @@ STEP = 16
 STRICTNESS = 2.1
 # Queries and vectors that are compared at once.
 TILE = 256
+# Distances to centres that are held at once.
+ORDER_CELLS = 1 << 21
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -72,7 +79,7 @@ class Layout:
         kinds = np.unique(points, axis=0)
         centres = kinds[rng.permutation(len(kinds))[:lists]]
         for _ in range(rounds):
-            near = cls(rotation, reach, centres).order(points)[:, 0]
+            near = cls(rotation, reach, centres).order(points, 1)[:, 0]
             sums = np.stack([np.bincount(near, points[:, k], len(centres)) for k in range(size)], 1)
             n = np.bincount(near, minlength=len(centres))
             centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -82,20 +89,38 @@ class Layout:
         rest = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.reach - (v * v).sum(1), 0))
         return np.hstack([v, rest[:, None]]) @ self.rotation
 
-    def order(self, points: np.ndarray) -> np.ndarray:
-        """The lists of each turned vector, nearest first."""
-        apart = (self.centres**2).sum(1)[None, :] - 2 * points @ self.centres.T
-        return np.argsort(apart, axis=1, kind="stable")
+    def order(self, points: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The ``most`` nearest lists of each turned vector, or all, nearest first."""
+        lists = len(self.centres)
+        out = np.empty((len(points), min(most or lists, lists)), np.int64)
+        squares, step = (self.centres**2).sum(1), max(1, ORDER_CELLS // lists)
+        for low in range(0, len(points), step):
+            apart = squares[None, :] - 2 * points[low : low + step] @ self.centres.T
+            if most == 1:
+                out[low : low + step, 0] = apart.argmin(1)
+            else:
+                out[low : low + step] = np.argsort(apart, axis=1, kind="stable")[:, : out.shape[1]]
+        return out
+
+    def parts(self) -> tuple:
+        """What a broadcast carries: plain arrays, which a worker reads without this package."""
+        return self.rotation, self.reach, self.centres, self.visits
+
+
+def lists_for(rows: int) -> int:
+    """One list for every ``LIST_ROWS`` rows up to ``FEW_LISTS``, then the root of the rows if that is more."""
+    return max(1, min(rows // LIST_ROWS, max(FEW_LISTS, math.isqrt(rows))))
 
 
 def with_lists(rows: DataFrame, layout: Layout, visits: int, query: bool) -> DataFrame:
     """(id, v, lists): each vector with its ``visits`` nearest lists."""
-    shared = rows.sparkSession.sparkContext.broadcast(layout)
+    shared = rows.sparkSession.sparkContext.broadcast(layout.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Layout(*shared.value)
         for batch in batches:
             if len(batch):
-                near = shared.value.order(shared.value.turned(matrix(batch.column("v")), query))[:, :visits]
+                near = plan.order(plan.turned(matrix(batch.column("v")), query), visits)
                 lists = pa.ListArray.from_arrays(
                     pa.array((np.arange(len(near) + 1) * near.shape[1]).astype(np.int32)), pa.array(near.ravel().astype(np.int32))
                 )
@@ -118,15 +143,16 @@ def visits_needed(rows: DataFrame, queries: DataFrame, layout: Layout, k: int) -
     if not sample.num_rows:
         return 1
     ids, q = sample.column("id").to_numpy(), matrix(sample.column("v"))
-    shared = rows.sparkSession.sparkContext.broadcast((layout, ids, q))
+    shared = rows.sparkSession.sparkContext.broadcast((layout.parts(), ids, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, own, asked = shared.value
+        parts, own, asked = shared.value
+        plan = Layout(*parts)
         for batch in batches:
             v, at = matrix(batch.column("v")), batch.column("id").to_numpy()
             if not len(v):
                 continue
-            near = plan.order(plan.turned(v))[:, 0]
+            near = plan.order(plan.turned(v), 1)[:, 0]
             scores = asked @ v.T
             for row, query in enumerate(own):
                 scores[row, at == query] = -np.inf
@@ -162,6 +188,24 @@ def shards(sizes: dict[int, int], rows: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def numbers(values: list[int]) -> Column:
+    """An array of numbers as one literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def met_in_parts(placed: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``part``: the queries of a shard dealt to slices, its vectors copied to those.
+
+    A shard has as many slices as its own queries fill, so the copies of a vector follow from how
+    many queries visit its list and not from how many there are. Vectors that nobody visits go.
+    """
+    asked = {r[0]: r[1] for r in wanted.groupBy("shard").count().collect()}
+    slices = numbers([-(-asked.get(shard, 0) // QUERY_ROWS) for shard in range(max(asked, default=0) + 1)])
+    here = F.coalesce(F.get(slices, "shard"), F.lit(0))
+    placed = placed.where(here > 0).withColumn("part", F.explode(F.sequence(F.lit(0), (here - 1).cast("int"))))
+    return placed, wanted.withColumn("part", F.pmod(F.xxhash64("id"), here).cast("int"))
+
+
 def scan(layout: Layout, ids: np.ndarray, v: np.ndarray, own: np.ndarray, query_ids: np.ndarray, q: np.ndarray, lists: list[np.ndarray], k: int):
     """(query's number, vector's number, score) of each query's best among its lists' vectors here."""
     x, turned = layout.turned(v), layout.turned(q, True)
@@ -231,28 +275,28 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec
     rows = rows.where(F.size("v") == lengths["n"])
     reach = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
-    layout = Layout.fit(matrix(sample.column("v")), reach, max(1, min(MOST_LISTS, lengths["rows"] // LIST_ROWS)))
+    lists = lists_for(lengths["rows"])
+    fitted = min(MOST_SAMPLE_ROWS, max(SAMPLE_ROWS, ROWS_A_CENTRE * lists))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fitted).toArrow()
+    layout = Layout.fit(matrix(sample.column("v")), reach, lists)
     visits = visits_needed(rows, asked, layout, k)
 
-    placed = staged(with_lists(rows, layout, 1, False).select("id", "v", F.col("lists")[0].alias("list")))
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    placed = staged(with_lists(rows, layout, 1, False).select("id", "v", F.col("lists")[0].alias("list"), salt.alias("salt")))
     sizes = {r[0]: r[1] for r in placed.groupBy("list").count().collect()}
-    where = shards(sizes, SHARD_ROWS)
-    first = F.create_map(*[F.lit(x) for own, shard, _ in where for x in (own, shard)])
-    parts = F.create_map(*[F.lit(x) for own, _, n in where for x in (own, n)])
-    placed = placed.withColumn("shard", first[F.col("list")] + F.pmod(F.xxhash64("id", "v"), parts[F.col("list")]).cast("int"))
-    wanted = staged(with_lists(asked, layout, visits, True))
-    query_parts = max(1, -(-wanted.count() // QUERY_ROWS))
-    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    where = {own: (shard, n) for own, shard, n in shards(sizes, SHARD_ROWS)}
+    first = numbers([where.get(own, (-1, 0))[0] for own in range(lists)])
+    parts = numbers([where.get(own, (-1, 0))[1] for own in range(lists)])
+    placed = placed.withColumn("shard", F.get(first, "list") + F.pmod("salt", F.get(parts, "list")))
     visited = F.flatten(
         F.transform(
-            F.filter("lists", lambda x: first[x].isNotNull()),
-            lambda x: F.sequence(first[x], first[x] + parts[x] - 1),
+            F.filter("lists", lambda x: F.get(first, x) >= 0),
+            lambda x: F.sequence(F.get(first, x), F.get(first, x) + F.get(parts, x) - 1),
         )
     )
-    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_parts)).cast("int"))
-    wanted = wanted.withColumn("shard", F.explode(F.array_distinct(visited)))
-    shared = spark.sparkContext.broadcast(layout)
+    wanted = staged(with_lists(asked, layout, visits, True).withColumn("shard", F.explode(F.array_distinct(visited))))
+    placed, wanted = met_in_parts(placed.drop("salt"), wanted)
+    shared = spark.sparkContext.broadcast(layout.parts())
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -260,7 +304,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec
         ids, query_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
         lists = [np.array(x) for x in right.column("lists").to_pylist()]
         row, at, score = scan(
-            shared.value, ids, matrix(left.column("v")), left.column("list").to_numpy(), query_ids, matrix(right.column("v")), lists, k
+            Layout(*shared.value), ids, matrix(left.column("v")), left.column("list").to_numpy(), query_ids, matrix(right.column("v")), lists, k
         )
         return pa.table({"query_id": query_ids[row], "vec_id": ids[at], "score": score})
 
