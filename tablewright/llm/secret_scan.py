@@ -22,7 +22,7 @@ WINDOW = 20
 # Character classes of the entropy windows and the bits per character a secret has at least:
 # a random window of 20 has about 3.5 bits in the first and 4.1 in the second class.
 CLASSES = {"hex": (r"[0-9a-fA-F]+", 3.1), "base64": (r"[A-Za-z0-9+/_-]+={0,2}", 3.8)}
-# Candidates that are no secrets, however mixed: words, numbers, UUIDs, paths and dashed words.
+# Candidates that are no secrets: words, numbers, UUIDs, paths and dashed words.
 ALLOWED = (
     r"[A-Za-z]+",
     r"[0-9_-]+",
@@ -30,9 +30,20 @@ ALLOWED = (
     r"[/_=+-]*([A-Za-z]+[0-9]{0,4}[/_=+-]+)*[A-Za-z]*[0-9]{0,4}",
 )
 
+# Words have few capitals after a small letter: one in so many letters. Random letters have one in
+# four, so that mixed case is judged by its entropy.
+LETTERS_A_CAPITAL = 7
+INNER_CAPITAL = re.compile("[a-z][A-Z]")
+
 Span = tuple[int, int, int]
 
 
+def cased_as_words(text: str) -> bool:
+    """Whether the letters are cased as words are: small, capital, capitalised, or joined by a few capitals."""
+    capitals = len(INNER_CAPITAL.findall(text))
+    return not capitals or LETTERS_A_CAPITAL * capitals <= sum(map(str.isalpha, text))
+
+
 def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]]:
     """Unions of the windows of ``width`` whose Shannon entropy is at least ``least`` bits.
 
@@ -89,7 +100,7 @@ class Scanner:
     def entropy(self, text: str) -> list[Span]:
         found: set[tuple[int, int]] = set()
         for m in self.candidate.finditer(text):
-            if m[0].isalpha() or (self.allowed and self.allowed.fullmatch(m[0])):
+            if self.allowed and self.allowed.fullmatch(m[0]) and cased_as_words(m[0]):
                 continue
             for pattern, least in self.classes:
                 for run in pattern.finditer(m[0]):
