@@ -252,6 +252,12 @@ def train(sample: DataFrame, size: int, rounds: int, ridge: float = 1e-3, settle
     return at * scale
 
 
+def sampled(whole: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """(_key, text): at most ``rows`` documents, those with the smallest keys; equal rows are one."""
+    keys = marked.select("_key").orderBy("_key").limit(rows)
+    return matching(whole, keys, "_key", "left_semi").dropDuplicates(["_key"]).select("_key", "text")
+
+
 def quality_scores(
     docs: DataFrame, rows: int = TRAINING_ROWS, size: int = FEATURES, rounds: int = ROUNDS, keep_at: float = KEEP_AT
 ) -> DataFrame:
@@ -260,9 +266,9 @@ def quality_scores(
     ``votes`` has a letter for each heuristic (good, bad, abstains), ``posterior`` is the weak-label
     model's P(good), ``score`` the linear scorer's; ``kept`` is ``score >= keep_at``. The counts
     behind the weak-label model are of all documents and have at most 3 to the number of heuristics
-    rows; the scorer is fitted on at most ``rows`` documents. Null and repeated ids keep their rows
-    (those without an id are not in the sample); a null or empty text has no words and the
-    scorer's base chance. Other columns are ignored; no documents, no rows.
+    rows; the scorer is fitted on at most ``rows`` documents, those with the smallest hashes, equal
+    rows taken as one. Null and repeated ids keep their rows; a null or empty text has no words and
+    the scorer's base chance. Other columns are ignored; no documents, no rows.
     """
     spark = docs.sparkSession
     whole = texts(docs, "doc_id").withColumn("_key", F.xxhash64("doc_id", "text"))
@@ -273,8 +279,7 @@ def quality_scores(
     patterns = [p for p, _ in counted]
     chances = dict(zip(patterns, model.posterior(patterns).tolist(), strict=True))
 
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = staged(matching(whole, ids, "doc_id", "left_semi")).join(marked, "_key")
+    picked = staged(sampled(whole, marked, rows)).join(marked, "_key")
     shared = spark.sparkContext.broadcast(chances)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
