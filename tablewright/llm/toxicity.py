@@ -42,8 +42,8 @@ class SeverityModel:
 def labelled_words(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(toxic, words): distinct word hashes of up to ``rows`` labelled documents of each class.
 
-    Contradicting labels of one id count as toxic; ids without a document drop out, and a
-    repeated document counts each time.
+    Contradicting labels of one id count as toxic; ids without a document drop out. An id counts
+    once, with the text of the smallest hash, however many rows repeat it.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -62,7 +62,10 @@ def labelled_words(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
                     [batch.column("toxic")[low:high], list_array(flat, ends, pa.int64())], ["toxic", "words"]
                 )
 
-    joined = texts(docs, "doc_id").join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int"), "text")
+    sample = F.broadcast(staged(sample.select("doc_id", F.col("toxic").cast("int"))))
+    whole = texts(docs, "doc_id").withColumn("_text", F.xxhash64("text")).join(sample, "doc_id")
+    one = F.broadcast(whole.groupBy("doc_id").agg(F.min("_text").alias("_text")))
+    joined = whole.join(one, ["doc_id", "_text"]).dropDuplicates(["doc_id"]).select("toxic", "text")
     return joined.mapInArrow(run, "toxic int, words array<long>")
 
 
