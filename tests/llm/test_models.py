@@ -1,6 +1,9 @@
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -128,6 +131,50 @@ def test_one_vector_in_many_rows(spark, monkeypatch):
     assert len(found) == 5 and {r.score for r in found} == {1.0} and [r.vec_id for r in found] == [0, 1, 2, 3, 4]
 
 
+def test_copies_follow_the_visits_of_a_list(spark, monkeypatch):
+    """Copies of a vector do not grow with the number of queries, only with those of its own shard."""
+    from tablewright.llm import vector_search
+
+    monkeypatch.setattr(vector_search, "QUERY_ROWS", 10)
+    for shards_ in (4, 40):
+        placed = spark.range(shards_ * 30).selectExpr("id", f"id % {shards_} AS shard")
+        wanted = spark.range(shards_ * 25).selectExpr("id", f"id % {shards_} AS shard").where("shard <> 3")
+        left, right = vector_search.met_in_parts(placed, wanted)
+        assert left.count() == 3 * (shards_ - 1) * 30 and right.count() == 25 * (shards_ - 1)
+        met = left.alias("l").join(right.alias("r"), ["shard", "part"]).selectExpr("l.id AS v", "r.id AS q")
+        assert met.count() == met.distinct().count() == (shards_ - 1) * 30 * 25
+    none = spark.range(0).selectExpr("id", "id AS shard")
+    assert [d.count() for d in vector_search.met_in_parts(placed, none)] == [0, 0]
+
+
+def test_lists_grow_with_the_rows():
+    from tablewright.llm.vector_search import Layout, lists_for
+
+    assert [lists_for(n) for n in (0, 999, 5_000, 1_024_000, 10_000_000, 10**8)] == [1, 1, 5, 1024, 3162, 10_000]
+    rng = np.random.default_rng(1)
+    layout = Layout.fit(rng.standard_normal((300, 7)), 60.0, 20)
+    points = layout.turned(rng.standard_normal((50, 7)) * 0.1)
+    whole = layout.order(points)
+    assert (layout.order(points, 1)[:, 0] == whole[:, 0]).all() and (layout.order(points, 3) == whole[:, :3]).all()
+
+
+def test_workers_need_no_package(tmp_path, data):
+    """From a foreign folder, where workers cannot import the package."""
+    script = f"""
+import sys
+sys.path[:0] = [{os.path.dirname(entry.__file__)!r}]
+from tablewright.session import local_session
+from tablewright.llm.lm_scoring import lm_scores
+from tablewright.llm.vector_search import neighbours
+spark = local_session("foreign", 2, "2g")
+print(neighbours(spark.read.parquet({data!r} + "/embeddings.parquet")).count(), lm_scores(spark.read.parquet({data!r} + "/documents.parquet").limit(20)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.split()[-1] == "20"
+
+
 def test_shards_bound_rows():
     assert shards({0: 10, 1: 5, 2: 100, 3: 4, 4: 9}, 16) == [(0, 0, 1), (1, 0, 1), (2, 1, 7), (3, 8, 1), (4, 8, 1)]
     assert shards({}, 16) == []

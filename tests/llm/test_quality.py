@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tablewright.llm.quality_classifier import LabelModel, fit_labels, quality_scores
+from tablewright.llm.quality_classifier import LabelModel, fit_labels, quality_scores, sampled
 from tablewright.llm.quality_rules import quality_rules, trusted_documents
-from tablewright.llm.toxicity import fit_ordinal, fit_severity, severity, without_toxic
+from tablewright.llm.toxicity import fit_ordinal, fit_severity, labelled_words, severity, without_toxic
 
 
 def rules(text):
@@ -137,3 +137,28 @@ def test_toxicity_on_odd_rows(spark, odd, clashing, frame):
     none = fit_severity(odd.limit(0), labels)
     assert none is None and {r.severity for r in severity(odd, none).collect()} == {0.0}
     assert severity(odd.limit(0), model).count() == 0
+
+
+def test_repeated_rows_stay_within_the_samples(spark, frame):
+    rows = [(i, f"text {i}") for i in range(30)]
+    docs = frame(rows + [(5, f"text {i}") for i in range(300)] + [(6, "text 6")] * 300)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)] * 2, "doc_id long, quality int, toxic int")
+    words = labelled_words(docs, labels, 10)
+    assert {r.toxic: r["count"] for r in words.groupBy("toxic").count().collect()} == {0: 10, 1: 10}
+    assert labelled_words(docs, labels, 1000).count() == 30
+    whole = docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS _key")
+    marked = whole.groupBy("_key").count()
+    found = [r._key for r in sampled(whole, marked, 50).collect()]
+    assert sorted(found) == sorted(r._key for r in marked.collect())[:50]
+    assert quality_scores(docs, rows=20).count() == 630
+
+
+def test_very_long_texts(spark, frame):
+    long_ = " ".join(f"gruntles {i} of the day." for i in range(200_000))
+    docs = frame([(i, f"text number {i} about " + ("gruntles" if i < 20 else "flowers")) for i in range(40)] + [(50, long_), (51, long_ + " more")])
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(40)] + [(50, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in severity(docs, fit_severity(docs, labels)).collect()}
+    assert len(got) == 42 and got[50].toxic and got[51].toxic
+    rules_ = {r.doc_id: r.n_words for r in quality_rules(docs, trusted_documents(docs, labels)).where("doc_id >= 50").collect()}
+    assert rules_ == {50: 1_000_000, 51: 1_000_001}
+    assert quality_scores(docs).where("doc_id >= 50").count() == 2
