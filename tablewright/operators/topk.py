@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.session import work_folder
+from tablewright.session import is_scan, work_folder
 
 # --- Fixed values -------------------------------------------------------------------
 DEFAULT_K = 5
@@ -35,6 +35,13 @@ BROADCAST_BYTES = 64 << 20
 # Hits, an id and a number each, that may be sent to every task to pick up their texts.
 BROADCAST_HITS = 500_000
 TILE_CELLS = 4 << 20
+# Queries and vectors whose products are looked at together; the first vectors only set the bar.
+QUERY_TILE = 256
+HELD_TILE = 8192
+FIRST_TILE = 1024
+# Pairs of a task where the index is in blocks: no less, however many cores, and no more.
+LEAST_PAIRS = 200_000_000
+MOST_PAIRS = 32_000_000_000
 # Signs along random directions that bring like vectors into one block.
 NEAR_BITS = 16
 # Bytes of the blocks' bounds that may always be sent to the tasks.
@@ -54,6 +61,7 @@ class Vectors:
         self.rows: dict[int, np.ndarray] = {}
         self.matrix: dict[int, np.ndarray] = {}
         self.norms: dict[int, np.ndarray] = {}
+        self._directions: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
         for length in map(int, np.unique(lengths)):
             rows = np.flatnonzero(lengths == length)
             if len(rows) == self.count:
@@ -66,6 +74,26 @@ class Vectors:
             norms[norms == 0] = np.inf
             self.rows[length], self.matrix[length], self.norms[length] = rows, matrix, norms
 
+    def unit(self, length: int, rows: np.ndarray) -> np.ndarray:
+        """Directions of rows of one length in single precision; one that is no number is similar to nothing."""
+        with np.errstate(invalid="ignore", over="ignore"):
+            found = (self.matrix[length][rows] / self.norms[length][rows, None]).astype(np.float32)
+        return np.nan_to_num(found, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
+
+    def directions(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Per length the rows' places in the order of their ids, and their directions in that order."""
+        if self._directions is None:
+            place = np.empty(self.count, np.int64)
+            place[pc.sort_indices(self.ids).to_numpy()] = np.arange(self.count)
+            self._directions = {}
+            for length, rows in self.rows.items():
+                order = np.argsort(place[rows], kind="stable")
+                units = np.empty((len(order), length), np.float32)
+                for start in range(0, len(order), HELD_TILE):
+                    units[start : start + HELD_TILE] = self.unit(length, order[start : start + HELD_TILE])
+                self._directions[length] = order, units
+        return self._directions
+
     def similarity(self, start: int, stop: int, others: Vectors) -> np.ndarray:
         """Cosine of own rows ``start:stop`` with all of ``others``; 0 where lengths differ."""
         out = None
@@ -92,19 +120,77 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(keep)).append_column("rank", pa.array(place[keep] + 1, pa.int32()))
 
 
+SLACK = 0.51 * 10.0**-SIMILARITY_DIGITS
+
+
+def _folded(score: np.ndarray, place: np.ndarray, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+    """Takes new scores of queries into the best k of each, ties to the smaller place."""
+    k = score.shape[1]
+    rows, own = np.unique(q, return_inverse=True)
+    q = np.concatenate([np.repeat(np.arange(len(rows)), k), own])
+    s, i = np.concatenate([score[rows].ravel(), s]), np.concatenate([place[rows].ravel(), i])
+    order = np.lexsort((i, -s, q))
+    q = q[order]
+    order = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < k]
+    score[rows], place[rows] = s[order].reshape(-1, k), i[order].reshape(-1, k)
+
+
+def _near(queries: Vectors, batch: Vectors, k: int, threshold: float, cut: np.ndarray) -> Iterator[pa.Table]:
+    """The best k rows of ``batch`` of each query that reach its ``cut``, in order of query, similarity and id.
+
+    Products in single precision, whose error is bounded, leave out what is surely below the cut or
+    the best k so far; what remains is computed in full. The rows come by id, so that a later one
+    must be better, not as good.
+    """
+    held = batch.directions()
+    for length, rows in queries.rows.items():
+        if length == 0 or length not in held:
+            continue
+        order, units = held[length]
+        matrix, norms = batch.matrix[length], batch.norms[length]
+        error = (length + 8) * 2.0**-24
+        for low in range(0, len(rows), QUERY_TILE):
+            mine = np.arange(low, min(low + QUERY_TILE, len(rows)))
+            asked, own, sizes = queries.unit(length, mine), queries.matrix[length][mine], queries.norms[length][mine]
+            score, place = np.full((len(mine), k), -np.inf), np.full((len(mine), k), -1, np.int64)
+            least = np.maximum(cut[rows[mine]], threshold) - error
+            start = 0
+            while start < len(order):
+                stop = min(start + (HELD_TILE if start else FIRST_TILE), len(order))
+                near = asked @ units[start:stop].T
+                bound = np.maximum(least, score[:, -1] + 0.49 * 10.0**-SIMILARITY_DIGITS - error)
+                if not start and stop > k:
+                    last = np.partition(near, stop - k, axis=1)[:, stop - k].astype(np.float64) - error
+                    bound = np.maximum(bound, np.round(last, SIMILARITY_DIGITS) - SLACK - error)
+                found = np.flatnonzero(near >= bound.astype(np.float32)[:, None])
+                step = max(1, TILE_CELLS // 4 // length)
+                for part in (found[at : at + step] for at in range(0, len(found), step)):
+                    q, i = np.divmod(part, stop - start)
+                    at = order[start + i]
+                    exact = np.einsum("ij,ij->i", own[q], matrix[at]) / (sizes[q] * norms[at])
+                    exact, good = np.round(exact, SIMILARITY_DIGITS), exact >= threshold
+                    good &= exact > score[q, -1]
+                    if good.any():
+                        _folded(score, place, q[good], start + i[good], exact[good])
+                start = stop
+            q, n = np.nonzero(place >= 0)
+            if len(q):
+                ids = batch.ids.take(pa.array(batch.rows[length][order[place[q, n]]]))
+                yield pa.table({"query": rows[mine][q], "similarity": score[q, n], "id": ids})
+
+
 def _matches(queries: Vectors, batch: Vectors, k: int, threshold: float) -> Iterator[pa.Table]:
-    """Rows of ``batch`` that can be among each query's best k there.
+    """Rows of ``batch`` that can be among each query's best k there, where 0 reaches the threshold.
 
     The cut is half a rounding step below the k-th value, so all that round to it are kept.
     """
     step = max(1, TILE_CELLS // max(1, batch.count))
-    slack = 0.51 * 10.0**-SIMILARITY_DIGITS
     for start in range(0, queries.count, step):
         exact = queries.similarity(start, min(start + step, queries.count), batch)
         cut = np.full((len(exact), 1), threshold)
         if batch.count > k:
             last = np.partition(exact, batch.count - k, axis=1)[:, batch.count - k, None]
-            cut = np.maximum(cut, np.round(last, SIMILARITY_DIGITS) - slack)
+            cut = np.maximum(cut, np.round(last, SIMILARITY_DIGITS) - SLACK)
         q, i = np.nonzero(exact >= cut)
         score = np.round(exact[q, i], SIMILARITY_DIGITS)
         yield pa.table({"query": q + start, "similarity": score, "id": batch.ids.take(pa.array(i))})
@@ -147,12 +233,26 @@ def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:
 def scan_best(queries: Vectors, stream: Iterator[Vectors], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The best k per query over a stream of index batches, holding about k rows per query."""
     best, waiting, rows = None, [], 0
+    top, cut, latest = None, np.full(queries.count, threshold, np.float64), []
     for batch in stream:
-        for found in _matches(queries, batch, k, threshold):
+        if latest:
+            # What the batches so far hold is the bar for the next one.
+            top = np.full((queries.count, k), -np.inf) if top is None else top
+            for found in latest:
+                q = found.column("query").to_numpy()
+                own, n = np.unique(q, return_counts=True)
+                new = np.full((len(own), 2 * k), -np.inf)
+                new[:, :k] = top[own]
+                new[np.repeat(np.arange(len(own)), n), k + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)] = found.column("similarity").to_numpy()
+                top[own] = np.partition(new, k, axis=1)[:, k:]
+            cut = np.maximum(threshold, top.min(axis=1) - SLACK)
+        latest = []
+        for found in _near(queries, batch, k, threshold, cut) if threshold > 0 else _matches(queries, batch, k, threshold):
             waiting.append(found)
+            latest += [found] if threshold > 0 else []
             rows += found.num_rows
             # Many copies of one vector all tie at the cut, so a tile may pass on many rows.
-            if rows > max(TILE_CELLS // 4, 4 * k * queries.count):
+            if rows > max(TILE_CELLS // 4, 2 * k * queries.count):
                 best, waiting, rows = _merge(best, waiting, k), [], 0
     best = _merge(best, waiting, k)
     if best is not None and best.num_rows:
@@ -197,13 +297,30 @@ def topk_rows(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _staged(rows: DataFrame) -> DataFrame:
+    path = work_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _held_once(side: DataFrame) -> DataFrame:
+    """What is not simply read, as vectors from a model, is written, so that it is not made for each look at it."""
+    return side if is_scan(side) else _staged(side)
+
+
+def _over_cores(side: DataFrame) -> DataFrame:
+    """Rows in enough parts for all cores: their bytes are few beside the work on them."""
+    parts = 2 * side.sparkSession.sparkContext.defaultParallelism
+    return side.repartition(parts) if side._jdf.rdd().getNumPartitions() < parts else side
+
+
 def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scan_best(_asked(shared.value), map(_held, _tables(batches)), k, threshold)
 
-    return topk_rows(index.mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)), k)
+    return topk_rows(_over_cores(index).mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)), k)
 
 
 def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -214,14 +331,15 @@ def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, thresho
         for table in _tables(batches):
             yield from scan_best(_asked(table), iter([held]), k, threshold)
 
-    return queries.mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType))
+    return _over_cores(queries).mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType))
 
 
-def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float) -> DataFrame:
+def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float, cells: int | None = None) -> DataFrame:
     """The best k of each query in each cell that it asks for.
 
     ``held`` and ``asked`` have ``cell, key, vector``. A cell's vectors come first and are kept, a
-    bounded number; its queries follow batch by batch, however many.
+    bounded number; its queries follow batch by batch, however many. Where the cells are numbered
+    from 0 and ``cells`` says how many there are, each is a task of its own.
     """
     index_type, query_type = held.schema["key"].dataType, asked.schema["key"].dataType
     nobody, nothing = F.lit(None).cast(query_type), F.lit(None).cast(index_type)
@@ -229,7 +347,8 @@ def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float) -
     rows = rows.unionByName(
         asked.select("cell", "vector", F.lit(1).alias("kind"), nothing.alias("held_key"), F.col("key").alias("asked_key"))
     )
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+    dealt = rows.repartitionById(cells, F.col("cell").cast("int")) if cells else rows.repartition("cell")
+    dealt = dealt.sortWithinPartitions("cell", "kind")
 
     def table(batches: list[pa.RecordBatch], key: str) -> Vectors:
         return Vectors(pa.Table.from_batches(batches).select([key, "vector"]))
@@ -328,10 +447,15 @@ def _with_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float,
     """Queries travel to the blocks of the index that may hold something for them; vectors are not copied.
 
     A block's bounds are a direction and an angle, sent to the tasks up to ``broadcast_bytes``.
-    With a threshold of 0 or less, or beyond those bytes, every block is asked. What the blocks
-    give for a query is merged in two steps, so that no step sees all blocks of a query at once.
+    With a threshold of 0 or less, or beyond those bytes, every block is asked. A block's queries
+    are dealt to as many tasks as the pairs and the cores ask for, each with a copy of the block.
+    What the blocks give for a query is merged in two steps, so that no step sees all blocks of a
+    query at once.
     """
-    queries = queries.select("key", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    spark = index.sparkSession
+    queries = _staged(queries.select("key", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL"))
+    pairs = queries.count() * index.count()
+    tasks = min(math.ceil(pairs / LEAST_PAIRS), max(4 * spark.sparkContext.defaultParallelism, math.ceil(pairs / MOST_PAIRS)))
     dealt = _dealt(index.select("key", F.col("vector").cast("array<double>").alias("vector")), blocks)
     cones = None
     if threshold > 0:
@@ -345,7 +469,12 @@ def _with_blocks(queries: DataFrame, index: DataFrame, k: int, threshold: float,
     else:
         cells = dealt.agg(F.coalesce(F.max("cell"), F.lit(0))).first()[0]
         asking = queries.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cells).cast("bigint"))))
-    partial = meet_in_cells(dealt.select("cell", "key", "vector"), asking.select("cell", "key", "vector"), k, threshold)
+    blocks = dealt.agg(F.coalesce(F.max("cell"), F.lit(0))).first()[0] + 1
+    slices = max(1, math.ceil(tasks / blocks))
+    asking = asking.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.lit(slices)))
+    held = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+    held, asking = (side.select((F.col("cell") * slices + F.col("slice")).alias("cell"), "key", "vector") for side in (held, asking))
+    partial = meet_in_cells(held, asking, k, threshold, blocks * slices)
     group = F.pmod(F.xxhash64("id"), F.lit(max(1, math.isqrt(blocks))))
     order = Window.partitionBy("query_id", "_group").orderBy(F.desc("similarity"), "id")
     few = partial.withColumn("_group", group).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k)
@@ -371,6 +500,7 @@ def topk_join(
     """
     left = queries.select(F.col(query_id).alias("key"), F.col(query_vector).alias("vector"))
     right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector")).where(F.size("vector") > 0)
+    left, right = _held_once(left), _held_once(right)
     query_bytes = _bytes(left, broadcast_bytes)
     if query_bytes <= broadcast_bytes:
         return _with_queries_everywhere(left, right, k, threshold)

@@ -138,3 +138,30 @@ def test_blocks_that_cannot_hold_a_hit_are_not_asked(spark, monkeypatch):
     rows = sorted(tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect())
     assert rows == plain_topk(queries, index, 5, 0.9)
     assert seen["blocks"] >= 12 and seen["asked"] <= 60 * seen["blocks"] / 2
+
+
+def test_vectors_that_are_no_numbers_hide_nothing():
+    """More of them than hits are asked for, in a batch with others."""
+    index = [(f"i{n}", [math.nan, 1.0]) for n in range(9)] + [("good", [1.0, 1.0]), ("huge", [math.inf, 1.0])]
+    rows = pa.table({"key": [r[0] for r in index], "vector": pa.array([r[1] for r in index], pa.list_(pa.float64()))})
+    asked = topk_module._asked(pa.table({"key": [1], "vector": pa.array([[1.0, 0.9]], pa.list_(pa.float64()))}))
+    found = [r for b in topk_module.scan_best(asked, iter([topk_module._held(rows)]), 3, 0.3) for r in b.to_pylist()]
+    assert [(r["id"], r["rank"]) for r in found] == [("good", 1)]
+
+
+def test_few_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
+    """The queries of a block go to as many tasks as their pairs ask for, and the hits are the same."""
+    queries, index = fixture(6)
+    q = spark.createDataFrame(queries, "query_id int, embedding array<double>")
+    i = spark.createDataFrame(index, "id string, embedding array<double>")
+    seen, real = [], topk_module.meet_in_cells
+
+    def meet(held, asked, k, threshold, cells=None):
+        seen.append((cells, held.select("cell").distinct().count()))
+        return real(held, asked, k, threshold, cells)
+
+    monkeypatch.setattr(topk_module, "meet_in_cells", meet)
+    monkeypatch.setattr(topk_module, "LEAST_PAIRS", 1000)
+    got = topk_join(q, i, 5, 0.3, broadcast_bytes=2000)
+    assert sorted(tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect()) == plain_topk(queries, index, 5, 0.3)
+    assert seen[0][0] >= 12 and seen[0][1] >= 12
