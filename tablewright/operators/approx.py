@@ -36,6 +36,8 @@ UNSURE_BITS = 10
 # The share of a sample's true hits that the buckets looked into must hold, and the sample's size.
 AIM = 0.95
 SAMPLE_QUERIES = 200
+# Bytes of the copies of queries, one for each bucket, that a task makes at a time.
+COPY_BYTES = 8 << 20
 # A list of buckets up to which it is sent to every task.
 BROADCAST_ROWS = 500_000
 PLAN_SCHEMA = "seed int, tables int, bits int, probes int, k int, threshold double, recall double, vectors bigint"
@@ -86,6 +88,23 @@ def probe_codes(margins: np.ndarray, probes: int) -> np.ndarray:
     return own[:, :, None] ^ np.take_along_axis(turned, first, 2)
 
 
+def _copies(batch: pa.RecordBatch, rows: np.ndarray, codes: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch once for each of their ``codes`` (rows, tables, buckets), in bounded parts."""
+    _, tables, each = codes.shape
+    step = max(1, COPY_BYTES // (tables * each * (8 * size + 64)))
+    for low in range(0, len(rows), step):
+        few = codes[low : low + step]
+        taken = batch.take(pa.array(np.repeat(rows[low : low + step], tables * each)))
+        columns = [
+            *taken.columns,
+            pa.array(np.full(taken.num_rows, size, np.int32)),
+            pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), len(few))),
+            pa.array(few.ravel()),
+            pa.array(np.tile(np.arange(each, dtype=np.int32), len(few) * tables)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "vector", "size", "tab", "code", "place"])
+
+
 def _coded(rows: DataFrame, plan: Plan, probes: int | None) -> DataFrame:
     """``rows(key, vector)`` once per table and bucket: ``key, vector, size, tab, code``.
 
@@ -97,21 +116,11 @@ def _coded(rows: DataFrame, plan: Plan, probes: int | None) -> DataFrame:
         for batch in batches:
             own = Vectors(pa.Table.from_batches([batch]))
             for size, at in own.rows.items():
-                step = max(1, (1 << 21) // max(size, plan.tables * (1 << min(plan.bits, UNSURE_BITS))))
+                step = max(1, (1 << 19) // max(size, plan.tables * (1 << min(plan.bits, UNSURE_BITS))))
                 for low in range(0, len(at), step):
-                    part = at[low : low + step]
                     margins = _margins(own.matrix[size][low : low + step], shape)
                     codes = _codes(margins)[:, :, None] if probes is None else probe_codes(margins, probes)
-                    n, tables, each = codes.shape
-                    taken = batch.take(pa.array(np.repeat(part, tables * each)))
-                    columns = [
-                        *taken.columns,
-                        pa.array(np.full(taken.num_rows, size, np.int32)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)),
-                        pa.array(codes.ravel()),
-                        pa.array(np.tile(np.arange(each, dtype=np.int32), n * tables)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "vector", "size", "tab", "code", "place"])
+                    yield from _copies(batch, at[low : low + step], codes, size)
 
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, vector array<double>, size int, tab int, code bigint, place int"
@@ -228,8 +237,10 @@ def topk_approx(
 
     ``path`` holds what ``build_tables`` wrote. Similarities are exact; a hit can only be missed.
     ``k`` and ``threshold`` are those that the tables were fitted for unless given, ``probes`` the
-    number of buckets of each table. Vectors whose ``id`` is among ``without`` are left out. The threshold must be above 0, as vectors of another length
-    and zero vectors, which have similarity 0, are not looked at.
+    number of buckets of each table. Where that is all of them, the buckets of one table hold every
+    vector once, and no query is copied for each: the hits are exact. Vectors whose ``id`` is among
+    ``without`` are left out. The threshold must be above 0, as vectors of another length and zero
+    vectors, which have similarity 0, are not looked at.
     """
     spark = queries.sparkSession
     plan = read_plan(spark, path)
@@ -238,12 +249,17 @@ def topk_approx(
         raise ValueError("buckets only find what is similar; use topk_join for a threshold of 0 or less")
     asked = _usable(queries, query_id, query_vector)
     cells = spark.read.parquet(f"{path}/cells").select("size", "tab", "code", "slices")
-    wanted = _coded(asked, plan, min(probes or plan.probes, 1 << min(plan.bits, UNSURE_BITS))).drop("place")
-    wanted = wanted.join(_sent(cells), ["size", "tab", "code"])
-    wanted = _cell(wanted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))))
     held = spark.read.parquet(f"{path}/vectors")
     if without is not None:
         held = held.join(without.select(F.col("id").alias("key")), "key", "left_anti")
+    in_slice = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    if (probes or plan.probes) >= 1 << plan.bits:
+        first = _cell(cells.where("tab = 0").withColumn("slice", in_slice)).select("cell")
+        held = held.join(_sent(first), "cell", "left_semi")
+        return topk_join(asked, held, k, threshold, "key", "vector", "key", "vector")
+    wanted = _coded(asked, plan, min(probes or plan.probes, 1 << min(plan.bits, UNSURE_BITS))).drop("place")
+    wanted = wanted.join(_sent(cells), ["size", "tab", "code"])
+    wanted = _cell(wanted.withColumn("slice", in_slice))
     found = meet_in_cells(held, wanted.select("cell", "key", "vector"), k, threshold)
     once = found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     return topk_rows(once, k).select("query_id", "id", "similarity", "rank")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,24 @@ def test_vectors_are_not_multiplied_by_queries(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/vectors")).count() == 2000
     cells = spark.read.parquet(str(tmp_path / "t/cells"))
     assert cells.agg(F.sum("rows")).first()[0] == 2000
+
+
+def test_all_buckets_are_more_than_the_unsure_signs_reach(spark, tmp_path, monkeypatch):
+    """With more signs than are turned, all buckets still hold every hit."""
+    monkeypatch.setattr(approx, "UNSURE_BITS", 1)
+    rows = clustered(7, 800)
+    index, queries = frame(spark, rows, "id"), frame(spark, rows[:50], "query_id")
+    plan = build_tables(index, str(tmp_path / "t"), bucket_rows=20)
+    assert plan.bits > 1
+    exact, got = topk_join(queries, index), topk_approx(queries, str(tmp_path / "t"), probes=1 << 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_copies_of_queries_are_made_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(approx, "COPY_BYTES", 4000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([[float(n), 1.0] for n in range(20)])], names=["key", "vector"])
+    codes = np.arange(20 * 2 * 3).reshape(20, 2, 3)
+    parts = list(approx._copies(batch, np.arange(20), codes, 2))
+    assert len(parts) > 1 and all(p.num_rows * 80 <= 4000 for p in parts)
+    found = pa.Table.from_batches(parts).to_pylist()
+    assert [(r["key"], r["tab"], r["place"], r["code"]) for r in found] == [(n, t, p, codes[n, t, p]) for n in range(20) for t in range(2) for p in range(3)]
