@@ -242,3 +242,11 @@ def test_models_are_asked_once_per_row(spark, tmp_path):
     asked = df.selectExpr("sql AS query_id", "sql AS text")
     assert search(asked, none, stored, lambda q: embed(q, "text", model)).count() == 7
     assert marks.read_text() == "e" * 7
+
+
+@pytest.mark.parametrize("size", [1 << 20, 0])
+def test_a_gram_that_a_text_repeats_is_looked_up_once(spark, size):
+    texts = spark.createDataFrame([(1, ["abc " * 1000]), (2, ["é😀abcé" * 500, "abc"])], "text_id int, parts array<string>")
+    patterns = spark.createDataFrame([("abc",), ("é😀",)], "pattern string")
+    index = rare_gram_index(patterns, texts, size, size)
+    assert sorted((r.pattern, r.text_id) for r in candidate_pairs(index, texts, "patterns", size).collect()) == [("abc", 1), ("abc", 2), ("é😀", 2)]
