@@ -40,7 +40,9 @@ def _yaml():
 
 
 def _header_row(text: str | None) -> tuple:
-    fields = _yaml().safe_load(text) if text else None
+    yaml = _yaml()
+    # The parser in C, where there is one: the same safe rules in a tenth of the time.
+    fields = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if text else None
     fields = fields if isinstance(fields, dict) else {}
 
     def words(key: str, default: str = "") -> str:

@@ -111,3 +111,20 @@ def test_pattern_defaults(spark):
     rows = spark.createDataFrame([("!!!", "SELECT 1")], "question string, sql string")
     got = pattern_records(rows, datetime(2024, 1, 1).date()).first()
     assert (got["filename"], got["description"], got["source"], got["tables"]) == ("file.sql", "", "manual", [])
+
+
+def test_headers_are_read_by_the_parser_in_c(monkeypatch):
+    """Where there is one; the same fields either way."""
+    import yaml
+
+    from tablewright.sources import patterns as module
+
+    text = "question: 'What of x?'\ntables: [a, 'b']\ncreated: 2024-01-05\nsource:\n"
+    want = ("What of x?", ["a", "b"], "", "", "2024-01-05")
+    assert module._header_row(text) == want
+    if yaml.__with_libyaml__:
+        with monkeypatch.context() as m:
+            m.setattr(yaml, "SafeLoader", None)
+            assert module._header_row(text) == want
+    monkeypatch.delattr(yaml, "CSafeLoader", raising=False)
+    assert module._header_row(text) == want and module._header_row(None) == ("", [], "", "manual", "")
