@@ -7,8 +7,9 @@ Everything here is a built-in column expression except the Unicode decomposition
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,14 +82,26 @@ def has_word(c: Column, word: str) -> Column:
     return c.rlike(f"(?iu)(?<!{WORD}){word}(?!{WORD})")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+# Texts and characters that are decomposed together, so that a worker holds few copies of a batch.
+NFKD_TEXTS = 64
+
+
+@F.arrow_udf(T.StringType())
+def _nfkd(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in texts:
+        parts = []
+        for start in range(0, len(batch), NFKD_TEXTS):
+            few = batch.slice(start, NFKD_TEXTS)
+            parts.append(pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in few.to_pylist()], few.type))
+        yield pa.concat_arrays(parts) if parts else batch
 
 
 def slugify(c: Column, fallback: str = "file", max_length: int = SLUG_LENGTH) -> Column:
     """A name safe for files: decomposed, lower case, words joined by single hyphens."""
-    kept = F.regexp_replace(F.lower(_nfkd(c)), f"[^\\p{{L}}\\p{{N}}_{SPACE_RANGES}-]+", "")
+    # Plain letters are decomposed already and do not leave the JVM.
+    plain = F.octet_length(c) == F.char_length(c)
+    whole = F.when(plain, c).otherwise(_nfkd(F.when(~plain, c)))
+    kept = F.regexp_replace(F.lower(whole), f"[^\\p{{L}}\\p{{N}}_{SPACE_RANGES}-]+", "")
     joined = F.regexp_replace(kept, f"[{SPACE_RANGES}-]+", "-")
     edged = F.regexp_replace(joined, r"^-+|-+\z", "")
     return F.coalesce(F.nullif(F.substring(edged, 1, max_length), F.lit("")), F.lit(fallback))

@@ -158,3 +158,14 @@ def test_chart_text(spark, size):
     df = spark.createDataFrame([("q?", "S" * 3000)], "q string, s string")
     got = df.select(tx.chart_text(F.col("q"), F.col("s"), size)).first()[0]
     assert got == "Question: q?\nSQL Pattern:\n" + "S" * size
+
+
+def test_slugs_of_large_batches_are_made_in_small_parts(spark, monkeypatch):
+    """Plain texts stay in the JVM; others are decomposed a few at a time, nulls and order kept."""
+    from tablewright.functions import text as module
+
+    monkeypatch.setattr(module, "NFKD_TEXTS", 3)
+    texts = [None, "", "plain Text", "é à ﬁn", *[f"Ünï {n}" for n in range(20)], "plain again", "ﬃ"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").coalesce(1)
+    got = [r[0] for r in df.select("n", module.slugify(F.col("t")).alias("s")).orderBy("n").select("s").collect()]
+    assert got == ["file", "file", "plain-text", "e-a-fin", *[f"uni-{n}" for n in range(20)], "plain-again", "ffi"]
