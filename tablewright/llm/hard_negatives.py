@@ -261,6 +261,8 @@ def negatives_in(held: Held, asked: Held, run: pa.RecordBatch) -> Iterator[pa.Re
     for tile in held.tiles(asked):
         mine = asked.part(tile)
         row, at, score = held.scores(mine, least[tile], top[tile])
+        other = held.ids[at] != mine.ids[row]
+        row, at, score = row[other], at[other], score[other]
         order = by_score(row, score, held.ids[at])
         row, at, score = row[order], at[order], score[order]
         begin = np.searchsorted(row, np.arange(len(mine.ids) + 1))
@@ -342,8 +344,8 @@ def hard_negatives(
 
     Rows with a null id, label or vector, an empty one, or a null or non-finite component take no
     part. Vectors only meet those of their length. Rows that repeat an id are candidates each; as
-    an anchor the id is asked once, with its smallest label and vector, and its own repeats are no
-    positives of it. Scores must fit 64 bits. Other columns are ignored; no rows, no result.
+    an anchor the id is asked once, with its smallest label and vector, and its own repeats are neither
+    positives nor negatives of it. Scores must fit 64 bits. Other columns are ignored; no rows, no result.
     """
     rows = usable(vectors, key, vector, label)
     blocks = staged(in_blocks(staged(summarised(rows))))

@@ -245,6 +245,13 @@ def test_negatives_by_hand(spark, monkeypatch, seed, cells, bounds):
     assert got == plain_negatives(rows, 10)
 
 
+def test_repeats_of_an_anchor_are_no_negatives(spark):
+    rows = [(10, 0, [1.0, 1.0]), (11, 0, [1.0, 1.0]), (10, 1, [1.0, 1.0]), (12, 1, [0.9, 0.9])]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = hard_negatives(table, every=10).select("anchor_id", "positive_id", "rank", "negative_id")
+    assert [tuple(r) for r in got.collect()] == [(10, 11, 1, 12)]
+
+
 def test_negatives_of_real_vectors_and_of_none(spark, data):
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     moved = [(i, (c + 1) % 10 if i % 7 == 0 else c, v) for i, c, v in rows]
