@@ -34,11 +34,18 @@ ROW_BYTES = 64
 BROADCAST_BYTES = 64 << 20
 # Hits, an id and a number each, that may be sent to every task to pick up their texts.
 BROADCAST_HITS = 500_000
+# Beside an index too large to send, this part of the bytes is what few queries have: each gives k rows a task.
+FEW_QUERIES = 16
 TILE_CELLS = 4 << 20
-# Queries and vectors whose products are looked at together; the first vectors only set the bar.
-QUERY_TILE = 256
+# Queries whose products with a leaf are looked at together, and rows whose directions are made together.
+QUERY_TILE = 512
 HELD_TILE = 8192
-FIRST_TILE = 1024
+# Vectors of a leaf at most, the axes of its box, rows that the axes are taken from, and the leaves that
+# set a query's bar before the others are looked at.
+LEAF_ROWS = 512
+LEAF_AXES = 8
+AXES_ROWS = 4096
+FIRST_LEAVES = 4
 # Pairs of a task where the index is in blocks: no less, however many cores, and no more.
 LEAST_PAIRS = 200_000_000
 MOST_PAIRS = 32_000_000_000
@@ -61,7 +68,7 @@ class Vectors:
         self.rows: dict[int, np.ndarray] = {}
         self.matrix: dict[int, np.ndarray] = {}
         self.norms: dict[int, np.ndarray] = {}
-        self._directions: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+        self._leaves: dict[int, Leaves] | None = None
         for length in map(int, np.unique(lengths)):
             rows = np.flatnonzero(lengths == length)
             if len(rows) == self.count:
@@ -80,19 +87,17 @@ class Vectors:
             found = (self.matrix[length][rows] / self.norms[length][rows, None]).astype(np.float32)
         return np.nan_to_num(found, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
 
-    def directions(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Per length the rows' places in the order of their ids, and their directions in that order."""
-        if self._directions is None:
+    def places(self) -> np.ndarray:
+        """The rows in the order of their ids."""
+        return pc.sort_indices(self.ids).to_numpy()
+
+    def leaves(self) -> dict[int, Leaves]:
+        """The rows of each length in leaves of like directions."""
+        if self._leaves is None:
             place = np.empty(self.count, np.int64)
-            place[pc.sort_indices(self.ids).to_numpy()] = np.arange(self.count)
-            self._directions = {}
-            for length, rows in self.rows.items():
-                order = np.argsort(place[rows], kind="stable")
-                units = np.empty((len(order), length), np.float32)
-                for start in range(0, len(order), HELD_TILE):
-                    units[start : start + HELD_TILE] = self.unit(length, order[start : start + HELD_TILE])
-                self._directions[length] = order, units
-        return self._directions
+            place[self.places()] = np.arange(self.count)
+            self._leaves = {length: Leaves(self, length, place) for length in self.rows if length}
+        return self._leaves
 
     def similarity(self, start: int, stop: int, others: Vectors) -> np.ndarray:
         """Cosine of own rows ``start:stop`` with all of ``others``; 0 where lengths differ."""
@@ -110,6 +115,81 @@ class Vectors:
         return np.zeros((stop - start, others.count)) if out is None else out
 
 
+class Leaves:
+    """Directions of one length in leaves of like ones, and a box around each.
+
+    A box lies along the axes in which the directions differ most, and one more, the length of what is
+    off these axes. Distances there are never more than those of the directions, and a distance tells
+    the cosine; so a box bounds the cosine of a query with all of its leaf.
+    """
+
+    def __init__(self, own: Vectors, length: int, place: np.ndarray) -> None:
+        rows = own.rows[length]
+        rows = rows[np.argsort(place[rows], kind="stable")]
+        units = np.empty((len(rows), length), np.float32)
+        # Places among the vectors of this length, by which a vector is found in its matrix.
+        at = np.searchsorted(own.rows[length], rows)
+        for start in range(0, len(rows), HELD_TILE):
+            units[start : start + HELD_TILE] = own.unit(length, at[start : start + HELD_TILE])
+        some = units.any(axis=1)  # what has no direction is never found
+        if not some.all():
+            units, at, rows = units[some], at[some], rows[some]
+        few = units[:: max(1, len(units) // AXES_ROWS)].astype(np.float64)
+        self.middle = few.mean(axis=0) if len(few) else np.zeros(length)
+        few -= self.middle
+        axes = np.random.default_rng(length).standard_normal((length, min(LEAF_AXES, length)))
+        for _ in range(3):
+            axes = np.linalg.qr(few.T @ (few @ axes))[0]
+        self.axes = axes
+        along, odd = self.along(units)
+        order, leaf = np.arange(len(units)), np.zeros(len(units), np.int64)
+        levels = max(0, math.ceil(math.log2(max(1, len(units)) / LEAF_ROWS)))
+        for level in range(1, levels + 1):
+            # Each half by the axis along which it is widest; equal ones stay in the order of their ids.
+            held, begin = along[order], np.flatnonzero(np.diff(leaf, prepend=-1))
+            n = np.diff(begin, append=len(order))[:, None]
+            spread = np.add.reduceat(held * held, begin) / n - (np.add.reduceat(held, begin) / n) ** 2
+            order = order[np.lexsort((held[np.arange(len(order)), spread.argmax(axis=1)[leaf]], leaf))]
+            leaf = np.arange(len(order)) * (1 << level) // len(order)
+        self.begin = np.flatnonzero(np.diff(leaf, prepend=-1))
+        self.end = np.append(self.begin[1:], len(order)).astype(np.int64)
+        held = along[order]
+        self.low, self.high = (f.reduceat(held, self.begin) if len(order) else held for f in (np.minimum, np.maximum))
+        if odd.any():
+            loose = np.logical_or.reduceat(odd[order], self.begin)
+            self.low[loose], self.high[loose] = -np.inf, np.inf
+        self.units, self.at, self.place = units[order], at[order], place[rows[order]]
+        self.first = np.minimum.reduceat(self.place, self.begin) if len(order) else self.place
+
+    def along(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Directions in the axes of the boxes, and which have not the length 1, as with tiny numbers."""
+        found, odd = np.empty((len(units), self.axes.shape[1] + 1)), np.empty(len(units), bool)
+        for start in range(0, len(units), HELD_TILE):
+            part = slice(start, start + HELD_TILE)
+            unit = units[part].astype(np.float64)
+            odd[part] = np.abs((unit * unit).sum(axis=1) - 1) > 1e-5
+            unit -= self.middle
+            found[part, :-1] = unit @ self.axes
+            rest = (unit * unit).sum(axis=1) - (found[part, :-1] ** 2).sum(axis=1)
+            found[part, -1] = np.sqrt(np.maximum(rest, 0))
+        return found, odd
+
+    def reach(self, units: np.ndarray) -> np.ndarray:
+        """What no cosine of a query with a leaf's vectors is above, per query and leaf."""
+        along, odd = self.along(units)
+        apart = np.zeros((len(units), len(self.begin)), np.float32)
+        along, low, high = along.astype(np.float32), self.low.astype(np.float32), self.high.astype(np.float32)
+        for k in range(along.shape[1]):
+            off = np.maximum(low[None, :, k] - along[:, k, None], along[:, k, None] - high[None, :, k])
+            np.maximum(off, 0, out=off)
+            off *= off
+            apart += off
+        apart *= -0.5
+        apart += 1 + 1e-5
+        apart[odd] = np.inf
+        return apart
+
+
 def _best(found: pa.Table, k: int) -> pa.Table:
     """The first k rows of each query by similarity, then id, with their rank."""
     order = [("query", "ascending"), ("similarity", "descending"), ("id", "ascending")]
@@ -138,44 +218,70 @@ def _folded(score: np.ndarray, place: np.ndarray, q: np.ndarray, i: np.ndarray,
 def _near(queries: Vectors, batch: Vectors, k: int, threshold: float, cut: np.ndarray) -> Iterator[pa.Table]:
     """The best k rows of ``batch`` of each query that reach its ``cut``, in order of query, similarity and id.
 
-    Products in single precision, whose error is bounded, leave out what is surely below the cut or
-    the best k so far; what remains is computed in full. The rows come by id, so that a later one
-    must be better, not as good.
+    Leaves that hold nothing above the cut or the best k so far are passed over. In the others, products
+    in single precision, whose error is bounded, leave out what is surely below; what remains is
+    computed in full.
     """
-    held = batch.directions()
+    held, by_place = batch.leaves(), None
     for length, rows in queries.rows.items():
-        if length == 0 or length not in held:
+        if length not in held or not len(held[length].at):
             continue
-        order, units = held[length]
+        leaves = held[length]
         matrix, norms = batch.matrix[length], batch.norms[length]
-        error = (length + 8) * 2.0**-24
-        for low in range(0, len(rows), QUERY_TILE):
-            mine = np.arange(low, min(low + QUERY_TILE, len(rows)))
+        error = (length + 32) * 2.0**-24
+        step = max(QUERY_TILE, TILE_CELLS // len(leaves.begin))
+        for low in range(0, len(rows), step):
+            mine = np.arange(low, min(low + step, len(rows)))
             asked, own, sizes = queries.unit(length, mine), queries.matrix[length][mine], queries.norms[length][mine]
             score, place = np.full((len(mine), k), -np.inf), np.full((len(mine), k), -1, np.int64)
-            least = np.maximum(cut[rows[mine]], threshold) - error
-            start = 0
-            while start < len(order):
-                stop = min(start + (HELD_TILE if start else FIRST_TILE), len(order))
-                near = asked @ units[start:stop].T
-                bound = np.maximum(least, score[:, -1] + 0.49 * 10.0**-SIMILARITY_DIGITS - error)
-                if not start and stop > k:
-                    last = np.partition(near, stop - k, axis=1)[:, stop - k].astype(np.float64) - error
-                    bound = np.maximum(bound, np.round(last, SIMILARITY_DIGITS) - SLACK - error)
-                found = np.flatnonzero(near >= bound.astype(np.float32)[:, None])
-                step = max(1, TILE_CELLS // 4 // length)
-                for part in (found[at : at + step] for at in range(0, len(found), step)):
-                    q, i = np.divmod(part, stop - start)
-                    at = order[start + i]
-                    exact = np.einsum("ij,ij->i", own[q], matrix[at]) / (sizes[q] * norms[at])
-                    exact, good = np.round(exact, SIMILARITY_DIGITS), exact >= threshold
-                    good &= exact > score[q, -1]
-                    if good.any():
-                        _folded(score, place, q[good], start + i[good], exact[good])
-                start = stop
+            least = np.maximum(cut[rows[mine]], threshold)
+            reach = leaves.reach(asked)
+            reach[~asked.any(axis=1)] = -np.inf
+            pairs = max(1, TILE_CELLS // 4 // length)
+
+            def look(leaf: int, wanting: np.ndarray) -> None:
+                begin, end = leaves.begin[leaf], leaves.end[leaf]
+                for wanted in (wanting[at : at + QUERY_TILE] for at in range(0, len(wanting), QUERY_TILE)):
+                    # Where a smaller id may follow, as good is good enough.
+                    later = np.where(leaves.first[leaf] > place[wanted, -1], 0.49, -0.51) * 10.0**-SIMILARITY_DIGITS
+                    bar = np.maximum(least[wanted], score[wanted, -1] + later) - error
+                    can = reach[wanted, leaf] >= bar
+                    wanted, bar = wanted[can], bar[can]
+                    if not len(wanted):
+                        continue
+                    near = asked[wanted] @ leaves.units[begin:end].T
+                    if not score[wanted, -1].max() > -np.inf and end - begin > k:
+                        last = np.partition(near, end - begin - k, axis=1)[:, end - begin - k].astype(np.float64) - error
+                        bar = np.maximum(bar, np.round(last, SIMILARITY_DIGITS) - SLACK - error)
+                    found = np.flatnonzero(near >= bar.astype(np.float32)[:, None])
+                    for part in (found[at : at + pairs] for at in range(0, len(found), pairs)):
+                        q, i = np.divmod(part, end - begin)
+                        q, i = wanted[q], begin + i
+                        at = leaves.at[i]
+                        exact = np.einsum("ij,ij->i", own[q], matrix[at]) / (sizes[q] * norms[at])
+                        exact, good = np.round(exact, SIMILARITY_DIGITS), exact >= threshold
+                        i, last = leaves.place[i], score[q, -1]
+                        good &= (exact > last) | ((exact == last) & (i < place[q, -1]))
+                        if good.any():
+                            _folded(score, place, q[good], i[good], exact[good])
+
+            few = min(FIRST_LEAVES, reach.shape[1])
+            first = np.argpartition(-reach, few - 1, axis=1)[:, :few]
+            first = np.take_along_axis(first, np.argsort(-np.take_along_axis(reach, first, axis=1), axis=1), axis=1)
+            for turn in first.T:
+                order = np.argsort(turn, kind="stable")
+                for wanting in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+                    look(turn[wanting[0]], wanting)
+            np.put_along_axis(reach, first, -np.inf, axis=1)
+            bar = np.maximum(least, score[:, -1] - SLACK) - error
+            for leaf in range(reach.shape[1]):
+                wanting = np.flatnonzero(reach[:, leaf] >= bar)
+                if len(wanting):
+                    look(leaf, wanting)
             q, n = np.nonzero(place >= 0)
             if len(q):
-                ids = batch.ids.take(pa.array(batch.rows[length][order[place[q, n]]]))
+                by_place = batch.places() if by_place is None else by_place
+                ids = batch.ids.take(pa.array(by_place[place[q, n]]))
                 yield pa.table({"query": rows[mine][q], "similarity": score[q, n], "id": ids})
 
 
@@ -220,6 +326,20 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield pa.Table.from_batches([batch.slice(start, rows)])
 
 
+def _gathered(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """Tables put together up to the tile size: the more vectors, the more of their leaves are passed over."""
+    waiting, cells = [], 0
+    for table in tables:
+        own = pc.sum(pc.list_value_length(table.column(1))).as_py() or 0
+        if waiting and cells + own > TILE_CELLS:
+            yield pa.concat_tables(waiting)
+            waiting, cells = [], 0
+        waiting.append(table)
+        cells += own
+    if waiting:
+        yield pa.concat_tables(waiting)
+
+
 def _output(queries: Vectors, best: pa.Table) -> pa.RecordBatch:
     columns = [
         queries.ids.take(best.column("query").combine_chunks()),
@@ -318,7 +438,7 @@ def _with_queries_everywhere(queries: DataFrame, index: DataFrame, k: int, thres
     shared = index.sparkSession.sparkContext.broadcast(queries.toArrow())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from scan_best(_asked(shared.value), map(_held, _tables(batches)), k, threshold)
+        yield from scan_best(_asked(shared.value), map(_held, _gathered(_tables(batches))), k, threshold)
 
     return topk_rows(_over_cores(index).mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType)), k)
 
@@ -328,7 +448,7 @@ def _with_index_everywhere(queries: DataFrame, index: DataFrame, k: int, thresho
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _held(shared.value)
-        for table in _tables(batches):
+        for table in _gathered(_tables(batches)):
             yield from scan_best(_asked(table), iter([held]), k, threshold)
 
     return _over_cores(queries).mapInArrow(scan, topk_schema(queries.schema["key"].dataType, index.schema["key"].dataType))
@@ -338,7 +458,7 @@ def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float, c
     """The best k of each query in each cell that it asks for.
 
     ``held`` and ``asked`` have ``cell, key, vector``. A cell's vectors come first and are kept, a
-    bounded number; its queries follow batch by batch, however many. Where the cells are numbered
+    bounded number; its queries follow some batches at a time, however many. Where the cells are numbered
     from 0 and ``cells`` says how many there are, each is a task of its own.
     """
     index_type, query_type = held.schema["key"].dataType, asked.schema["key"].dataType
@@ -354,13 +474,16 @@ def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float, c
         return Vectors(pa.Table.from_batches(batches).select([key, "vector"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, waiting, ready = None, [], None
+        current, waiting, ready, asking, cells = None, [], None, [], 0
         for batch in batches:
             cell, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
             new = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
             ends = [*new.tolist(), len(batch)] if len(batch) else []
             for low, high in zip([0, *new.tolist()], ends):
                 part = batch.slice(low, high - low)
+                if asking and (cell[low] != current or cells > TILE_CELLS // 4):
+                    yield from scan_best(table(asking, "asked_key"), iter([ready]), k, threshold)
+                    asking, cells = [], 0
                 if cell[low] != current:
                     current, waiting, ready = cell[low], [], None
                 if kind[low] == 0:
@@ -368,7 +491,10 @@ def meet_in_cells(held: DataFrame, asked: DataFrame, k: int, threshold: float, c
                 elif waiting or ready is not None:
                     if ready is None:
                         ready, waiting = table(waiting, "held_key"), []
-                    yield from scan_best(table([part], "asked_key"), iter([ready]), k, threshold)
+                    asking.append(part)
+                    cells += pc.sum(pc.list_value_length(part.column("vector"))).as_py() or 0
+        if asking:
+            yield from scan_best(table(asking, "asked_key"), iter([ready]), k, threshold)
 
     return dealt.mapInArrow(run, topk_schema(query_type, index_type))
 
@@ -502,7 +628,7 @@ def topk_join(
     right = index.select(F.col(index_id).alias("key"), F.col(index_vector).alias("vector")).where(F.size("vector") > 0)
     left, right = _held_once(left), _held_once(right)
     query_bytes = _bytes(left, broadcast_bytes)
-    if query_bytes <= broadcast_bytes:
+    if query_bytes <= broadcast_bytes // FEW_QUERIES:
         return _with_queries_everywhere(left, right, k, threshold)
     index_bytes = _bytes(right, broadcast_bytes)
     if index_bytes <= broadcast_bytes:

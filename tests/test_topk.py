@@ -165,3 +165,27 @@ def test_few_blocks_are_dealt_to_many_tasks(spark, monkeypatch):
     got = topk_join(q, i, 5, 0.3, broadcast_bytes=2000)
     assert sorted(tuple(r) for r in got.select("query_id", "id", "similarity", "rank").collect()) == plain_topk(queries, index, 5, 0.3)
     assert seen[0][0] >= 12 and seen[0][1] >= 12
+
+
+def test_leaves_bound_their_vectors_and_most_are_passed_over(monkeypatch):
+    """Of 64 far groups a query looks into its own, and finds what brute force finds."""
+    monkeypatch.setattr(topk_module, "LEAF_ROWS", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((64, 12))
+    held = centres[rng.integers(64, size=2000)] + 0.05 * rng.standard_normal((2000, 12))
+    held[::50], held[1::50], held[2::50] = 0.0, 1e-160, centres[5]
+    asked = np.concatenate([centres[:40], 1e-160 * np.ones((1, 12)), np.zeros((1, 12))])
+
+    def table(rows, name):
+        return pa.table({"key": [f"{name}{i:04}" for i in range(len(rows))], "vector": pa.array(list(rows), pa.list_(pa.float64()))})
+
+    queries, index = topk_module.Vectors(table(asked, "q")), topk_module.Vectors(table(held, "i"))
+    leaves = index.leaves()[12]
+    reach = leaves.reach(queries.unit(12, np.arange(len(asked))))
+    cosines = queries.similarity(0, len(asked), index)[:, leaves.at]
+    for leaf, (begin, end) in enumerate(zip(leaves.begin, leaves.end)):
+        assert end - begin <= 16 and (cosines[:41, begin:end].max(axis=1) <= reach[:41, leaf]).all()
+    assert (reach[:40] >= 0.9).mean() < 0.2
+    got = pa.concat_tables(list(topk_module._near(queries, index, 5, 0.3, np.full(len(asked), 0.3)))).to_pylist()
+    want = plain_topk(list(enumerate(asked.tolist())), [(f"i{i:04}", v) for i, v in enumerate(held.tolist())], 5, 0.3)
+    assert [(r["query"], r["id"], r["similarity"]) for r in got if r["query"] < 40] == [w[:3] for w in sorted(want, key=lambda w: (w[0], w[3])) if w[0] < 40]
