@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.text import first_filled, join_lines, or_blank
 from tablewright.functions.times import moment
+from tablewright.session import spread
 
 # --- Fixed values -------------------------------------------------------------------
 MIN_SQL_CHARS = 50
@@ -74,7 +75,7 @@ def lakeview_charts(dashboards: DataFrame, place: bool = False) -> DataFrame:
     A widget's dataset is its first named reference, or the dashboard's first dataset when that
     is missing or unknown.
     """
-    parsed = dashboards.where(or_blank(F.col("dashboard_id")) != "").withColumn(
+    parsed = spread(dashboards).where(or_blank(F.col("dashboard_id")) != "").withColumn(
         "d", F.from_json("serialized", LAKEVIEW_SCHEMA)
     )
 
@@ -94,10 +95,11 @@ def lakeview_charts(dashboards: DataFrame, place: bool = False) -> DataFrame:
         return F.try_element_at(F.filter("datasets", lambda ds: ds["name"] == name), F.lit(-1))["sql"]
 
     layouts = F.flatten(F.transform("d.pages", lambda p: F.coalesce(p["layout"], F.array())))
+    # No filter: it would be pushed down, and the payload read once more for it, before its rows are dealt out.
+    shown = F.when(F.size("datasets") > 0, layouts)
     widgets = (
         parsed.withColumn("datasets", datasets)
-        .where(F.size("datasets") > 0)
-        .select("dashboard_id", "display_name", "datasets", F.posexplode(layouts).alias("place", "item"))
+        .select("dashboard_id", "display_name", "datasets", F.posexplode(shown).alias("place", "item"))
         .select("dashboard_id", "display_name", "datasets", "place", F.col("item.widget").alias("w"))
     )
     references = F.filter(
@@ -178,7 +180,7 @@ def redash_charts(dashboards: DataFrame) -> DataFrame:
     """``dashboards(position, payload)``; a query shown on several dashboards counts where it is
     listed first. The first is kept by a partial aggregate, so a query on most dashboards is no
     hot group."""
-    widgets = dashboards.select("position", F.from_json("payload", REDASH_SCHEMA).alias("d")).select(
+    widgets = spread(dashboards).select("position", F.from_json("payload", REDASH_SCHEMA).alias("d")).select(
         "position", "d.slug", "d.name", F.posexplode("d.widgets").alias("place", "widget")
     )
     query = F.col("widget.visualization.query")
@@ -233,7 +235,7 @@ def mode_charts(reports: DataFrame) -> DataFrame:
     """``reports(token, name, payload)``, the payload a report's queries."""
     queries = _bare_or_wrapped(F.col("payload"), MODE_QUERY, "_embedded", "queries")
     return (
-        reports.select("token", "name", F.explode(queries).alias("q"))
+        spread(reports).select("token", "name", F.explode(queries).alias("q"))
         .where(_long_enough(F.col("q.raw_query")) & (or_blank(F.col("q.name")) != ""))
         .select(
             F.col("token").alias("dashboard_id"),
@@ -250,7 +252,7 @@ def sigma_charts(workbooks: DataFrame, queries: DataFrame) -> DataFrame:
     ``queries(workbook_id, element_id, sql)``."""
     elements = _bare_or_wrapped(F.col("payload"), SIGMA_ELEMENT, "entries")
     named = (
-        workbooks.where(or_blank(F.col("workbook_id")) != "")
+        spread(workbooks).where(or_blank(F.col("workbook_id")) != "")
         .select("workbook_id", "name", F.explode(elements).alias("e"))
         .where((or_blank(F.col("e.elementId")) != "") & (or_blank(F.col("e.name")) != ""))
         .select("workbook_id", "name", F.col("e.elementId").alias("element_id"), F.col("e.name").alias("title"))

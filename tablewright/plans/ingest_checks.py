@@ -37,6 +37,13 @@ def _struct(**fields):
     return F.struct(*[c.alias(n) for n, c in fields.items()])
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table's rows in parts for all cores: a payload costs far more to make and to read than its row, and
+    a small file, or one written as a single block, has all its rows in one part."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(max(2 * cores, table._jdf.rdd().getNumPartitions()))
+
+
 def lakeview_payloads(tables: Tables) -> DataFrame:
     """Each part is a dashboard: a dataset in lines, one by display name, a short one; widgets
     with a known, an unknown and no reference, a filter and an untitled one. Half are broken or
@@ -76,7 +83,7 @@ def lakeview_payloads(tables: Tables) -> DataFrame:
         .otherwise(whole)
     )
     shown_name = F.when(F.col("p_size") > 10, F.col("p_brand"))
-    return tables.part.select(
+    return dealt(tables.part).select(
         F.concat(F.lit("dash-"), "p_partkey").alias("dashboard_id"),
         shown_name.alias("display_name"),
         serialized.alias("serialized"),
@@ -185,7 +192,7 @@ def redash_payloads(tables: Tables) -> DataFrame:
         widget(F.lit("again"), F.col("o_custkey").cast("string"), none, sql),
     )
     name = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
-    return tables.orders.select(
+    return dealt(tables.orders).select(
         F.col("o_orderkey").alias("position"),
         _json(slug=F.concat(F.lit("s"), "o_orderkey"), name=name, widgets=widgets).alias("payload"),
     )
@@ -267,7 +274,7 @@ def mode_payloads(tables: Tables) -> DataFrame:
     )
     bare = F.col("p_type").isin("ECONOMY", "SMALL")
     payload = F.when(bare, F.to_json(listed)).otherwise(_json(_embedded=_struct(queries=listed)))
-    return tables.part.select(
+    return dealt(tables.part).select(
         F.concat(F.lit("r"), "p_partkey").alias("token"),
         F.when(F.col("p_size") > 5, F.col("p_brand")).alias("name"),
         payload.alias("payload"),
@@ -308,7 +315,7 @@ def sigma(tables: Tables) -> DataFrame:
 
     listed = F.array(element("F", "Orders F"), element("O", "Orders O"), element("P", ""), element("", "No id"))
     payload = F.when(F.col("c_mktsegment") == "BUILDING", F.to_json(listed)).otherwise(_json(entries=listed))
-    workbooks = tables.customer.select(
+    workbooks = dealt(tables.customer).select(
         F.col("c_custkey").cast("string").alias("workbook_id"),
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("name"),
         payload.alias("payload"),

@@ -8,6 +8,8 @@ from tablewright.ingest import charts as ch
 from tablewright.ingest.load import chart_rows, load, rebuild, schema_rows, select_sources
 from tablewright.operators.catalog import table_docs
 from tablewright.operators.index import INDEX_SCHEMA, upsert
+from tablewright.plans import ingest_checks
+from tablewright.plans.registry import Tables
 from tablewright.sources.files import read_dashboards
 
 NOW = datetime(2024, 2, 1)
@@ -215,3 +217,12 @@ def test_load_is_repeatable(spark, charts):
     once = load(chart_rows(charts), empty, model, NOW, wait=(0, 0)).index
     twice = upsert(once, once.drop("created_at", "updated_at"), NOW)
     assert tuples(once.withColumn("e", F.size("embedding")), "id", "e") == tuples(twice.withColumn("e", F.size("embedding")), "id", "e")
+
+
+def test_payloads_are_made_and_read_by_all_cores(spark, data):
+    """A small table is one split; what is below the dealing of its rows neither makes nor reads JSON."""
+    tables = Tables(spark, data)
+    for extract in (ingest_checks.lakeview, ingest_checks.mode, ingest_checks.redash):
+        plan = extract(tables)._jdf.queryExecution().executedPlan().toString()
+        above, below = plan.split("RoundRobinPartitioning")
+        assert "json" in above and "json" not in below
