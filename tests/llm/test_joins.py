@@ -2,13 +2,15 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tablewright.llm import ngram_join
 from tablewright.llm.line_dedup import SegmentKeys, deduped, line_dedup, within
 from tablewright.llm.links import components
-from tablewright.llm.ngram_join import one_of_each, similarity_classes
+from tablewright.llm.ngram_join import dealt, may_share, one_of_each, parities, similarity_classes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,6 +99,63 @@ def test_classes_of_chains_hubs_and_copies(frame):
     assert got_classes(frame(rows)) == classes_by_hand(rows)
 
 
+def test_sketches_tell_long_sets_apart(spark):
+    """Of the longest sets too, those far below the limit are left out before texts are sent; no similar pair is."""
+    rng, rows = np.random.default_rng(4), []
+    for n in (1, 40, 700, 5000, 9000):
+        own = rng.integers(0, 1 << 63, n, np.uint64)
+        for share in (0.5, 0.95):
+            for size in (n, n - n // 20):  # of one length of sketch, and of two
+                other = np.concatenate([own[: int(size * share)], rng.integers(0, 1 << 63, size - int(size * share), np.uint64)])
+                both = len(set(own.tolist()) & set(other.tolist()))
+                close = 100 * both >= 80 * (len(own) + len(other) - both)
+                rows.append((n, close, len(own), len(other), parities(own).view(np.int64).tolist(), parities(other).view(np.int64).tolist()))
+    table = spark.createDataFrame(rows, "n long, close boolean, n_a long, n_b long, sketch_a array<long>, sketch_b array<long>")
+    for r in table.withColumn("may", may_share(80)).collect():
+        assert r.may or not r.close
+        assert r.n < 700 or r.may == r.close
+
+
+def test_texts_are_sent_once_for_many_pairs(spark, monkeypatch):
+    """A text that is compared with many is sent to each part of them, not to each pair."""
+    monkeypatch.setattr(ngram_join, "HUB_ROWS", 64)
+    key = lambda i: i.to_bytes(2, "big")
+    pairs = [(key(500), key(i)) for i in range(400)] + [(key(7), key(8))]
+    rows = dealt(spark.createDataFrame(pairs, "a binary, b binary")).collect()
+    under = defaultdict(list)
+    for r in rows:
+        under[bytes(r.hub), r.part].append((r.lead, bytes(r.digest)))
+    assert sorted(sorted((h, d)) for (h, _), found in under.items() for lead, d in found if not lead) == sorted(map(sorted, pairs))
+    assert all([d for lead, d in found if lead] == [h] for (h, _), found in under.items())
+    assert len(rows) <= len(pairs) + 7 + 1 and max(map(len, under.values())) < 120
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_links_of_members_that_are_not_first(frame, monkeypatch, few):
+    """Groups of equal prefix and size whose members are not similar, linked through other members than the first."""
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = random.Random(17)
+    passages = [["and", "so", "it", "goes", "on"] + [f"t{p}w{i}" for i in range(60)] for p in range(6)]
+    texts = [" ".join(p) for p in passages for _ in range(6)]  # frequent, so last in the order
+    for g in range(6):
+        rare = [f"g{g}r{i}" for i in range(17)]
+        texts += [" ".join(rare + p) for p in passages]  # one prefix, one size, other passages
+        texts += [" ".join([f"x{g}"] + rare + p) for p in passages]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert got_classes(frame(rows).coalesce(1)) == classes_by_hand(rows)
+
+
+def test_texts_of_repeated_ids(frame):
+    """A set's text is found if its id stands on rows of other sets, and on many rows."""
+    rng = random.Random(23)
+    base = [f"w{i}" for i in range(80)]
+    near = [" ".join(edited(rng, base, 1)) for _ in range(6)]
+    rows = [(5, t) for t in near for _ in range(4)] + [(5, " ".join(f"o{k}v{i}" for i in range(50))) for k in range(5)] + [(None, near[0]), (9, " ".join(base))]
+    got = [(r.n_shingles, r.component_id) for r in similarity_classes(frame(rows)).collect()]
+    assert Counter(got) == Counter([(76, 5)] * 26 + [(46, 5)] * 5)
+
+
 def test_classes_of_odd_rows(odd, clashing, frame):
     rows = similarity_classes(clashing).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in rows if r.doc_id not in (5, 6)) == [
