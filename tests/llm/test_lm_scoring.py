@@ -43,6 +43,17 @@ def test_words_that_tasks_do_not_know_get_the_same_scores(docs):
     assert np.allclose([r[5:] for r in few], [r[5:] for r in all_], rtol=1e-6)
 
 
+def test_ids_of_text_and_scores_of_stored_and_other_rows(spark, docs, tmp_path):
+    """Ids of any type keep their rows; what is read from files and what was dealt anew is scored alike."""
+    some = docs.selectExpr("IF(doc_id % 10 = 0, NULL, concat('d', doc_id)) AS doc_id", "text").orderBy("text").limit(60)
+    some.coalesce(1).write.parquet(f"{tmp_path}/docs")
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    other = stored.orderBy("text").coalesce(1)
+    one, two = (sorted(map(tuple, lm_scores(d).collect()), key=repr) for d in (stored, other))
+    assert sorted(repr(r[0]) for r in one) == sorted(repr(r.doc_id) for r in stored.collect())
+    assert [r[:5] for r in one] == [r[:5] for r in two] and np.allclose([r[5:] for r in one], [r[5:] for r in two], rtol=1e-9)
+
+
 def test_chances_in_a_leaf_sum_to_one():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 16, 17, 900):
